@@ -82,3 +82,63 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             )
         seen = tuple(state)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def sorted_groups(batches, n_key: int):
+    """From record batches sorted by their first n_key integer columns: (columns, starts) of whole groups.
+
+    columns are numpy arrays (or Arrow arrays, where a column is not of numbers); starts holds each
+    group's first row and the number of rows. The last group waits for the next batch, so memory is
+    bounded by a batch and the largest group.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    rest = None
+    schema = None
+
+    def cut(rows):
+        keys = [rows.column(i).to_numpy(zero_copy_only=False) for i in range(n_key)]
+        new = np.zeros(len(keys[0]), bool)
+        new[0] = True
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        return np.flatnonzero(new)
+
+    def whole(rows):
+        return pa.Table.from_batches(rows, schema).combine_chunks().to_batches()
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        schema = b.schema
+        rows = b if rest is None else whole([rest, b])[0]
+        at = cut(rows)
+        if at[-1]:
+            done = rows.slice(0, int(at[-1]))
+            yield done, np.append(at[:-1], done.num_rows)
+        rest = rows.slice(int(at[-1]))
+    if rest is not None:
+        yield rest, np.array([0, rest.num_rows])
+
+
+def candidate_pairs(starts, home, limit: int = 2_000_000):
+    """Within groups [starts[i], starts[i + 1]): (left, right) row numbers of every home row with every
+    other row of its group; a pair of two home rows comes once. Yields chunks of about ``limit`` pairs."""
+    import numpy as np
+
+    size = np.diff(starts)
+    group = np.repeat(np.arange(len(size)), size)
+    homes = np.flatnonzero(home)
+    homes = homes[size[group[homes]] > 1]
+    reps = size[group[homes]]
+    ends = np.cumsum(reps)
+    lo = 0
+    while lo < len(homes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")))
+        h, r = homes[lo:hi], reps[lo:hi]
+        left = np.repeat(h, r)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(r) - r, r) + np.repeat(starts[group[h]], r)
+        keep = (right != left) & ~(home[right] & (right < left))
+        yield left[keep], right[keep]
+        lo = hi
