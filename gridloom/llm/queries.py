@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, lattice, licenses, mixing, quality, simhash, urlfilter
+from gridloom.llm import bpe, lattice, licenses, mil, mixing, quality, simhash, urlfilter
 from gridloom.llm.common import table
 
 WORDS_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -37,6 +37,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality.rejected_by("base").alias("base_failed"), "kept", "failures")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_url_filter": op6_url_filter,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_quality_rules": op8_quality_rules,
+        "op9_quality_classifier": op9_quality_classifier,
         "op10_mix_sources": op10_mix_sources,
     }
 
