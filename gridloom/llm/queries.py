@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, lattice, licenses, mil, mixing, quality, simhash, urlfilter
+from gridloom.llm import bpe, lattice, licenses, maxent, mil, mixing, quality, shards, simhash, urlfilter
 from gridloom.llm.common import table
 
 WORDS_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -20,6 +20,14 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.training_order(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -49,6 +57,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_license_scan": op2_license_scan,
+        "op3_lm_score": op3_lm_score,
+        "op4_training_order": op4_training_order,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_url_filter": op6_url_filter,
         "op7_embedding_dedup": op7_embedding_dedup,
