@@ -1,16 +1,14 @@
 """Byte-level BPE encoding and decoding.
 
-Merging is done by Spark: a fold over an array of byte pieces (held as hex digits) merges, again and
-again, the adjacent pair of lowest rank, leftmost first, until no pair has a rank. Ranks come from one
-literal, an array of 65,536 small maps addressed by a hash of the piece, since a lookup in a single map
-of all ranks would scan it. Folding keeps the ranks of the adjacent pairs, so a merge looks up two ranks.
+Ranked merges are folded over the byte array of each distinct word (a match of the tokenizer's pattern):
+the adjacent pair of lowest rank is merged, leftmost first, until no pair has a rank. A task remembers
+the ids of the chunks it has seen, so a word that is frequent is folded once a task. Decoding
+concatenates the binary pieces of the ids.
 
-Words (matches of the tokenizer's pattern) are folded once each where they are frequent: the ``HEAD``
-most frequent words of the corpus are folded, and their ids are broadcast (a bounded table). The rarer
-words are folded in the row of their document, so no word is ever shuffled by itself and a text's ids
-never leave its row.
-
-Decoding concatenates the binary pieces of the ids.
+The fold exists twice. ``fold_merges`` is a Spark expression: higher-order functions over pieces held as
+hex digits, with ranks from one literal, an array of 65,536 small maps addressed by a hash of the piece.
+``fold_word`` is the same fold in the Python workers. Texts are encoded by the latter, because the
+expression takes over a hundred microseconds a word (see the README); tests hold them equal.
 
 Defined cases: null and empty texts have no ids (the hashes are those of no bytes); ids are those of a
 text's UTF-8 bytes; repeated rows are encoded alike; other columns are ignored.
@@ -21,18 +19,17 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import sys
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import checkpointed
-
 VOCABULARY = "byte_bpe_50k.tiktoken"
-HEAD = 262_144
 BUCKETS = 65_536
 NEVER = 2**31 - 1
-CACHE = 300_000  # chunks a Python worker remembers
+CACHE = 200_000  # chunks a task remembers
+SLICE = 500  # rows of a batch held as Python objects at a time
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -96,170 +93,103 @@ def fold_merges(word: Column, table: Column) -> Column:
     return F.when(F.length(word) > 0, let(F.hex(word), fold)).otherwise(F.lit(b""))
 
 
-class Splitter:
-    """Splits texts in words by the pattern, remembering what chunks between single spaces hold.
+def fold_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one word. The ranks of the adjacent pairs are kept, so a merge looks up two of them."""
+    get = ranks.get
+    if (whole := get(word)) is not None:
+        return [whole]
+    pieces = [word[i : i + 1] for i in range(len(word))]
+    pairs = [get(word[i : i + 2], NEVER) for i in range(len(word) - 1)]
+    while pairs and (low := min(pairs)) != NEVER:
+        i = pairs.index(low)
+        merged = pieces[i] + pieces.pop(i + 1)
+        pieces[i] = merged
+        del pairs[i]
+        if i:
+            pairs[i - 1] = get(pieces[i - 1] + merged, NEVER)
+        if i < len(pairs):
+            pairs[i] = get(merged + pieces[i + 1], NEVER)
+    return [ranks[p] for p in pieces]
+
+
+class Chunks:
+    """Encodes texts chunk by chunk, remembering the bytes of chunks between single spaces.
 
     A single space with a non-space on either side always starts a word, so what lies between two such
-    spaces is split on its own. Texts with other white space around spaces are split as a whole.
+    spaces is encoded on its own; a text with other white space around its spaces is encoded as a whole.
+    ``encode`` makes the bytes of any text.
     """
 
-    def __init__(self, pattern: str, cache: int = CACHE):
-        import regex
+    def __init__(self, encode, cache: int = CACHE):
+        self.encode, self.cache = encode, cache
+        self.known: dict[str, bytes] = {}
 
-        self.find = regex.compile(pattern).findall
-        self.known: dict[str, list[str]] = {}
-        self.cache = cache
-
-    def cut(self, text: str) -> tuple[list[str], list[str], list[str]]:
-        """(words of the start, chunks without the space before them, words of the end)."""
+    def text(self, raw: bytes | None) -> bytes:
+        text = raw.decode("utf-8", "replace") if raw else ""
         first, *chunks = text.split(" ")
         if not chunks:
-            return self.find(text), [], []
+            return self.encode(text)
         last = chunks.pop()
         if not last or last[0].isspace() or first[-1:].isspace():
-            return self.find(text), [], []
-        for c in set(chunks).difference(self.known):
-            if not c or c[0].isspace() or c[-1].isspace():
-                return self.find(text), [], []
-            if len(self.known) < self.cache:
-                self.known[c] = self.find(" " + c)
-        return self.find(first), chunks, self.find(" " + last)
-
-    def words(self, chunk: str) -> list[str]:
-        got = self.known.get(chunk)
-        return self.find(" " + chunk) if got is None else got
-
-
-def _texts(column) -> list[str]:
-    return [x.decode("utf-8", "replace") if x else "" for x in column.cast(pa.binary()).to_pylist()]
-
-
-def _count_words(pattern: str, flush: int = 400_000):
-    def run(batches):
-        from collections import Counter
+            return self.encode(text)
+        parts = list(map(self.known.get, chunks))
+        if None in parts:
+            for i, (c, p) in enumerate(zip(chunks, parts)):
+                if p is None:
+                    if not c or c[0].isspace() or c[-1].isspace():
+                        return self.encode(text)
+                    parts[i] = self.encode(" " + c)
+                    if len(self.known) < self.cache:
+                        self.known[c] = parts[i]
+        return b"".join([self.encode(first), *parts, self.encode(" " + last)])
 
-        split, chunks, words = Splitter(pattern), Counter(), Counter()
 
-        def out():
-            for chunk, n in chunks.items():
-                for w in split.words(chunk):
-                    words[w] += n
-            batch = pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
-            chunks.clear()
-            words.clear()
-            return batch
+def encoder(ranks: dict[bytes, int], pattern: str) -> Chunks:
+    """Texts to ids, four bytes each, little end first."""
+    from struct import pack
 
-        for b in batches:
-            for text in _texts(b.column(0)):
-                start, middle, end = split.cut(text)
-                words.update(start)
-                chunks.update(middle)
-                words.update(end)
-                if len(chunks) + len(words) > flush:
-                    yield out()
-        yield out()
+    import regex
 
-    return run
+    find = regex.compile(pattern).findall
 
+    def encode(text: str) -> bytes:
+        ids = [i for w in find(text) for i in fold_word(w.encode(), ranks)]
+        return pack(f"<{len(ids)}I", *ids)
 
-def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
-    """(word, n): how often each word stands in the whole corpus."""
-    return docs.select("text").mapInArrow(_count_words(pattern), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return Chunks(encode)
 
 
-def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The words of the highest counts, at most ``most`` of them: all words above a count that is found
-    from a histogram of counts on a logarithmic scale (a few hundred rows)."""
-    level = F.floor(16 * F.log2("n")).cast("int")
-    total, least = 0, None
-    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
-        total += r["count"]
-        if total > most:
-            break
-        least = r["level"]
-    return counts.where(F.lit(False)) if least is None else counts.where(level >= least)
+def texts_of(column):
+    """The bytes of an Arrow column of texts, a slice of rows at a time."""
+    for k in range(0, len(column), SLICE):
+        yield from column.slice(k, SLICE).cast(pa.binary()).to_pylist()
 
 
-def encode_head(spark: SparkSession, docs: DataFrame, ranks: Column, pattern: str, most: int) -> dict[str, bytes]:
-    """word -> ids of the most frequent words, folded by Spark; at most ``most`` entries."""
-    counts = checkpointed(word_counts(docs, pattern).where("n > 1"))
-    head = most_frequent(counts, most).select("word").repartition(4 * spark.sparkContext.defaultParallelism)
-    folded = head.select("word", fold_merges(F.col("word").cast("binary"), ranks).alias("ids")).toArrow()
-    return dict(zip(folded["word"].to_pylist(), folded["ids"].to_pylist()))
+def _with_text(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, str]:
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return rows, dict(rows.dtypes)["doc_id"]
 
 
-def _pack(head, pattern: str):
-    """doc_id, text -> doc_id, seg, tail: the ids between rarer words, and those words, in order."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: tuple[dict[bytes, int], str] | None = None) -> DataFrame:
+    """(doc_id, ids): the ids of each whole text, four bytes each, little end first."""
+    rows, kind = _with_text(docs, id_col, text)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary or public_vocabulary())
 
     def run(batches):
-        split, known, ready = Splitter(pattern), head.value, {}
+        made = encoder(*shared.value)
         for b in batches:
-            segs, tails = [], []
-            for text in _texts(b.column(1)):
-                start, chunks, end = split.cut(text)
-                seg, tail, cur = [], [], []
-
-                def add(words, seg=seg, tail=tail, cur=cur):
-                    for w in words:
-                        ids = known.get(w)
-                        if ids is None:
-                            seg.append(b"".join(cur))
-                            tail.append(w.encode())
-                            cur.clear()
-                        else:
-                            cur.append(ids)
-
-                add(start)
-                for c in chunks:
-                    ids = ready.get(c)
-                    if ids is None:
-                        words = split.words(c)
-                        got = [known.get(w) for w in words]
-                        if None in got:
-                            add(words)
-                            continue
-                        ids = b"".join(got)
-                        if len(ready) < CACHE:
-                            ready[c] = ids
-                    cur.append(ids)
-                add(end)
-                seg.append(b"".join(cur))
-                segs.append(seg)
-                tails.append(tail)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(segs, pa.list_(pa.binary())), pa.array(tails, pa.list_(pa.binary()))], names=["doc_id", "seg", "tail"])
-
-    return run
-
-
-def _join(batches):
-    for b in batches:
-        out = []
-        for seg, tail in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-            parts = [seg[0]]
-            for t, s in zip(tail, seg[1:]):
-                parts += (t, s)
-            out.append(b"".join(parts))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
-
-
-def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: tuple[dict[bytes, int], str] | None = None, head: int = HEAD) -> DataFrame:
-    """(doc_id, ids): the ids of each whole text, four bytes each, little end first."""
-    spark = docs.sparkSession
-    ranks, pattern = vocabulary or public_vocabulary()
-    table = rank_literal(ranks)
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    known = spark.sparkContext.broadcast(encode_head(spark, rows, table, pattern, head))
-    kind = dict(rows.dtypes)["doc_id"]
-    packed = rows.mapInArrow(_pack(known, pattern), f"doc_id {kind}, seg array<binary>, tail array<binary>")
-    folded = packed.select("doc_id", "seg", F.transform("tail", lambda w: fold_merges(w, table)).alias("tail"))
-    return folded.mapInArrow(_join, f"doc_id {kind}, ids binary")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([made.text(x) for x in texts_of(b.column(1))], pa.binary())], names=["doc_id", "ids"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, ids binary")
 
 
 def decode_ids(ids: bytes, pieces: list[bytes]) -> bytes:
     """The text's bytes: the pieces of the ids, one after another."""
-    import numpy as np
+    return b"".join(map(pieces.__getitem__, memoryview(ids).cast("I") if sys.byteorder == "little" else array_of(ids)))
+
 
-    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+def array_of(ids: bytes) -> list[int]:
+    return [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)]
 
 
 def pieces_of(ranks: dict[bytes, int]) -> list[bytes]:
@@ -282,22 +212,21 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, text binary")
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: tuple[dict[bytes, int], str] | None = None, head: int = HEAD) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256. The bytes themselves stay in their tasks."""
-    ranks, pattern = vocabulary or public_vocabulary()
-    both = encode(docs, id_col, text, (ranks, pattern), head)
-    pieces = docs.sparkSession.sparkContext.broadcast(pieces_of(ranks))
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: tuple[dict[bytes, int], str] | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256. Ids and decoded bytes stay in their task."""
+    rows, kind = _with_text(docs, id_col, text)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary or public_vocabulary())
 
     def run(batches):
+        ranks, pattern = shared.value
+        made, pieces = encoder(ranks, pattern), pieces_of(ranks)
         for b in batches:
-            ids = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(decode_ids(x, pieces.value)).hexdigest() for x in ids]),
-                ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    kind = dict(both.dtypes)["doc_id"]
-    return both.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            n, coded, decoded = [], [], []
+            for x in texts_of(b.column(1)):
+                ids = made.text(x)
+                n.append(len(ids) // 4)
+                coded.append(hashlib.sha256(ids).hexdigest())
+                decoded.append(hashlib.sha256(decode_ids(ids, pieces)).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

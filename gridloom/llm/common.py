@@ -142,3 +142,16 @@ def candidate_pairs(starts, home, limit: int = 2_000_000):
         keep = (right != left) & ~(home[right] & (right < left))
         yield left[keep], right[keep]
         lo = hi
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of highest ``n``, at most ``most`` of them: all above a level found from a histogram of n
+    on a logarithmic scale (a few hundred rows reach the driver)."""
+    level = F.floor(16 * F.log2("n")).cast("int")
+    total, least = 0, None
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        total += r["count"]
+        if total > most:
+            break
+        least = r["level"]
+    return counts.where(F.lit(False)) if least is None else counts.where(level >= least)

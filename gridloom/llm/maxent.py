@@ -29,8 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.bpe import most_frequent
-from gridloom.llm.common import checkpointed, crc_mod, partitions
+from gridloom.llm.common import checkpointed, crc_mod, most_frequent, partitions
 
 END = b""  # no word is empty
 HELD_OUT = (10, 0)

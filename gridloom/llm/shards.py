@@ -30,14 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.bpe import public_vocabulary
+from gridloom.llm.bpe import Chunks, public_vocabulary, texts_of
 from gridloom.llm.common import checkpointed, shared_dir
 
 LENGTH = 2_048
 PER_SHARD = 8_192
 KEY = 0x5EED
 FEISTEL_ROUNDS = 6
-CACHE = 400_000
 
 
 def permute(x: np.ndarray, n: int, key: int = KEY, rounds: int = FEISTEL_ROUNDS) -> np.ndarray:
@@ -61,42 +60,18 @@ def permute(x: np.ndarray, n: int, key: int = KEY, rounds: int = FEISTEL_ROUNDS)
 
 
 class Encoder:
-    """Texts to id bytes by tiktoken, remembering the ids of chunks between single spaces.
+    """Texts to id bytes by tiktoken, each closed by the end-of-text id."""
 
-    A single space with a non-space on either side always starts a piece, so such chunks are encoded on
-    their own; a text with other white space around its spaces is encoded as a whole.
-    """
-
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE):
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
         import tiktoken
 
-        self.encode = tiktoken.Encoding("shards", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encode = tiktoken.Encoding("shards", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.kind = id_type(ranks)
         self.end = np.array([len(ranks)], self.kind).tobytes()
-        self.known: dict[str, bytes] = {}
-        self.cache = cache
-
-    def ids(self, text: str) -> bytes:
-        return np.array(self.encode(text), self.kind).tobytes()
+        self.chunks = Chunks(lambda text: np.array(encode(text), self.kind).tobytes())
 
     def text(self, raw: bytes | None) -> bytes:
-        text = raw.decode("utf-8", "replace") if raw else ""
-        first, *chunks = text.split(" ")
-        if not chunks:
-            return self.ids(text) + self.end
-        last = chunks.pop()
-        if not last or last[0].isspace() or first[-1:].isspace():
-            return self.ids(text) + self.end
-        parts = list(map(self.known.get, chunks))
-        if None in parts:
-            for i, (c, p) in enumerate(zip(chunks, parts)):
-                if p is None:
-                    if not c or c[0].isspace() or c[-1].isspace():
-                        return self.ids(text) + self.end
-                    parts[i] = self.ids(" " + c)
-                    if len(self.known) < self.cache:
-                        self.known[c] = parts[i]
-        return b"".join([self.ids(first), *parts, self.ids(" " + last), self.end])
+        return self.chunks.text(raw) + self.end
 
 
 def id_type(ranks: dict[bytes, int]):
@@ -109,7 +84,7 @@ def _lengths(shared):
 
         encoder, task, at = Encoder(*shared.value), TaskContext.get().partitionId(), 0
         for b in batches:
-            n = np.array([len(encoder.text(x)) // encoder.kind.itemsize for x in b.column(1).cast(pa.binary()).to_pylist()], np.int64)
+            n = np.array([len(encoder.text(x)) // encoder.kind.itemsize for x in texts_of(b.column(1))], np.int64)
             ends = at + np.cumsum(n)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), task, np.int64)), pa.array(ends - n), pa.array(n)], names=["doc_id", "task", "start", "n"])
             at = int(ends[-1]) if len(ends) else at
@@ -138,8 +113,7 @@ def _sequences(shared, plan, length: int, key: int):
             return pa.RecordBatch.from_arrays([pa.array(slots), pa.array([payload[i * stride : (i + 1) * stride] for i in range(k)], pa.binary())], names=["slot", "ids"])
 
         for b in batches:
-            parts = [rest, *map(encoder.text, b.column(1).cast(pa.binary()).to_pylist())]
-            data = b"".join(parts)
+            data = b"".join([rest, *map(encoder.text, texts_of(b.column(1)))])
             whole = len(data) // stride * stride
             rest = data[whole:]
             if whole:
