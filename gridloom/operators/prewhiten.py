@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import series as S
@@ -46,7 +46,7 @@ def dw_critical_values(n: int) -> tuple[float, float]:
 def durbin_watson(stack: Stack) -> DataFrame:
     """cells with dw and rho1 of the straight-line residuals."""
     rows = stack.cells.withColumn("__d", when_ok(S.durbin_watson(F.col("y"), stack.spec.t())))
-    return rows.withColumn("dw", F.col("__d.dw")).withColumn("rho1", F.col("__d.rho1")).drop("__d")
+    return rows.select("grid_id", "cell", "row", "col", "y", "ok", F.inline_outer(F.array("__d")))
 
 
 def prewhiten(
@@ -86,17 +86,24 @@ def lag_one(x: np.ndarray) -> np.ndarray:
 
 def trend_free(stack: Stack) -> tuple[Stack, DataFrame]:
     """Yue and Pilon: detrend by Theil-Sen, filter the first-order correlation of the rest, put the trend back; one layer less."""
-    y, t = F.col("y"), stack.spec.t()
-    rows = stack.cells.withColumn("Beta_TheilSen", when_ok(S.theil_sen(y, t)))
-    rows = rows.withColumn("rest", when_ok(F.zip_with(y, t, lambda v, s: v - F.col("Beta_TheilSen") * s)))
-    squares = S.let(S.centred(F.col("rest")), lambda c: S.dot(c, c))
-    rho = F.when(squares > 0, F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), S.autocorrelation(F.col("rest")))))
-    rows = rows.withColumn("Rho", when_ok(rho))
-    filtered = F.zip_with(S.tail(F.col("rest")), S.head(F.col("rest")), lambda a, b: a - F.col("Rho") * b)
-    rows = rows.withColumn("new", when_ok(F.zip_with(filtered, S.tail(t), lambda a, s: a + F.col("Beta_TheilSen") * s)))
-    n = stack.spec.n_time - 1
-    new = F.when(F.col("Rho").isNotNull(), F.col("new")).otherwise(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.lit(None).cast("double")))
-    cells = rows.select("grid_id", "cell", "row", "col", new.alias("y"))
+    t, n = stack.spec.t(), stack.spec.n_time - 1
+
+    def detrended(y: Column, beta: Column) -> Column:
+        return S.let(F.zip_with(y, t, lambda v, s: v - beta * s), lambda rest: S.let(correlation(rest), lambda rho: put_back(rest, rho, beta)))
+
+    def correlation(rest: Column) -> Column:
+        squares = S.let(S.centred(rest), lambda c: S.dot(c, c))
+        return F.when(squares > 0, F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), S.autocorrelation(rest))))
+
+    def put_back(rest: Column, rho: Column, beta: Column) -> Column:
+        white = F.zip_with(S.tail(rest), S.head(rest), lambda a, b: a - rho * b)
+        return F.struct(beta.alias("Beta_TheilSen"), rho.alias("Rho"), F.zip_with(white, S.tail(t), lambda a, s: a + beta * s).alias("new"))
+
+    y = F.col("y")
+    rows = stack.cells.select("grid_id", "cell", "row", "col", "ok", when_ok(S.let(S.theil_sen(y, t), lambda beta: detrended(y, beta))).alias("f"))
+    rows = rows.select("grid_id", "cell", "row", "col", "ok", F.inline_outer(F.array("f")))
+    missing = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.lit(None).cast("double"))
+    cells = rows.select("grid_id", "cell", "row", "col", F.when(F.col("Rho").isNotNull(), F.col("new")).otherwise(missing).alias("y"))
     return with_series(stack, cells, n), rows.select("grid_id", "cell", "row", "col", "ok", *DIAGNOSTICS["TFPW_Y"])
 
 
@@ -185,11 +192,14 @@ def iterative(stack: Stack, method: str, gate: str, dw_low: float, dw_high: floa
     rows = rows.join(paths, ["grid_id", "cell"], "left").join(stop, "grid_id", "left")
     at = F.coalesce("stop", F.lit(itmax)) + 1
     rows = rows.withColumn("rho", F.element_at("path", at.cast("int"))).withColumn("clamped", F.coalesce(F.element_at("flags", at.cast("int")) > 0, F.lit(False)))
-    y, rho = F.col("y"), F.col("rho")
-    first = F.transform(F.slice(y, 1, 1), lambda v: v * F.sqrt(1 - rho * rho))
-    later = F.zip_with(S.tail(y), S.head(y), lambda a, b: (a - rho * b) / (1 - rho))
+    y = F.col("y")
+
+    def whitened(rho: Column) -> Column:
+        first = F.transform(F.slice(y, 1, 1), lambda v: v * F.sqrt(1 - rho * rho))
+        return F.concat(first, F.zip_with(S.tail(y), S.head(y), lambda a, b: (a - rho * b) / (1 - rho)))
+
     change = F.col("gated") & ~F.col("clamped")
-    new = F.when(change, F.concat(first, later)).otherwise(y)
+    new = F.when(change, S.let(F.col("rho"), whitened)).otherwise(y)
     missing = F.transform(y, lambda v: F.lit(None).cast("double"))
     cells = rows.select("grid_id", "cell", "row", "col", F.when(F.col("ok"), new).otherwise(missing).alias("y"))
     diagnostics = rows.select(

@@ -86,9 +86,11 @@ def fit_series(stack: Stack, method: str = "TS", level: float = 0.95) -> DataFra
         rows = rows.withColumn("f", S.ols(y, t)).withColumn("slope", F.col("f.slope")).withColumn("intercept", F.col("f.intercept"))
         ci = F.struct((F.col("slope") - z * F.col("f.se")).alias("lower"), (F.col("slope") + z * F.col("f.se")).alias("upper"))
     elif method == "TS":
-        rows = rows.withColumn("slope", S.theil_sen(y, t))
-        rest = F.array_sort(F.zip_with(y, t, lambda v, s: v - F.col("slope") * s))
-        rows = rows.withColumn("intercept", S.let(rest, S.sorted_median))
+        def with_intercept(b: Column) -> Column:
+            rest = F.array_sort(F.zip_with(y, t, lambda v, s: v - b * s))
+            return F.struct(b.alias("slope"), S.let(rest, S.sorted_median).alias("intercept"))
+
+        rows = rows.withColumn("f", S.let(S.theil_sen(y, t), with_intercept)).withColumn("slope", F.col("f.slope")).withColumn("intercept", F.col("f.intercept"))
         ci = sen_interval(y, t, n, level)
     else:
         rows = rows.withColumn("slope", S.repeated_median(y, t)).withColumn("intercept", S.repeated_median_intercept(y, t))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import series as S
-from gridloom.functions.dist import Z_975, normal_two_sided_sql, t_two_sided_sql
+from gridloom.functions.dist import NORMAL_DENOMINATOR, NORMAL_NUMERATOR, SQRT_TWO_PI, Z_975, t_two_sided_sql
 from gridloom.operators.grid import Stack, when_ok
 from gridloom.operators.spatial import Neighbourhood, neighbourhood, region_sums
 
@@ -26,8 +26,28 @@ def z_score(s: Column, variance: Column) -> Column:
     return F.when(s == 0, F.lit(0.0)).otherwise((s - F.signum(s)) / F.sqrt(variance))
 
 
-def normal_p(rows: DataFrame, z: Column) -> DataFrame:
-    return rows.withColumn("z", z).withColumn("p", F.expr(normal_two_sided_sql("z")))
+def normal_p(z: Column) -> Column:
+    """The two-sided p of z. z is bound first: the formula names it often, and z holds a whole kernel."""
+    return F.get(F.transform(F.array(z), lambda x: _p_of(x)), F.lit(0))
+
+
+def _p_of(x: Column) -> Column:
+    a = F.abs(x)
+    near = F.exp(-0.5 * a * a) * _polynomial(a, NORMAL_NUMERATOR) / _polynomial(a, NORMAL_DENOMINATOR)
+    far = F.exp(-0.5 * a * a) / ((a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))) * SQRT_TWO_PI)
+    return F.when(x.isNull(), F.lit(None).cast("double")).when(a > 37, F.lit(0.0)).when(a < 7.07106781186547, F.least(F.lit(1.0), 2 * near)).otherwise(2 * far)
+
+
+def _polynomial(x: Column, coefficients) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + F.lit(c)
+    return out
+
+
+def kendall(y: Column, ties: bool) -> Column:
+    """struct(S, VarS) of one series."""
+    return F.struct(S.kendall_score(y).alias("S"), S.kendall_variance(y, ties).alias("VarS"))
 
 
 def trend_test(
@@ -45,20 +65,25 @@ def trend_test(
     return rows.select("grid_id", "cell", "row", "col", "ok", *SCHEMAS[method])
 
 
-def scored(stack: Stack, ties: bool) -> DataFrame:
-    return stack.cells.withColumn("S", when_ok(S.kendall_score(F.col("y")))).withColumn("VarS", when_ok(S.kendall_variance(F.col("y"), ties)))
-
-
 def mann_kendall(stack: Stack, ties: bool = True) -> DataFrame:
-    return normal_p(scored(stack, ties), z_score(F.col("S"), F.col("VarS")))
+    def of(k: Column) -> Column:
+        return F.struct(k["S"].alias("S"), k["VarS"].alias("VarS"), normal_p(z_score(k["S"], k["VarS"])).alias("p"))
+
+    rows = stack.cells.withColumn("__k", when_ok(S.let(kendall(F.col("y"), ties), of)))
+    return rows.select("grid_id", "cell", "row", "col", "ok", "__k.S", "__k.VarS", "__k.p")
 
 
 def least_squares(stack: Stack) -> DataFrame:
     """Slope, its standard error, and the two-sided p of t with n - 2 degrees of freedom (0 / 0 counts as no trend)."""
-    fit = stack.cells.withColumn("f", when_ok(S.ols(F.col("y"), stack.spec.t())))
-    fit = fit.withColumn("beta", F.col("f.slope")).withColumn("se_beta", F.col("f.se"))
-    ratio = F.when(F.col("se_beta") > 0, F.col("beta") / F.col("se_beta")).when(F.col("beta") == 0, F.lit(0.0)).when(F.col("beta").isNotNull(), F.signum("beta") * F.lit(1e300))
-    return fit.withColumn("tstat", ratio).withColumn("p", F.expr(t_two_sided_sql("tstat", stack.spec.n_time - 2)))
+    df = stack.spec.n_time - 2
+
+    def of(f: Column) -> Column:
+        ratio = F.when(f["se"] > 0, f["slope"] / f["se"]).when(f["slope"] == 0, F.lit(0.0)).otherwise(F.signum(f["slope"]) * F.lit(1e300))
+        return F.struct(f["slope"].alias("beta"), f["se"].alias("se_beta"), ratio.alias("tstat"))
+
+    rows = stack.cells.select("grid_id", "cell", "row", "col", "ok", when_ok(S.let(S.ols(F.col("y"), stack.spec.t()), of)).alias("f"))
+    rows = rows.select("grid_id", "cell", "row", "col", "ok", F.inline_outer(F.array("f")))
+    return rows.withColumn("p", F.expr(t_two_sided_sql("tstat", df)))
 
 
 def contextual_mann_kendall(
@@ -73,20 +98,26 @@ def contextual_mann_kendall(
     around = precomputed or neighbourhood(stack.spec, connectivity, window_size)
     around.check(stack.spec, connectivity, window_size)
     n = stack.spec.n_time
-    rows = scored(stack, ties)
-    y = F.col("y")
-    scale = S.let(F.sqrt(S.dot(S.centred(y), S.centred(y)) / (n - 1)), lambda sd: F.when(sd > 0, F.sqrt("VarS") / (F.sqrt(F.lit(float(n))) * sd)).otherwise(F.lit(0.0)))
-    rows = rows.withColumn("scale", when_ok(scale)).withColumn("v", when_ok(S.let(S.mean(y), lambda m: F.transform(y, lambda x: (x - m) * F.col("scale")))))
-    rows = rows.withColumn("own", F.col("VarS") - S.dot(F.col("v"), F.col("v")))
-    values = {"score": F.col("S"), "own": F.col("own"), "one": F.lit(1.0)} | {f"v{k}": F.get("v", F.lit(k)) for k in range(n)}
-    sums = region_sums(rows.where("ok"), values, around, include_self=True)
+
+    def region(y: Column, k: Column) -> Column:
+        """struct(S, own, v) from a series and its struct(S, VarS)."""
+        def scaled(c: Column) -> Column:
+            sd = F.sqrt(S.dot(c, c) / (n - 1))
+            return S.let(F.when(sd > 0, F.sqrt(k["VarS"]) / (F.sqrt(F.lit(float(n))) * sd)).otherwise(F.lit(0.0)), lambda f: F.transform(c, lambda x: x * f))
+
+        return S.let(S.let(S.centred(y), scaled), lambda v: F.struct(k["S"].alias("score"), (k["VarS"] - S.dot(v, v)).alias("own"), v.alias("v")))
+
+    rows = stack.cells.where("ok").select("grid_id", "row", "col", S.let(kendall(F.col("y"), ties), lambda k: region(F.col("y"), k)).alias("k"))
+    rows = rows.select("grid_id", "row", "col", F.inline(F.array("k")))  # one row each: the kernels are not copied past this point
+    values = {"score": F.col("score"), "own": F.col("own"), "one": F.lit(1.0)} | {f"v{k}": F.get("v", F.lit(k)) for k in range(n)}
+    sums = region_sums(rows, values, around, include_self=True)
     square = sum((F.col(f"v{k}") * F.col(f"v{k}") for k in range(n)), F.lit(0.0))
     sums = sums.select("grid_id", "cell", (F.col("score") / F.col("one")).alias("Sm0"), ((square + F.col("own")) / (F.col("one") * F.col("one"))).alias("V0"))
-    out = rows.select("grid_id", "cell", "row", "col", "ok").join(sums, ["grid_id", "cell"], "left")
+    out = stack.cells.select("grid_id", "cell", "row", "col", "ok").join(sums, ["grid_id", "cell"], "left")
     out = out.withColumn("Sm", when_ok(F.col("Sm0"))).withColumn("VarSm", when_ok(F.col("V0")))
     top = F.when(F.col("Sm") > 0, F.col("Sm") - 1).otherwise(F.col("Sm") + 1) if continuity else F.col("Sm")
     z = F.when(F.col("VarSm") > 0, top / F.sqrt("VarSm")).when((F.col("VarSm") <= 0) & (top == 0), F.lit(0.0)).when(F.col("VarSm") <= 0, F.signum(top) * 1e300)
-    return normal_p(out, z)
+    return out.withColumn("p", normal_p(z))
 
 
 # ------------------------------------------------------------------ modified Mann-Kendall (numpy in Arrow batches)
@@ -143,7 +174,7 @@ def modified_mann_kendall(stack: Stack, ties: bool = True) -> DataFrame:
 
     kind = dict(stack.cells.dtypes)["grid_id"]
     factors = stack.cells.where("ok").select("grid_id", "cell", "y").mapInArrow(run, f"grid_id {kind}, cell long, essf double")
-    rows = scored(stack, ties).drop("y").join(factors, ["grid_id", "cell"], "left")
-    usable = F.col("essf") > 0
-    rows = rows.withColumn("VarS", F.when(usable, F.col("VarS") * F.col("essf")))
-    return normal_p(rows, F.when(usable, z_score(F.col("S"), F.col("VarS"))))
+    rows = stack.cells.select("grid_id", "cell", "row", "col", "ok", when_ok(kendall(F.col("y"), ties)).alias("k"))
+    rows = rows.select("grid_id", "cell", "row", "col", "ok", F.inline_outer(F.array("k"))).withColumnRenamed("VarS", "V0").join(factors, ["grid_id", "cell"], "left")
+    rows = rows.withColumn("VarS", F.when(F.col("essf") > 0, F.col("V0") * F.col("essf")))
+    return rows.withColumn("p", F.when(F.col("essf") > 0, normal_p(z_score(F.col("S"), F.col("VarS")))))
