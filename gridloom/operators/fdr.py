@@ -60,28 +60,35 @@ def harmonic(m: Column) -> Column:
     return F.when(m <= 1000, few).otherwise(many)
 
 
-def adjusted(rows: DataFrame, method: str = "BH", q: float = 0.05, implementation: str = "multtest") -> DataFrame:
-    """grid_id, p and for each distinct p: q_value (null for the original BKY), reject, last, m, m0, pi0."""
-    choice(method, METHODS, "method")
-    choice(implementation, IMPLEMENTATIONS, "implementation")
+def decided(rows: DataFrame, q: float = 0.05, original: bool = False) -> DataFrame:
+    """Each distinct p of a grid with n, last, m, r1, m0, pi0 and, for every procedure, q_ and reject_ columns.
+
+    All procedures come from one ranking. The original two-stage procedure steps up on the p-values
+    themselves at a raised level; it has no adjusted values and costs one more aggregate, so it is asked for.
+    """
     q = probability(q, "q")
     base = ranked(rows)
-    if method in ("BH", "BY"):
-        value = F.col("bh") if method == "BH" else F.least(F.lit(1.0), F.col("raw") * harmonic(F.col("m")))  # BY multiplies before it cuts at 1
-        out = base.withColumn("q_value", value).withColumn("m0", F.col("m")).withColumn("pi0", F.lit(1.0))
-        return out.select("grid_id", "p", "q_value", (F.col("q_value") <= q).alias("reject"), "last", "m", "m0", "pi0")
     first = q / (1 + q)
     counts = base.groupBy("grid_id").agg(F.coalesce(F.sum(F.when(F.col("bh") < first, F.col("n"))), F.lit(0)).alias("r1"))  # one row per grid
     out = base.join(counts, "grid_id").withColumn("m0", F.col("m") - F.col("r1")).withColumn("pi0", F.col("m0") / F.col("m"))
-    if implementation == "multtest":
-        out = out.withColumn("q_value", F.col("bh") * F.col("pi0")).withColumn("reject", F.col("q_value") <= q)
+    out = out.withColumn("q_BH", F.col("bh")).withColumn("q_BY", F.least(F.lit(1.0), F.col("raw") * harmonic(F.col("m"))))  # BY multiplies before it cuts at 1
+    if not original:
+        out = out.withColumn("q_BKY", F.col("bh") * F.col("pi0")).withColumn("reject_BKY", F.col("q_BKY") <= q)
     else:
         level = F.lit(first) * F.col("m") / F.col("m0")
         below = F.col("p") <= F.col("last") / F.col("m") * level
         top = out.where("m0 > 0 and r1 > 0").groupBy("grid_id").agg(F.max(F.when(below, F.col("last"))).alias("k"))
-        out = out.join(top, "grid_id", "left").withColumn("q_value", F.lit(None).cast("double"))
-        out = out.withColumn("reject", F.when(F.col("r1") == 0, F.lit(False)).when(F.col("m0") == 0, F.lit(True)).otherwise(F.col("last") <= F.coalesce("k", F.lit(0))))
-    return out.select("grid_id", "p", "q_value", "reject", "last", "m", "m0", "pi0")
+        out = out.join(top, "grid_id", "left").withColumn("q_BKY", F.lit(None).cast("double"))
+        out = out.withColumn("reject_BKY", F.when(F.col("r1") == 0, F.lit(False)).when(F.col("m0") == 0, F.lit(True)).otherwise(F.col("last") <= F.coalesce("k", F.lit(0))))
+    return out.withColumn("reject_BH", F.col("q_BH") <= q).withColumn("reject_BY", F.col("q_BY") <= q)
+
+
+def adjusted(rows: DataFrame, method: str = "BH", q: float = 0.05, implementation: str = "multtest") -> DataFrame:
+    """grid_id, p and for each distinct p: q_value (null for the original BKY), reject, last, m, m0, pi0."""
+    choice(method, METHODS, "method")
+    choice(implementation, IMPLEMENTATIONS, "implementation")
+    out = decided(rows, q, implementation == "original" and method == "BKY")
+    return out.select("grid_id", "p", F.col(f"q_{method}").alias("q_value"), F.col(f"reject_{method}").alias("reject"), "last", "m", "m0", "pi0")
 
 
 def apply(rows: DataFrame, method: str = "BH", q: float = 0.05, implementation: str = "multtest") -> DataFrame:
@@ -94,11 +101,12 @@ def correct(rows: DataFrame, methods: tuple[str, ...] = ("BH", "BKY"), q: float
     """rows with reject_raw and, per method, q_<method> and reject_<method>."""
     rows = rows.withColumn("p", F.when(F.isnan("p"), None).otherwise(F.col("p")))
     check(rows)
-    out = rows.withColumn("reject_raw", F.col("p") <= q)
     for m in methods:
-        values = adjusted(rows, m, q, implementation).select("grid_id", "p", F.col("q_value").alias(f"q_{m}"), F.col("reject").alias(f"reject_{m}"))
-        out = out.join(values, ["grid_id", "p"], "left")
-    return out
+        choice(m, METHODS, "method")
+    choice(implementation, IMPLEMENTATIONS, "implementation")
+    values = decided(rows, q, implementation == "original")
+    values = values.select("grid_id", "p", *(c for m in methods for c in (f"q_{m}", f"reject_{m}")))
+    return rows.withColumn("reject_raw", F.col("p") <= q).join(values, ["grid_id", "p"], "left")
 
 
 def thresholds(rows: DataFrame, q: float = 0.05) -> DataFrame:

@@ -463,8 +463,8 @@ zf as (select perm, cell, x - avg(x) over (partition by perm) as z from allm),
 w as (select a.perm, sum(a.z * b.z) as zwz, count(*) as s0 from zf a join nbr on nbr.cell = a.cell join zf b on b.cell = nbr.nbr and b.perm = a.perm group by a.perm),
 q as (select perm, sum(z * z) as zz, count(*) as n from zf group by perm),
 st as (select perm, n / s0::double * zwz / zz as i, n, s0 from w join q using (perm)),
-o as (select i as obs, n, s0 from st where perm = 0)
-select {q6('any_value(obs)')} as statistic, any_value(n) as n, any_value(s0) as s0, {q6('min(i)')} as null_min, {q6('avg(i)')} as null_mean, {q6('stddev_samp(i)')} as null_sd, {q6('max(i)')} as null_max,
+o as (select i as obs, n as n0, s0 as k0 from st where perm = 0)
+select {q6('any_value(obs)')} as statistic, any_value(n0) as n, any_value(k0)::bigint as s0, {q6('min(i)')} as null_min, {q6('avg(i)')} as null_mean, {q6('stddev_samp(i)')} as null_sd, {q6('max(i)')} as null_max,
   {q6('(count(*) filter (i >= obs - 1e-12 * abs(obs)) + 1) / 50.0::double')} as p, {q6('(any_value(obs) - avg(i)) / stddev_samp(i)')} as z, {q6('1 / 50.0::double')} as p_floor,
   case when abs(any_value(obs)) < 0.1 then 'low' when abs(any_value(obs)) < 0.3 then 'moderate' else 'strong' end as magnitude
 from st, o where perm > 0"""
