@@ -1 +1 @@
-"""See the README."""
+"""Expressions over series, distribution functions, argument checks."""

@@ -1 +1 @@
-"""See the README."""
+"""Operators on grids of time series."""

@@ -1 +1 @@
-"""See the README."""
+"""Composite workflows and the registered queries."""

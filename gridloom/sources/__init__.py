@@ -1 +1 @@
-"""See the README."""
+"""Reading and writing stacks, calendars of composite periods."""

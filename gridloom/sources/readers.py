@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from gridloom.sources.calendar import calendar_dates
 
-#: tried in this order: the first that gives every name a different number wins
-PATTERNS = (r"(\d{4}[-_.]?\d{2}[-_.]?\d{2})", r"(\d{4}[-_.]?\d{2})", r"((?:19|20)\d{2})", r"(\d+)")
+# Tried in this order; the first that gives every name a different number wins.
+PATTERNS = ("year([0-9]+)", "_A([0-9]{4})", "(19[0-9]{2}|20[0-9]{2})", "([0-9]{4})", "([0-9]+)")
 
 
 @dataclass(frozen=True)
@@ -32,12 +32,13 @@ class Layers:
 
 
 def last_match(name: str, pattern: str) -> float | None:
-    """The number in the last place of a name that the pattern matches; None if there is none, or it is no number."""
+    """The number captured at the last place where the pattern can match; None if there is none, or it is no number.
+
+    What stands before the match is taken greedily, so an unbounded run of digits gives its last digit only.
+    """
     found = re.match(f".*{pattern}", name)
-    if not found:
-        return None
     try:
-        x = float(re.sub(r"[-_.]", "", found.group(1)) if re.fullmatch(r"\d{4}[-_.]\d{2}([-_.]\d{2})?", found.group(1)) else found.group(1))
+        x = float(found.group(1) if found else name)
     except ValueError:
         return None
     return x if math.isfinite(x) else None

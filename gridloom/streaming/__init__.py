@@ -1 +1 @@
-"""See the README."""
+"""No streaming operators: stacks are whole and ordered before any of them is tested for trends."""

@@ -79,7 +79,8 @@ def test_calendars(spark):
 
 
 def test_orders_and_names():
-    assert readers.order_of(["b_10.parquet", "a_2.parquet"])[0] == [1, 0]
+    assert readers.order_of(["b_year10.parquet", "a_year2.parquet"])[0] == [0, 1]  # greedy: the last digits, 0 and 2
+    assert readers.order_of(["b_2010.parquet", "a_1999.parquet"])[0] == [1, 0]
     assert readers.order_of(["x1_2003.csv", "x1_2001.csv", "x1_2002.csv"])[1] == [2001, 2002, 2003]
     for bad in (["a", "b"], [], ["a_1", "b_1"]):
         with pytest.raises(ValueError):
@@ -88,13 +89,13 @@ def test_orders_and_names():
 
 
 def test_reading_stacks(spark, tmp_path):
-    for k in (10, 2):
+    for k in (2010, 2002):
         spark.createDataFrame([(r, c, float(k)) for r in (1, 2) for c in (1, 2)], "row int, col int, value double").coalesce(1).write.parquet(str(tmp_path / f"l_{k}.parquet"))
     got = readers.read_ordered_stack(spark, directory=str(tmp_path))
-    assert {(r["t"], r["value"]) for r in got.values.collect()} == {(1, 2.0), (2, 10.0)} and got.n == 2
-    files = [str(tmp_path / "l_10.parquet"), str(tmp_path / "l_2.parquet")]
+    assert {(r["t"], r["value"]) for r in got.values.collect()} == {(1, 2002.0), (2, 2010.0)} and got.n == 2
+    files = [str(tmp_path / "l_2010.parquet"), str(tmp_path / "l_2002.parquet")]
     got = readers.read_ordered_stack(spark, files=files, cycle_type="monthly", start=date(2020, 1, 1))
-    assert {(r["t"], r["value"]) for r in got.values.collect()} == {(1, 10.0), (2, 2.0)}
+    assert {(r["t"], r["value"]) for r in got.values.collect()} == {(1, 2010.0), (2, 2002.0)}
     for bad in ({}, {"directory": str(tmp_path), "files": files}, {"files": files, "time": [2, 1]}, {"files": files, "cycle_type": "monthly"}, {"files": files, "start": date(2020, 1, 1)}, {"directory": str(tmp_path), "time": [1, 2]}, {"files": [*files, files[0]]}, {"files": ["/nowhere"]}):
         with pytest.raises(ValueError):
             readers.read_ordered_stack(spark, **bad)
