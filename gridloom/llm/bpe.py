@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 VOCABULARY = "byte_bpe_50k.tiktoken"
 BUCKETS = 65_536
 NEVER = 2**31 - 1
-CACHE = 200_000  # chunks a task remembers
+CACHE = 300_000  # chunks, and words, a task remembers
 SLICE = 500  # rows of a batch held as Python objects at a time
 
 
@@ -112,57 +112,58 @@ def fold_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in pieces]
 
 
-class Chunks:
-    """Encodes texts chunk by chunk, remembering the bytes of chunks between single spaces.
+def encoder(ranks: dict[bytes, int], pattern: str, cache: int = CACHE):
+    """A function from a text's bytes (or null) to its ids, four bytes each, little end first.
 
-    A single space with a non-space on either side always starts a word, so what lies between two such
-    spaces is encoded on its own; a text with other white space around its spaces is encoded as a whole.
-    ``encode`` makes the bytes of any text.
+    A single space with a non-space on either side always starts a word, so the chunks between such spaces
+    are encoded on their own and remembered, as are words; a text with other white space around its
+    spaces is encoded as a whole.
     """
-
-    def __init__(self, encode, cache: int = CACHE):
-        self.encode, self.cache = encode, cache
-        self.known: dict[str, bytes] = {}
-
-    def text(self, raw: bytes | None) -> bytes:
-        text = raw.decode("utf-8", "replace") if raw else ""
-        first, *chunks = text.split(" ")
-        if not chunks:
-            return self.encode(text)
-        last = chunks.pop()
-        if not last or last[0].isspace() or first[-1:].isspace():
-            return self.encode(text)
-        parts = list(map(self.known.get, chunks))
-        if None in parts:
-            for i, (c, p) in enumerate(zip(chunks, parts)):
-                if p is None:
-                    if not c or c[0].isspace() or c[-1].isspace():
-                        return self.encode(text)
-                    parts[i] = self.encode(" " + c)
-                    if len(self.known) < self.cache:
-                        self.known[c] = parts[i]
-        return b"".join([self.encode(first), *parts, self.encode(" " + last)])
-
-
-def encoder(ranks: dict[bytes, int], pattern: str) -> Chunks:
-    """Texts to ids, four bytes each, little end first."""
     from struct import pack
 
     import regex
 
     find = regex.compile(pattern).findall
+    words: dict[str, bytes] = {}
+    known: dict[str, bytes] = {}
 
     def encode(text: str) -> bytes:
-        ids = [i for w in find(text) for i in fold_word(w.encode(), ranks)]
-        return pack(f"<{len(ids)}I", *ids)
+        out = []
+        for w in find(text):
+            got = words.get(w)
+            if got is None:
+                ids = fold_word(w.encode(), ranks)
+                got = pack(f"<{len(ids)}I", *ids)
+                if len(words) < cache:
+                    words[w] = got
+            out.append(got)
+        return b"".join(out)
+
+    def encode_text(raw: bytes | None) -> bytes:
+        text = raw.decode("utf-8", "replace") if raw else ""
+        first, *chunks = text.split(" ")
+        last = chunks.pop() if chunks else ""
+        if not last or last[0].isspace() or first[-1:].isspace():
+            return encode(text)
+        parts = list(map(known.get, chunks))
+        if None in parts:
+            for i, got in enumerate(parts):
+                if got is None:
+                    c = chunks[i]
+                    if not c or c[0].isspace() or c[-1].isspace():
+                        return encode(text)
+                    parts[i] = got = encode(" " + c)
+                    if len(known) < cache:
+                        known[c] = got
+        return b"".join([encode(first), *parts, encode(" " + last)])
 
-    return Chunks(encode)
+    return encode_text
 
 
-def texts_of(column):
-    """The bytes of an Arrow column of texts, a slice of rows at a time."""
-    for k in range(0, len(column), SLICE):
-        yield from column.slice(k, SLICE).cast(pa.binary()).to_pylist()
+def texts_of(column, rows: int = SLICE):
+    """The bytes of an Arrow column of texts, as lists of some rows at a time."""
+    for k in range(0, len(column), rows):
+        yield column.slice(k, rows).cast(pa.binary()).to_pylist()
 
 
 def _with_text(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, str]:
@@ -178,7 +179,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabula
     def run(batches):
         made = encoder(*shared.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([made.text(x) for x in texts_of(b.column(1))], pa.binary())], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ids for some in texts_of(b.column(1)) for ids in map(made, some)], pa.binary())], names=["doc_id", "ids"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, ids binary")
 
@@ -222,11 +223,11 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", voca
         made, pieces = encoder(ranks, pattern), pieces_of(ranks)
         for b in batches:
             n, coded, decoded = [], [], []
-            for x in texts_of(b.column(1)):
-                ids = made.text(x)
-                n.append(len(ids) // 4)
-                coded.append(hashlib.sha256(ids).hexdigest())
-                decoded.append(hashlib.sha256(decode_ids(ids, pieces)).hexdigest())
+            for some in texts_of(b.column(1)):
+                for ids in map(made, some):
+                    n.append(len(ids) // 4)
+                    coded.append(hashlib.sha256(ids).hexdigest())
+                    decoded.append(hashlib.sha256(decode_ids(ids, pieces)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

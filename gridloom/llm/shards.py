@@ -23,14 +23,16 @@ like others; an empty table has no sequences and no shards.
 from __future__ import annotations
 
 import hashlib
+import sys
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.bpe import Chunks, public_vocabulary, texts_of
+from gridloom.llm.bpe import public_vocabulary, texts_of
 from gridloom.llm.common import checkpointed, shared_dir
 
 LENGTH = 2_048
@@ -60,18 +62,24 @@ def permute(x: np.ndarray, n: int, key: int = KEY, rounds: int = FEISTEL_ROUNDS)
 
 
 class Encoder:
-    """Texts to id bytes by tiktoken, each closed by the end-of-text id."""
+    """Texts to ids by tiktoken, each closed by the end-of-text id."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import tiktoken
 
-        encode = tiktoken.Encoding("shards", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encode = tiktoken.Encoding("shards", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.kind = id_type(ranks)
-        self.end = np.array([len(ranks)], self.kind).tobytes()
-        self.chunks = Chunks(lambda text: np.array(encode(text), self.kind).tobytes())
+        self.end = len(ranks)
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+
+    def ids(self, raw: bytes | None) -> list[int]:
+        return [*self.encode(raw.decode("utf-8", "replace") if raw else ""), self.end]
 
     def text(self, raw: bytes | None) -> bytes:
-        return self.chunks.text(raw) + self.end
+        ids = array(self.code, self.ids(raw))
+        if sys.byteorder != "little":
+            ids.byteswap()
+        return ids.tobytes()
 
 
 def id_type(ranks: dict[bytes, int]):
@@ -84,7 +92,7 @@ def _lengths(shared):
 
         encoder, task, at = Encoder(*shared.value), TaskContext.get().partitionId(), 0
         for b in batches:
-            n = np.array([len(encoder.text(x)) // encoder.kind.itemsize for x in texts_of(b.column(1))], np.int64)
+            n = np.array([len(encoder.ids(x)) for some in texts_of(b.column(1)) for x in some], np.int64)
             ends = at + np.cumsum(n)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), task, np.int64)), pa.array(ends - n), pa.array(n)], names=["doc_id", "task", "start", "n"])
             at = int(ends[-1]) if len(ends) else at
@@ -113,13 +121,13 @@ def _sequences(shared, plan, length: int, key: int):
             return pa.RecordBatch.from_arrays([pa.array(slots), pa.array([payload[i * stride : (i + 1) * stride] for i in range(k)], pa.binary())], names=["slot", "ids"])
 
         for b in batches:
-            data = b"".join([rest, *map(encoder.text, texts_of(b.column(1)))])
+            data = b"".join([rest, *(encoder.text(x) for some in texts_of(b.column(1)) for x in some)])
             whole = len(data) // stride * stride
             rest = data[whole:]
             if whole:
                 yield out(data[:whole])
         if rest:
-            yield out(rest + encoder.end * ((stride - len(rest)) // encoder.kind.itemsize))
+            yield out(rest + np.full((stride - len(rest)) // encoder.kind.itemsize, encoder.end, encoder.kind).tobytes())
         if done != count:
             raise RuntimeError("the input changed between the passes over it")
 
