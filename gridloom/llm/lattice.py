@@ -28,7 +28,7 @@ COSINE = 0.95
 TABLES = 4
 PROBES = 8
 SCALE = 5.0
-SKETCH_SLACK = 40  # of 128 bits: at cosine 0.95 the mean is 13 and the deviation 3.4
+SKETCH_SLACK = 32  # of 128 bits: at cosine 0.95 the mean is 13 and the deviation 3.4
 SEED = 7
 
 

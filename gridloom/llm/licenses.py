@@ -125,9 +125,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     hits = similar_blocks(rows)
-    found = hits.groupBy("key").agg(F.collect_set("label").alias("found"), F.max(F.col("overlap") / F.col("n_template")).alias("best"))
+    found = hits.groupBy("key", "doc_id").agg(F.collect_set("label").alias("found"), F.max(F.col("overlap") / F.col("n_template")).alias("best"))
     base = scan_phrases(rows)
-    out = base.join(found, "key", "left")
+    found = found.withColumnsRenamed({"key": "__key", "doc_id": "__id"})
+    out = base.join(found, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     base_set, places = F.array_distinct(F.col("places.label")), F.col("places.at")
     empty = F.array().cast("array<string>")
     n_base = F.coalesce(F.size("places"), F.lit(0))
