@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.dist import bessel_k, normal_cdf, t_quantile
+from gridloom.functions.lineage import checkpointed
 from gridloom.functions.validate import choice
 from gridloom.operators.grid import GridSpec
 from gridloom.operators.spatial import focal_mean
@@ -294,6 +295,7 @@ def smoothed_noise(rows: DataFrame, s: Scenario) -> DataFrame:
 
         warnings.warn("the smoothing window is more than twice the grid; noise is left unsmoothed", stacklevel=3)
         return rows
+    rows = checkpointed(rows)  # read four times below
     layers = rows.withColumn("row", s.spec.row(F.col("cell"))).withColumn("col", s.spec.col(F.col("cell")))
     smooth = focal_mean(layers.withColumn("m", F.col("noise")), "m", s.spec, width)
 
@@ -301,7 +303,7 @@ def smoothed_noise(rows: DataFrame, s: Scenario) -> DataFrame:
         sds = rows.groupBy("grid_id", "t").agg(F.stddev_samp("noise").alias("__a"), F.stddev_samp(name).alias("__b"))
         return rows.join(sds, ["grid_id", "t"]).withColumn(name, F.when(F.col("__b") > 0, F.col(name) * F.col("__a") / F.col("__b")).otherwise(F.col(name))).drop("__a", "__b")
 
-    smooth = rescaled(smooth, "m").withColumn("m", s.spatial_rho * F.col("m") + (1 - s.spatial_rho) * F.col("noise"))
+    smooth = checkpointed(rescaled(smooth, "m")).withColumn("m", s.spatial_rho * F.col("m") + (1 - s.spatial_rho) * F.col("noise"))
     return rescaled(smooth, "m").select("grid_id", "cell", "t", F.col("m").alias("noise"))
 
 

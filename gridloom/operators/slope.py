@@ -114,5 +114,5 @@ def residual_autocorrelation(long: DataFrame) -> DataFrame:
     """
     by = Window.partitionBy("grid_id", "cell").orderBy("t")
     pairs = long.withColumn("before", F.lag("value").over(by)).where(F.col("before").isNotNull())
-    sums = pairs.groupBy("grid_id", "cell").agg(F.corr("value", "before").alias("r"), F.stddev_samp("value").alias("s"), F.stddev_samp("before").alias("s0"))
-    return sums.select("grid_id", "cell", F.when((F.col("s") > 0) & (F.col("s0") > 0), F.col("r")).alias("r"))
+    sums = pairs.groupBy("grid_id", "cell").agg(F.covar_samp("value", "before").alias("c"), F.stddev_samp("value").alias("s"), F.stddev_samp("before").alias("s0"))
+    return sums.select("grid_id", "cell", F.when((F.col("s") > 0) & (F.col("s0") > 0), F.col("c") / (F.col("s") * F.col("s0"))).alias("r"))

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.lineage import checkpointed
 from gridloom.functions.validate import choice, extra_arguments, probability
 from gridloom.operators import fdr, report
 from gridloom.operators.direction import direction_map, robust_range, smoothed_masked_slope
@@ -81,7 +82,11 @@ def workflow_trends(
     prewhiten_args: Mapping | None = None, trend_args: Mapping | None = None, slope_args: Mapping | None = None, alpha: float = 0.05, q: float = 0.05,
     bky_implementation: str = "multtest", moran_check: bool = False, kind: str = "trends",
 ) -> Result:
-    """Any combination of the steps. Later steps see the prewhitened series on layers 1 to their number."""
+    """Any combination of the steps. Later steps see the prewhitened series on layers 1 to their number.
+
+    The prewhitened series and the tested cells feed several steps and reports, so both are computed here
+    and checkpointed; plans stay short and nothing upstream runs twice.
+    """
     choice(prewhiten_method, (*PREWHITEN, "none"), "prewhiten_method")
     choice(trend_method, TESTS, "trend_method")
     if slope_method is not None:
@@ -94,11 +99,12 @@ def workflow_trends(
     series, diagnostics = stack, None
     if prewhiten_method != "none":
         series, diagnostics = prewhiten(stack, prewhiten_method, **extra_arguments(prewhiten_args, RESERVED, "prewhiten_args"))
-        series = Stack(series.cells, series.spec.with_layers(series.spec.n_time))
+        series = Stack(checkpointed(series.cells), series.spec.with_layers(series.spec.n_time))
     cells = trend_test(series, trend_method, **extra_arguments(trend_args, RESERVED, "trend_args"))
     if slope_method:
         slopes = slope_estimator(series, slope_method, **extra_arguments(slope_args, RESERVED, "slope_args"))
         cells = cells.join(slopes.drop("row", "col", "ok"), ["grid_id", "cell"])
+    cells = checkpointed(cells)
     advice = moran_advice(cells, stack.spec) if moran_check else None
     if fdr_method:
         cells = fdr.apply(cells.withColumn("reject_raw", F.col("p") <= q), fdr_method, q, bky_implementation)

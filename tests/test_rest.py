@@ -79,7 +79,8 @@ def test_calendars(spark):
 
 
 def test_orders_and_names():
-    assert readers.order_of(["b_year10.parquet", "a_year2.parquet"])[0] == [0, 1]  # greedy: the last digits, 0 and 2
+    assert readers.order_of(["b_10.parquet", "a_2.parquet"])[0] == [0, 1]  # greedy: the last digits, 0 and 2
+    assert readers.order_of(["b_year10.parquet", "a_year2.parquet"])[0] == [1, 0]
     assert readers.order_of(["b_2010.parquet", "a_1999.parquet"])[0] == [1, 0]
     assert readers.order_of(["x1_2003.csv", "x1_2001.csv", "x1_2002.csv"])[1] == [2001, 2002, 2003]
     for bad in (["a", "b"], [], ["a_1", "b_1"]):
@@ -140,8 +141,8 @@ def test_matern_matches_the_exponential():
 
 
 def test_design_and_benchmark(spark):
-    design = simulate.simulation_design(spark, {"trend_strength": [0.0, 0.6], "ar1": [0.0]}, {"nrow": 6, "ncol": 6, "n_time": 10, "smooth_radius": 0})
-    assert [(r["scenario"], r["trend_strength"]) for r in design.orderBy("scenario").collect()] == [("S01", 0.0), ("S02", 0.6)]
+    design = simulate.simulation_design(spark, {"trend_strength": [0.0, 2.0], "ar1": [0.0]}, {"nrow": 6, "ncol": 6, "n_time": 10, "smooth_radius": 0})
+    assert [(r["scenario"], r["trend_strength"]) for r in design.orderBy("scenario").collect()] == [("S01", 0.0), ("S02", 2.0)]
     methods = {"MK": lambda stack, sim: trend.trend_test(stack, "MK").select("grid_id", "cell", (F.col("p") <= 0.05).alias("significant"))}
     rows = benchmark.benchmark_methods(spark, dict(simulate.scenarios_of(design)), methods, 2, "fwer")
     assert rows.count() == 4 and set(benchmark.KEYS) <= set(rows.columns)
