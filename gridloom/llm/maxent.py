@@ -1,10 +1,11 @@
 """Language-model scores of a hashed maximum-entropy model.
 
 Tokens are the lower-cased words of a text and one end. The probability of a token is
-P(class | history) * P(token | class, history). The ``FREQUENT`` most frequent tokens form 32 head classes
-of 32 tokens; all others, unseen ones included, fall in 32 rare classes by a hash of their last bytes.
-Both softmaxes are log-linear in hashed features of the two words before: a bias, the previous word, the
-two previous words, and the word before the previous one (a skip). Inside a rare class a token has its
+P(class | history) * P(token | class, history). The ``FREQUENT`` most frequent tokens form 8 head classes
+of 64 tokens; all others, unseen ones included, fall in 8 rare classes by a hash of their last bytes.
+Both softmaxes are log-linear in hashed features of the two words before. Classes see a bias, the
+previous word and the word before it (a skip); words see the bias of their class and the
+previous word together with the class. Inside a rare class a token has its
 additively smoothed unigram share, so the model is a proper distribution over all words.
 
 Training passes over every training text once, in ``ROUNDS`` parts. In each round every task starts from
@@ -35,14 +36,14 @@ END = b""  # no word is empty
 HELD_OUT = (10, 0)
 ADD = 0.1
 HEAD = 262_144
-CLASSES, SLOTS = 32, 32
+CLASSES, SLOTS = 8, 64
 FREQUENT = CLASSES * SLOTS
 OUT = 2 * CLASSES
 CLASS_ROWS, WORD_ROWS = 8_192, 16_384
 ROUNDS = 2
 RATE = 0.25
 BLOCK_ROWS = 16
-STEP = 4_096
+STEP = 8_192
 MIXERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -99,33 +100,36 @@ class Vocabulary:
         self.log_base = np.log10(ADD + self.counts)
         self.denominator = np.log10(self.total + ADD * (self.distinct + 1))
         self.rare_denominator = np.log10(self.rare_total + ADD * (self.rare_distinct + 1))
-        self.index = {t: i for i, t in enumerate(tokens)}
+        self.index = Index(tokens)
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, bytes]]:
         """(ids, classes, ends, others) of all tokens: ids below len(tokens) are known ones, others are hashes
         above; ends holds one past each text's last token; others maps positions to tokens outside."""
-        get, known = self.index.get, len(self.tokens)
-        ids: list[int] = []
-        ends = []
-        others: dict[int, bytes] = {}
-        end = self.index[END]
+        known, flat, ends = len(self.tokens), [], []
         for text in texts:
-            words = (text or b"").lower().split()
-            got = [get(w, -1) for w in words]
-            if -1 in got:
-                at = len(ids)
-                for i, (w, g) in enumerate(zip(words, got)):
-                    if g < 0:
-                        got[i] = known + zlib.crc32(w)
-                        others[at + i] = w
-            ids += got
-            ids.append(end)
-            ends.append(len(ids))
-        all_ids = np.array(ids, np.int64)
-        classes = self.classes[np.minimum(all_ids, known - 1)]
-        if others:
-            classes[list(others)] = [CLASSES + rare_class(w) for w in others.values()]
-        return all_ids, classes, np.array(ends, np.int64), others
+            flat += (text or b"").lower().split()
+            flat.append(END)
+            ends.append(len(flat))
+        ids = np.array(list(map(self.index.__getitem__, flat)), np.int64)
+        classes = self.classes[np.minimum(ids, known - 1)]
+        at = np.flatnonzero(ids >= known)
+        others = {i: flat[i] for i in at.tolist()}
+        classes[at] = [CLASSES + crc(w[-3:]) % CLASSES for crc in (zlib.crc32,) for w in others.values()]
+        return ids, classes, np.array(ends, np.int64), others
+
+
+class Index(dict):
+    """token -> its place; tokens outside get a hash above all places."""
+
+    def __init__(self, tokens):
+        super().__init__(zip(tokens, range(len(tokens))))
+        self.base = len(self)
+
+    def __missing__(self, token):
+        return self.base + zlib.crc32(token)
+
+    def __reduce__(self):
+        return Index, (list(self),)
 
 
 def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
@@ -168,10 +172,9 @@ def features(ids: np.ndarray, classes: np.ndarray, ends: np.ndarray) -> tuple[li
         x = (x ^ (x >> np.uint64(29))) * MIXERS[2]
         return (first + (x >> np.uint64(33)) % np.uint64(rows - first)).astype(np.int64)
 
-    bigram, trigram, skip = p * MIXERS[0], p * MIXERS[0] + q * MIXERS[1], q * MIXERS[1] + np.uint64(7)
-    top = [row(x, CLASS_ROWS, 1) for x in (bigram, trigram, skip)]
+    bigram, skip = p * MIXERS[0], q * MIXERS[1] + np.uint64(7)
     salt = (k + np.uint64(1)) * MIXERS[2]
-    return top, [row(x + salt, WORD_ROWS, CLASSES) for x in (bigram, skip)]
+    return [row(bigram, CLASS_ROWS, 1), row(skip, CLASS_ROWS, 1)], [row(bigram + salt, WORD_ROWS, CLASSES)]
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -181,6 +184,14 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def _log_sum(z: np.ndarray) -> np.ndarray:
+    """log of the sum of exp by row; z is used up."""
+    top = z.max(1)
+    z -= top[:, None]
+    np.exp(z, out=z)
+    return top + np.log(z.sum(1))
+
+
 def log_probabilities(ids, classes, ends, v: Vocabulary, top: np.ndarray, words: np.ndarray) -> np.ndarray:
     """log10 P of each token; for rare tokens without log10(count + 0.1), which their counts add."""
     out = np.empty(len(ids))
@@ -188,16 +199,16 @@ def log_probabilities(ids, classes, ends, v: Vocabulary, top: np.ndarray, words:
     for lo in range(0, len(ids), STEP):
         s = slice(lo, lo + STEP)
         c = classes[s]
-        z = top[f[0][s]] + top[f[1][s]] + top[f[2][s]] + top[0]
-        z -= z.max(1, keepdims=True)
-        picked = z[np.arange(len(c)), c]
-        lp = picked - np.log(np.exp(z).sum(1))
+        z = top[f[0][s]]
+        z += top[f[1][s]]
+        z += top[0]
+        picked = z[np.arange(len(c)), c].astype(float)
+        lp = picked - _log_sum(z)
         often = np.flatnonzero(ids[s] < FREQUENT)
         often = often[c[often] < CLASSES]
         k = c[often]
-        z = words[k] + words[g[0][s][often]] + words[g[1][s][often]]
-        z -= z.max(1, keepdims=True)
-        lp[often] += z[np.arange(len(k)), ids[s][often] % SLOTS] - np.log(np.exp(z).sum(1))
+        z = words[k] + words[g[0][s][often]]
+        lp[often] += z[np.arange(len(k)), ids[s][often] % SLOTS] - _log_sum(z)
         lp /= np.log(10)
         rare = c >= CLASSES
         lp[rare] -= v.rare_denominator[c[rare] - CLASSES]
@@ -205,32 +216,44 @@ def log_probabilities(ids, classes, ends, v: Vocabulary, top: np.ndarray, words:
     return out
 
 
-def _descend(weights: np.ndarray, squares: np.ndarray, seen: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
-    """One Adagrad step (a rate per row) from gradients of rows that may repeat."""
-    order = np.argsort(rows, kind="stable")
+def _step(weights, squares, seen, at, total, times) -> None:
+    """One Adagrad step, with a rate per row, of distinct rows."""
+    squares[at] += np.einsum("ij,ij->i", total, total) / total.shape[1]
+    seen[at] += times
+    total *= (RATE / np.sqrt(squares[at] + 1))[:, None]
+    weights[at] -= total
+
+
+def _descend(weights, squares, seen, rows, grad) -> None:
+    """A step from gradients of rows that may repeat: sorted by row, running sums give each row's total."""
+    order = np.argsort(rows)
     rows = rows[order]
-    starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    total = np.add.reduceat(grad[order], starts, axis=0)
-    at = rows[starts]
-    squares[at] += (total * total).mean(1)
-    seen[at] += np.diff(np.append(starts, len(rows)))
-    weights[at] -= RATE * total / np.sqrt(squares[at] + 1)[:, None]
+    last = np.flatnonzero(np.append(rows[1:] != rows[:-1], True))
+    sums = np.cumsum(grad[order], axis=0)[last]
+    sums[1:] -= sums[:-1].copy()
+    _step(weights, squares, seen, rows[last], sums, np.diff(last, prepend=-1))
 
 
 def train_step(ids, classes, f, g, top, words, sq_top, sq_words, n_top, n_words) -> None:
     at = np.arange(len(ids))
-    z = _softmax(top[f[0]] + top[f[1]] + top[f[2]] + top[0])
+    z = top[f[0]]
+    z += top[f[1]]
+    z += top[0]
+    z = _softmax(z)
     z[at, classes] -= 1
     for rows in f:
         _descend(top, sq_top, n_top, rows, z)
-    _descend(top, sq_top, n_top, np.zeros(1, np.int64), z.sum(0, keepdims=True))
+    _step(top, sq_top, n_top, np.zeros(1, np.int64), z.sum(0, keepdims=True), len(ids))
     often = np.flatnonzero(classes < CLASSES)
     if len(often):
         k = classes[often]
-        z = _softmax(words[k] + words[g[0][often]] + words[g[1][often]])
+        z = words[k]
+        z += words[g[0][often]]
+        z = _softmax(z)
         z[np.arange(len(k)), ids[often] % SLOTS] -= 1
-        for rows in (k, g[0][often], g[1][often]):
-            _descend(words, sq_words, n_words, rows, z)
+        _descend(words, sq_words, n_words, g[0][often], z)
+        of_class = (k[None, :] == np.arange(CLASSES)[:, None]).astype(np.float32)
+        _step(words, sq_words, n_words, np.arange(CLASSES), of_class @ z, of_class.sum(1))
 
 
 def _train(shared):
