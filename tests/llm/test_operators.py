@@ -144,16 +144,16 @@ def test_one_of_each_group_stays(docs, empty):
 def test_license_scan(spark, empty):
     texts = [
         "Licensed under the Apache License, Version 2.0.", "This work is\nlicensed under the GNU General  Public License!", "Licensed under CC BY-NC 4.0. And the MIT-License", None, "", "gnu general public", "mit licenses",
-        "Permission is hereby granted, free of charge, to any person getting a copy of this software and its documentation files", "cc by cc by", "the license version 2.0 under",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and its documentation files", "cc by cc by", "the license version 2.0 under",
     ]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(8, "cc by cc by")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in licenses.scan(clashing_license(rows)).collect()}
     assert (got[0]["n_words"], got[0]["n_base"], got[0]["first_word"], got[0]["labels"], got[0]["score"]) == (8, 1, 3, "apache", 1.0)
-    assert got[1]["base_labels"] == "gpl" and got[1]["first_word"] == 5
+    assert got[1]["base_labels"] == "gpl" and got[1]["first_word"] == 6
     assert got[2]["base_labels"] == "cc-by,mit" and got[2]["labels"] == "cc-by,cc-by-nc,mit"
     for i in (3, 4, 5, 6, 9):
         assert (got[i]["n_base"], got[i]["labels"], got[i]["first_word"], got[i]["score"]) == (0, "", None, 0)
-    assert got[3]["n_words"] == 0 and got[7]["labels"] == "mit" and got[7]["base_labels"] == "" and 0.8 <= got[7]["score"] < 1
+    assert got[3]["n_words"] == 0 and got[7]["labels"] == "mit" and got[7]["base_labels"] == "" and 0.9 <= got[7]["score"] < 1
     assert (got[8]["n_base"], got[8]["first_word"], got[8]["last_word"]) == (2, 0, 2)
     assert licenses.scan(rows).count() == 11 and licenses.scan(empty).count() == 0
 
@@ -425,8 +425,9 @@ def test_targets_share_the_excess(spark):
 def test_taken_words_come_near_the_target(spark, bins):
     rows = [(i, sentence(20 + i % 50, i), "abcd"[i % 4]) for i in range(800)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), bins=bins).collect()
-    for target in {r["target"] for r in got}:
-        assert sum(r["taken"] for r in got if r["target"] == target) == pytest.approx(target, abs=40)
+    for k in range(4):
+        mine = [r for r in got if r["doc_id"] % 4 == k]
+        assert sum(r["taken"] for r in mine) == pytest.approx(mine[0]["target"], abs=40)
 
 
 # ------------------------------------------------------------------ components
