@@ -30,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm import jaccard
 from gridloom.llm.common import broadcast_if_small, candidate_pairs, checkpointed, connected_components, partitions, sorted_groups
 
 SEED = 42
 BITS = 64
 THRESHOLD = 4
+SIMILARITY = 0.8  # of shingle sets, for keep_one
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # (lowest bit, bits)
 TABLES = ((0, 1), (1, 2), (0, 2), (3, 4))
 CODE = 15  # bits of the Hamming code
@@ -224,9 +226,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
-    """docs with one row of each component: its smallest id; among rows that share that id, one of the smallest text hash."""
-    rows = components(docs, id_col, text, width, threshold)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each group of similar texts: its smallest id; among rows that share that id, one of the smallest text hash.
+
+    Pairs of Jaccard 0.8 differ in about 10 bits, beyond what the tables cover, so groups come from ``jaccard``.
+    """
+    rows = checkpointed(jaccard.groups(docs, id_col, text, width, similarity))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     chosen = rows.groupBy("group").agg(first.alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
     repeats = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("__n"))

@@ -138,6 +138,35 @@ def test_one_of_each_group_stays(docs, empty):
     assert simhash.keep_one(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
 
 
+def brute_groups(texts, width, similarity):
+    """The smallest place of each text's group, by all pairs of shingle sets."""
+    sets = []
+    for t in texts:
+        w = [x.lower() for x in words_of(t)]
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))})
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    return group
+
+
+def test_similar_texts_share_a_group(spark):
+    texts = [sentence(150, 900 + i) for i in range(30)]
+    for i in range(30):  # 1 to 4 changed words out of 150: similarities from 0.76 to 0.93
+        words = texts[i].split()
+        for k in range(1 + i % 4):
+            words[10 + 30 * k] = "changed"
+        texts.append(" ".join(words))
+    texts += [" ".join(texts[0].split()[: 150 - 12 * k]) for k in range(1, 6)] + ["one two", "One  two", "", None]  # a chain whose ends are far apart
+    want = brute_groups(texts, 5, 0.8)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert 5 < len(texts) - len(set(want)) < 40
+    assert sorted(r["doc_id"] for r in simhash.keep_one(rows).collect()) == sorted(set(want))
+
+
 # ------------------------------------------------------------------ license scans
 
 
