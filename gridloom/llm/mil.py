@@ -10,12 +10,14 @@ lowest hash, and at most ``BAG`` evenly spaced passages of each. Every text is s
 passage in blocks, so long texts need no more memory than their encodings.
 
 Defined cases: null and empty texts are one passage without bigrams and get the score the model gives
-it; without any labelled row every score is 0.5; documents whose labels disagree, and null labels, are
+it; without labelled documents of both classes every score is 0.5, with a warning; documents whose labels disagree, and null labels, are
 not learned from. Only the text is an input; repeated rows score alike.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -159,6 +161,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     """doc_id, quality: the labelled rows learned from, at most ``per_class`` of each class, by hash of the id."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (crc_mod(F.col("doc_id"), FOLDS) != HELD))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")  # labels without a document take no place
     by = (F.xxhash64("doc_id"), F.col("doc_id"))
     return known.where("quality = 0").orderBy(*by).limit(per_class).unionByName(known.where("quality = 1").orderBy(*by).limit(per_class))
 
@@ -169,7 +172,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict[
     rows = docs.join(sample, "doc_id").select("doc_id", "text", F.col("quality").cast("long").alias("quality"))
     kind = dict(docs.dtypes)["doc_id"]
     got = rows.mapInArrow(_bag_features, f"doc_id {kind}, quality long, bag binary").toArrow().sort_by([("doc_id", "ascending")])
-    if not got.num_rows:
+    classes = set(got["quality"].to_pylist())
+    if len(classes) < 2:
+        warnings.warn(f"quality classifier: nothing is learned, labelled documents of classes {sorted(classes)} only", stacklevel=2)
         return None
     bags = [np.frombuffer(x, np.float16).reshape(-1, WIDTH) for x in got["bag"].to_pylist()]
     return train(bags, got["quality"].to_numpy().astype(np.float32))
@@ -197,9 +202,13 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select("doc_id", (crc_mod(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier predicts as good, with their own columns."""
-    model = fit(docs.select("doc_id", "text"), labels)
+def keep_good(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
+    """The rows of docs that the classifier predicts as good, with their own columns.
+
+    It is fitted on the labelled rows of learn_from (docs if not given): docs that went through a filter
+    may hold no poor ones.
+    """
+    model = fit((docs if learn_from is None else learn_from).select("doc_id", "text"), labels)
     renamed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
     at = docs.columns.index("text")
     rows = score(renamed, model, f"c{at}", tuple(renamed.columns)).where("score >= 0.5")

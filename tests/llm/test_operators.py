@@ -425,6 +425,26 @@ def test_classifier(spark, docs, empty):
     assert all(r["score"] == 0.5 for r in mil.classify(table, labels.where("doc_id < 0")).collect()) and mil.classify(empty, labels).count() == 0
 
 
+def test_classifier_learns_from_what_a_filter_took_away(spark):
+    good = [(i, sentence(120, 500 + i)) for i in range(60)]
+    bad = [(100 + i, " | ".join(sentence(90, 700 + i).upper().split()) + "!!") for i in range(70)]
+    table = spark.createDataFrame([*good, *bad], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in [*good, *bad] if i < 160], "doc_id long, quality int")
+    kept = table.where("doc_id < 100 or doc_id >= 160")  # no labelled poor document is left
+    got = {r["doc_id"] for r in mil.keep_good(kept, labels, table).collect()}
+    assert not any(i >= 160 for i in got) and len(got) >= 58
+    with pytest.warns(UserWarning, match="nothing is learned"):
+        assert mil.keep_good(kept, labels).count() == 70
+
+
+def test_labels_without_a_document_take_no_place_in_the_sample(spark):
+    docs = spark.createDataFrame([(i, "x") for i in range(900, 1_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1_000)], "doc_id long, quality int")
+    got = [r["quality"] for r in mil.training_sample(docs, labels, 10).collect()]
+    assert (got.count(0), got.count(1)) == (10, 10)
+    assert mil.training_sample(docs, labels, 10).join(docs, "doc_id").count() == 20
+
+
 # ------------------------------------------------------------------ mixing
 
 
