@@ -1,11 +1,11 @@
 """Language-model scores of a hashed maximum-entropy model.
 
 Tokens are the lower-cased words of a text and one end. The probability of a token is
-P(class | history) * P(token | class, history). The ``FREQUENT`` most frequent tokens form 8 head classes
-of 64 tokens; all others, unseen ones included, fall in 8 rare classes by a hash of their last bytes.
+P(class | history) * P(token | class, history). The ``FREQUENT`` most frequent tokens form 32 head classes
+of 32 tokens; all others, unseen ones included, fall in 32 rare classes by a hash of their last bytes.
 Both softmaxes are log-linear in hashed features of the two words before. Classes see a bias, the
-previous word and the word before it (a skip); words see the bias of their class and the
-previous word together with the class. Inside a rare class a token has its
+previous word, the two previous words, and the word before the previous one (a skip); words see the bias
+of their class and, together with the class, the previous word and the skip. Inside a rare class a token has its
 additively smoothed unigram share, so the model is a proper distribution over all words.
 
 Training passes over every training text once, in ``ROUNDS`` parts. In each round every task starts from
@@ -36,14 +36,14 @@ END = b""  # no word is empty
 HELD_OUT = (10, 0)
 ADD = 0.1
 HEAD = 262_144
-CLASSES, SLOTS = 8, 64
+CLASSES, SLOTS = 32, 32
 FREQUENT = CLASSES * SLOTS
 OUT = 2 * CLASSES
 CLASS_ROWS, WORD_ROWS = 8_192, 16_384
 ROUNDS = 2
 RATE = 0.25
 BLOCK_ROWS = 16
-STEP = 8_192
+STEP = 4_096
 MIXERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -172,9 +172,10 @@ def features(ids: np.ndarray, classes: np.ndarray, ends: np.ndarray) -> tuple[li
         x = (x ^ (x >> np.uint64(29))) * MIXERS[2]
         return (first + (x >> np.uint64(33)) % np.uint64(rows - first)).astype(np.int64)
 
-    bigram, skip = p * MIXERS[0], q * MIXERS[1] + np.uint64(7)
+    bigram, trigram, skip = p * MIXERS[0], p * MIXERS[0] + q * MIXERS[1], q * MIXERS[1] + np.uint64(7)
+    top = [row(x, CLASS_ROWS, 1) for x in (bigram, trigram, skip)]
     salt = (k + np.uint64(1)) * MIXERS[2]
-    return [row(bigram, CLASS_ROWS, 1), row(skip, CLASS_ROWS, 1)], [row(bigram + salt, WORD_ROWS, CLASSES)]
+    return top, [row(x + salt, WORD_ROWS, CLASSES) for x in (bigram, skip)]
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -201,6 +202,7 @@ def log_probabilities(ids, classes, ends, v: Vocabulary, top: np.ndarray, words:
         c = classes[s]
         z = top[f[0][s]]
         z += top[f[1][s]]
+        z += top[f[2][s]]
         z += top[0]
         picked = z[np.arange(len(c)), c].astype(float)
         lp = picked - _log_sum(z)
@@ -208,6 +210,7 @@ def log_probabilities(ids, classes, ends, v: Vocabulary, top: np.ndarray, words:
         often = often[c[often] < CLASSES]
         k = c[often]
         z = words[k] + words[g[0][s][often]]
+        z += words[g[1][s][often]]
         lp[often] += z[np.arange(len(k)), ids[s][often] % SLOTS] - _log_sum(z)
         lp /= np.log(10)
         rare = c >= CLASSES
@@ -238,6 +241,7 @@ def train_step(ids, classes, f, g, top, words, sq_top, sq_words, n_top, n_words)
     at = np.arange(len(ids))
     z = top[f[0]]
     z += top[f[1]]
+    z += top[f[2]]
     z += top[0]
     z = _softmax(z)
     z[at, classes] -= 1
@@ -249,9 +253,11 @@ def train_step(ids, classes, f, g, top, words, sq_top, sq_words, n_top, n_words)
         k = classes[often]
         z = words[k]
         z += words[g[0][often]]
+        z += words[g[1][often]]
         z = _softmax(z)
         z[np.arange(len(k)), ids[often] % SLOTS] -= 1
-        _descend(words, sq_words, n_words, g[0][often], z)
+        for rows in g:
+            _descend(words, sq_words, n_words, rows[often], z)
         of_class = (k[None, :] == np.arange(CLASSES)[:, None]).astype(np.float32)
         _step(words, sq_words, n_words, np.arange(CLASSES), of_class @ z, of_class.sum(1))
 

@@ -243,6 +243,36 @@ def test_model_is_a_distribution(docs):
     assert 0.98 < total <= 1 + 1e-6
 
 
+def test_model_learns_from_the_two_words_before_and_skips():
+    rng = np.random.default_rng(8)
+    # "same" follows two equal words and "other" two different ones; "left" and "right" repeat the word two places before
+    texts = []
+    for _ in range(3_000):
+        a, b = rng.integers(0, 2, 2)
+        texts.append(f"{'pq'[a]} {'pq'[b]} {'same' if a == b else 'other'}".encode())
+    for _ in range(3_000):
+        texts.append(f"{('left', 'right')[c := int(rng.integers(0, 2))]} mid {('left', 'right')[c]}".encode())
+    n = Counter(w for t in texts for w in [*t.split(), b""])
+    # "same" and "other" stand in classes of their own, "left" and "right" share one
+    spread = [b"", *(b"f%d" % i for i in range(maxent.FREQUENT - 1))]
+    for place, w in enumerate((b"p", b"q", b"mid", b"left", b"right", b"same")):
+        spread[1 + place] = w
+    spread[maxent.SLOTS + 1] = b"other"
+    v = maxent.Vocabulary(spread, np.array([n.get(w, 1) for w in spread]), {k: (20_000, 1_000) for k in range(maxent.CLASSES)})
+    top, words = maxent.first_weights(v)
+    state = [np.zeros(len(x), np.float32) for x in (top, words)] + [np.zeros(len(x)) for x in (top, words)]
+    for k in range(0, len(texts) * 3, 200):
+        ids, classes, ends, _ = v.encode([texts[i] for i in rng.integers(0, len(texts), 200)])
+        f, g = maxent.features(ids, classes, ends)
+        assert len(f) == 3 and len(g) == 2
+        maxent.train_step(ids, classes, f, g, top, words, *state)
+    def p(text):
+        ids, classes, ends, _ = v.encode([text])
+        return 10 ** maxent.log_probabilities(ids, classes, ends, v, top, words)[2]
+    assert min(p(b"p p same"), p(b"q q same"), p(b"p q other"), p(b"q p other")) > 0.8  # needs both words together
+    assert min(p(b"left mid left"), p(b"right mid right")) > 0.8  # needs the skip inside the class
+
+
 # ------------------------------------------------------------------ training order
 
 
