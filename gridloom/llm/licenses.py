@@ -1,12 +1,16 @@
 """License scans by an exact set-similarity join (DataFrame functions only).
 
-A text block is one line of a text. A license template is found in a block when the block holds at least
+A text block is one line of a text or, since notices are wrapped over lines, a window of consecutive words
+that crosses lines: of twice as many words as the template's notice has, one beginning every so many words,
+so that every stretch as long as the notice stands in a window whole. A license template is found in a block when the block holds at least
 ``CONTAINMENT`` of the template's distinct words. Template words are ordered by how many blocks of the
 whole corpus hold them, rarest first. A block that meets the threshold holds one of the first
 |T| - ceil(c |T|) + 1 words of that order (prefix filter), has ceil(c |T|) words or more (length filter),
 and has enough words left after the first shared one (positional filter). Candidates that pass are
 verified by the exact overlap. No pair that meets the threshold is lost.
 
+Windows are only laid over texts whose words as a whole meet the threshold of the template.
+
 Besides, four phrases are found at every place where their words stand consecutively.
 
 Defined cases: a null text counts as empty; empty texts and texts without a license have no labels
@@ -117,14 +121,32 @@ def similar_blocks(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPL
     return pairs.select("doc_id", "key", "label", "overlap", F.size("order").alias("n_template"))
 
 
+def similar_windows(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+    """(doc_id, key, label, overlap, n_template): the best window of every text of several lines for each template that it meets."""
+    sets = template_sets(templates)
+    known = F.array(*(F.lit(w) for w in sorted({w for _, ws in sets for w in ws})))
+    listed = F.array(*(
+        F.struct(F.lit(label).alias("label"), F.array(*(F.lit(w) for w in ws)).alias("set"), F.lit(least_overlap(len(ws), containment)).alias("need"), F.lit(len(text.split())).alias("step"))
+        for (label, ws), (_, text) in zip(sets, templates)
+    ))
+    several = docs.where(F.col("text").contains("\n")).select("doc_id", "key", "text", F.array_intersect(block_words(F.col("text")), known).alias("shared"))
+    maybe = several.where(F.size("shared") >= min(least_overlap(len(ws), containment) for _, ws in sets))
+    met = F.filter(listed, lambda t: F.size(F.array_intersect(F.col("shared"), t["set"])) >= t["need"])
+    maybe = maybe.select("doc_id", "key", F.array_remove(F.split(ascii_lower(F.col("text")), BREAKS), "").alias("words"), F.explode(met).alias("t"))
+    starts = F.sequence(F.lit(1), F.size("words"), F.col("t.step"))
+    overlaps = F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("words", i, 2 * F.col("t.step")), F.col("t.set"))))
+    best = maybe.select("doc_id", "key", F.col("t.label").alias("label"), F.array_max(overlaps).alias("overlap"), F.col("t.need").alias("need"), F.size("t.set").alias("n_template"))
+    return best.where("overlap >= need").drop("need")
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    score is the largest containment of any template in any line, and 1 where a phrase stands.
+    score is the largest containment of any template in any line or window, and 1 where a phrase stands.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    hits = similar_blocks(rows)
+    hits = similar_blocks(rows).unionByName(similar_windows(rows))
     found = hits.groupBy("key", "doc_id").agg(F.collect_set("label").alias("found"), F.max(F.col("overlap") / F.col("n_template")).alias("best"))
     base = scan_phrases(rows)
     found = found.withColumnsRenamed({"key": "__key", "doc_id": "__id"})

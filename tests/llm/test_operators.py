@@ -207,6 +207,22 @@ def test_similarity_join_against_all_pairs(spark):
     assert got == want and sum(want.values()) > 10
 
 
+def test_wrapped_notices_are_found(spark):
+    import textwrap
+
+    rows, want = [], []
+    for i, (label, notice) in enumerate(licenses.TEMPLATES):
+        for width in (20, 40, 72):
+            before = "plain words stand here " * (i + width % 7)
+            wrapped = "\n".join(f" * {line}" for line in textwrap.wrap(notice, width))
+            rows.append((len(rows), f"{before}\n{wrapped}\nand some more words after it"))
+            want.append(label)
+    scattered = "\n".join(w + " x" * 60 for w in licenses.TEMPLATES[7][1].split())  # its words, but no notice
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([*rows, (999, scattered)], "doc_id long, text string")).collect()}
+    assert all(label in got[i]["labels"].split(",") and got[i]["score"] == 1 for i, label in enumerate(want))
+    assert (got[999]["labels"], got[999]["score"]) == ("", 0)
+
+
 # ------------------------------------------------------------------ language model
 
 
