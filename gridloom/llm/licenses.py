@@ -129,10 +129,11 @@ def similar_windows(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMP
         F.struct(F.lit(label).alias("label"), F.array(*(F.lit(w) for w in ws)).alias("set"), F.lit(least_overlap(len(ws), containment)).alias("need"), F.lit(len(text.split())).alias("step"))
         for (label, ws), (_, text) in zip(sets, templates)
     ))
-    several = docs.where(F.col("text").contains("\n")).select("doc_id", "key", "text", F.array_intersect(block_words(F.col("text")), known).alias("shared"))
-    maybe = several.where(F.size("shared") >= min(least_overlap(len(ws), containment) for _, ws in sets))
-    met = F.filter(listed, lambda t: F.size(F.array_intersect(F.col("shared"), t["set"])) >= t["need"])
-    maybe = maybe.select("doc_id", "key", F.array_remove(F.split(ascii_lower(F.col("text")), BREAKS), "").alias("words"), F.explode(met).alias("t"))
+    # the words are bound to a lambda variable, or each template's test would list them again
+    shared = F.array(F.array_intersect(block_words(F.col("text")), known))
+    met = F.flatten(F.transform(shared, lambda s: F.filter(listed, lambda t: F.size(F.array_intersect(s, t["set"])) >= t["need"])))
+    maybe = docs.where(F.col("text").contains("\n")).select("doc_id", "key", "text", F.explode(met).alias("t"))
+    maybe = maybe.select("doc_id", "key", F.array_remove(F.split(ascii_lower(F.col("text")), BREAKS), "").alias("words"), "t")
     starts = F.sequence(F.lit(1), F.size("words"), F.col("t.step"))
     overlaps = F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("words", i, 2 * F.col("t.step")), F.col("t.set"))))
     best = maybe.select("doc_id", "key", F.col("t.label").alias("label"), F.array_max(overlaps).alias("overlap"), F.col("t.need").alias("need"), F.size("t.set").alias("n_template"))
