@@ -84,6 +84,37 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def text_slices(column, rows: int = 500, most: int = 1 << 22):
+    """The bytes of an Arrow column of texts (null: None), as lists of at most ``rows`` texts and ``most`` bytes
+    (a longer text comes alone), with the place of each list's first text."""
+    import numpy as np
+    import pyarrow as pa
+
+    raw = column.cast(pa.large_binary())
+    ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
+    k = 0
+    while k < len(raw):
+        end = int(np.searchsorted(ends, ends[k] + most, "right")) - 1
+        end = max(k + 1, min(end, k + rows, len(raw)))
+        yield k, raw.slice(k, end - k).to_pylist()
+        k = end
+
+
+def pieces_of_text(text: bytes, size: int = 1 << 20):
+    """A text in pieces of about ``size`` bytes, cut at white space, so that no word is parted."""
+    import re
+
+    if len(text) <= size:
+        yield text
+        return
+    white, at = re.compile(rb"[\x20\x09-\x0D]"), 0
+    while at < len(text):
+        found = white.search(text, min(at + size, len(text)))
+        end = found.end() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
 def sorted_groups(batches, n_key: int):
     """From record batches sorted by their first n_key integer columns: (columns, starts) of whole groups.
 

@@ -1,20 +1,23 @@
 """Language-model scores of a hashed maximum-entropy model.
 
 Tokens are the lower-cased words of a text and one end. The probability of a token is
-P(class | history) * P(token | class, history). The ``FREQUENT`` most frequent tokens form 32 head classes
-of 32 tokens; all others, unseen ones included, fall in 32 rare classes by a hash of their last bytes.
-Both softmaxes are log-linear in hashed features of the two words before. Classes see a bias, the
-previous word, the two previous words, and the word before the previous one (a skip); words see the bias
-of their class and, together with the class, the previous word and the skip. Inside a rare class a token has its
+P(class | history) * P(slot | class, history), times the token's share of its slot. The ``FREQUENT`` most
+frequent tokens form 32 head classes of 32 slots with one token each; all others, unseen ones included,
+fall in 32 rare classes by a hash of their last bytes and there in one of 32 slots by a hash of the whole
+word. Both softmaxes are log-linear in hashed features of the two words before. Classes see a bias, the
+previous word, the two previous words, and the word before the previous one (a skip); slots see a bias
+and, together with the class, the previous word and the skip. Inside a rare slot a token has its
 additively smoothed unigram share, so the model is a proper distribution over all words.
 
 Training passes over every training text once, in ``ROUNDS`` parts. In each round every task starts from
 the shared weights and takes Adagrad steps on its texts; a row of weights then becomes the mean of the
-tasks' rows, weighted by how often each updated it. Weights are added up block by block by a shuffle, so
-what reaches the driver is one model of fixed size. Unigram counts cover all training texts exactly.
+tasks' rows, weighted by how often each updated it. A task learns from about ``TASK_BYTES`` of text, however
+many there are. Weights are added up block by block by a shuffle, so what reaches the driver is one model of
+fixed size. Unigram counts cover all training texts exactly.
 
 Scoring runs in sparse numpy batches. Counts of the most frequent ``HEAD`` tokens are broadcast (a
-bounded table); rarer tokens are joined with their counts.
+bounded table); rarer tokens are joined with their counts. Batches are cut by bytes, and a long text is
+split in words a piece at a time.
 
 Defined cases: null and empty texts are one end token; rows with the same or no id are scored one by
 one; a null id hashes as the text ``null`` when texts are held out; without training texts every count is 0.
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import checkpointed, crc_mod, most_frequent, partitions
+from gridloom.llm.common import checkpointed, crc_mod, most_frequent, partitions, pieces_of_text, text_slices
 
 END = b""  # no word is empty
 HELD_OUT = (10, 0)
@@ -39,16 +42,19 @@ HEAD = 262_144
 CLASSES, SLOTS = 32, 32
 FREQUENT = CLASSES * SLOTS
 OUT = 2 * CLASSES
-CLASS_ROWS, WORD_ROWS = 8_192, 16_384
+CLASS_ROWS, WORD_ROWS = 8_192, 32_768
 ROUNDS = 2
+TASK_BYTES = 1 << 24
+TOP_LOGIT = 80.0  # exp of it is finite in single precision
 RATE = 0.25
 BLOCK_ROWS = 16
 STEP = 4_096
 MIXERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
-def rare_class(token: bytes) -> int:
-    return zlib.crc32(token[-3:]) % CLASSES
+def rare_place(token: bytes) -> int:
+    """The rare class of a token times SLOTS, plus its slot there."""
+    return zlib.crc32(token[-3:]) % CLASSES * SLOTS + (zlib.crc32(token) >> 8) % SLOTS
 
 
 # ------------------------------------------------------------------ counts
@@ -60,62 +66,83 @@ def _count(flush: int = 400_000):
 
         def out():
             keys = list(counts)
-            rows = [pa.array(keys, pa.binary()), pa.array([rare_class(k) for k in keys], pa.int32()), pa.array(list(counts.values()), pa.int64())]
+            rows = [pa.array(keys, pa.binary()), pa.array([rare_place(k) for k in keys], pa.int32()), pa.array(list(counts.values()), pa.int64())]
             counts.clear()
             return pa.RecordBatch.from_arrays(rows, names=["token", "rare", "n"])
 
         for b in batches:
-            for text in b.column(0).cast(pa.binary()).to_pylist():
-                counts.update((text or b"").lower().split())
-                counts[END] += 1
-                if len(counts) > flush:
-                    yield out()
+            for _, texts in text_slices(b.column(0)):
+                for text in texts:
+                    for piece in pieces_of_text(text or b""):
+                        counts.update(piece.lower().split())
+                    counts[END] += 1
+                    if len(counts) > flush:
+                        yield out()
         yield out()
 
     return run
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """(token, rare, n) of all texts of docs (text): exact counts; rare is the token's rare class."""
+    """(token, rare, n) of all texts of docs (text): exact counts; rare is the token's rare place."""
     rows = docs.select("text").mapInArrow(_count(), "token binary, rare int, n long")
     return rows.groupBy("token", "rare").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
-    """The broadcast part of the counts: the most frequent tokens, the end first, and totals by rare class."""
+    """The broadcast part of the counts: the most frequent tokens, the end first, and totals by rare place."""
 
-    def __init__(self, tokens: list[bytes], counts: np.ndarray, by_class: dict[int, tuple[int, int]]):
+    def __init__(self, tokens: list[bytes], counts: np.ndarray, by_place: dict[int, tuple[int, int]]):
         self.tokens, self.counts = tokens, counts.astype(np.float64)
-        self.total = sum(n for n, _ in by_class.values())
-        self.distinct = sum(v for _, v in by_class.values())
-        self.rare_total, self.rare_distinct = np.zeros(CLASSES), np.zeros(CLASSES)
-        for k, (n, v) in by_class.items():
+        self.total = sum(n for n, _ in by_place.values())
+        self.distinct = sum(v for _, v in by_place.values())
+        self.rare_total, self.rare_distinct = np.zeros(FREQUENT), np.zeros(FREQUENT)
+        for k, (n, v) in by_place.items():
             self.rare_total[k], self.rare_distinct[k] = n, v
-        for t, n in zip(tokens[:FREQUENT], counts):  # the frequent tokens have classes of their own
-            k = rare_class(t)
+        for t, n in zip(tokens[:FREQUENT], counts):  # the frequent tokens have places of their own
+            k = rare_place(t)
             self.rare_total[k] -= n
             self.rare_distinct[k] -= n > 0
         known = len(tokens)
-        self.classes = np.array([i // SLOTS if i < FREQUENT else CLASSES + rare_class(t) for i, t in enumerate(tokens)], np.int64).reshape(known)
+        self.places = np.array([i if i < FREQUENT else FREQUENT + rare_place(t) for i, t in enumerate(tokens)], np.int64).reshape(known)
         self.log_base = np.log10(ADD + self.counts)
         self.denominator = np.log10(self.total + ADD * (self.distinct + 1))
-        self.rare_denominator = np.log10(self.rare_total + ADD * (self.rare_distinct + 1))
+        self.rare_denominator = np.log10(self.rare_mass())
         self.index = Index(tokens)
 
+    def rare_mass(self) -> np.ndarray:
+        return self.rare_total + ADD * (self.rare_distinct + 1)
+
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, bytes]]:
-        """(ids, classes, ends, others) of all tokens: ids below len(tokens) are known ones, others are hashes
-        above; ends holds one past each text's last token; others maps positions to tokens outside."""
-        known, flat, ends = len(self.tokens), [], []
+        """(ids, places, ends, others) of all tokens: ids below len(tokens) are known ones, others are hashes
+        above; a place is class * SLOTS + slot; ends holds one past each text's last token; others maps
+        positions to tokens outside."""
+        known, flat, ends, parts, others, done = len(self.tokens), [], [], [], {}, 0
+
+        def close():
+            nonlocal flat, done
+            ids = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+            places = self.places.take(ids, mode="clip")
+            at = np.flatnonzero(ids >= known)
+            if len(at):
+                words = [flat[i] for i in at.tolist()]
+                others.update(zip((done + at).tolist(), words))
+                places[at] = list(map(rare_place, words))
+                places[at] += FREQUENT
+            parts.append((ids, places))
+            done += len(flat)
+            flat = []
+
         for text in texts:
-            flat += (text or b"").lower().split()
+            for piece in pieces_of_text(text or b""):
+                if len(flat) > 1 << 19:
+                    close()
+                flat += piece.lower().split()
             flat.append(END)
-            ends.append(len(flat))
-        ids = np.array(list(map(self.index.__getitem__, flat)), np.int64)
-        classes = self.classes[np.minimum(ids, known - 1)]
-        at = np.flatnonzero(ids >= known)
-        others = {i: flat[i] for i in at.tolist()}
-        classes[at] = [CLASSES + crc(w[-3:]) % CLASSES for crc in (zlib.crc32,) for w in others.values()]
-        return ids, classes, np.array(ends, np.int64), others
+            ends.append(done + len(flat))
+        close()
+        ids, places = (np.concatenate(x) for x in zip(*parts)) if len(parts) > 1 else parts[0]
+        return ids, places, np.array(ends, np.int64), others
 
 
 class Index(dict):
@@ -152,21 +179,21 @@ def first_weights(v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     n = np.zeros(FREQUENT)
     used = min(FREQUENT, len(v.tokens))
     n[:used] = v.counts[:used] + ADD
-    mass = np.concatenate([n.reshape(CLASSES, SLOTS).sum(1), v.rare_total + ADD * (v.rare_distinct + 1)])
-    with np.errstate(divide="ignore"):
-        top[0] = np.maximum(np.log(mass / mass.sum()), -60)
-        words[:CLASSES] = np.maximum(np.log(n.reshape(CLASSES, SLOTS)), -60)
+    mass = np.concatenate([n, v.rare_mass()]).reshape(OUT, SLOTS)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        top[0] = np.maximum(np.log(mass.sum(1) / mass.sum()), -60)
+        words[:OUT] = np.maximum(np.nan_to_num(np.log(mass / mass.sum(1, keepdims=True)), nan=0.0), -60)
     return top, words
 
 
-def features(ids: np.ndarray, classes: np.ndarray, ends: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Rows of the class weights and of the word weights for each token, but for the biases."""
+def features(ids: np.ndarray, places: np.ndarray, ends: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Rows of the class weights and of the slot weights for each token, but for the biases."""
     one = np.concatenate([[-1], ids[:-1]])
     starts = np.concatenate([[0], ends[:-1]])
     one[starts] = -1
     two = np.concatenate([[-1], one[:-1]])
     two[starts] = -1
-    p, q, k = (x.astype(np.uint64) for x in (one, two, classes))
+    p, q, k = (x.astype(np.uint64) for x in (one, two, places // SLOTS))
 
     def row(x, rows: int, first: int):
         x = (x ^ (x >> np.uint64(29))) * MIXERS[2]
@@ -175,91 +202,99 @@ def features(ids: np.ndarray, classes: np.ndarray, ends: np.ndarray) -> tuple[li
     bigram, trigram, skip = p * MIXERS[0], p * MIXERS[0] + q * MIXERS[1], q * MIXERS[1] + np.uint64(7)
     top = [row(x, CLASS_ROWS, 1) for x in (bigram, trigram, skip)]
     salt = (k + np.uint64(1)) * MIXERS[2]
-    return top, [row(x + salt, WORD_ROWS, CLASSES) for x in (bigram, skip)]
+    return top, [row(x + salt, WORD_ROWS, OUT) for x in (bigram, skip)]
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
+class Buffers:
+    """Scratch arrays of one step, kept because large arrays are costly to take anew."""
 
+    def __init__(self, rows: int = STEP):
+        self.z, self.more = ({w: np.empty((rows, w), np.float32) for w in (OUT, SLOTS)} for _ in range(2))
+        self.ones = {w: np.ones(w, np.float32) for w in (OUT, SLOTS)}
 
-def _log_sum(z: np.ndarray) -> np.ndarray:
-    """log of the sum of exp by row; z is used up."""
-    top = z.max(1)
-    z -= top[:, None]
-    np.exp(z, out=z)
-    return top + np.log(z.sum(1))
+    def logits(self, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        """The sum of the given rows of weights for each token, at most TOP_LOGIT."""
+        n, width = len(rows[0]), weights.shape[1]
+        z, more = self.z[width][:n], self.more[width][:n]
+        weights.take(rows[0], axis=0, out=z, mode="clip")
+        for r in rows[1:]:
+            weights.take(r, axis=0, out=more, mode="clip")
+            z += more
+        return np.clip(z, -TOP_LOGIT, TOP_LOGIT, out=z)
+
+    def row_sums(self, z: np.ndarray) -> np.ndarray:
+        return z @ self.ones[z.shape[1]]
 
 
-def log_probabilities(ids, classes, ends, v: Vocabulary, top: np.ndarray, words: np.ndarray) -> np.ndarray:
+def log_probabilities(ids, places, ends, v: Vocabulary, top: np.ndarray, words: np.ndarray, scratch: Buffers | None = None) -> np.ndarray:
     """log10 P of each token; for rare tokens without log10(count + 0.1), which their counts add."""
+    scratch = scratch or Buffers()
     out = np.empty(len(ids))
-    f, g = features(ids, classes, ends)
+    f, g = features(ids, places, ends)
+    classes, slots = places // SLOTS, places % SLOTS
+    at = np.arange(STEP)
     for lo in range(0, len(ids), STEP):
         s = slice(lo, lo + STEP)
-        c = classes[s]
-        z = top[f[0][s]]
-        z += top[f[1][s]]
-        z += top[f[2][s]]
-        z += top[0]
-        picked = z[np.arange(len(c)), c].astype(float)
-        lp = picked - _log_sum(z)
-        often = np.flatnonzero(ids[s] < FREQUENT)
-        often = often[c[often] < CLASSES]
-        k = c[often]
-        z = words[k] + words[g[0][s][often]]
-        z += words[g[1][s][often]]
-        lp[often] += z[np.arange(len(k)), ids[s][often] % SLOTS] - _log_sum(z)
-        lp /= np.log(10)
-        rare = c >= CLASSES
-        lp[rare] -= v.rare_denominator[c[rare] - CLASSES]
+        c, k = classes[s], slots[s]
+        here = at[: len(c)]
+        lp = np.zeros(len(c))
+        for weights, rows, picked in ((top, [x[s] for x in f], c), (words, [c, *(x[s] for x in g)], k)):
+            z = scratch.logits(weights, rows)
+            if weights is top:
+                z += top[0]
+            lp += z[here, picked]
+            lp -= np.log(scratch.row_sums(np.exp(z, out=z)))
         out[s] = lp
+    out /= np.log(10)
+    rare = np.flatnonzero(places >= FREQUENT)
+    out[rare] -= v.rare_denominator[places[rare] - FREQUENT]
     return out
 
 
 def _step(weights, squares, seen, at, total, times) -> None:
     """One Adagrad step, with a rate per row, of distinct rows."""
-    squares[at] += np.einsum("ij,ij->i", total, total) / total.shape[1]
+    sq = squares[at] + np.einsum("ij,ij->i", total, total) / total.shape[1]
+    squares[at] = sq
     seen[at] += times
-    total *= (RATE / np.sqrt(squares[at] + 1))[:, None]
-    weights[at] -= total
+    total *= (RATE / np.sqrt(sq + 1))[:, None]
+    weights[at] = weights.take(at, axis=0) - total
 
 
-def _descend(weights, squares, seen, rows, grad) -> None:
-    """A step from gradients of rows that may repeat: sorted by row, running sums give each row's total."""
+def _descend(weights, squares, seen, rows, grad, often: int = 12) -> None:
+    """A step from gradients of rows that may repeat. With the rows ordered by how often they occur, the k-th
+    occurrences of all rows are added at once; what remains of the most frequent rows is added row by row."""
     order = np.argsort(rows)
-    rows = rows[order]
-    last = np.flatnonzero(np.append(rows[1:] != rows[:-1], True))
-    sums = np.cumsum(grad[order], axis=0)[last]
-    sums[1:] -= sums[:-1].copy()
-    _step(weights, squares, seen, rows[last], sums, np.diff(last, prepend=-1))
-
-
-def train_step(ids, classes, f, g, top, words, sq_top, sq_words, n_top, n_words) -> None:
-    at = np.arange(len(ids))
-    z = top[f[0]]
-    z += top[f[1]]
-    z += top[f[2]]
+    by_row = rows[order]
+    first = np.flatnonzero(np.append(True, by_row[1:] != by_row[:-1]))
+    times = np.diff(first, append=len(rows))
+    down = np.argsort(-times)
+    first, times = first[down], times[down]
+    total = grad.take(order[first], axis=0)
+    for k in range(1, min(int(times[0]), often)):
+        m = int(np.searchsorted(-times, -k, "left"))
+        total[:m] += grad.take(order[first[:m] + k], axis=0)
+    for i in range(int(np.searchsorted(-times, -often, "left"))):
+        total[i] += grad.take(order[first[i] + often : first[i] + times[i]], axis=0).sum(0)
+    _step(weights, squares, seen, by_row[first], total, times)
+
+
+def train_step(places, f, g, top, words, sq_top, sq_words, n_top, n_words, scratch: Buffers) -> None:
+    """A step of both softmaxes for at most STEP tokens; f and g are their rows of features."""
+    at, classes, slots = np.arange(len(places)), places // SLOTS, places % SLOTS
+    z = scratch.logits(top, f)
     z += top[0]
-    z = _softmax(z)
+    np.exp(z, out=z)
+    z /= scratch.row_sums(z)[:, None]
     z[at, classes] -= 1
     for rows in f:
         _descend(top, sq_top, n_top, rows, z)
-    _step(top, sq_top, n_top, np.zeros(1, np.int64), z.sum(0, keepdims=True), len(ids))
-    often = np.flatnonzero(classes < CLASSES)
-    if len(often):
-        k = classes[often]
-        z = words[k]
-        z += words[g[0][often]]
-        z += words[g[1][often]]
-        z = _softmax(z)
-        z[np.arange(len(k)), ids[often] % SLOTS] -= 1
-        for rows in g:
-            _descend(words, sq_words, n_words, rows[often], z)
-        of_class = (k[None, :] == np.arange(CLASSES)[:, None]).astype(np.float32)
-        _step(words, sq_words, n_words, np.arange(CLASSES), of_class @ z, of_class.sum(1))
+    _step(top, sq_top, n_top, np.zeros(1, np.int64), z.sum(0, keepdims=True), len(places))
+    z = scratch.logits(words, [classes, *g])
+    np.exp(z, out=z)
+    z /= scratch.row_sums(z)[:, None]
+    z[at, slots] -= 1
+    for rows in (classes, *g):
+        _descend(words, sq_words, n_words, rows, z)
 
 
 def _train(shared):
@@ -267,17 +302,16 @@ def _train(shared):
 
     def run(batches):
         v, top0, words0 = shared.value
-        top, words = top0.copy(), words0.copy()
-        state = [np.zeros(len(x), np.float32) for x in (top, words)], [np.zeros(len(x)) for x in (top, words)]
+        top, words, scratch = top0.copy(), words0.copy(), Buffers()
+        state = [np.zeros(len(x), np.float32) for x in (top, words)] + [np.zeros(len(x)) for x in (top, words)]
         for b in batches:
-            texts = b.column(0).cast(pa.binary()).to_pylist()
-            for k in range(0, len(texts), 500):
-                ids, classes, ends, _ = v.encode(texts[k : k + 500])
-                f, g = features(ids, classes, ends)
+            for _, texts in text_slices(b.column(0)):
+                ids, places, ends, _ = v.encode(texts)
+                f, g = features(ids, places, ends)
                 for lo in range(0, len(ids), STEP):
                     s = slice(lo, lo + STEP)
-                    train_step(ids[s], classes[s], [x[s] for x in f], [x[s] for x in g], top, words, *state[0], *state[1])
-        for part, (new, old, seen) in enumerate(((top, top0, state[1][0]), (words, words0, state[1][1]))):
+                    train_step(places[s], [x[s] for x in f], [x[s] for x in g], top, words, *state, scratch)
+        for part, (new, old, seen) in enumerate(((top, top0, state[2]), (words, words0, state[3]))):
             rows = len(new) // BLOCK_ROWS
             used = np.flatnonzero(seen.reshape(rows, BLOCK_ROWS).any(1))
             delta = ((new - old) * seen[:, None]).astype(np.float32).reshape(rows, -1)
@@ -311,13 +345,18 @@ def _add_blocks(batches):
         yield out()
 
 
-def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """The weights after one pass over docs (text, part), part being 0 to rounds - 1. Tasks are at most twice the cores."""
+def train(docs: DataFrame, v: Vocabulary, size: int, rounds: int = ROUNDS, task_bytes: int = TASK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """The weights after one pass over docs (text, part), part being 0 to rounds - 1.
+
+    size is the number of bytes of all texts. A task learns from about task_bytes (from less where that
+    would leave cores idle, and from no less than a partition of docs).
+    """
     spark = docs.sparkSession
     top, words = first_weights(v)
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-size // (rounds * task_bytes)))
     for r in range(rounds):
         shared = spark.sparkContext.broadcast((v, top, words))
-        texts = docs.where(F.col("part") == r).select("text").coalesce(2 * spark.sparkContext.defaultParallelism)
+        texts = docs.where(F.col("part") == r).select("text").coalesce(tasks)
         moved = texts.mapInArrow(_train(shared), "block long, delta binary, seen binary")
         summed = moved.repartition(partitions(spark), "block").sortWithinPartitions("block").mapInArrow(_add_blocks, "block long, delta binary, seen binary")
         for row in summed.toLocalIterator():  # at most one row per block of a model of fixed size
@@ -338,16 +377,15 @@ def _score(shared):
         from pyspark import TaskContext
 
         v, top, words = shared.value
-        row = TaskContext.get().partitionId() << 40
+        row, scratch = TaskContext.get().partitionId() << 40, Buffers()
         known = len(v.tokens)
         for b in batches:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
-            for k in range(0, len(texts), 1_000):
-                ids, classes, ends, others = v.encode(texts[k : k + 1_000])
-                lp = log_probabilities(ids, classes, ends, v, top, words)
+            for k, texts in text_slices(b.column(1)):
+                ids, places, ends, others = v.encode(texts)
+                lp = log_probabilities(ids, places, ends, v, top, words, scratch)
                 inside = ids < known
                 base = np.where(inside, v.log_base[np.minimum(ids, known - 1)], 0.0)
-                lp += np.where(classes >= CLASSES, base, 0.0)
+                lp += np.where(places >= FREQUENT, base, 0.0)
                 starts = np.concatenate([[0], ends[:-1]])
                 n = ends - starts
                 found = inside & (v.counts[np.minimum(ids, known - 1)] > 0)
@@ -368,16 +406,29 @@ def _score(shared):
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def fit(docs: DataFrame, head: int = HEAD) -> tuple[DataFrame, Vocabulary, np.ndarray, np.ndarray]:
+    """(counts, vocabulary, class weights, slot weights) learned from docs (text, part)."""
+    counts = checkpointed(token_counts(docs))
+    v = vocabulary(counts, head)
+    size = counts.agg(F.sum(F.col("n") * (F.length("token") + 1))).first()[0] or 0
+    return counts, v, *train(docs, v, int(size))
+
+
+def training_texts(docs: DataFrame) -> DataFrame:
+    """(text, part) of the rows of docs (doc_id, text) that are not held out."""
+    code = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
+    kept = docs.where(crc_mod(F.col("doc_id"), HELD_OUT[0]) != HELD_OUT[1])
+    return kept.select("text", ((code / HELD_OUT[0]).cast("long") % ROUNDS).alias("part"))
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", head: int = HEAD, model=None) -> DataFrame:
+    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    The model is what ``fit`` returns; without one it is fitted on the rows of docs that are not held out.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    held = crc_mod(F.col("doc_id"), HELD_OUT[0]) == HELD_OUT[1]
-    kept = rows.where(~held).select("text", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")) / HELD_OUT[0]).cast("long").alias("h"))
-    kept = kept.select("text", (F.col("h") % ROUNDS).alias("part"))
-    counts = checkpointed(token_counts(kept))
-    v = vocabulary(counts, head)
-    top, words = train(kept, v)
+    counts, v, top, words = model or fit(training_texts(rows), head)
     shared = spark.sparkContext.broadcast((v, top, words))
     kind = dict(rows.dtypes)["doc_id"]
     scored = checkpointed(rows.mapInArrow(
