@@ -2,14 +2,17 @@
 
 Each source gets a target size; every document of it is taken a certain whole number of times, and a
 Pareto order sample takes the rest: documents are ranked by (u / (1 - u)) / (p / (1 - p)), where u is a
-uniform number hashed from the seed and the id, and p the document's inclusion probability. Documents
+uniform number hashed from the seed, the id and the text, and p the document's inclusion probability. Documents
 are taken in that order until the source's remaining target is met to within half a document.
 
-No source is ever ordered as a whole. Ranks are counted in a fixed number of bins per source (a small
-aggregate); only the bin in which the target falls is ordered row by row.
+No source is ever ordered as a whole. Ranks are counted in coarse bins per source, then the coarse bin in
+which the target falls in fine ones (at most ``BINS`` rows a source each time); only the fine bin in which
+the target falls is ordered row by row.
 
 Defined cases: null texts and texts without words have size 0 and are taken 0 times; a null source is a
-source of its own, placed last; rows with the same id share u, and ties are taken in order of id.
+source of its own, placed last; a null id counts as the text ``null``. Rows that share u have the same id and
+text, so which of them is taken makes no difference, and a rerun in another order of rows gives the same rows. An
+empty table gives an empty mix; columns of any name are carried.
 """
 
 from __future__ import annotations
@@ -23,12 +26,12 @@ from gridloom.llm.common import WORD, broadcast_if_small, checkpointed
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
-BINS = 65_536
+BINS = 256  # coarse ones, and fine ones in each
 
 
-def uniform(seed: int, key: Column) -> Column:
-    """A number in (0, 1) from the md5 of seed and key; the same in any engine."""
-    digest = F.md5(F.concat(F.lit(f"{seed}-"), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary"))
+def uniform(seed: int, key: Column, digest: Column) -> Column:
+    """A number in (0, 1) from the md5 of seed, key and the digest of a text; the same in any engine."""
+    digest = F.md5(F.concat(F.lit(f"{seed}-"), F.coalesce(key.cast("string"), F.lit("null")), F.lit("-"), digest).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
@@ -57,48 +60,69 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_copie
     return rows.select("source", "source_size", F.coalesce(target, F.col("cap").cast("double")).alias("target"))
 
 
-def mix(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS,
-    max_copies: int = MAX_COPIES, seed: int = 17, bins: int = BINS, carry: Sequence[str] = (),
-) -> DataFrame:
-    """One row per row of docs: the id, size, source_size, target, copies, taken = copies * size, and carried columns."""
+def _edges(rows: DataFrame, bin: Column) -> DataFrame:
+    """(source, edge, before): the bin of each source in which the running size passes ``rest``, and the size of the bins before it.
+
+    rows has source, rest, done (what was counted before these rows) and size.
+    """
+    binned = rows.groupBy("source", "rest", "done", bin.alias("edge")).agg(F.sum("size").alias("bin_size"))
+    order = Window.partitionBy("source").orderBy("edge").rowsBetween(Window.unboundedPreceding, -1)
+    binned = binned.withColumn("before", F.col("done") + F.coalesce(F.sum("bin_size").over(order), F.lit(0)))
+    return checkpointed(binned.where("before <= rest and before + bin_size > rest").select("source", "edge", "before"))
+
+
+def _by_source(rows: DataFrame, side: DataFrame) -> DataFrame:
+    """rows with the columns of side, which has one row per source at most."""
+    side = broadcast_if_small(side.withColumnRenamed("source", "__source"))
+    return rows.join(side, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
+
+
+def _copies(docs: DataFrame, id_col: str, text: str, source: str, weights: Sequence[int], max_copies: int, seed: int, bins: int, carry: Sequence[str]) -> DataFrame:
+    """doc_id, size, source_size, target, copies and the carried columns as __carry0, __carry1, ..., one row per row of docs."""
+    name = lambda c: F.col(f"`{c}`")
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source).alias("source"),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        *(F.col(f"`{c}`").alias(f"__carry{i}") for i, c in enumerate(carry)),
+        name(id_col).alias("doc_id"), name(source).alias("source"), uniform(seed, name(id_col), F.md5(F.coalesce(name(text), F.lit("")).cast("binary"))).alias("u"),
+        F.coalesce(F.regexp_count(name(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        *(name(c).alias(f"__carry{i}") for i, c in enumerate(carry)),
     )
-    if not carry:  # two numbers and a name a row; the texts are read once
+    if not carry:  # three numbers and a name a row; the texts are read once
         rows = checkpointed(rows)
-    targets = broadcast_if_small(checkpointed(source_targets(rows, weights, max_copies)).withColumnRenamed("source", "__source"))
-    both = rows.join(targets, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
+    both = _by_source(rows, checkpointed(source_targets(rows, weights, max_copies)))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     both = both.withColumn("rate", rate).withColumn("whole", F.floor("rate").cast("long"))
     both = both.withColumn("p", F.col("rate") - F.col("whole")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    u = uniform(seed, F.col("doc_id"))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    both = both.withColumn("u", u).withColumn("rank", F.when(F.col("p") > 0, odds))
-    both = both.withColumn("bin", F.when(F.col("rank").isNotNull(), F.floor(F.col("rank") / (1 + F.col("rank")) * bins).cast("long")))
-    binned = both.where("rank is not null and size > 0").groupBy("source", "rest", "bin").agg(F.sum("size").alias("bin_size"))
-    order = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    edge = binned.withColumn("before", F.coalesce(F.sum("bin_size").over(order), F.lit(0))).where("before <= rest and before + bin_size > rest")
-    edge = broadcast_if_small(checkpointed(edge.select(F.col("source").alias("__source"), F.col("bin").alias("edge_bin"), "before")))
-    placed = both.join(edge, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
-    inside = F.col("rank").isNotNull() & (F.col("size") > 0) & (F.col("edge_bin").isNull() | (F.col("bin") < F.col("edge_bin")))
-    at_edge = F.coalesce((F.col("bin") == F.col("edge_bin")) & (F.col("size") > 0), F.lit(False))
-    running = F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    both = both.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), odds))
+    fine = F.when(F.col("rank").isNotNull(), F.floor(F.col("rank") / (1 + F.col("rank")) * (bins * bins)).cast("long"))
+    both = both.withColumn("fine", fine).withColumn("coarse", F.floor(F.col("fine") / bins))
+    ranked = both.where("rank is not null").select("source", "rest", "coarse", "fine", "size")
+    coarse = _edges(ranked.withColumn("done", F.lit(0).cast("long")), F.col("coarse"))
+    inner = _by_source(ranked, coarse.withColumnRenamed("before", "done")).where("coarse = edge")
+    placed = _by_source(both, _edges(inner, F.col("fine")))
+    inside = F.col("rank").isNotNull() & (F.col("edge").isNull() | (F.col("fine") < F.col("edge")))
+    at_edge = F.coalesce(F.col("fine") == F.col("edge"), F.lit(False))
+    running = F.sum("size").over(Window.partitionBy("source", "edge").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
     placed = placed.withColumn("at_edge", at_edge).withColumn("inside", inside)
     ordered = placed.where("at_edge").withColumn("sum_before", F.col("before") + F.coalesce(running, F.lit(0)))
     ordered = ordered.withColumn("extra", (F.col("sum_before") + F.col("size") / 2 <= F.col("rest")).cast("long")).drop("sum_before")
     plain = placed.where("not at_edge").withColumn("extra", F.coalesce(F.col("inside"), F.lit(False)).cast("long"))
-    out = ordered.unionByName(plain).withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(F.lit(0)).cast("long"))
-    names = [F.col(f"__carry{i}").alias(c) for i, c in enumerate(carry)]
-    if carry:
-        return out.select(*names, "copies")
+    return ordered.unionByName(plain).withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(F.lit(0)).cast("long"))
+
+
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS,
+    max_copies: int = MAX_COPIES, seed: int = 17, bins: int = BINS,
+) -> DataFrame:
+    """One row per row of docs: the id, size, source_size, target, copies and taken = copies * size."""
+    out = _copies(docs, id_col, text, source, weights, max_copies, seed, bins, ())
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mix_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
+def mix_documents(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS,
+    max_copies: int = MAX_COPIES, seed: int = 17, bins: int = BINS,
+) -> DataFrame:
     """The mix itself: each row of docs as many times as it is taken, with the columns of docs."""
-    rows = mix(docs, seed=seed, carry=docs.columns, **options)
-    repeated = rows.where("copies > 0").withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = _copies(docs, id_col, text, source, weights, max_copies, seed, bins, docs.columns)
+    repeated = rows.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return repeated.select(*(F.col(f"__carry{i}").alias(c) for i, c in enumerate(docs.columns)))

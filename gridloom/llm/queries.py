@@ -139,7 +139,7 @@ from f
 def _op10_sql() -> str:
     picks = ", ".join(map(str, mixing.WEIGHTS))
     return f"""
-with s as (select row_number() over () as k, doc_id, source, len({WORDS_SQL})::bigint as size from documents),
+with s as (select row_number() over () as k, doc_id, source, md5(coalesce(text, '')) as digest, len({WORDS_SQL})::bigint as size from documents),
 t as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as place from s group by source),
 c as (select *, [{picks}][(place % {len(mixing.WEIGHTS)} + 1)::int] as weight, source_size * {mixing.MAX_COPIES} as cap from t),
 l as (
@@ -150,7 +150,7 @@ a as (select arg_min(level, (ratio, place)) as lv from l where level * weight <=
 g as (select source, source_size, coalesce(least(cap::double, lv * weight), cap::double) as target from l left join a on true),
 d as (
   select k, s.doc_id, s.source, size, source_size, target, case when source_size > 0 then target / source_size else 0.0::double end as rate,
-    (('0x' || substr(md5('17-' || coalesce(s.doc_id::varchar, 'null')), 1, 13))::bigint::double + 0.5) / {2**52}::double as u
+    (('0x' || substr(md5('17-' || coalesce(s.doc_id::varchar, 'null') || '-' || digest), 1, 13))::bigint::double + 0.5) / {2**52}::double as u
   from s join g on s.source is not distinct from g.source),
 p as (select *, floor(rate)::bigint as whole, rate - floor(rate) as p, target - floor(rate) * source_size as rest from d),
 r as (select *, case when p > 0 then (u / (1 - u)) / (p / (1 - p)) end as rank from p),

@@ -233,11 +233,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
     """
     rows = checkpointed(jaccard.groups(docs, id_col, text, width, similarity))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    chosen = rows.groupBy("group").agg(first.alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
-    repeats = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("__n"))
-    chosen = checkpointed(chosen.join(repeats, chosen["__id"].eqNullSafe(repeats["doc_id"]) & chosen["__hash"].eqNullSafe(repeats["text_hash"])).select("__id", "__hash", "__n"))
-    kept = docs.join(chosen, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & F.xxhash64(F.col(f"`{text}`")).eqNullSafe(F.col("__hash")))
-    single = kept.where("__n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
-    if chosen.where("__n > 1").isEmpty():
+    chosen = rows.groupBy("group").agg(first.alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.text_hash").alias("hash"))
+    repeats = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    chosen = checkpointed(chosen.join(repeats, chosen["id"].eqNullSafe(repeats["doc_id"]) & chosen["hash"].eqNullSafe(repeats["text_hash"])).select("id", "hash", "n"))
+    renamed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    kept = renamed.join(chosen, F.col(place[id_col]).eqNullSafe(F.col("id")) & F.xxhash64(F.col(place[text])).eqNullSafe(F.col("hash")))
+    own = [F.col(p).alias(c) for c, p in place.items()]
+    single = kept.where("n = 1").select(*own)
+    if chosen.where("n > 1").isEmpty():
         return single
-    return single.unionByName(kept.where("__n > 1").dropDuplicates(["__id", "__hash"]).select(*(F.col(f"`{c}`") for c in docs.columns)))
+    return single.unionByName(kept.where("n > 1").dropDuplicates(["id", "hash"]).select(*own))
