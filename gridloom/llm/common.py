@@ -175,6 +175,49 @@ def candidate_pairs(starts, home, limit: int = 2_000_000):
         lo = hi
 
 
+def spanning_forest(n: int, home, near):
+    """(m, 2) row numbers: a spanning forest of the links between a home row and any row of n rows.
+
+    near(f, g) tells, for row numbers f and g, which pairs are alike, as a matrix.
+    """
+    import numpy as np
+
+    out, left = [], np.arange(n)
+    while len(left) > 1:
+        seeds = left[home[left]]
+        if not len(seeds):
+            break
+        frontier = seeds[:1]
+        left = left[left != seeds[0]]
+        while len(frontier) and len(left):
+            take = max(1, 1_000_000 // len(left))
+            f, frontier = frontier[:take], frontier[take:]
+            alike = near(f, left) & (home[f][:, None] | home[left][None, :])
+            hit = alike.any(0)
+            if hit.any():
+                out.append(np.stack([f[alike[:, hit].argmax(0)], left[hit]], 1))
+                frontier = np.concatenate([frontier, left[hit]])
+                left = left[~hit]
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def dealt_in_blocks(rows: DataFrame, keys: tuple[str, ...], member: str, hot: DataFrame, most: int) -> DataFrame:
+    """rows (keys, role, member, ...) with ``sub``: cells that hot lists with n rows are dealt as a grid of blocks.
+
+    Members of a cell fall in ceil(n / most) blocks by hash. Sub-cell (i, j) holds the home rows (role 0) of block
+    i and all rows of block j (role 1), so every home row meets every other row of its cell in one sub-cell, and
+    no sub-cell holds more than two blocks.
+    """
+    if hot.isEmpty():
+        return rows.withColumn("sub", F.lit(0).cast("long"))
+    rest = [c for c in rows.columns if c != "role"]
+    rows = rows.join(broadcast_if_small(hot), list(keys), "left").withColumn("g", F.coalesce(F.ceil(F.col("n") / most), F.lit(1)).cast("long"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(member), F.col("g"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+    as_home = rows.where("role = 0").select(*rest, "role", (F.col("own") * F.col("g") + F.col("i")).alias("sub"))
+    as_any = rows.where("role = 1 or i <> own").select(*rest, F.lit(1).alias("role"), (F.col("i") * F.col("g") + F.col("own")).alias("sub"))
+    return as_home.unionByName(as_any)
+
+
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     """The rows of highest ``n``, at most ``most`` of them: all above a level found from a histogram of n
     on a logarithmic scale (a few hundred rows reach the driver)."""

@@ -3,10 +3,14 @@
 Each table projects unit vectors on eight random orthonormal directions, scales them and takes the
 nearest point of the E8 lattice as the vector's cell (a Gosset cell: 240 neighbours, covering radius 1).
 A vector is entered in its own cell and in the ``PROBES`` neighbouring cells nearest to its projection;
-in each cell the owners are compared with all entries. A 128-bit random-hyperplane sketch discards pairs
-that are far apart; pairs that remain are verified by the cosine of the vectors in double precision.
+in each cell the owners are compared with all entries by a 128-bit random-hyperplane sketch, which discards
+pairs that are far apart. What remains is verified by the cosine of the vectors in double precision: single
+pairs are joined with their vectors; in cells that hold more near pairs than entries the entries are, once
+each, and all cosines are taken there. Cells of more than ``CELL`` entries are dealt as grids of blocks.
 
-Equal vectors are one entry with a count, so a vector that fills a third of the table costs one row.
+Verified links leave a task as one list per vector, which are united by vector to count them, and as a
+spanning forest for the components, so a dense group is never listed pair by pair as rows. Equal vectors
+are one entry with a count, so a vector that fills a third of the table costs one row.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with
 nothing (n_links 0, component their own id, kept). Vectors of different lengths never link. A null id is
@@ -22,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import candidate_pairs, checkpointed, connected_components, partitions, sorted_groups
+from gridloom.llm.common import candidate_pairs, checkpointed, connected_components, dealt_in_blocks, partitions, sorted_groups, spanning_forest
 
 COSINE = 0.95
 TABLES = 4
 PROBES = 8
 SCALE = 5.0
+CELL = 4_096
+DENSE = 2  # near pairs per entry beyond which a cell's vectors are compared in the cell
 SKETCH_SLACK = 32  # of 128 bits: at cosine 0.95 the mean is 13 and the deviation 3.4
 SEED = 7
 
@@ -119,35 +125,135 @@ def _entries(scale: float, tables: int, probes: int):
 
 
 def _candidates(slack: int):
+    """Entries by (tab, cell, sub) -> near pairs (a, b), and the near entries of dense cells (b null, with their key)."""
+
     def run(batches):
-        for rows, starts in sorted_groups(batches, 2):
-            home, cid = rows.column(2).to_numpy() == 0, rows.column(3).to_numpy()
-            s0, s1 = (rows.column(i).to_numpy().view(np.uint64) for i in (4, 5))
+        for rows, starts in sorted_groups(batches, 3):
+            home, cid = rows.column(3).to_numpy() == 0, rows.column(4).to_numpy()
+            s0, s1 = (rows.column(i).to_numpy().view(np.uint64) for i in (5, 6))
+            size = np.diff(starts)
+            found, active, kept = np.zeros(len(size), np.int64), np.zeros(len(cid), bool), []
             for left, right in candidate_pairs(starts, home):
                 near = np.bitwise_count(s0[left] ^ s0[right]).astype(np.int16) + np.bitwise_count(s1[left] ^ s1[right]) <= slack
-                if near.any():
-                    pairs = np.unique(np.sort(np.stack([cid[left[near]], cid[right[near]]], 1), axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                left, right = left[near], right[near]
+                if not len(left):
+                    continue
+                active[left] = active[right] = True
+                group = np.searchsorted(starts, left, "right") - 1
+                found += np.bincount(group, minlength=len(size))
+                few = found[group] <= DENSE * size[group]
+                kept.append(np.stack([left[few], right[few]], 1))
+            if not kept:
+                continue
+            dense = found > DENSE * size
+            pairs = np.concatenate(kept)
+            pairs = cid[pairs[~dense[np.searchsorted(starts, pairs[:, 0], "right") - 1]]]
+            pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+            at = np.flatnonzero(active & np.repeat(dense, size))
+            key = [rows.column(i).to_numpy()[at] for i in range(4)]
+            none = np.zeros(len(pairs), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(np.concatenate([none, k]), pa.int64()) for k in key), pa.array(np.concatenate([pairs[:, 0], cid[at]])),
+                 pa.array(np.concatenate([pairs[:, 1], at]), mask=np.arange(len(pairs) + len(at)) >= len(pairs))],
+                names=["tab", "cell", "sub", "role", "a", "b"],
+            )
 
     return run
 
 
-def _cosines(batches):
-    for b in batches:
-        left, right = b.column(2), b.column(3)
-        la, ra = left.offsets.to_numpy(), right.offsets.to_numpy()
-        lv, rv = (x.flatten().to_numpy().astype(np.float64) for x in (left, right))
-        la, ra = la - la[0], ra - ra[0]
-        out = np.full(b.num_rows, -1.0)
-        sizes, other = np.diff(la), np.diff(ra)
-        for dim in np.unique(sizes[sizes == other]):
-            at = np.flatnonzero((sizes == dim) & (other == dim))
-            for k in range(0, len(at), 4_096):
-                rows = at[k : k + 4_096]
-                x, y = lv[la[rows][:, None] + np.arange(dim)], rv[ra[rows][:, None] + np.arange(dim)]
-                x, y = x / np.abs(x).max(1, keepdims=True), y / np.abs(y).max(1, keepdims=True)
-                out[rows] = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], names=["a", "b", "cosine"])
+def _unit(column) -> np.ndarray:
+    """Equally long vectors as rows of length one."""
+    v = column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
+
+
+LINKS = "a long, others array<long>, copies array<long>, low long"
+
+
+def _lists(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Links (a, b, rows of b) as one list per a."""
+    order = np.argsort(a, kind="stable")
+    a, b, n = a[order], b[order], n[order]
+    starts = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, np.int64)
+    offsets = pa.array(np.append(starts, len(a)), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (b, n)]
+    return pa.RecordBatch.from_arrays([pa.array(a[starts], pa.int64()), *lists, pa.nulls(len(starts), pa.int64())], names=["a", "others", "copies", "low"])
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Links that connect what is connected, without lists."""
+    nothing = [pa.nulls(len(a), pa.list_(pa.int64())) for _ in range(2)]
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), *nothing, pa.array(np.minimum(a, b), pa.int64())], names=["a", "others", "copies", "low"])
+
+
+def _pair_links(cosine: float):
+    """(a, b, na, nb, va, vb) -> LINKS."""
+
+    def run(batches):
+        for rows in batches:
+            a, b, na, nb = (rows.column(i).to_numpy() for i in range(4))
+            sizes = [np.diff(rows.column(i).offsets.to_numpy()) for i in (4, 5)]
+            for dim in np.unique(sizes[0][sizes[0] == sizes[1]]):
+                at = np.flatnonzero((sizes[0] == dim) & (sizes[1] == dim))
+                for k in range(0, len(at), 4_096):
+                    pick = at[k : k + 4_096]
+                    x, y = (_unit(rows.column(i).take(pa.array(pick))) for i in (4, 5))
+                    p = pick[(x * y).sum(1) >= cosine]
+                    if len(p):
+                        yield _lists(np.concatenate([a[p], b[p]]), np.concatenate([b[p], a[p]]), np.concatenate([nb[p], na[p]]))
+                        yield _forest(a[p], b[p])
+
+    return run
+
+
+def _cell_links(cosine: float):
+    """(tab, cell, sub, role, cid, n, v) by cell -> LINKS, from the cosines of home entries with all entries of their cell."""
+
+    def run(batches):
+        for rows, starts in sorted_groups(batches, 3):
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                part = rows.slice(int(lo), int(hi - lo))
+                home, cid, n = part.column(3).to_numpy() == 0, part.column(4).to_numpy(), part.column(5).to_numpy()
+                v = _unit(part.column(6))
+
+                def near(f, g, v=v):
+                    c = v[f] @ v[g].T
+                    for i, j in zip(*np.nonzero(np.abs(c - cosine) < 1e-12)):  # a product's last digits depend on its blocks
+                        c[i, j] = (v[f[i]] * v[g[j]]).sum()
+                    return c >= cosine
+
+                homes, every = np.flatnonzero(home), np.arange(len(cid))
+                step = max(1, 2_000_000 // len(cid))
+                for k in range(0, len(homes), step):
+                    f = homes[k : k + step]
+                    alike = near(f, every)
+                    alike[np.arange(len(f)), f] = False
+                    i, j = np.nonzero(alike)
+                    i = f[i]
+                    back = ~home[j]  # pairs of two home rows come from both sides
+                    left, right = np.concatenate([i, j[back]]), np.concatenate([j, i[back]])
+                    if len(left):
+                        yield _lists(cid[left], cid[right], n[right])
+                forest = spanning_forest(len(cid), home, near)
+                if len(forest):
+                    yield _forest(cid[forest[:, 0]], cid[forest[:, 1]])
+
+    return run
+
+
+def _united(batches):
+    """Lists by a -> (a, others): the rows of all distinct vectors linked with a."""
+    for rows, _ in sorted_groups(batches, 1):
+        lists = rows.column(1)
+        a = np.repeat(rows.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
+        b, n = (rows.column(i).flatten().to_numpy() for i in (1, 2))
+        order = np.lexsort((b, a))
+        a, b, n = a[order], b[order], n[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+        a, n = a[new], n[new]
+        starts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(a[starts]), pa.array(np.add.reduceat(n, starts))], names=["a", "others"])
 
 
 def usable(v):
@@ -161,27 +267,33 @@ def classes_of(vectors: DataFrame) -> DataFrame:
     return checkpointed(rows.select(F.monotonically_increasing_id().alias("cid"), "v", "low", "n"))
 
 
-def linked_pairs(classes: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, slack: int = SKETCH_SLACK) -> DataFrame:
-    """(a, b, cosine): pairs of classes (a < b) found in a common cell, with at least the given cosine."""
+def links(
+    classes: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, slack: int = SKETCH_SLACK, cell: int = CELL,
+) -> DataFrame:
+    """Links found between classes (cid, v, n): rows with a list of a's linked classes and their numbers of rows
+    (a pair can be listed more than once), and rows (a, low) of a forest that connects what is linked."""
     parts = partitions(classes.sparkSession)
+    key = ("tab", "cell")
     entries = classes.select("cid", "v").mapInArrow(_entries(scale, tables, probes), "tab long, cell long, role int, cid long, s0 long, s1 long")
-    dealt = entries.repartition(parts, "tab", "cell").sortWithinPartitions("tab", "cell")
-    found = dealt.mapInArrow(_candidates(slack), "a long, b long").where("a <> b").distinct()
-    left = classes.select(F.col("cid").alias("a"), F.col("v").alias("va"))
-    right = classes.select(F.col("cid").alias("b"), F.col("v").alias("vb"))
-    pairs = found.join(left, "a").join(right, "b").select("a", "b", "va", "vb")
-    return pairs.mapInArrow(_cosines, "a long, b long, cosine double").where(F.col("cosine") >= cosine)
-
-
-def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
+    hot = checkpointed(entries.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > cell))
+    dealt = dealt_in_blocks(entries, key, "cid", hot, cell).select(*key, "sub", "role", "cid", "s0", "s1")
+    dealt = dealt.repartition(parts, *key, "sub").sortWithinPartitions(*key, "sub")
+    found = checkpointed(dealt.mapInArrow(_candidates(slack), "tab long, cell long, sub long, role long, a long, b long"))
+    side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("v").alias(f"v{c}"))
+    pairs = found.where("b is not null").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "va", "vb")
+    inside = found.where("b is null").withColumnRenamed("a", "cid").drop("b").join(classes.select("cid", "n", "v"), "cid")
+    inside = inside.select(*key, "sub", "role", "cid", "n", "v").repartition(parts, *key, "sub").sortWithinPartitions(*key, "sub")
+    return pairs.mapInArrow(_pair_links(cosine), LINKS).unionByName(inside.mapInArrow(_cell_links(cosine), LINKS))
+
+
+def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, cell: int = CELL) -> DataFrame:
     """One row per row of embeddings: vec_id, n_links, component_id, kept."""
     vectors = embeddings.select(F.col(f"`{id_col}`").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
     classes = classes_of(vectors)
-    links = checkpointed(linked_pairs(classes, cosine).select("a", "b"))
-    counts = classes.select(F.col("cid").alias("b"), "n")
-    both = links.union(links.select(F.col("b"), F.col("a")))
-    others = both.join(counts, "b").groupBy("a").agg(F.sum("n").alias("others"))
-    labels = connected_components(links)
+    found = checkpointed(links(classes, cosine, cell=cell))
+    lists = found.where("others is not null").select("a", "others", "copies").repartition(partitions(embeddings.sparkSession), "a").sortWithinPartitions("a")
+    others = lists.mapInArrow(_united, "a long, others long")
+    labels = connected_components(found.where("low is not null").select("a", F.col("low").alias("b")))
     known = classes.join(others.withColumnRenamed("a", "cid"), "cid", "left").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     known = known.select("v", "low", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cid").alias("group"))
     lowest = known.groupBy("group").agg(F.min("low").alias("component_id"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import jaccard
-from gridloom.llm.common import broadcast_if_small, candidate_pairs, checkpointed, connected_components, partitions, sorted_groups
+from gridloom.llm.common import candidate_pairs, checkpointed, connected_components, dealt_in_blocks, partitions, sorted_groups, spanning_forest
 
 SEED = 42
 BITS = 64
@@ -129,25 +129,8 @@ def _cover_rows(homes_only: bool):
 
 def spanning_links(fp: np.ndarray, home: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
     """Spanning forest, as (m, 2) row numbers, of the links between a home row and any row."""
-    bits, out = fp.view(np.uint64), []
-    left = np.arange(len(fp))
-    while len(left) > 1:
-        seeds = left[home[left]]
-        if not len(seeds):
-            break
-        frontier = seeds[:1]
-        left = left[left != seeds[0]]
-        while len(frontier) and len(left):
-            take = max(1, 1_000_000 // len(left))
-            f, frontier = frontier[:take], frontier[take:]
-            near = np.bitwise_count(bits[f][:, None] ^ bits[left][None, :]) <= threshold
-            near &= home[f][:, None] | home[left][None, :]
-            hit = near.any(0)
-            if hit.any():
-                out.append(np.stack([f[near[:, hit].argmax(0)], left[hit]], 1))
-                frontier = np.concatenate([frontier, left[hit]])
-                left = left[~hit]
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    bits = fp.view(np.uint64)
+    return spanning_forest(len(fp), home, lambda f, g: np.bitwise_count(bits[f][:, None] ^ bits[g][None, :]) <= threshold)
 
 
 def _link_cells(threshold: int, big: int = 4_096):
@@ -193,14 +176,7 @@ def link(fps: DataFrame, threshold: int = THRESHOLD, cell: int = CELL) -> DataFr
     homes = fps.select("fp").mapInArrow(_cover_rows(True), "cell long, role int, fp long")
     hot = checkpointed(homes.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell))
     rows = fps.select("fp").mapInArrow(_cover_rows(False), "cell long, role int, fp long")
-    if hot.isEmpty():
-        rows = rows.select("cell", F.lit(0).cast("long").alias("sub"), "role", "fp")
-    else:
-        rows = rows.join(broadcast_if_small(hot), "cell", "left").withColumn("g", F.coalesce(F.ceil(F.col("n") / cell), F.lit(1)).cast("long"))
-        rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("g"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-        as_home = rows.where("role = 0").select("cell", (F.col("own") * F.col("g") + F.col("i")).alias("sub"), "role", "fp")
-        as_any = rows.where("role = 1 or i <> own").select("cell", (F.col("i") * F.col("g") + F.col("own")).alias("sub"), F.lit(1).alias("role"), "fp")
-        rows = as_home.unionByName(as_any)
+    rows = dealt_in_blocks(rows, ("cell",), "fp", hot, cell).select("cell", "sub", "role", "fp")
     dealt = rows.repartition(partitions(fps.sparkSession), "cell", "sub").sortWithinPartitions("cell", "sub")
     return dealt.mapInArrow(_link_cells(threshold), "a long, b long")
 

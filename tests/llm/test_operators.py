@@ -442,31 +442,71 @@ def test_url_rules(spark):
 # ------------------------------------------------------------------ embeddings
 
 
+def near_copies(base, cosine, rng):
+    """A vector at the given cosine of each row."""
+    z = rng.normal(size=base.shape)
+    z -= (z * base).sum(1, keepdims=True) * base
+    return cosine * base + math.sqrt(1 - cosine**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+
+
+def unit_rows(n, dim, rng):
+    x = rng.normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def brute_links(v, cosine=0.95):
+    a = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    link = a @ a.T >= cosine
+    np.fill_diagonal(link, False)
+    return link
+
+
+@pytest.mark.parametrize("dim", [32, 64, 256])
+def test_recall_of_planted_unequal_pairs(spark, dim):
+    rng = np.random.default_rng(dim)
+    base = unit_rows(1_000, dim, rng)
+    v = np.concatenate([base, near_copies(base, 0.9505, rng)]).astype(np.float32)
+    want = brute_links(v)
+    got = lattice.near_duplicates(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")).collect()
+    found = sum(r["n_links"] for r in got)
+    assert want.sum() >= 1_900 and 0.95 * want.sum() <= found <= want.sum()
+    assert all(r["n_links"] <= want[r["vec_id"]].sum() for r in got)
+
+
 def test_embedding_links(spark):
+    rng = np.random.default_rng(11)
     n = 400
-    base = RNG.normal(size=(n, 64))
-    base /= np.linalg.norm(base, axis=1, keepdims=True)
-    made = [base]
-    for cosine in (0.952, 0.97, 0.999):
-        z = RNG.normal(size=(100, 64))
-        z -= (z * base[:100]).sum(1, keepdims=True) * base[:100]
-        made.append(cosine * base[:100] + math.sqrt(1 - cosine**2) * z / np.linalg.norm(z, axis=1, keepdims=True))
-    v = np.concatenate([*made, np.repeat(base[:1], 50, 0), 3 * base[5:6]]).astype(np.float32)
+    base = unit_rows(n, 64, rng)
+    near = [near_copies(base[:100], c, rng) for c in (0.952, 0.97, 0.999)]
+    v = np.concatenate([base, *near, np.repeat(base[:1], 50, 0), 3 * base[5:6]]).astype(np.float32)
     odd = [None, [], [0.0] * 64, [float("nan")] * 64, [float("inf")] + [0.0] * 63, [1.0, None], [1.0, 2.0]]
     rows = [(i, x.tolist(), 1) for i, x in enumerate(v)] + [(len(v) + i, x, None) for i, x in enumerate(odd)] + [(None, base[1].astype(np.float32).tolist(), 2)]
-    got = lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, group int")).collect()
+    got = lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, n int")).collect()
     by = {r["vec_id"]: r for r in got}
-    a = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
-    link = a @ a.T >= 0.95
-    np.fill_diagonal(link, False)
+    link = brute_links(v)
     true = link.sum() + 2 * link[1].sum() + 2
-    assert len(got) == len(rows) and 0.9 * true <= sum(r["n_links"] for r in got) <= true
+    assert len(got) == len(rows) and 0.95 * true <= sum(r["n_links"] for r in got) <= true
     for i in range(len(odd)):
         assert tuple(by[len(v) + i]) == (len(v) + i, 0, len(v) + i, True)
     assert by[n + 300]["n_links"] >= 50 and by[n + 300]["component_id"] == 0 and not by[n + 300]["kept"]
     assert lattice.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("cell", [lattice.CELL, 40])
+def test_dense_groups_of_unequal_vectors(spark, cell):
+    """Groups whose members are all alike: found whole whether cells are dealt as blocks or not."""
+    rng = np.random.default_rng(12)
+    centres = unit_rows(3, 64, rng)
+    v = np.concatenate([near_copies(np.repeat(centres[:1], 150, 0), 0.99, rng), near_copies(np.repeat(centres[1:2], 60, 0), 0.985, rng), unit_rows(100, 64, rng)]).astype(np.float32)
+    link = brute_links(v)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(1_000, v[3].tolist())]
+    got = {r["vec_id"]: r for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), cell=cell).collect()}
+    want = {i: int(link[i].sum() + link[i, 3] + (i == 3)) for i in range(len(v))}
+    assert sum(got[i]["n_links"] for i in want) >= 0.99 * sum(want.values()) and all(got[i]["n_links"] <= want[i] for i in want)
+    assert {got[i]["component_id"] for i in range(150)} == {0} and got[1_000]["component_id"] == 0
+    assert {got[i]["component_id"] for i in range(150, 210)} == {150} and all(got[i]["component_id"] == i for i in range(210, 310))
+
+
 def test_lattice_points_are_nearest():
     x = RNG.normal(size=(50, 8)) * 2
     near = lattice.decode(x)
