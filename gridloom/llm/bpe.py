@@ -7,8 +7,9 @@ concatenates the binary pieces of the ids.
 
 The fold exists twice. ``fold_merges`` is a Spark expression: higher-order functions over pieces held as
 hex digits, with ranks from one literal, an array of 65,536 small maps addressed by a hash of the piece.
-``fold_word`` is the same fold in the Python workers. Texts are encoded by the latter, because the
-expression takes over a hundred microseconds a word (see the README); tests hold them equal.
+``fold_word`` is the same fold in the Python workers, by a heap of pairs where a word is longer than ``SHORT``
+bytes. Texts are encoded by the latter, because the expression takes over a hundred microseconds a word (see
+the README); tests hold them equal.
 
 Defined cases: null and empty texts have no ids (the hashes are those of no bytes); ids are those of a
 text's UTF-8 bytes; repeated rows are encoded alike; other columns are ignored.
@@ -25,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import text_slices
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 BUCKETS = 65_536
 NEVER = 2**31 - 1
 CACHE = 300_000  # chunks, and words, a task remembers
-SLICE = 500  # rows of a batch held as Python objects at a time
+SHORT = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -98,6 +101,8 @@ def fold_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     get = ranks.get
     if (whole := get(word)) is not None:
         return [whole]
+    if len(word) > SHORT:
+        return fold_long(word, ranks)
     pieces = [word[i : i + 1] for i in range(len(word))]
     pairs = [get(word[i : i + 2], NEVER) for i in range(len(word) - 1)]
     while pairs and (low := min(pairs)) != NEVER:
@@ -112,6 +117,36 @@ def fold_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in pieces]
 
 
+def fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same fold in n log n steps: a heap of (rank, start, end) of adjacent pairs over a linked list of pieces.
+
+    A pair is out of date when a piece at its start no longer reaches, with its neighbour, the same end.
+    """
+    from heapq import heapify, heappop, heappush
+
+    get, n = ranks.get, len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n))  # by a piece's start: where it ends, and the start of the piece before
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(word[i : i + 2])) is not None]
+    heapify(heap)
+    while heap:
+        _, i, stop = heappop(heap)
+        j = end[i]
+        if j <= i or j >= n or end[j] != stop:
+            continue
+        end[i], end[j] = stop, 0
+        if stop < n:
+            before[stop] = i
+            if (r := get(word[i : end[stop]])) is not None:
+                heappush(heap, (r, i, end[stop]))
+        if (h := before[i]) >= 0 and (r := get(word[h:stop])) is not None:
+            heappush(heap, (r, h, stop))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : end[i]]])
+        i = end[i]
+    return out
+
+
 def encoder(ranks: dict[bytes, int], pattern: str, cache: int = CACHE):
     """A function from a text's bytes (or null) to its ids, four bytes each, little end first.
 
@@ -160,12 +195,6 @@ def encoder(ranks: dict[bytes, int], pattern: str, cache: int = CACHE):
     return encode_text
 
 
-def texts_of(column, rows: int = SLICE):
-    """The bytes of an Arrow column of texts, as lists of some rows at a time."""
-    for k in range(0, len(column), rows):
-        yield column.slice(k, rows).cast(pa.binary()).to_pylist()
-
-
 def _with_text(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, str]:
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return rows, dict(rows.dtypes)["doc_id"]
@@ -179,7 +208,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabula
     def run(batches):
         made = encoder(*shared.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ids for some in texts_of(b.column(1)) for ids in map(made, some)], pa.binary())], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ids for _, some in text_slices(b.column(1)) for ids in map(made, some)], pa.binary())], names=["doc_id", "ids"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, ids binary")
 
@@ -223,7 +252,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", voca
         made, pieces = encoder(ranks, pattern), pieces_of(ranks)
         for b in batches:
             n, coded, decoded = [], [], []
-            for some in texts_of(b.column(1)):
+            for _, some in text_slices(b.column(1)):
                 for ids in map(made, some):
                     n.append(len(ids) // 4)
                     coded.append(hashlib.sha256(ids).hexdigest())

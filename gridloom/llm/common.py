@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,14 +30,23 @@ def crc_mod(col: Column, m: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's spark.checkpoint.dir, or in tests one of our own."""
+    """The folder all executors share: the cluster's spark.checkpoint.dir. Where none is named a folder of the
+    driver serves a local master (as in tests); on a cluster that is refused, since executors would not see it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
     return sc.getCheckpointDir()
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate rows from whatever store it is in."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint; a lost executor then costs no recomputation."""
     shared_dir(df.sparkSession)
@@ -102,8 +112,6 @@ def text_slices(column, rows: int = 500, most: int = 1 << 22):
 
 def pieces_of_text(text: bytes, size: int = 1 << 20):
     """A text in pieces of about ``size`` bytes, cut at white space, so that no word is parted."""
-    import re
-
     if len(text) <= size:
         yield text
         return

@@ -12,17 +12,18 @@ A record is the ids as little-endian 16-bit numbers (32-bit for larger vocabular
 Shards go through Spark's own writer, so they land in any store it knows, and a task that is lost or run
 twice leaves one committed file.
 
-The tokens are made twice, first only to count sequences per task (a table of one row per task, plus two
-numbers a text), then to be shuffled once to their slots. So the input must give the same rows in the same order when it is
-read again, as files and checkpoints do; where a task's count differs, the second pass fails.
+The tokens are made once: sequences, and where each text's ids lie among its task's ids, are written to the
+shared folder; sequences are then numbered by one row per task, and shuffled once to their slots. Sequences and
+places come from the same committed files, whatever order the rows had. Texts are encoded some megabytes at a time.
 
 Defined cases: null and empty texts are one end-of-text id; repeated rows and rows without id are packed
-like others; an empty table has no sequences and no shards.
+like others (doc_ids lists no null ids); an empty table has no sequences and no shards; other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import sys
 import uuid
 from array import array
@@ -32,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.bpe import public_vocabulary, texts_of
-from gridloom.llm.common import checkpointed, shared_dir
+from gridloom.llm.bpe import public_vocabulary
+from gridloom.llm.common import checkpointed, discard, shared_dir, text_slices
 
 LENGTH = 2_048
 PER_SHARD = 8_192
 KEY = 0x5EED
 FEISTEL_ROUNDS = 6
+PIECE = 1 << 20
+BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")  # always begins a match of the pattern, so ids on both sides are the same apart
 
 
 def permute(x: np.ndarray, n: int, key: int = KEY, rounds: int = FEISTEL_ROUNDS) -> np.ndarray:
@@ -72,73 +75,68 @@ class Encoder:
         self.end = len(ranks)
         self.code = "H" if self.kind.itemsize == 2 else "I"
 
-    def ids(self, raw: bytes | None) -> list[int]:
-        return [*self.encode(raw.decode("utf-8", "replace") if raw else ""), self.end]
-
     def text(self, raw: bytes | None) -> bytes:
-        ids = array(self.code, self.ids(raw))
+        """The ids of one text, little end first."""
+        text, parts, at = raw.decode("utf-8", "replace") if raw else "", [], 0
+        while len(text) - at > PIECE and (cut := BETWEEN_WORDS.search(text, at + PIECE)):
+            parts.append(array(self.code, self.encode(text[at : cut.start()])))
+            at = cut.start()
+        parts.append(array(self.code, [*self.encode(text[at:]), self.end]))
         if sys.byteorder != "little":
-            ids.byteswap()
-        return ids.tobytes()
+            for part in parts:
+                part.byteswap()
+        return b"".join(parts)
 
 
 def id_type(ranks: dict[bytes, int]):
     return np.dtype("<u2") if len(ranks) < 1 << 16 else np.dtype("<u4")
 
 
-def _lengths(shared):
-    def run(batches):
-        from pyspark import TaskContext
-
-        encoder, task, at = Encoder(*shared.value), TaskContext.get().partitionId(), 0
-        for b in batches:
-            n = np.array([len(encoder.ids(x)) for some in texts_of(b.column(1)) for x in some], np.int64)
-            ends = at + np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), task, np.int64)), pa.array(ends - n), pa.array(n)], names=["doc_id", "task", "start", "n"])
-            at = int(ends[-1]) if len(ends) else at
-
-    return run
-
-
-def _sequences(shared, plan, length: int, key: int):
-    """text -> (slot, ids) of the task's sequences."""
+def _tokens(shared, length: int):
+    """(doc_id, text) -> a row (doc_id, task, at = first id, n) for each text and a row (task, at = number, ids) for each sequence."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        numbers, total = plan.value
-        encoder = Encoder(*shared.value)
-        first, count = numbers.get(TaskContext.get().partitionId(), (0, 0))
-        stride, rest, done = length * encoder.kind.itemsize, b"", 0
+        encoder, task = Encoder(*shared.value), TaskContext.get().partitionId()
+        size = encoder.kind.itemsize
+        stride, rest, at, done, kind = length * size, b"", 0, 0, None
 
-        def out(payload: bytes):
+        def sequences(payload: bytes):
             nonlocal done
             k = len(payload) // stride
-            slots = permute(first + done + np.arange(k), total, key) if k else np.zeros(0, np.int64)
+            rows = [pa.nulls(k, kind), pa.array(np.full(k, task, np.int64)), pa.array(done + np.arange(k)), pa.nulls(k, pa.int64()), pa.array([payload[i * stride : (i + 1) * stride] for i in range(k)], pa.binary())]
             done += k
-            if done > count:
-                raise RuntimeError("the input changed between the passes over it")
-            return pa.RecordBatch.from_arrays([pa.array(slots), pa.array([payload[i * stride : (i + 1) * stride] for i in range(k)], pa.binary())], names=["slot", "ids"])
+            return pa.RecordBatch.from_arrays(rows, names=["doc_id", "task", "at", "n", "ids"])
 
         for b in batches:
-            data = b"".join([rest, *(encoder.text(x) for some in texts_of(b.column(1)) for x in some)])
-            whole = len(data) // stride * stride
-            rest = data[whole:]
-            if whole:
-                yield out(data[:whole])
+            kind = b.column(0).type
+            for first, some in text_slices(b.column(1)):
+                ids = list(map(encoder.text, some))
+                n = np.array([len(x) // size for x in ids], np.int64)
+                ends = at + np.cumsum(n)
+                at = int(ends[-1])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(n)), pa.array(np.full(len(n), task, np.int64)), pa.array(ends - n), pa.array(n), pa.nulls(len(n), pa.binary())], names=["doc_id", "task", "at", "n", "ids"])
+                data = b"".join([rest, *ids])
+                whole = len(data) // stride * stride
+                rest = data[whole:]
+                for k in range(0, whole, 512 * stride):
+                    yield sequences(data[k : min(k + 512 * stride, whole)])
         if rest:
-            yield out(rest + np.full((stride - len(rest)) // encoder.kind.itemsize, encoder.end, encoder.kind).tobytes())
-        if done != count:
-            raise RuntimeError("the input changed between the passes over it")
+            yield sequences(rest + np.full((stride - len(rest)) // size, encoder.end, encoder.kind).tobytes())
 
     return run
 
 
-def lengths(docs: DataFrame, vocabulary=None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, task, start, n), one row per row of docs: where its ids lie among its task's ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary or public_vocabulary())
+def tokenise(docs: DataFrame, path: str, vocabulary=None, length: int = LENGTH, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Write the tokens of docs under path once; returns (doc_id, task, start, n), one row per row of docs, and (task, number, ids), one row per sequence."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(vocabulary or public_vocabulary())
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(_lengths(shared), f"doc_id {dict(rows.dtypes)['doc_id']}, task long, start long, n long")
+    made = rows.mapInArrow(_tokens(shared, length), f"doc_id {dict(rows.dtypes)['doc_id']}, task long, at long, n long, ids binary")
+    made.write.option("compression", "zstd").parquet(path)
+    stored = spark.read.schema(made.schema).parquet(path)
+    return stored.where("n is not null").select("doc_id", "task", F.col("at").alias("start"), "n"), stored.where("n is null").select("task", F.col("at").alias("number"), "ids")
 
 
 def task_numbers(placed: DataFrame, length: int = LENGTH) -> tuple[dict[int, tuple[int, int]], int]:
@@ -151,24 +149,22 @@ def task_numbers(placed: DataFrame, length: int = LENGTH) -> tuple[dict[int, tup
     return numbers, total
 
 
-def write_shards(
-    docs: DataFrame, path: str, placed: DataFrame | None = None, vocabulary=None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY,
-    id_col: str = "doc_id", text: str = "text",
-) -> int:
-    """Write all shards under path and return the number of sequences. Shard k is the file part-<k>."""
-    spark = docs.sparkSession
-    vocabulary = vocabulary or public_vocabulary()
-    placed = placed if placed is not None else checkpointed(lengths(docs, vocabulary, id_col, text))
-    numbers, total = task_numbers(placed, length)
+def write_shards(sequences: DataFrame, path: str, numbers: dict[int, tuple[int, int]], total: int, per_shard: int = PER_SHARD, key: int = KEY) -> None:
+    """Write sequences (task, number, ids) to their slots under path. Shard k is the file part-<k>."""
     if not total:
-        return 0
-    shared, plan = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast((numbers, total))
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    sequences = rows.mapInArrow(_sequences(shared, plan, length, key), "slot long, ids binary")
+        return
+    plan = sequences.sparkSession.sparkContext.broadcast(numbers)
+
+    def run(batches):
+        for b in batches:
+            first = np.array([plan.value[t][0] for t in b.column(0).to_pylist()], np.int64)
+            slots = permute(first + b.column(1).to_numpy(), total, key) if b.num_rows else first
+            yield pa.RecordBatch.from_arrays([pa.array(slots), b.column(2)], names=["slot", "ids"])
+
+    placed = sequences.select("task", "number", "ids").mapInArrow(run, "slot long, ids binary")
     shards = -(-total // per_shard)
-    dealt = sequences.repartitionById(shards, F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot")
+    dealt = placed.repartitionById(shards, F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot")
     dealt.select(F.col("ids").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\n").option("compression", "none").text(path)
-    return total
 
 
 def shard_files(spark, path: str) -> DataFrame:
@@ -223,10 +219,14 @@ def training_order(docs: DataFrame, path: str | None = None, vocabulary=None, le
     spark = docs.sparkSession
     vocabulary = vocabulary or public_vocabulary()
     path = path or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    placed = checkpointed(lengths(docs, vocabulary))
+    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    texts, sequences = tokenise(docs, folder, vocabulary, length)
+    placed = checkpointed(texts)
     numbers, total = task_numbers(placed, length)
+    write_shards(sequences, path, numbers, total, per_shard, key)
+    discard(spark, folder)
     kind = dict(placed.dtypes)["doc_id"]
-    if not write_shards(docs, path, placed, vocabulary, length, per_shard, key):
+    if not total:
         return spark.createDataFrame([], f"slot long, shard long, record long, n_tokens long, doc_ids array<{kind}>, ids_sha256 string")
     found = read_slots(spark, path, 0, id_type(vocabulary[0]), length, per_shard).select("slot", F.sha2("ids", 256).alias("ids_sha256"))
     listed = documents_by_slot(placed, numbers, total, length, key)

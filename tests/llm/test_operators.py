@@ -386,6 +386,52 @@ def test_shards_hold_every_token_once(spark, docs, empty, tmp_path):
     assert shards.training_order(empty, str(tmp_path / "e")).count() == 0
 
 
+def test_slots_and_documents_by_brute_force(spark, docs, tmp_path):
+    from collections import defaultdict
+
+    import tiktoken
+    from pyspark.sql import functions as F
+
+    length, per, frame = 64, 10, docs.repartition(3)
+    ranks, pattern = shards.public_vocabulary()
+    encode = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    tasks = defaultdict(list)
+    for r in frame.select("doc_id", "text", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at")).orderBy("at").collect():
+        tasks[r["task"]].append(r)
+    sequences = []
+    for task in sorted(tasks):
+        ids, owners = [], []
+        for r in tasks[task]:
+            new = [*encode(r["text"] or ""), len(ranks)]
+            owners += [(r["at"], r["doc_id"])] * len(new)
+            ids += new
+        for k in range(0, len(ids), length):
+            part, own = ids[k : k + length], owners[k : k + length]
+            docs_here = sorted((d for _, d in dict.fromkeys(own)), key=lambda d: (d is None, d or 0))
+            sequences.append((hashlib.sha256(np.array(part + [len(ranks)] * (length - len(part)), "<u2").tobytes()).hexdigest(), [d for d in docs_here], len(part)))
+    slots = shards.permute(np.arange(len(sequences)), len(sequences)).tolist()
+    want = {s: (s // per, s % per, n, sorted(map(str, (d for d in ds if d is not None))), digest) for s, (digest, ds, n) in zip(slots, sequences)}
+    got = {r["slot"]: (r["shard"], r["record"], r["n_tokens"], sorted(map(str, r["doc_ids"])), r["ids_sha256"]) for r in shards.training_order(frame, str(tmp_path / "b"), length=length, per_shard=per).collect()}
+    assert got == want
+
+
+def test_long_texts_are_encoded_in_pieces(monkeypatch):
+    monkeypatch.setattr(shards, "PIECE", 200)
+    encoder = shards.Encoder(*shards.public_vocabulary())
+    text = sentence(600, 77) + "  two  spaces \n and\ttabs " + "x" * 900 + " end"
+    assert np.frombuffer(encoder.text(text.encode()), "<u2").tolist() == [*encoder.encode(text), encoder.end]
+
+
+def test_a_driver_folder_is_refused_on_a_cluster():
+    from types import SimpleNamespace
+
+    from gridloom.llm.common import shared_dir
+
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: {}, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(sparkContext=sc))
+
+
 # ------------------------------------------------------------------ byte-level BPE
 
 
@@ -404,6 +450,24 @@ def test_bpe_round_trip(docs, rows, empty):
     assert bpe.round_trip(empty).count() == 0
 
 
+def test_long_words_fold_as_the_library_does():
+    import tiktoken
+
+    ranks, pattern = bpe.public_vocabulary()
+    encode = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEF"))
+    long = ["".join(rng.choice(letters, n)) for n in (65, 66, 500, 100_000)] + ["a" * 3_000, "ab" * 999, "ü" * 500, "=" * 1_000, "thethere" * 200]
+    made = bpe.encoder(ranks, pattern)
+    for w in long:
+        for text in (w, f"some words {w} and  {w}"):
+            assert np.frombuffer(made(text.encode()), "<u4").tolist() == encode(text)
+    for w in long[:3] + long[4:6]:
+        assert bpe.fold_long(w.encode(), ranks) == bpe.fold_word(w.encode(), ranks)
+    short = ["".join(rng.choice(letters, n)) for n in range(2, 60)]
+    assert all(bpe.fold_long(w.encode(), ranks) == bpe.fold_word(w.encode(), ranks) for w in short)
+
+
 def test_both_folds_agree(spark):
     from pyspark.sql import functions as F
 
