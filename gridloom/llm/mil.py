@@ -6,12 +6,15 @@ attention, softmax(w . (tanh(V h) * sigmoid(U h))), weighs the passages; the wei
 goes to a logistic output. All weights are learned together from document labels by Adam.
 
 The model is fitted on a bounded sample: at most ``PER_CLASS`` labelled documents of each class, those of
-lowest hash, and at most ``BAG`` evenly spaced passages of each. Every text is scored whole, passage by
-passage in blocks, so long texts need no more memory than their encodings.
+lowest hash, with all their passages. Training runs in ``ROUNDS`` rounds: every task starts from the shared weights,
+takes ``EPOCHS`` epochs of Adam steps on its documents, and the new weights are the mean of the tasks' weights. A bag
+of more than ``BLOCK`` passages gives its gradient block by block. Only weights reach the driver. Every text is scored
+whole in the same blocks, so long texts need no more memory than their encodings.
 
 Defined cases: null and empty texts are one passage without bigrams and get the score the model gives
 it; without labelled documents of both classes every score is 0.5, with a warning; documents whose labels disagree, and null labels, are
-not learned from. Only the text is an input; repeated rows score alike.
+not learned from; where an id has several texts, the one of smallest hash is learned from. Only the text is an input;
+repeated rows score alike, an empty table has no scores, and other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import checkpointed, crc_mod
+from gridloom.llm.common import checkpointed, crc_mod, text_slices
 
 PASSAGE = 512
 PER_CLASS = 2_048
-BAG = 32
+BLOCK = 1_024
 HIDDEN, GATE = 32, 16
-EPOCHS, STEP = 40, 0.01
+ROUNDS, EPOCHS, BATCH, STEP, DECAY = 6, 8, 64, 0.01, 1e-4
+TASK_DOCUMENTS = 512
 FOLDS, HELD = 3, 1
 EXTRA = 4
 
@@ -117,44 +121,61 @@ def gradient(x: np.ndarray, starts: np.ndarray, y: np.ndarray, m: dict[str, np.n
     return {"W": x.T @ du, "b": du.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": z.T @ dl, "d": dl.sum(keepdims=True)}
 
 
-def train(bags: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, batch: int = 256, decay: float = 1e-4, seed: int = 5) -> dict[str, np.ndarray]:
-    m = new_model()
-    if not len(bags):
-        return m
-    rng = np.random.default_rng(seed)
+def encode_text(text: bytes, classes: np.ndarray, m: dict[str, np.ndarray], block: int = BLOCK) -> np.ndarray:
+    total = max(1, round(len(text) / PASSAGE))
+    return np.concatenate([encode(passages(text, classes, k, block), m) for k in range(0, total, block)])
+
+
+def long_gradient(text: bytes, classes: np.ndarray, y: float, m: dict[str, np.ndarray], block: int = BLOCK) -> dict[str, np.ndarray]:
+    """``gradient`` of one bag, with the features of one block of passages at a time."""
+    h = encode_text(text, classes, m, block)
+    a, t, g, _ = attend(h, np.zeros(1, np.int64), m)
+    z = a @ h
+    dl = _sigmoid(z @ m["c"] + m["d"]) - y
+    dz = dl * m["c"]
+    de = a * (h @ dz - z @ dz)
+    out = {"W": np.zeros_like(m["W"]), "b": np.zeros_like(m["b"]), "V": np.zeros_like(m["V"]), "U": np.zeros_like(m["U"]), "w": (t * g).T @ de, "c": z * dl, "d": dl}
+    for k in range(0, len(h), block):
+        s = slice(k, k + block)
+        dq = de[s, None] * m["w"]
+        dt, dg = dq * g[s] * (1 - t[s] * t[s]), dq * t[s] * g[s] * (1 - g[s])
+        du = (a[s, None] * dz + dt @ m["V"].T + dg @ m["U"].T) * (1 - h[s] * h[s])
+        out["W"] += passages(text, classes, k, block).T @ du
+        out["b"] += du.sum(0)
+        out["V"] += h[s].T @ dt
+        out["U"] += h[s].T @ dg
+    return out
+
+
+def train(texts: list[bytes], y: np.ndarray, m: dict[str, np.ndarray], epochs: int = EPOCHS, seed: int = 5) -> dict[str, np.ndarray]:
+    """The weights after some epochs of Adam from m. Features of texts beyond BLOCK passages are made anew each time."""
+    classes, rng = byte_classes(), np.random.default_rng(seed)
+    short = [passages(t, classes).astype(np.float16) if len(t) < BLOCK * PASSAGE else None for t in texts]
     one, two = ({n: np.zeros_like(v) for n, v in m.items()} for _ in range(2))
-    k = 0
+    m, k = dict(m), 0
     for _ in range(epochs):
-        order = rng.permutation(len(bags))
-        for lo in range(0, len(order), batch):
-            pick = order[lo : lo + batch]
-            x = np.concatenate([bags[i] for i in pick]).astype(np.float32)
-            starts = np.cumsum([0, *(len(bags[i]) for i in pick[:-1])])
+        order = rng.permutation(len(texts))
+        for lo in range(0, len(order), BATCH):
+            pick = order[lo : lo + BATCH]
+            bags = [i for i in pick if short[i] is not None]
+            sums = {n: np.zeros_like(v) for n, v in m.items()}
+            if bags:
+                x = np.concatenate([short[i] for i in bags]).astype(np.float32)
+                starts = np.cumsum([0, *(len(short[i]) for i in bags[:-1])])
+                sums = {n: len(bags) * v for n, v in gradient(x, starts, y[bags], m).items()}
+            for i in (i for i in pick if short[i] is None):
+                sums = {n: sums[n] + v for n, v in long_gradient(texts[i], classes, y[i], m).items()}
             k += 1
-            for n, v in gradient(x, starts, y[pick], m).items():
-                v = v.astype(np.float32) + decay * m[n]
+            for n in m:
+                v = (sums[n] / len(pick)).astype(np.float32) + DECAY * m[n]
                 one[n] = 0.9 * one[n] + 0.1 * v
                 two[n] = 0.999 * two[n] + 0.001 * v * v
                 m[n] = m[n] - STEP * (one[n] / (1 - 0.9**k)) / (np.sqrt(two[n] / (1 - 0.999**k)) + 1e-8)
     return m
 
 
-def score_text(text: bytes, classes: np.ndarray, m: dict[str, np.ndarray], block: int = 1_024) -> float:
-    total = max(1, round(len(text) / PASSAGE))
-    h = np.concatenate([encode(passages(text, classes, k, block), m) for k in range(0, total, block)])
-    return float(forward(h, np.zeros(1, np.int64), m)[0])
-
-
-def _bag_features(batches):
-    classes = byte_classes()
-    for b in batches:
-        rows = []
-        for text in b.column(1).cast(pa.binary()).to_pylist():
-            text = text or b""
-            total = max(1, round(len(text) / PASSAGE))
-            pick = sorted({int(i) for i in np.linspace(0, total - 1, min(BAG, total))})
-            rows.append(np.concatenate([passages(text, classes, i, 1) for i in pick]).astype(np.float16).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(rows, pa.binary())], names=["doc_id", "quality", "bag"])
+def score_text(text: bytes, classes: np.ndarray, m: dict[str, np.ndarray], block: int = BLOCK) -> float:
+    return float(forward(encode_text(text, classes, m, block), np.zeros(1, np.int64), m)[0])
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
@@ -166,18 +187,48 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     return known.where("quality = 0").orderBy(*by).limit(per_class).unionByName(known.where("quality = 1").orderBy(*by).limit(per_class))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict[str, np.ndarray] | None:
+def pack(m: dict[str, np.ndarray]) -> bytes:
+    return b"".join(np.ascontiguousarray(m[n], np.float32).tobytes() for n in sorted(m))
+
+
+def unpack(data: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    flat, out, at = np.frombuffer(data, np.float32), {}, 0
+    for n in sorted(like):
+        out[n] = flat[at : at + like[n].size].reshape(like[n].shape)
+        at += like[n].size
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rounds: int = ROUNDS) -> dict[str, np.ndarray] | None:
     """The model; None if there is nothing to learn from. docs (doc_id, text), labels (doc_id, quality)."""
+    spark = docs.sparkSession
     sample = F.broadcast(checkpointed(training_sample(docs, labels, per_class)))  # at most 2 * per_class rows
-    rows = docs.join(sample, "doc_id").select("doc_id", "text", F.col("quality").cast("long").alias("quality"))
-    kind = dict(docs.dtypes)["doc_id"]
-    got = rows.mapInArrow(_bag_features, f"doc_id {kind}, quality long, bag binary").toArrow().sort_by([("doc_id", "ascending")])
-    classes = set(got["quality"].to_pylist())
-    if len(classes) < 2:
-        warnings.warn(f"quality classifier: nothing is learned, labelled documents of classes {sorted(classes)} only", stacklevel=2)
+    rows = docs.join(sample, "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("quality").cast("long").alias("quality"))
+    rows = checkpointed(rows)
+    sizes = {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}
+    if len(sizes) < 2:
+        warnings.warn(f"quality classifier: nothing is learned, labelled documents of classes {sorted(sizes)} only", stacklevel=2)
         return None
-    bags = [np.frombuffer(x, np.float16).reshape(-1, WIDTH) for x in got["bag"].to_pylist()]
-    return train(bags, got["quality"].to_numpy().astype(np.float32))
+    dealt = rows.repartition(max(1, round(sum(sizes.values()) / TASK_DOCUMENTS)), F.xxhash64("doc_id", F.lit(1))).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    dealt = checkpointed(dealt.select("text", "quality"))
+    model = new_model()
+    for r in range(rounds):
+        shared = spark.sparkContext.broadcast(model)
+
+        def run(batches, shared=shared, seed=r):
+            texts, y = [], []
+            for b in batches:
+                texts += [x or b"" for _, some in text_slices(b.column(0)) for x in some]
+                y += b.column(1).to_pylist()
+            if texts:
+                m = train(texts, np.array(y, np.float32), shared.value, seed=seed)
+                yield pa.RecordBatch.from_arrays([pa.array([len(y)]), pa.array([pack(m)], pa.binary())], names=["n", "weights"])
+
+        got = sorted((r["n"], bytes(r["weights"])) for r in dealt.mapInArrow(run, "n long, weights binary").collect())  # one row of fixed size per TASK_DOCUMENTS rows of a bounded sample
+        whole = sum(n for n, _ in got)
+        model = {n: sum(k / whole * part[n] for k, part in ((k, unpack(w, model)) for k, w in got)).astype(np.float32) for n in model}
+        shared.unpersist()
+    return model
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray] | None, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -188,7 +239,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray] | None, text: str = "tex
     def run(batches):
         classes, m = byte_classes(), shared.value
         for b in batches:
-            texts = b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()
+            texts = (x for _, some in text_slices(b.column(b.num_columns - 1)) for x in some)
             out = [0.5 if m is None else score_text(x or b"", classes, m) for x in texts]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.float64())], names=[*b.schema.names[:-1], "score"])
 

@@ -628,6 +628,62 @@ def test_attention_gradient():
         assert g[name][at] == pytest.approx((up - down) / (2 * h), rel=1e-3, abs=1e-7)
 
 
+def brute_score(text, m):
+    """One passage at a time, from the published formulas of gated attention."""
+    table, raw = mil.byte_classes(), text.encode()
+    total = max(1, round(len(raw) / mil.PASSAGE))
+    hs, es = [], []
+    for p in range(total):
+        lo, hi = p * mil.PASSAGE, len(raw) if p == total - 1 else (p + 1) * mil.PASSAGE + 1
+        pairs = Counter((int(table[a]), int(table[b])) for a, b in zip(raw[lo:hi], raw[lo + 1 : hi]))
+        n = sum(pairs.values())
+        x = np.zeros(mil.WIDTH)
+        if n:
+            for (a, b), k in pairs.items():
+                x[a * mil.CLASSES + b] = math.sqrt(k / n)
+            x[-4:] = len(pairs) / 100, max(pairs.values()) / n, -sum(k / n * math.log(k / n) for k in pairs.values()) / 5, n / mil.PASSAGE
+        h = np.tanh(x @ m["W"] + m["b"])
+        hs.append(h)
+        es.append(float(sum(m["w"] * np.tanh(h @ m["V"]) / (1 + np.exp(-(h @ m["U"]))))))
+    a = np.exp(np.array(es) - max(es))
+    z = (a / a.sum()) @ np.array(hs)
+    return 1 / (1 + math.exp(-(float(z @ m["c"]) + float(m["d"][0]))))
+
+
+def test_scores_of_passages_by_brute_force(spark, docs, rows):
+    m = {k: v + RNG.normal(size=v.shape).astype(np.float32) / 5 for k, v in mil.new_model().items()}
+    got = mil.score(docs, m).collect()
+    have, want = sorted((str(r["doc_id"]), r["score"]) for r in got), sorted((str(r[0]), brute_score(r[1] or "", m)) for r in rows)
+    assert [i for i, _ in have] == [i for i, _ in want] and [x for _, x in have] == pytest.approx([x for _, x in want], abs=1e-4)
+    assert mil.score_text((rows[11][1]).encode(), mil.byte_classes(), m, 3) == pytest.approx(brute_score(rows[11][1], m), abs=1e-5)
+
+
+def test_long_bags_have_the_same_gradient():
+    m = {k: v.astype(float) for k, v in mil.new_model().items()}
+    m["c"] = RNG.normal(size=mil.HIDDEN)
+    text, table = sentence(900, 55).encode(), mil.byte_classes()
+    want = mil.gradient(mil.passages(text, table).astype(float), np.zeros(1, np.int64), np.array([1.0]), m)
+    got = mil.long_gradient(text, table, 1.0, m, block=3)
+    assert all(got[k] == pytest.approx(want[k], rel=1e-4, abs=1e-6) for k in want)
+
+
+def test_a_poor_passage_anywhere_in_a_long_text_is_learned(monkeypatch):
+    monkeypatch.setattr(mil, "BLOCK", 16)
+    texts, y = [], []
+    for i in range(60):
+        words = sentence(900, 2_000 + i).split()
+        if i % 2:
+            at = int(np.random.default_rng(i).integers(0, 800))
+            words[at : at + 90] = ["###|||$$$"] * 90
+        texts.append(" ".join(words).encode())
+        y.append(float(1 - i % 2))
+    m = mil.new_model()
+    for r in range(4):
+        m = mil.train(texts[:40], np.array(y[:40], np.float32), m, seed=r)
+    right = [(mil.score_text(t, mil.byte_classes(), m) >= 0.5) == (v == 1) for t, v in zip(texts[40:], y[40:])]
+    assert sum(right) >= 18
+
+
 def test_classifier(spark, docs, empty):
     good = [(i, sentence(120, 500 + i)) for i in range(60)]
     bad = [(100 + i, " | ".join(sentence(90, 700 + i).upper().split()) + "!!") for i in range(60)]
@@ -662,6 +718,15 @@ def test_labels_without_a_document_take_no_place_in_the_sample(spark):
     assert mil.training_sample(docs, labels, 10).join(docs, "doc_id").count() == 20
 
 
+def test_ids_that_repeat_are_learned_from_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 20, f"x{i % 40}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(mil, "checkpointed", lambda df: seen.append(df.count()) or df)
+    mil.fit(docs, labels, rounds=1)
+    assert max(seen) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(20))
+
+
 # ------------------------------------------------------------------ mixing
 
 
