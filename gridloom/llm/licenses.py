@@ -1,32 +1,35 @@
 """License scans by an exact set-similarity join (DataFrame functions only).
 
-A text block is one line of a text or, since notices are wrapped over lines, a window of consecutive words
-that crosses lines: of twice as many words as the template's notice has, one beginning every so many words,
-so that every stretch as long as the notice stands in a window whole. A license template is found in a block when the block holds at least
-``CONTAINMENT`` of the template's distinct words. Template words are ordered by how many blocks of the
-whole corpus hold them, rarest first. A block that meets the threshold holds one of the first
-|T| - ceil(c |T|) + 1 words of that order (prefix filter), has ceil(c |T|) words or more (length filter),
-and has enough words left after the first shared one (positional filter). Candidates that pass are
-verified by the exact overlap. No pair that meets the threshold is lost.
-
-Windows are only laid over texts whose words as a whole meet the threshold of the template.
+Texts and templates are sets of pairs of adjacent words, so that order counts. A text block is a window of consecutive
+words, half as long again as the template; every window of a text counts, whatever its lines. A template is
+found in a block when the block holds at least ``CONTAINMENT`` of the template's distinct pairs; of templates found in
+overlapping windows those with the largest containment stay, which tells sister licenses apart.
+
+Texts are read once: what stays of a text are its number of words and the places of pairs that any template or phrase
+has. Template pairs are ordered by how many texts of the whole corpus hold them, rarest first. A text with a block that
+meets the threshold holds one of the first |T| - ceil(c |T|) + 1 pairs of that order (prefix filter), has
+ceil(c |T|) of the pairs or more (length filter), and the template has as many left from the first shared one on
+(positional filter). Texts that pass are verified by the exact overlap of their windows; a window with the largest
+overlap begins with a pair of the template, so no other is tried. No block that meets the threshold is lost.
 
 Besides, four phrases are found at every place where their words stand consecutively.
 
 Defined cases: a null text counts as empty; empty texts and texts without a license have no labels
-(empty strings), null first and last word, and score 0. Rows are identified by id and text, so repeated
-rows get equal results and rows that share an id but not a text are kept apart.
+(empty strings), null first and last word, and score 0. Every row is judged on its own, so repeated rows get equal
+results and null or repeated ids do no harm; an empty table gives none; other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import ascii_lower, checkpointed
+from gridloom.llm.common import checkpointed
+from gridloom.llm.license_texts import TEMPLATES
 
 #: The phrases, their labels, and what parts words.
 PHRASES: tuple[tuple[str, str], ...] = (
@@ -36,129 +39,135 @@ PHRASES: tuple[tuple[str, str], ...] = (
     ("mit license", "mit"),
 )
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-
-CONTAINMENT = 0.9  # notices of sister licenses share six words of seven
-#: (label, notice): short public notices; a notice has seven words or more, so that chance overlaps stay rare.
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-)
+KELVIN, OTHER_SIGN = "K", "°"  # the only sign outside ASCII whose lower case is in it; it is no part of any pair
+
+CONTAINMENT = 0.75  # a changed word costs two pairs; sister notices share fewer
+
 
+def words_of(text: str) -> list[str]:
+    return [w for w in re.split(BREAKS, text.lower()) if w]
 
-def template_sets(templates: Sequence[tuple[str, str]]) -> list[tuple[str, list[str]]]:
-    return [(label, sorted(set(text.split()))) for label, text in templates]
+
+def pairs_of(text: str) -> list[str]:
+    """The distinct pairs of adjacent words, in order."""
+    ws = words_of(text)
+    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(ws, ws[1:])))
 
 
 def least_overlap(n: int, containment: float) -> int:
     return math.ceil(containment * n - 1e-9)
 
 
-def block_words(text: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(ascii_lower(text), BREAKS)), "")
+def template_sets(templates: Sequence[tuple[str, str]], containment: float = CONTAINMENT) -> list[tuple[int, str, list[str], int, int]]:
+    """(number, label, pairs, least overlap, words of a block) of each template."""
+    out = []
+    for i, (label, text) in enumerate(templates):
+        pairs = pairs_of(text)
+        out.append((i, label, pairs, least_overlap(len(pairs), containment), math.ceil(1.5 * len(words_of(text)))))
+    return out
 
 
-def phrase_places(words: Column) -> Column:
-    """(at, label) of every place, counted in words from 0, where a phrase stands."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)))
+def vocabulary(templates: Sequence[tuple[str, str]]) -> list[str]:
+    return sorted({p for text in (*(t for _, t in templates), *(p for p, _ in PHRASES)) for p in pairs_of(text)})
 
-    def of(parts: list[str], label: str) -> Column:
-        here = F.filter(starts, lambda i: _all([F.get(words, i + k) == F.lit(w) for k, w in enumerate(parts)]))
-        return F.transform(here, lambda i: F.struct(i.cast("long").alias("at"), F.lit(label).alias("label")))
 
-    return F.flatten(F.array(*(of(phrase.split(), label) for phrase, label in PHRASES)))
+def known_pairs(docs: DataFrame, known: Sequence[str]) -> DataFrame:
+    """(row, doc_id, n_words, pairs) of docs (doc_id, text): each row's pairs (at, pair) among the known ones, by place."""
+    firsts = sorted({p.split()[0] for p in known})
+    # lower() is one pass over bytes where translate() is a lookup per sign
+    split = F.split(F.lower(F.replace(F.col("text"), F.lit(KELVIN), F.lit(OTHER_SIGN))), BREAKS)
 
+    def of(words: Column) -> Column:
+        blank = (F.get(words, F.lit(0)) == "").cast("int")  # an empty string before a leading break, and after a trailing one
+        last = F.when(F.size(words) > 1, (F.get(words, F.size(words) - 1) == "").cast("int")).otherwise(F.lit(0))
 
-def _all(parts: list[Column]) -> Column:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out & p
-    return F.coalesce(out, F.lit(False))
+        def pair(w: Column, i: Column) -> Column:
+            both = F.concat(w, F.lit(" "), F.get(words, i + 1))
+            return F.when(w.isin(firsts), F.when(both.isin(list(known)), F.struct((i - blank).cast("long").alias("at"), both.alias("pair"))))
 
+        places = F.filter(F.transform(words, pair), lambda x: x.isNotNull())
+        return F.struct((F.size(words) - blank - last).cast("long").alias("n_words"), places.alias("pairs"))
 
-def scan_phrases(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, key) with n_words and the phrases' places. Words are listed only where a phrase can stand."""
-    maybe = "(?i)" + "|".join(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+".join(p.split()) for p, _ in PHRASES)
-    words = F.when(F.col("text").rlike(maybe), F.array_remove(F.split(ascii_lower(F.col("text")), BREAKS), ""))
-    listed = docs.select("doc_id", "key", F.regexp_count("text", F.lit(CASED_WORD)).cast("long").alias("n_words"), words.alias("words"))
-    return listed.select("doc_id", "key", "n_words", F.when(F.col("words").isNotNull(), phrase_places(F.col("words"))).alias("places"))
+    bound = F.get(F.transform(F.array(split), of), F.lit(0)).alias("found")  # the words are bound once
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", bound)
+    return checkpointed(rows.select("row", "doc_id", "found.n_words", "found.pairs"))
 
 
-def similar_blocks(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """(doc_id, key, label, overlap, n_template): every (line, template) meeting the containment threshold."""
-    sets = template_sets(templates)
-    vocabulary = sorted({w for _, ws in sets for w in ws})
-    known = F.array(*(F.lit(w) for w in vocabulary))
-    lines = docs.select("doc_id", "key", F.explode(F.split("text", "\n")).alias("line"))
-    blocks = lines.select("doc_id", "key", block_words(F.col("line")).alias("words"))
-    blocks = blocks.select("doc_id", "key", F.size("words").alias("n_block"), F.array_intersect("words", known).alias("shared"))
-    # global order of the template words: blocks of the whole corpus that hold each; at most |vocabulary| rows
-    counts = blocks.select(F.explode("shared").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    counts = checkpointed(counts)
-    listed = F.array(*(
-        F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.array(*(F.lit(w) for w in ws)).alias("set"), F.lit(least_overlap(len(ws), containment)).alias("need"))
-        for i, (label, ws) in enumerate(sets)
-    ))
-    rows = docs.sparkSession.range(1).select(F.inline(listed)).select("template", "label", "set", "need", F.explode("set").alias("word"))
-    ranked = rows.join(counts, "word", "left").select("template", "label", "set", "need", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word").alias("o"))
-    ordered = ranked.groupBy("template", "label", "set", "need").agg(F.sort_array(F.collect_list("o")).alias("o"))
-    ordered = ordered.select("template", "label", "need", F.col("o.word").alias("order"))
-    prefix = ordered.select("template", "label", "need", "order", F.posexplode("order").alias("at", "word")).where(F.col("at") <= F.size("order") - F.col("need"))
-    prefix = F.broadcast(checkpointed(prefix))  # one row per template word at most, whatever the corpus
-    probes = blocks.where(F.size("shared") >= min(least_overlap(len(ws), containment) for _, ws in sets)).withColumn("word", F.explode("shared"))
-    pairs = probes.join(prefix, "word").where(F.col("n_block") >= F.col("need")).where(F.size("order") - F.col("at") >= F.col("need"))
-    # of the prefix words that a block shares with a template only the first one carries the pair on
-    pairs = pairs.where(~F.arrays_overlap("shared", F.slice("order", F.lit(1), F.col("at"))))
-    pairs = pairs.withColumn("overlap", F.size(F.array_intersect("shared", "order"))).where("overlap >= need")
-    return pairs.select("doc_id", "key", "label", "overlap", F.size("order").alias("n_template"))
-
-
-def similar_windows(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """(doc_id, key, label, overlap, n_template): the best window of every text of several lines for each template that it meets."""
-    sets = template_sets(templates)
-    known = F.array(*(F.lit(w) for w in sorted({w for _, ws in sets for w in ws})))
+def phrase_places(pairs: Column) -> Column:
+    """(at, label) of every place, counted in words from 0, where a phrase stands."""
+
+    def followed(heads: Column, k: int, part: str) -> Column:
+        return F.filter(heads, lambda h: F.exists(pairs, lambda p: (p["pair"] == part) & (p["at"] == h["at"] + k)))
+
+    def of(phrase: str, label: str) -> Column:
+        parts = pairs_of(phrase)
+        heads = F.filter(pairs, lambda p: p["pair"] == parts[0])
+        for k, part in enumerate(parts[1:], 1):
+            heads = followed(heads, k, part)
+        return F.transform(heads, lambda h: F.struct(h["at"].alias("at"), F.lit(label).alias("label")))
+
+    return F.flatten(F.array(*(of(phrase, label) for phrase, label in PHRASES)))
+
+
+def template_order(rows: DataFrame, templates: Sequence[tuple[str, str]], containment: float) -> DataFrame:
+    """template, label, need, block, order: each template's pairs, those that the fewest texts hold first."""
+    counts = rows.select(F.explode(F.array_distinct("pairs.pair")).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
     listed = F.array(*(
-        F.struct(F.lit(label).alias("label"), F.array(*(F.lit(w) for w in ws)).alias("set"), F.lit(least_overlap(len(ws), containment)).alias("need"), F.lit(len(text.split())).alias("step"))
-        for (label, ws), (_, text) in zip(sets, templates)
+        F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.array(*(F.lit(p) for p in pairs)).alias("set"), F.lit(need).alias("need"), F.lit(block).alias("block"))
+        for i, label, pairs, need, block in template_sets(templates, containment)
     ))
-    # the words are bound to a lambda variable, or each template's test would list them again
-    shared = F.array(F.array_intersect(block_words(F.col("text")), known))
-    met = F.flatten(F.transform(shared, lambda s: F.filter(listed, lambda t: F.size(F.array_intersect(s, t["set"])) >= t["need"])))
-    maybe = docs.where(F.col("text").contains("\n")).select("doc_id", "key", "text", F.explode(met).alias("t"))
-    maybe = maybe.select("doc_id", "key", F.array_remove(F.split(ascii_lower(F.col("text")), BREAKS), "").alias("words"), "t")
-    starts = F.sequence(F.lit(1), F.size("words"), F.col("t.step"))
-    overlaps = F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("words", i, 2 * F.col("t.step")), F.col("t.set"))))
-    best = maybe.select("doc_id", "key", F.col("t.label").alias("label"), F.array_max(overlaps).alias("overlap"), F.col("t.need").alias("need"), F.size("t.set").alias("n_template"))
-    return best.where("overlap >= need").drop("need")
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    each = rows.sparkSession.range(1).select(F.inline(listed)).select("template", "label", "need", "block", F.explode("set").alias("pair"))
+    ranked = each.join(counts, "pair", "left").select("template", "label", "need", "block", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pair").alias("o"))
+    ordered = ranked.groupBy("template", "label", "need", "block").agg(F.sort_array(F.collect_list("o")).alias("o"))
+    return ordered.select("template", "label", "need", "block", F.col("o.pair").alias("order"))
+
+
+def similar_blocks(rows: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+    """(row, template, label, at, block, overlap, n_template): for every text and template that meets the threshold
+    the best block, the first of equals. rows as ``known_pairs`` gives them."""
+    order = template_order(rows, templates, containment)
+    prefix = order.select("*", F.posexplode("order").alias("place", "pair")).where(F.col("place") <= F.size("order") - F.col("need"))
+    prefix = F.broadcast(checkpointed(prefix))  # one row per template pair at most, whatever the corpus
+    sets = rows.select("row", "pairs", F.array_distinct("pairs.pair").alias("held")).where(F.size("held") >= min(t[3] for t in template_sets(templates, containment)))
+    probes = sets.withColumn("pair", F.explode("held")).join(prefix, "pair").where(F.size("held") >= F.col("need"))
+    # of the prefix pairs that a text shares with a template only the first one carries the text on
+    probes = probes.where(~F.arrays_overlap("held", F.slice("order", F.lit(1), F.col("place"))))
+    probes = probes.where((F.size("order") - F.col("place") >= F.col("need")) & (F.size(F.array_intersect("held", "order")) >= F.col("need")))
+    hits = probes.withColumn("hits", F.filter("pairs", lambda p: F.array_contains("order", p["pair"])))
+    reach = F.col("block") - 2  # a block of n words has n - 1 places of pairs
+
+    def overlap(i: Column) -> Column:
+        first = F.element_at("hits", i)["at"]
+        held = F.filter(F.slice("hits", i, F.col("block")), lambda p: p["at"] <= first + reach)
+        near = F.get("hits", i + F.col("need") - 2)["at"] <= first + reach
+        size = F.when(near, F.size(F.array_distinct(F.transform(held, lambda p: p["pair"])))).otherwise(F.lit(0))
+        return F.struct(size.alias("overlap"), (-first).alias("at"))
+
+    best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("hits")), overlap))
+    found = hits.select("row", "template", "label", "block", "need", F.size("order").alias("n_template"), best.alias("best")).where("best.overlap >= need")
+    return found.select("row", "template", "label", (-F.col("best.at")).alias("at"), "block", F.col("best.overlap").alias("overlap"), "n_template")
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    score is the largest containment of any template in any line or window, and 1 where a phrase stands.
+    score is the largest containment of any template in any block, and 1 where a phrase stands.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    hits = similar_blocks(rows).unionByName(similar_windows(rows))
-    found = hits.groupBy("key", "doc_id").agg(F.collect_set("label").alias("found"), F.max(F.col("overlap") / F.col("n_template")).alias("best"))
-    base = scan_phrases(rows)
-    found = found.withColumnsRenamed({"key": "__key", "doc_id": "__id"})
-    out = base.join(found, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    base_set, places = F.array_distinct(F.col("places.label")), F.col("places.at")
-    empty = F.array().cast("array<string>")
-    n_base = F.coalesce(F.size("places"), F.lit(0))
-    n_base = F.when(F.col("places").isNull(), F.lit(0)).otherwise(n_base).cast("long")
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = known_pairs(texts, vocabulary(templates))
+    match = F.struct("label", (F.col("overlap") / F.col("n_template")).alias("c"), "at", (F.col("at") + F.col("block")).alias("stop"))
+    found = similar_blocks(rows, templates, containment).groupBy("row").agg(F.collect_list(match).alias("m"))
+
+    def beaten(m: Column) -> Column:
+        return F.exists("m", lambda o: (o["c"] > m["c"]) & (o["at"] < m["stop"]) & (m["at"] < o["stop"]))
+
+    found = found.select("row", F.filter("m", lambda m: ~beaten(m)).alias("m"))
+    out = rows.join(found, "row", "left").select("doc_id", "n_words", phrase_places(F.col("pairs")).alias("places"), "m")
+    at, empty = F.col("places.at"), F.array().cast("array<string>")
+    n_base = F.size("places")
     labels = lambda *c: F.array_join(F.array_sort(F.array_union(*(F.coalesce(x, empty) for x in c))), ",")
     return out.select(
-        "doc_id", "n_words", n_base.alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"),
-        labels(base_set, empty).alias("base_labels"), labels(base_set, F.col("found")).alias("labels"),
-        F.when(n_base > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
+        "doc_id", "n_words", n_base.cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"),
+        labels(F.col("places.label"), empty).alias("base_labels"), labels(F.col("places.label"), F.col("m.label")).alias("labels"),
+        F.when(n_base > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max("m.c"), F.lit(0.0))).alias("score"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import bpe, lattice, licenses, maxent, mil, mixing, quality, shards, simhash, urlfilter
-from gridloom.llm.common import table
+from gridloom.llm.common import LOWER, UPPER, table
 
 WORDS_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -75,20 +75,25 @@ def _op2_sql() -> str:
         + " and ".join(f"w[i + {j}] = '{part}'" for j, part in enumerate(phrase.split()))
         for phrase, label in licenses.PHRASES
     )
-    sets = licenses.template_sets(licenses.TEMPLATES)
-    listed = ", ".join(f"({i}, '{label}', {ws!r}, {licenses.least_overlap(len(ws), licenses.CONTAINMENT)})" for i, (label, ws) in enumerate(sets))
-    lower = f"translate(coalesce(text, ''), '{licenses.ascii_lower.__globals__['UPPER']}', '{licenses.ascii_lower.__globals__['LOWER']}')"
+    listed = ", ".join(f"({i}, '{label}', {pairs!r}, {need}, {block})" for i, label, pairs, need, block in licenses.template_sets(licenses.TEMPLATES))
+    lower = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
     return f"""
 with docs as (select row_number() over () as k, doc_id, {lower} as t from documents),
 words as (select k, doc_id, list_filter(string_split_regex(t, '{breaks}'), lambda x: x <> '') as w from docs),
 places as ({phrases}),
 base as (select k, count(*) as n_base, min(pos) as first_word, max(pos) as last_word, list(distinct label) as ls from places group by k),
-templates(id, label, ws, need) as (values {listed}),
-blocks as (select k, list_distinct(string_split_regex(line, '{breaks}')) as ws from docs, unnest(string_split(t, chr(10))) u(line)),
-hits as (
-  select k, label, len(list_intersect(b.ws, t.ws)) / len(t.ws)::double as c
-  from blocks b, templates t where len(list_intersect(b.ws, t.ws)) >= need),
-found as (select k, list(distinct label) as ls, max(c) as c from hits group by k)
+templates(id, label, ps, need, block) as (values {listed}),
+tp as (select id, label, need, block, len(ps) as n, unnest(ps) as pair from templates),
+tw as (select distinct pair from tp),
+pairs as (select k, i - 1 as pos, w[i] || ' ' || w[i + 1] as pair from words, unnest(range(1, len(w))) u(i)),
+near as (select * from pairs semi join tw using (pair)),
+hits as (select k, id, label, need, block, n, pos, pair from near join tp using (pair)),
+blocks as (
+  select a.k, a.id, any_value(a.label) as label, any_value(a.need) as need, any_value(a.block) as block, any_value(a.n) as n, a.pos, count(distinct b.pair) as overlap
+  from hits a join hits b on a.k = b.k and a.id = b.id and b.pos between a.pos and a.pos + a.block - 2 group by a.k, a.id, a.pos),
+best as (select *, overlap / n::double as c, pos + block as stop, row_number() over (partition by k, id order by overlap desc, pos) as i from blocks where overlap >= need),
+stay as (select * from best a where i = 1 and not exists (select 1 from best b where b.i = 1 and b.k = a.k and b.c > a.c and b.pos < a.stop and a.pos < b.stop)),
+found as (select k, list(distinct label) as ls, max(c) as c from stay group by k)
 select w.doc_id, len(w.w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
   array_to_string(list_sort(coalesce(b.ls, [])), ',') as base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(b.ls, []), coalesce(f.ls, [])))), ',') as labels,
@@ -102,7 +107,7 @@ def _op6_sql() -> str:
     return f"""
 with rules(action, rh, rp) as (values {listed}),
 u as (select row_number() over () as k, page_id, regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', ['h', 'p']) as x from pages),
-p as (select k, page_id, coalesce(translate(x.h, '{urlfilter.UPPER}', '{urlfilter.LOWER}'), '') as host, coalesce(x.p, '') as path from u),
+p as (select k, page_id, coalesce(translate(x.h, '{UPPER}', '{LOWER}'), '') as host, coalesce(x.p, '') as path from u),
 f as (
   select k, rh || rp as rule, action, row_number() over (partition by k order by length(rh || rp) desc, length(rh) desc) as n
   from p, rules where (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp))
