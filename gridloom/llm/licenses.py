@@ -21,6 +21,7 @@ results and null or repeated ids do no harm; an empty table gives none; other co
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Sequence
@@ -112,10 +113,8 @@ def phrase_places(pairs: Column) -> Column:
 def template_order(rows: DataFrame, templates: Sequence[tuple[str, str]], containment: float) -> DataFrame:
     """template, label, need, block, order: each template's pairs, those that the fewest texts hold first."""
     counts = rows.select(F.explode(F.array_distinct("pairs.pair")).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
-    listed = F.array(*(
-        F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.array(*(F.lit(p) for p in pairs)).alias("set"), F.lit(need).alias("need"), F.lit(block).alias("block"))
-        for i, label, pairs, need, block in template_sets(templates, containment)
-    ))
+    fields = ("template", "label", "set", "need", "block")
+    listed = F.from_json(F.lit(json.dumps([dict(zip(fields, t)) for t in template_sets(templates, containment)])), "array<struct<template:int,label:string,set:array<string>,need:int,block:int>>")
     each = rows.sparkSession.range(1).select(F.inline(listed)).select("template", "label", "need", "block", F.explode("set").alias("pair"))
     ranked = each.join(counts, "pair", "left").select("template", "label", "need", "block", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pair").alias("o"))
     ordered = ranked.groupBy("template", "label", "need", "block").agg(F.sort_array(F.collect_list("o")).alias("o"))
