@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ TASK_BYTES = 1 << 24
 TOP_LOGIT = 80.0  # exp of it is finite in single precision
 RATE = 0.25
 BLOCK_ROWS = 16
-STEP = 4_096
+STEP = 8_192
 MIXERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -108,7 +109,7 @@ class Vocabulary:
         self.log_base = np.log10(ADD + self.counts)
         self.denominator = np.log10(self.total + ADD * (self.distinct + 1))
         self.rare_denominator = np.log10(self.rare_mass())
-        self.index = Index(tokens)
+        self.index = {t: i for i, t in enumerate(tokens)}
 
     def rare_mass(self) -> np.ndarray:
         return self.rare_total + ADD * (self.rare_distinct + 1)
@@ -121,14 +122,15 @@ class Vocabulary:
 
         def close():
             nonlocal flat, done
-            ids = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+            ids = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
+            at = np.flatnonzero(ids < 0)
             places = self.places.take(ids, mode="clip")
-            at = np.flatnonzero(ids >= known)
             if len(at):
                 words = [flat[i] for i in at.tolist()]
                 others.update(zip((done + at).tolist(), words))
-                places[at] = list(map(rare_place, words))
-                places[at] += FREQUENT
+                whole, tail = (np.fromiter(map(zlib.crc32, x), np.int64, len(words)) for x in (words, [w[-3:] for w in words]))
+                ids[at] = known + whole
+                places[at] = FREQUENT + tail % CLASSES * SLOTS + (whole >> 8) % SLOTS
             parts.append((ids, places))
             done += len(flat)
             flat = []
@@ -145,20 +147,6 @@ class Vocabulary:
         return ids, places, np.array(ends, np.int64), others
 
 
-class Index(dict):
-    """token -> its place; tokens outside get a hash above all places."""
-
-    def __init__(self, tokens):
-        super().__init__(zip(tokens, range(len(tokens))))
-        self.base = len(self)
-
-    def __missing__(self, token):
-        return self.base + zlib.crc32(token)
-
-    def __reduce__(self):
-        return Index, (list(self),)
-
-
 def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     """counts (token, rare, n), checkpointed, to the part that is broadcast: at most ``head`` tokens and the end."""
     rows = most_frequent(counts, head).select("token", "n").toArrow()
@@ -260,20 +248,23 @@ def _step(weights, squares, seen, at, total, times) -> None:
     weights[at] = weights.take(at, axis=0) - total
 
 
-def _descend(weights, squares, seen, rows, grad, often: int = 12) -> None:
-    """A step from gradients of rows that may repeat. With the rows ordered by how often they occur, the k-th
-    occurrences of all rows are added at once; what remains of the most frequent rows is added row by row."""
+def _descend(weights, squares, seen, features, grad, often: int = 16) -> None:
+    """A step from gradients of rows that may repeat; each of the features has a row for every token. With the rows
+    ordered by how often they occur, the k-th occurrences of all rows are added at once; what remains of the most
+    frequent rows is added row by row."""
+    rows = np.concatenate(features)
     order = np.argsort(rows)
     by_row = rows[order]
+    order %= len(grad)
     first = np.flatnonzero(np.append(True, by_row[1:] != by_row[:-1]))
     times = np.diff(first, append=len(rows))
     down = np.argsort(-times)
     first, times = first[down], times[down]
     total = grad.take(order[first], axis=0)
+    rarer = np.searchsorted(-times, -np.arange(often + 1), "left")  # rows that occur more than k times
     for k in range(1, min(int(times[0]), often)):
-        m = int(np.searchsorted(-times, -k, "left"))
-        total[:m] += grad.take(order[first[:m] + k], axis=0)
-    for i in range(int(np.searchsorted(-times, -often, "left"))):
+        total[: rarer[k]] += grad.take(order[first[: rarer[k]] + k], axis=0)
+    for i in range(rarer[often]):
         total[i] += grad.take(order[first[i] + often : first[i] + times[i]], axis=0).sum(0)
     _step(weights, squares, seen, by_row[first], total, times)
 
@@ -286,15 +277,13 @@ def train_step(places, f, g, top, words, sq_top, sq_words, n_top, n_words, scrat
     np.exp(z, out=z)
     z /= scratch.row_sums(z)[:, None]
     z[at, classes] -= 1
-    for rows in f:
-        _descend(top, sq_top, n_top, rows, z)
+    _descend(top, sq_top, n_top, f, z)
     _step(top, sq_top, n_top, np.zeros(1, np.int64), z.sum(0, keepdims=True), len(places))
     z = scratch.logits(words, [classes, *g])
     np.exp(z, out=z)
     z /= scratch.row_sums(z)[:, None]
     z[at, slots] -= 1
-    for rows in (classes, *g):
-        _descend(words, sq_words, n_words, rows, z)
+    _descend(words, sq_words, n_words, [classes, *g], z)
 
 
 def _train(shared):
