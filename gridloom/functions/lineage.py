@@ -11,5 +11,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and read back from the checkpoint folder: the cluster's, or one of our own where none is set."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
     return df.checkpoint(eager=True)

@@ -14,7 +14,8 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions.dist import t_quantile
+from gridloom.functions.dist import normal_quantile, t_quantile
+from gridloom.functions.lineage import checkpointed
 from gridloom.functions.validate import choice, positive_integer
 from gridloom.operators import scoring
 from gridloom.operators.grid import Stack, to_stack
@@ -35,7 +36,10 @@ def score_stage(stage: str, result: DataFrame, sim: Simulation, stack: Stack, wa
     if mask is not None:
         truth = truth.join(mask.where("mask").select("cell"), "cell", "left_semi")
     if stage == "custom":
-        return evaluator(result, sim)
+        scores = checkpointed(evaluator(result, sim))
+        if "grid_id" not in scores.columns or not scores.groupBy("grid_id").count().where("count > 1").isEmpty():
+            raise ValueError("an evaluator returns grid_id and one row for each")
+        return scores
     if stage == "slope":
         return scoring.slope_scores(result.select("grid_id", "cell", "slope").join(truth, ["grid_id", "cell"]), ("grid_id",))
     if stage == "prewhitening":
@@ -52,14 +56,21 @@ def score_stage(stage: str, result: DataFrame, sim: Simulation, stack: Stack, wa
 
 
 def prewhitening_scores(result: DataFrame, truth: DataFrame) -> DataFrame:
-    """result: grid_id, cell, y (prewhitened) and optionally Modified. Residual correlation, slope errors, share modified, length."""
+    """result: grid_id, cell, y (prewhitened) and optionally Modified. Residual correlation, slope errors, share modified, length.
+
+    Series of fewer than three layers have no residual correlation and are refused.
+    """
+    result = checkpointed(result)
+    least = result.agg(F.min(F.size("y"))).first()[0]
+    if least is not None and least < 3:
+        raise ValueError("prewhitening scores need three layers or more")
     size = F.size("y")
     long = result.where(F.col("y").isNotNull() & ~F.exists("y", lambda v: v.isNull())).select("grid_id", "cell", F.posexplode("y").alias("k", "value")).withColumn("t", F.col("k") + 1)
     fits = long.groupBy("grid_id", "cell").agg(F.regr_slope("value", "t").alias("slope"), F.regr_intercept("value", "t").alias("b"))
     rest = long.join(fits, ["grid_id", "cell"]).select("grid_id", "cell", "t", (F.col("value") - F.col("b") - F.col("slope") * F.col("t")).alias("value"))
-    r = residual_autocorrelation(rest).groupBy("grid_id").agg(F.avg("r").alias("ResidualAR1"), F.avg(F.abs("r")).alias("AbsResidualAR1"))
-    slopes = scoring.slope_scores(fits.join(truth, ["grid_id", "cell"]), ("grid_id",)).select("grid_id", "Bias", "MAE", "RMSE")
-    changed = F.avg("Modified") if "Modified" in result.columns else F.lit(None).cast("double")
+    r = residual_autocorrelation(rest).groupBy("grid_id").agg(F.avg("r").alias("ResidualACF1"), F.avg(F.abs("r")).alias("AbsResidualACF1"))
+    slopes = scoring.slope_scores(fits.join(truth, ["grid_id", "cell"]), ("grid_id",)).select("grid_id", F.col("Bias").alias("SlopeBias"), F.col("MAE").alias("SlopeMAE"), F.col("RMSE").alias("SlopeRMSE"))
+    changed = F.avg((F.col("Modified") != 0).cast("double")) if "Modified" in result.columns else F.lit(None).cast("double")
     other = result.groupBy("grid_id").agg(F.max(size).cast("double").alias("OutputLength"), changed.alias("ModifiedFraction"))
     return r.join(slopes, "grid_id", "full").join(other, "grid_id", "full")
 
@@ -129,7 +140,9 @@ def benchmark_plot_table(rows: DataFrame, metric: str, error: str = "se", level:
     half = F.col("sd") if error == "sd" else F.col("sd") / F.sqrt("n")
     if error == "ci":
         table = F.array(*(F.lit(t_quantile(0.5 + level / 2, df)) for df in range(1, 121)))
-        half = half * F.when(F.col("n") > 1, F.get(table, (F.least(F.col("n"), F.lit(121)) - 2).cast("int")))
+        z, df = normal_quantile(0.5 + level / 2), F.col("n") - 1
+        many = z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df * df)  # error below 1e-7 from 121 degrees on
+        half = half * F.when(F.col("n") > 121, many).when(F.col("n") > 1, F.get(table, (F.col("n") - 2).cast("int")))
     half = F.coalesce(half, F.lit(0.0))
     low, high = F.col("mean") - half, F.col("mean") + half
     if rate:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.validate import time_axis
 
 KEYS = ("grid_id", "cell")
+CHUNK = 65_536
 
 
 @dataclass(frozen=True)
@@ -69,7 +70,12 @@ def to_stack(long: DataFrame, spec: GridSpec) -> Stack:
     rows = long.select("grid_id", F.col("cell").cast("long").alias("cell"), F.col("t").cast("int").alias("t"), clean(F.col("value").cast("double")).alias("value"))
     rows = rows.where(F.col("t").between(1, spec.n_time) & F.col("cell").between(1, spec.n_cells) & F.col("value").isNotNull())
     grids = long.select("grid_id").distinct()
-    skeleton = grids.select("grid_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(spec.n_cells).cast("long"))).alias("cell"))
+    # cells of a grid in chunks, so that no row holds more than CHUNK numbers and one grid fills many tasks
+    chunks = grids.select("grid_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((spec.n_cells - 1) // CHUNK).cast("long"))).alias("chunk"))
+    if spec.n_cells > CHUNK:
+        chunks = chunks.repartition("grid_id", "chunk")
+    first = F.col("chunk") * CHUNK + 1
+    skeleton = chunks.select("grid_id", F.explode(F.sequence(first, F.least(first + CHUNK - 1, F.lit(spec.n_cells).cast("long")))).alias("cell"))
     series = rows.groupBy("grid_id", "cell").agg(F.sort_array(F.collect_list(F.struct("t", "value"))).alias("s"))
     by_t = F.map_from_arrays(F.col("s.t"), F.col("s.value"))
     whole = F.size("s") == spec.n_time

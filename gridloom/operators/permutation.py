@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.validate import choice, positive_integer, probability
-from gridloom.operators import fdr
 from gridloom.operators.grid import GridSpec
 from gridloom.operators.spatial import check_field, global_statistic, local_statistic, moran_class
 
@@ -103,8 +102,3 @@ def moran_advice(cells: DataFrame, spec: GridSpec, p: str = "p", nperm: int = 99
     rows = global_test(cells.select("grid_id", "cell", "row", "col", F.col(p).alias("x")), spec, "x", "moran", nperm, "greater", seed)
     clustered = (F.col("statistic") >= 0) & (F.col("p") < 0.05)
     return rows.select("grid_id", "statistic", "p", F.when(clustered, "BH").alias("recommendation"), F.when(clustered, "positive dependence").otherwise("inconclusive").alias("finding"))
-
-
-def corrected(cells: DataFrame, methods: tuple[str, ...] = ("BH", "BKY"), q: float = 0.05) -> DataFrame:
-    """A local test's p-values under false-discovery-rate control."""
-    return fdr.correct(cells, methods, q)

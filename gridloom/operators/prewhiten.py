@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import series as S
 from gridloom.functions.dist import Z_975
 from gridloom.functions.validate import choice, positive_integer, positive_number
 from gridloom.operators.grid import Stack, require_valid, when_ok, with_series
+from gridloom.operators.spatial import one_row_side
 from gridloom.operators.trend import matrix, sen_slopes
 
 METHODS = ("TFPW_Y", "TFPW_WS", "TFPW_Z", "VCTFPW")
@@ -27,20 +28,24 @@ DIAGNOSTICS = {
 }
 LIMIT = 0.99
 
-# Savin-White bounds of the Durbin-Watson statistic, one regressor, 5 percent: n, dL, dU.
-DW_BOUNDS = (
-    (15, 1.08, 1.36), (16, 1.10, 1.37), (17, 1.13, 1.38), (18, 1.16, 1.39), (19, 1.18, 1.40), (20, 1.20, 1.41), (21, 1.22, 1.42), (22, 1.24, 1.43),
-    (23, 1.26, 1.44), (24, 1.27, 1.45), (25, 1.29, 1.45), (26, 1.30, 1.46), (27, 1.32, 1.47), (28, 1.33, 1.48), (29, 1.34, 1.48), (30, 1.35, 1.49),
-    (31, 1.36, 1.50), (32, 1.37, 1.50), (33, 1.38, 1.51), (34, 1.39, 1.51), (35, 1.40, 1.52), (36, 1.41, 1.52), (37, 1.42, 1.53), (38, 1.43, 1.54),
-    (39, 1.43, 1.54), (40, 1.44, 1.54), (45, 1.48, 1.57), (50, 1.50, 1.59), (55, 1.53, 1.60), (60, 1.55, 1.62), (65, 1.57, 1.63), (70, 1.58, 1.64),
-    (75, 1.60, 1.65), (80, 1.61, 1.66), (85, 1.62, 1.67), (90, 1.63, 1.68), (95, 1.64, 1.69), (100, 1.65, 1.69),
+# Savin and White (1977), bounds of the Durbin-Watson statistic for one regressor at 5 percent.
+DW_SIZES = (
+    15, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25, 26, 27, 28, 29, 30, 31, 32, 33, 34, 35, 36, 37, 38, 39, 40,
+    45, 50, 55, 60, 65, 70, 75, 80, 85, 90, 95, 100,
+)
+DW_LOWER = (
+    1.077, 1.106, 1.133, 1.158, 1.180, 1.201, 1.221, 1.240, 1.257, 1.273, 1.288, 1.302, 1.316, 1.328, 1.341, 1.352, 1.363, 1.373, 1.383, 1.393, 1.402, 1.411, 1.419, 1.427, 1.435, 1.442,
+    1.475, 1.503, 1.527, 1.549, 1.567, 1.583, 1.598, 1.611, 1.624, 1.635, 1.645, 1.654,
+)
+DW_UPPER = (
+    1.361, 1.371, 1.381, 1.392, 1.401, 1.411, 1.420, 1.429, 1.437, 1.446, 1.454, 1.461, 1.468, 1.476, 1.483, 1.489, 1.496, 1.502, 1.508, 1.514, 1.519, 1.524, 1.530, 1.535, 1.540, 1.544,
+    1.566, 1.585, 1.601, 1.616, 1.629, 1.641, 1.652, 1.662, 1.671, 1.679, 1.687, 1.694,
 )
 
 
 def dw_critical_values(n: int) -> tuple[float, float]:
     """(dL, dU) for n observations: linear between the tabulated sizes, the end values outside."""
-    size, low, high = (np.array(x) for x in zip(*DW_BOUNDS))
-    return float(np.interp(n, size, low)), float(np.interp(n, size, high))
+    return float(np.interp(n, DW_SIZES, DW_LOWER)), float(np.interp(n, DW_SIZES, DW_UPPER))
 
 
 def durbin_watson(stack: Stack) -> DataFrame:
@@ -189,7 +194,7 @@ def iterative(stack: Stack, method: str, gate: str, dw_low: float, dw_high: floa
     steps = paths.select("grid_id", F.posexplode(F.zip_with(S.tail(F.col("path")), S.head(F.col("path")), lambda a, b: F.abs(a - b))).alias("k", "move"))
     steps = steps.where(F.col("move").isNotNull() & ~F.isnan("move")).groupBy("grid_id", "k").agg(F.max("move").alias("move"))
     stop = steps.groupBy("grid_id").agg(F.coalesce(F.min(F.when(F.col("move") < eps, F.col("k") + 1)), F.lit(itmax)).alias("stop"))  # one row per grid
-    rows = rows.join(paths, ["grid_id", "cell"], "left").join(stop, "grid_id", "left")
+    rows = rows.join(paths, ["grid_id", "cell"], "left").join(one_row_side(stop), "grid_id", "left")
     at = F.coalesce("stop", F.lit(itmax)) + 1
     rows = rows.withColumn("rho", F.element_at("path", at.cast("int"))).withColumn("clamped", F.coalesce(F.element_at("flags", at.cast("int")) > 0, F.lit(False)))
     y = F.col("y")
@@ -209,10 +214,3 @@ def iterative(stack: Stack, method: str, gate: str, dw_low: float, dw_high: floa
         when_ok(F.when(F.col("gated") & F.col("clamped"), 1).otherwise(0)).cast("int").alias("Clamped"),
     )
     return with_series(stack, cells), diagnostics.select("grid_id", "cell", "row", "col", "ok", *DIAGNOSTICS[method])
-
-
-def stop_steps(paths: DataFrame, eps: float, itmax: int) -> DataFrame:
-    """For inspection: per grid and step, the largest move of any cell and whether the grid has stopped by then."""
-    moves = paths.groupBy("grid_id", "k").agg(F.max("move").alias("move"))
-    so_far = Window.partitionBy("grid_id").orderBy("k")
-    return moves.withColumn("stopped", F.coalesce(F.max((F.col("move") < eps).cast("int")).over(so_far), F.lit(0)) > 0).where(F.col("k") <= itmax)

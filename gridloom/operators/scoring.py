@@ -37,9 +37,10 @@ def metrics(counts: DataFrame) -> DataFrame:
     root = F.sqrt(tp + fp) * F.sqrt(tp + fn) * F.sqrt(tn + fp) * F.sqrt(tn + fn)
     precision, recall = _div(tp, tp + fp), _div(tp, tp + fn)
     directed = F.col("directed") > 0
+    f1 = F.when(precision + recall != 0, 2 * precision * recall / (precision + recall))  # null too where either is null
     out = {
         "Sensitivity": recall, "Specificity": _div(tn, tn + fp), "Precision": precision, "Accuracy": _div(tp + tn, tp + fp + tn + fn),
-        "F1": _div(2 * tp, 2 * tp + fp + fn), "MCC": _div(tp * tn - fp * fn, root), "FPR": _div(fp, fp + tn),
+        "F1": f1, "MCC": _div(tp * tn - fp * fn, root), "FPR": _div(fp, fp + tn),
         "FDR": F.when(tp + fp == 0, F.lit(0.0)).otherwise(_div(fp, tp + fp)), "TypeI": _div(fp, fp + tn), "TypeII": _div(fn, tp + fn),
         "TypeIII": F.when(directed, _div(F.col("wrong"), tp)), "FieldPower": (tp + fp > 0).cast("double"), "GlobalPower": (tp > 0).cast("double"),
         "WithinImagePower": recall, "DirectionalPower": F.when(directed, _div(F.col("right"), tp + fn)),
@@ -63,8 +64,11 @@ def joined(detections: DataFrame, truth: DataFrame, evaluation_mask: DataFrame |
 
 def compare_detections(detections: DataFrame, truth: DataFrame, wanted: tuple[str, ...] = DEFAULT, evaluation_mask: DataFrame | None = None) -> DataFrame:
     """One row per method: TP, FP, TN, FN and the wanted metrics. With a replicate column: see aggregate_replicates."""
-    if unknown := set(wanted) - set(METRICS):
+    if unknown := set(wanted) - {*METRICS, "FWER"}:
         raise ValueError(f"unknown metrics: {sorted(unknown)}")
+    if "FWER" in wanted and "replicate" not in detections.columns:
+        raise ValueError("FWER is a share of replicates; detections have none")
+    wanted = tuple(c for c in wanted if c != "FWER")  # always among the columns of replicates
     rows = joined(detections, truth, evaluation_mask)
     if "replicate" in detections.columns:
         return aggregate_replicates(metrics(confusion(rows, ("method", "replicate"))), wanted)

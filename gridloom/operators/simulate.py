@@ -8,6 +8,7 @@ by layer in numpy (a fast Fourier transform has no expression in SQL); all else
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 from dataclasses import dataclass, field, fields
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions.dist import bessel_k, normal_cdf, t_quantile
+from gridloom.functions.dist import bessel_k, t_quantile
 from gridloom.functions.lineage import checkpointed
 from gridloom.functions.validate import choice
 from gridloom.operators.grid import GridSpec
@@ -237,6 +238,19 @@ def gaussian_field(nrow: int, ncol: int, spectral, root, rng: np.random.Generato
     return np.fft.fft2(np.sqrt(spectral / (h * w)) * z).real[:nrow, :ncol]
 
 
+@lru_cache(maxsize=8)
+def _t_table(df: float) -> tuple[np.ndarray, np.ndarray]:
+    """Normal scores from 0 to 8.2 and log1p of the t quantiles of the same probability; smooth up to the far tail."""
+    z = np.linspace(0, 8.2, 411)
+    return z, np.log1p([-t_quantile(0.5 * math.erfc(x / math.sqrt(2)), df) for x in z])
+
+
+def t_of_normal(x: np.ndarray, df: float) -> np.ndarray:
+    """The t values of the same probability as the normal scores x (beyond 8.2: that of 8.2)."""
+    z, table = _t_table(df)
+    return np.sign(x) * np.expm1(np.interp(np.abs(x), z, table))
+
+
 def _layers(s: Scenario):
     corr = lambda d: correlation(s.spatial_model, d, s.spatial_rho, s.spatial_range, s.spatial_smoothness)
 
@@ -249,9 +263,7 @@ def _layers(s: Scenario):
                 x = gaussian_field(s.nrow, s.ncol, spectral, root, rng).ravel()
                 if s.noise_dist == "t":
                     scale = math.sqrt((s.t_df - 2) / s.t_df)
-                    grid_p = np.linspace(1e-6, 1 - 1e-6, 4_001)
-                    quantiles = np.array([t_quantile(p, s.t_df) for p in grid_p])
-                    x = np.interp(normal_cdf(x), grid_p, quantiles) * scale
+                    x = t_of_normal(x, s.t_df) * scale
                 n = len(x)
                 yield pa.RecordBatch.from_arrays([pa.array([grid] * n), pa.array(np.full(n, t, np.int32)), pa.array(np.arange(1, n + 1)), pa.array(x)], names=["grid_id", "t", "cell", "e"])
 

@@ -161,7 +161,7 @@ def autocorrelations(spark, sf):
 @query(f"""with {long_sql(100)}{FIT}
 p as (select cell, e, lag(e) over (partition by cell order by t) as b, row_number() over (partition by cell order by t desc) as k from res),
 d as (select cell, sum((e - b) * (e - b)) / sum(e * e) as dw, sum(e * b) / sum(case when k > 1 then e * e end) as rho1 from p group by cell)
-{CELLS}, {q6('dw')} as dw, {q6('rho1')} as rho1, 1.33::double as d_lower, 1.48::double as d_upper {AT} d using (cell)""")
+{CELLS}, {q6('dw')} as dw, {q6('rho1')} as rho1, 1.328::double as d_lower, 1.476::double as d_upper {AT} d using (cell)""")
 def durbin_watson(spark, sf):
     stack = lineitem_stack(spark, sf)
     low, high = prewhiten.dw_critical_values(stack.spec.n_time)
@@ -231,20 +231,89 @@ def tfpw_variance_corrected(spark, sf):
     return rows.join(d, ["grid_id", "cell"]).select("cell", (F.col("k") + 1).alias("t"), r6("value", 5).alias("value"), r6("rho").alias("rho"), "modified")
 
 
-@query()
+def iterative_sql(gate: str, refit: str = "OLS", source: str = "series") -> str:
+    """The iterative prewhitening of source as a recursive query: itn (cell, y, tt, dw, gated, rho, clamped, changed) and white (cell, t, value)."""
+    if refit == "TS":
+        slope = "list_median(flatten(list_transform(range(1, len(u)), lambda i: list_transform(range(i + 1, len(u) + 1), lambda j: (u[j] - u[i]) / (tt[j] - tt[i])))))"
+    else:
+        slope = "list_sum(list_transform(range(1, len(u) + 1), lambda i: (u[i] - ub) * (tt[i] - tb))) / list_sum(list_transform(range(1, len(u) + 1), lambda i: (tt[i] - tb) * (tt[i] - tb)))"
+
+    def lag(x: str, rest: str, inner: str) -> str:
+        c = f"select {rest}, list_transform({x}, lambda v: v - xb) as c from (select *, list_avg({x}) as xb from ({inner}))"
+        return f"select {rest}, case when d > 0 then list_sum(list_transform(range(2, len(c) + 1), lambda i: c[i] * c[i - 1])) / d else 0.0::double end as nr from (select *, list_sum(list_transform(c, lambda v: v * v)) as d from ({c}))"
+
+    white = "select r.cell, r.k, r.clamped, gate.y, gate.tt, list_transform(range(1, len(gate.y)), lambda i: (gate.y[i + 1] - r.rho * gate.y[i]) / (1 - r.rho)) as u from rec r join gate on gate.cell = r.cell where r.k < 20"
+    trend = f"select *, {slope} as slope from (select *, list_avg(u) as ub, list_avg(tt[1:len(u)]) as tb from ({white}))"
+    left = f"select *, list_transform(range(1, len(y) + 1), lambda i: y[i] - slope * tt[i]) as e from ({trend})"
+    mom = f"imom as (select cell, avg(t) as tb, avg(value) as yb from {source} group by cell), iols as (select s.cell, any_value(tb) as tb, any_value(yb) as yb, sum((t - tb) * (value - yb)) / sum((t - tb) * (t - tb)) as slope from {source} s join imom using (cell) group by s.cell),"
+    return f"""{mom}
+ires as (select s.cell, t, value - (yb - slope * tb) - slope * t as e from {source} s join iols using (cell)),
+idw as (select cell, sum((e - b) * (e - b)) / sum(e * e) as dw from (select *, lag(e) over (partition by cell order by t) as b from ires) group by cell),
+arr as (select cell, list(value order by t) as y, list(t order by t) as tt from {source} group by cell),
+gate as (select arr.cell, y, tt from arr join idw using (cell) where {gate}),
+rec(cell, k, rho, clamped) as (
+  select cell, 0, nr, false from ({lag('y', 'cell', 'select cell, y from gate')})
+  union all
+  select cell, k + 1, case when nr >= 1 then 0.99::double when nr <= -1 then -0.99::double else nr end, clamped or nr >= 1 or nr <= -1 from ({lag('e', 'cell, k, clamped', left)})),
+move as (select b.k, max(abs(b.rho - a.rho)) as move from rec a join rec b on a.cell = b.cell and b.k = a.k + 1 group by b.k),
+halt as (select coalesce(min(case when move < 1e-4 then k end), 20) as stop from move),
+itn as (
+  select arr.cell, y, tt, dw, rec.cell is not null as gated, rec.rho, coalesce(rec.clamped, false) as clamped, rec.cell is not null and not coalesce(rec.clamped, false) as changed
+  from arr join idw using (cell) cross join halt left join rec on rec.cell = arr.cell and rec.k = halt.stop),
+white as (
+  select cell, tt[i]::double as t, case when not changed then y[i] when i = 1 then y[1] * sqrt(1 - rho * rho) else (y[i] - rho * y[i - 1]) / (1 - rho) end as value
+  from itn, unnest(range(1, len(y) + 1)) u(i)),"""
+
+
+def _gate(kind: str) -> str:
+    """The Durbin-Watson gates of 28 layers."""
+    return {"threshold": "dw < 1.4 or dw > 2.6", "test": "dw < 1.476 or dw > 4 - 1.476", "none": "true"}[kind]
+
+
+def _iterative_query(kind: str, refit: str = "OLS", dw: bool = True) -> str:
+    first = f", {q6('dw')} as \"DW_initial\"" if dw else ""
+    return f"""with recursive {long_sql(100)}{iterative_sql(_gate(kind), refit)} x as (select 1)
+select itn.cell, white.t::int as t, {q6('white.value', 5)} as value{first}, {q6('case when gated then rho else 0.0::double end', 5)} as "Rho", changed::int as "Modified", (gated and clamped)::int as "Clamped" from itn join white using (cell)"""
+
+
+def _prewhitened(stack: Stack, method: str, **options) -> DataFrame:
+    out, d = prewhiten.prewhiten(stack, method, **options)
+    rows = out.cells.where("ok").select("grid_id", "cell", F.posexplode("y").alias("k", "value"))
+    rows = rows.join(d.drop("row", "col", "ok"), ["grid_id", "cell"]).withColumn("t", F.col("k") + 1)
+    return rows.select(
+        "cell", "t", r6("value", 5).alias("value"), *(r6(c).alias(c) for c in ("DW_initial",) if c in d.columns), r6("Rho", 5).alias("Rho"), "Modified", "Clamped")
+
+
+@query(_iterative_query("threshold"))
 def tfpw_wang_swail(spark, sf):
-    out, d = prewhiten.prewhiten(lineitem_stack(spark, sf), "TFPW_WS")
-    return rounded(out.cells.select("grid_id", "cell", "y").join(d, ["grid_id", "cell"]))
+    return _prewhitened(lineitem_stack(spark, sf), "TFPW_WS")
 
 
-@query()
+@query(_iterative_query("test", "TS"))
 def tfpw_wang_swail_test_gate(spark, sf):
-    return rounded(prewhiten.prewhiten(lineitem_stack(spark, sf), "TFPW_WS", gate="test", refit_method="TS")[1])
+    return _prewhitened(lineitem_stack(spark, sf), "TFPW_WS", gate="test", refit_method="TS")
 
 
-@query()
+@query(_iterative_query("none", dw=False))
 def tfpw_zhang(spark, sf):
-    return rounded(prewhiten.prewhiten(lineitem_stack(spark, sf), "TFPW_Z")[1])
+    return _prewhitened(lineitem_stack(spark, sf), "TFPW_Z")
+
+
+@query(f"""with recursive {long_sql(100)}{SLOPES}{iterative_sql(_gate('threshold'))}
+truth as (select cell, quantile_cont(s, 0.5) as slope from slopes group by cell),
+wmom as (select cell, avg(t) as tb, avg(value) as yb from white group by cell),
+wols as (select w.cell, any_value(tb) as tb, any_value(yb) as yb, sum((t - tb) * (value - yb)) / sum((t - tb) * (t - tb)) as slope from white w join wmom using (cell) group by w.cell),
+wres as (select w.cell, t, value - (yb - slope * tb) - slope * t as e from white w join wols using (cell)),
+r as (select cell, case when stddev_samp(e) > 0 and stddev_samp(b) > 0 then corr(e, b) end as r from (select *, lag(e) over (partition by cell order by t) as b from wres) where b is not null group by cell)
+select {q6('avg(r)', 5)} as "ResidualACF1", {q6('avg(abs(r))', 5)} as "AbsResidualACF1", {q6('avg(wols.slope - truth.slope)', 5)} as "SlopeBias", {q6('avg(abs(wols.slope - truth.slope))', 5)} as "SlopeMAE",
+  {q6('sqrt(avg((wols.slope - truth.slope) * (wols.slope - truth.slope)))', 5)} as "SlopeRMSE", {q6('avg(changed::int)')} as "ModifiedFraction", max(len(y))::double as "OutputLength"
+from itn join r using (cell) join wols using (cell) join truth using (cell)""")
+def prewhitening_scores(spark, sf):
+    stack = lineitem_stack(spark, sf)
+    out, d = prewhiten.prewhiten(stack, "TFPW_WS")
+    result = out.cells.where("ok").select("grid_id", "cell", "y").join(d.select("grid_id", "cell", "Modified"), ["grid_id", "cell"])
+    truth = slope.slope_estimator(stack).select("grid_id", "cell", F.col("slope").alias("true_slope"))
+    return rounded(benchmark.prewhitening_scores(result, truth), 5)
 
 
 def _ci_sql() -> str:
@@ -442,12 +511,6 @@ def fdr_cutoffs(spark, sf):
     return fdr.cutoffs(_pvalues(spark, sf).where("ok").select("grid_id", "cell", "p"), 0.3).drop("grid_id")
 
 
-@query()
-def fdr_moran_advice(spark, sf):
-    stack = lineitem_stack(spark, sf)
-    return rounded(permutation.moran_advice(trend.trend_test(stack, "MK"), stack.spec, nperm=49))
-
-
 # ------------------------------------------------------------------ permutations
 
 PERM = """
@@ -495,12 +558,37 @@ def permutation_local(spark, sf):
     return rounded(permutation.local_test(field, stack.spec, nperm=49))
 
 
-@query()
+@query(f"""with {long_sql(100)}{FIELD}{neighbours_sql()}{PERM}
+zf as (select perm, cell, x - avg(x) over (partition by perm) as z from maps),
+w as (select a.perm, sum(a.z * b.z) as zwz, count(*) as s0 from zf a join nbr on nbr.cell = a.cell join zf b on b.cell = nbr.nbr and b.perm = a.perm group by a.perm),
+q as (select perm, sum(z * z) as zz, count(*) as n from zf group by perm),
+st as (select perm, n / s0::double * zwz / zz as i from w join q using (perm)),
+sp as (select min(i) as lo, (max(i) - min(i)) / 20 as width from st),
+b as (select least(20, floor((i - lo) / width) + 1)::int as bin, lo, width, count(*) as n from st, sp group by 1, 2, 3)
+select bin, {q6('lo + (bin - 1) * width')} as lower, {q6('lo + bin * width')} as upper, n from b""")
 def permutation_null_histogram(spark, sf):
     field, stack = _field(spark, sf)
     return rounded(permutation.null_histogram(permutation.null_statistics(field, stack.spec, "x", "moran", 49, 1)))
 
 
+def _advice_sql() -> str:
+    return f"""with {long_sql(100)}{MK}{neighbours_sql()} field as (select cells.cell, row, col, p as x from cells left join mk using (cell)),{PERM}
+allm as (select * from maps union all select 0, cell, x from field where x is not null),
+zf as (select perm, cell, x - avg(x) over (partition by perm) as z from allm),
+w as (select a.perm, sum(a.z * b.z) as zwz, count(*) as s0 from zf a join nbr on nbr.cell = a.cell join zf b on b.cell = nbr.nbr and b.perm = a.perm group by a.perm),
+q as (select perm, sum(z * z) as zz, count(*) as n from zf group by perm),
+st as (select perm, n / s0::double * zwz / zz as i from w join q using (perm)),
+o as (select i as obs from st where perm = 0),
+r as (select any_value(obs) as statistic, (count(*) filter (i >= obs - 1e-12 * abs(obs)) + 1) / 50.0::double as p from st, o where perm > 0)
+select {q6('statistic')} as statistic, {q6('p')} as p, case when statistic >= 0 and p < 0.05 then 'BH' end as recommendation, case when statistic >= 0 and p < 0.05 then 'positive dependence' else 'inconclusive' end as finding from r"""
+
+
+@query(_advice_sql())
+def fdr_moran_advice(spark, sf):
+    stack = lineitem_stack(spark, sf)
+    return rounded(permutation.moran_advice(trend.trend_test(stack, "MK"), stack.spec, nperm=49))
+
+
 # ------------------------------------------------------------------ directions and reports
 
 ALL = f"{MK}{SEN}{PVALUES}{fdr_sql('src', 0.3)} al as (select b.id as cell, b.p, mk.S, slope, bh <= 0.3 as rj_bh, bky <= 0.3 as rj_bky from bky b join mk on mk.cell = b.id join sen on sen.cell = b.id),"
@@ -592,11 +680,11 @@ def trend_map_panels(spark, sf):
 
 DETECT = f"""
 tr as (select cell, cell % 3 = 0 as signal, (case when cell % 2 = 0 then 1 else -1 end) as td from cells),
-de as (select m.method, r.replicate, c.cell, ((c.cell * 7 + r.replicate * 11 + m.k * 5) % 10) < m.k as significant, (case when (c.cell + r.replicate) % 5 = 0 then -1 else 1 end) as d from cells c, (values ('loose', 5), ('strict', 2), ('wide', 5)) m(method, k), (values (1), (2), (3)) r(replicate)),
+de as (select m.method, r.replicate, c.cell, ((c.cell * 7 + r.replicate * 11 + m.k * 5) % 10) < m.k and (m.method <> 'false' or c.cell % 3 <> 0) as significant, (case when (c.cell + r.replicate) % 5 = 0 then -1 else 1 end) as d from cells c, (values ('loose', 5), ('strict', 2), ('wide', 5), ('none', 0), ('false', 6)) m(method, k), (values (1), (2), (3)) r(replicate)),
 j as (select * from de join tr using (cell)),
 cf as (select method, replicate, count(*) filter (significant and signal)::double as tp, count(*) filter (significant and not signal)::double as fp, count(*) filter (not significant and not signal)::double as tn, count(*) filter (not significant and signal)::double as fn,
   count(*) filter (significant and signal and d = td)::double as rt, count(*) filter (significant and signal and d <> td)::double as wr from j group by method, replicate),
-ms as (select method, replicate, tp, fp, tn, fn, tp / (tp + fn) as "Sensitivity", tn / (tn + fp) as "Specificity", tp / nullif(tp + fp, 0) as "Precision", (tp + tn) / (tp + fp + tn + fn) as "Accuracy", 2 * tp / (2 * tp + fp + fn) as "F1",
+ms as (select method, replicate, tp, fp, tn, fn, tp / (tp + fn) as "Sensitivity", tn / (tn + fp) as "Specificity", tp / nullif(tp + fp, 0) as "Precision", (tp + tn) / (tp + fp + tn + fn) as "Accuracy", case when tp > 0 then 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) end as "F1",
   (tp * tn - fp * fn) / nullif(sqrt(tp + fp) * sqrt(tp + fn) * sqrt(tn + fp) * sqrt(tn + fn), 0) as "MCC", fp / (fp + tn) as "FPR", case when tp + fp = 0 then 0 else fp / (tp + fp) end as "FDR", fn / (tp + fn) as "TypeII", wr / nullif(tp, 0) as "TypeIII", rt / (tp + fn) as "DirectionalPower", (tp > 0)::double as "GlobalPower" from cf),"""
 SHOWN = ("Sensitivity", "Specificity", "Precision", "Accuracy", "F1", "MCC", "FPR", "FDR", "TypeII", "TypeIII", "DirectionalPower", "GlobalPower")
 
@@ -604,9 +692,10 @@ SHOWN = ("Sensitivity", "Specificity", "Precision", "Accuracy", "F1", "MCC", "FP
 def _detections(spark, sf) -> tuple[DataFrame, DataFrame]:
     cells = lineitem_stack(spark, sf).cells.select("cell")
     truth = cells.select("cell", (F.col("cell") % 3 == 0).alias("signal"), F.when(F.col("cell") % 2 == 0, 1).otherwise(-1).alias("direction"))
-    methods = F.array(*(F.struct(F.lit(n).alias("method"), F.lit(k).alias("k")) for n, k in (("loose", 5), ("strict", 2), ("wide", 5))))
+    methods = F.array(*(F.struct(F.lit(n).alias("method"), F.lit(k).alias("k")) for n, k in (("loose", 5), ("strict", 2), ("wide", 5), ("none", 0), ("false", 6))))  # none finds nothing, false only what is not there
     rows = cells.withColumn("m", F.explode(methods)).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(3))))
     hit = (F.col("cell") * 7 + F.col("replicate") * 11 + F.col("m.k") * 5) % 10 < F.col("m.k")
+    hit = hit & ((F.col("m.method") != "false") | (F.col("cell") % 3 != 0))
     return rows.select("m.method", "replicate", "cell", hit.alias("significant"), F.when((F.col("cell") + F.col("replicate")) % 5 == 0, -1).otherwise(1).alias("direction")), truth
 
 
@@ -622,12 +711,12 @@ def detection_replicates(spark, sf):
     return rounded(scoring.compare_detections(found, truth, SHOWN))
 
 
-@query(f"""with {long_sql(100)}{DETECT} u as (unpivot (select method, "Sensitivity", "FPR", "MCC" from ms where replicate = 1) on "Sensitivity", "FPR", "MCC" into name metric value value),
+@query(f"""with {long_sql(100)}{DETECT} u as (unpivot (select method, "Sensitivity", "FPR", "MCC" from ms where replicate = 1 and method in ('wide', 'loose', 'strict')) on "Sensitivity", "FPR", "MCC" into name metric value value),
 k as (select *, row_number() over (partition by metric order by case when metric = 'FPR' then value else -value end, list_position(['wide', 'loose', 'strict'], method)) as i from u)
 select metric, method, {q6('value')} as value from k where i = 1""")
 def best_methods(spark, sf):
     found, truth = _detections(spark, sf)
-    scores = scoring.compare_detections(found.where("replicate = 1").drop("replicate"), truth, SHOWN)
+    scores = scoring.compare_detections(found.where("replicate = 1 and method in ('wide', 'loose', 'strict')").drop("replicate"), truth, SHOWN)
     return rounded(scoring.best_methods(scores, ("Sensitivity", "FPR", "MCC"), ("wide", "loose", "strict")))
 
 
@@ -765,9 +854,18 @@ def workflow_robust_trends(spark, sf):
     return out.select("cell", "row", "col", "ok", r6("Sm").alias("Sm"), r6("VarSm", 4).alias("VarSm"), r6("p").alias("p"), r6("slope").alias("slope"), r6("q_BH").alias("q_BH"), "reject_BH", "direction_BH")
 
 
-@query()
+def _tst_sql() -> str:
+    raw = long_sql(100).replace("series as (", "raw as (")
+    return f"""with recursive {raw}{iterative_sql(_gate('threshold'), source='raw')} series as (select * from white),{cmk_sql()}{SEN} src as (select cell as id, p from cmk),{fdr_sql('src', 0.05)}
+o as (select b.id as cell, b.p, bky, slope, Sm, VarSm, bky <= 0.05 as rj from bky b join cmk on cmk.cell = b.id join sen on sen.cell = b.id)
+{CELLS}, {q6('Sm', 4)} as "Sm", {q6('VarSm', 3)} as "VarSm", {q6('o.p', 5)} as p, {q6('slope', 4)} as slope, {q6('bky', 5)} as "q_BKY", rj as "reject_BKY", case when rj is null then null when rj and slope > 0 then 1 when rj and slope < 0 then -1 else 0 end as "direction_BKY" {AT} o using (cell)"""
+
+
+@query(_tst_sql())
 def workflow_true_trends(spark, sf):
-    return rounded(workflow_tst(lineitem_stack(spark, sf)).cells)
+    out = workflow_tst(lineitem_stack(spark, sf)).cells
+    digits = {"Sm": 4, "VarSm": 3, "p": 5, "slope": 4, "q_BKY": 5}
+    return out.select("cell", "row", "col", "ok", *(r6(c, n).alias(c) for c, n in digits.items()), "reject_BKY", "direction_BKY")
 
 
 @query(f"""with {long_sql(400, 'year')}{MK}{FIT} src as (select cell as id, p from mk),{fdr_sql('src', 0.2)}

@@ -180,3 +180,44 @@ def test_inspection(spark):
     assert {r["method"] for r in rows} == {"TS", "OLS", "RM"} and all(r["slope"] == pytest.approx(0.5) for r in rows)
     fits = inspect.small_multiples(stack, 1)
     assert fits.count() == 12 and inspect.panel(stack, 1, fits).count() == 24
+
+
+def test_scores_without_and_with_only_false_discoveries(spark):
+    rows = spark.createDataFrame([(m, c, c > 2 if m == "false" else False) for m in ("none", "false") for c in range(5)], "method string, cell long, significant boolean")
+    truth = spark.createDataFrame([(c, c <= 2) for c in range(5)], "cell long, signal boolean")
+    got = {r["method"]: r for r in scoring.compare_detections(rows, truth).collect()}
+    assert (got["none"]["Precision"], got["none"]["F1"], got["none"]["Sensitivity"], got["none"]["FDR"]) == (None, None, 0, 0)
+    assert (got["false"]["Precision"], got["false"]["F1"], got["false"]["FDR"], got["false"]["FPR"]) == (0, None, 1, 1)
+    with pytest.raises(ValueError, match="FWER"):
+        scoring.compare_detections(rows, truth, ("FDR", "FWER"))
+
+
+def test_durbin_watson_bounds():
+    from gridloom.operators.prewhiten import dw_critical_values
+
+    assert dw_critical_values(15) == (1.077, 1.361) and dw_critical_values(28) == (1.328, 1.476) and dw_critical_values(100) == (1.654, 1.694)
+    assert dw_critical_values(10) == (1.077, 1.361) and dw_critical_values(42) == pytest.approx((1.4552, 1.5528)) and dw_critical_values(500) == (1.654, 1.694)
+
+
+def test_t_values_of_normal_scores():
+    z = {1e-12: -7.034483825301131, 1e-4: -3.719016485455709, 2e-4: -3.540083799206145, 0.3: -0.5244005127080407}
+    for df in (2.5, 4.0, 30.0):
+        for p, x in z.items():
+            assert simulate.t_of_normal(np.array([x, -x]), df) == pytest.approx([dist.t_quantile(p, df), -dist.t_quantile(p, df)], rel=2e-4)
+
+
+def test_evaluators_return_one_row_for_each_replicate(spark):
+    twice = lambda result, sim: result.select("grid_id").union(result.select("grid_id"))
+    with pytest.raises(ValueError, match="one row"):
+        benchmark.benchmark_methods(spark, {"a": simulate.Scenario(nrow=4, ncol=4, n_time=6, constant_block=False)}, {"m": lambda stack, sim: stack.cells}, 1, "custom", evaluator=twice)
+
+
+def test_prewhitening_scores_name_their_columns(spark):
+    rows = spark.createDataFrame([("1", 1, [1.0, 3.0, 2.0, 5.0], 1), ("1", 2, [1.0, 2.0, 3.0, 4.5], 0)], "grid_id string, cell long, y array<double>, Modified int")
+    truth = spark.createDataFrame([("1", 1, 1.0), ("1", 2, 1.0)], "grid_id string, cell long, true_slope double")
+    got = benchmark.prewhitening_scores(rows, truth)
+    assert set(got.columns) == {"grid_id", "ResidualACF1", "AbsResidualACF1", "SlopeBias", "SlopeMAE", "SlopeRMSE", "ModifiedFraction", "OutputLength"}
+    r = got.first()
+    assert (r["ModifiedFraction"], r["OutputLength"]) == (0.5, 4.0) and r["SlopeBias"] == pytest.approx((0.1 + 0.15) / 2)
+    with pytest.raises(ValueError, match="three layers"):
+        benchmark.prewhitening_scores(rows.selectExpr("grid_id", "cell", "slice(y, 1, 2) as y"), truth)

@@ -5,6 +5,7 @@ import pytest
 from helpers import by_cell, field_of, pvalues_of
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gridloom.operators import fdr, permutation, spatial
 from gridloom.operators.direction import direction_map, robust_range
@@ -115,3 +116,24 @@ def test_directions(spark):
     assert by_cell(direction_map(rows, ("BH",)), "direction_BH") == {1: 1, 2: -1, 3: 0, 4: None, 5: None}
     r = robust_range(rows.where("slope is null"), "slope").first()
     assert (r["lower"], r["upper"]) == (-1, 1)
+
+
+def test_tiles_do_not_change_sums(spark, monkeypatch):
+    values = [float((i * 37) % 11) for i in range(9 * 7)]
+    cells, spec = field_of(spark, values, 9)
+    got = {}
+    for tile in (32, 3, 1):
+        monkeypatch.setattr(spatial, "TILE", tile)
+        for connectivity, window in (("queen", 3), ("rook", 5)):
+            around = spatial.neighbourhood(spec, connectivity, window)
+            rows = spatial.region_sums(cells, {"x": F.col("x")}, around, True).collect()
+            got.setdefault((connectivity, window), set()).add(tuple(sorted((r["cell"], r["x"]) for r in rows)))
+    want = tuple((r * 7 + c + 1, sum(values[i * 7 + j] for i in range(max(0, r - 1), min(9, r + 2)) for j in range(max(0, c - 1), min(7, c + 2)))) for r in range(9) for c in range(7))
+    assert got["queen", 3] == {want} and len(got["rook", 5]) == 1
+
+
+def test_neighbour_sums_shuffle_once(spark):
+    cells, spec = field_of(spark, [float(i) for i in range(64)], 8)
+    sums = spatial.region_sums(cells, {"x": F.col("x")}, spatial.neighbourhood(spec), True)
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -120,8 +120,8 @@ def test_durbin_watson_and_critical_values(spark):
     e = y - np.polyval(np.polyfit(t, y, 1), t)
     got = by_cell(prewhiten.durbin_watson(stack_of(spark, [y])), "dw", "rho1")[1]
     assert got == pytest.approx((((e[1:] - e[:-1]) ** 2).sum() / (e * e).sum(), (e[1:] * e[:-1]).sum() / (e[:-1] ** 2).sum()))
-    assert prewhiten.dw_critical_values(15) == (1.08, 1.36) == prewhiten.dw_critical_values(4)
-    assert prewhiten.dw_critical_values(42) == pytest.approx((1.456, 1.552))
+    assert prewhiten.dw_critical_values(15) == (1.077, 1.361) == prewhiten.dw_critical_values(4)
+    assert prewhiten.dw_critical_values(42) == pytest.approx((1.4552, 1.5528))
 
 
 def test_trend_free_prewhitening(spark):
