@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import series as S
 from gridloom.functions.dist import Z_975
+from gridloom.functions.kernels import matrix, sen_slopes, with_statistics
 from gridloom.functions.validate import choice, positive_integer, positive_number
 from gridloom.operators.grid import Stack, require_valid, when_ok, with_series
 from gridloom.operators.spatial import one_row_side
-from gridloom.operators.trend import matrix, sen_slopes
 
 METHODS = ("TFPW_Y", "TFPW_WS", "TFPW_Z", "VCTFPW")
 DIAGNOSTICS = {
@@ -104,8 +104,9 @@ def trend_free(stack: Stack) -> tuple[Stack, DataFrame]:
         white = F.zip_with(S.tail(rest), S.head(rest), lambda a, b: a - rho * b)
         return F.struct(beta.alias("Beta_TheilSen"), rho.alias("Rho"), F.zip_with(white, S.tail(t), lambda a, s: a + beta * s).alias("new"))
 
-    y = F.col("y")
-    rows = stack.cells.select("grid_id", "cell", "row", "col", "ok", when_ok(S.let(S.theil_sen(y, t), lambda beta: detrended(y, beta))).alias("f"))
+    times = np.array(stack.spec.times)
+    rows = with_statistics(stack.cells.select("grid_id", "cell", "row", "col", "ok", "y"), ("beta",), lambda v: (sen_slopes(v, times),))
+    rows = rows.select("grid_id", "cell", "row", "col", "ok", when_ok(detrended(F.col("y"), F.col("beta"))).alias("f"))
     rows = rows.select("grid_id", "cell", "row", "col", "ok", F.inline_outer(F.array("f")))
     missing = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.lit(None).cast("double"))
     cells = rows.select("grid_id", "cell", "row", "col", F.when(F.col("Rho").isNotNull(), F.col("new")).otherwise(missing).alias("y"))

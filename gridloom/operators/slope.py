@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import series as S
 from gridloom.functions.dist import normal_quantile, t_quantile
+from gridloom.functions.kernels import sen_slopes, with_statistics
 from gridloom.functions.validate import choice, max_pairs as check_pairs
 from gridloom.operators.grid import Stack, when_ok
 from gridloom.operators.spatial import focal_median
@@ -43,7 +45,12 @@ def slope_estimator(stack: Stack, method: str = "TS", max_pairs: float = math.in
     n, y, t = stack.spec.n_time, F.col("y"), stack.spec.t()
     if n < {"TS": 2, "OLS": 3, "RM": 3}[method]:
         raise ValueError(f"{method} needs more layers")
-    value = {"TS": lambda: theil_sen(y, t, sampled_pairs(n, max_pairs, seed)), "OLS": lambda: S.ols(y, t)["slope"], "RM": lambda: S.repeated_median(y, t)}[method]()
+    pairs = sampled_pairs(n, max_pairs, seed) if method == "TS" else None
+    if method == "TS" and pairs is None:
+        times = np.array(stack.spec.times)
+        rows = with_statistics(stack.cells.select("grid_id", "cell", "row", "col", "ok", "y"), ("slope",), lambda v: (sen_slopes(v, times),)).drop("y")
+        return focal_median(rows.withColumn("slope_smooth", F.col("slope")), "slope_smooth", stack.spec) if smooth_neighbourhood else rows
+    value = {"TS": lambda: theil_sen(y, t, pairs), "OLS": lambda: S.ols(y, t)["slope"], "RM": lambda: S.repeated_median(y, t)}[method]()
     rows = stack.cells.select("grid_id", "cell", "row", "col", "ok", when_ok(value).alias("slope"))
     if smooth_neighbourhood:
         rows = focal_median(rows.withColumn("slope_smooth", F.col("slope")), "slope_smooth", stack.spec)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import series as S
 from gridloom.functions.dist import NORMAL_DENOMINATOR, NORMAL_NUMERATOR, SQRT_TWO_PI, Z_975, t_two_sided_sql
+from gridloom.functions.kernels import kendall_scores, matrix, sen_slopes, with_statistics
 from gridloom.operators.grid import Stack, when_ok
 from gridloom.operators.spatial import Neighbourhood, neighbourhood, region_sums
 
@@ -45,9 +46,9 @@ def _polynomial(x: Column, coefficients) -> Column:
     return out
 
 
-def kendall(y: Column, ties: bool) -> Column:
-    """struct(S, VarS) of one series."""
-    return F.struct(S.kendall_score(y).alias("S"), S.kendall_variance(y, ties).alias("VarS"))
+def with_kendall(rows: DataFrame, ties: bool) -> DataFrame:
+    """rows (ok, y, ...) with S and VarS of the complete series."""
+    return with_statistics(rows, ("S", "VarS"), lambda y: kendall_scores(y, ties))
 
 
 def trend_test(
@@ -66,11 +67,8 @@ def trend_test(
 
 
 def mann_kendall(stack: Stack, ties: bool = True) -> DataFrame:
-    def of(k: Column) -> Column:
-        return F.struct(k["S"].alias("S"), k["VarS"].alias("VarS"), normal_p(z_score(k["S"], k["VarS"])).alias("p"))
-
-    rows = stack.cells.withColumn("__k", when_ok(S.let(kendall(F.col("y"), ties), of)))
-    return rows.select("grid_id", "cell", "row", "col", "ok", "__k.S", "__k.VarS", "__k.p")
+    rows = with_kendall(stack.cells.select("grid_id", "cell", "row", "col", "ok", "y"), ties).drop("y")
+    return rows.withColumn("p", normal_p(z_score(F.col("S"), F.col("VarS"))))
 
 
 def least_squares(stack: Stack) -> DataFrame:
@@ -99,15 +97,16 @@ def contextual_mann_kendall(
     around.check(stack.spec, connectivity, window_size)
     n = stack.spec.n_time
 
-    def region(y: Column, k: Column) -> Column:
-        """struct(S, own, v) from a series and its struct(S, VarS)."""
+    def region(y: Column, k: dict[str, Column]) -> Column:
+        """struct(S, own, v) from a series and its S and VarS."""
         def scaled(c: Column) -> Column:
             sd = F.sqrt(S.dot(c, c) / (n - 1))
             return S.let(F.when(sd > 0, F.sqrt(k["VarS"]) / (F.sqrt(F.lit(float(n))) * sd)).otherwise(F.lit(0.0)), lambda f: F.transform(c, lambda x: x * f))
 
         return S.let(S.let(S.centred(y), scaled), lambda v: F.struct(k["S"].alias("score"), (k["VarS"] - S.dot(v, v)).alias("own"), v.alias("v")))
 
-    rows = stack.cells.where("ok").select("grid_id", "row", "col", S.let(kendall(F.col("y"), ties), lambda k: region(F.col("y"), k)).alias("k"))
+    scored = with_kendall(stack.cells.where("ok").select("grid_id", "row", "col", "ok", "y"), ties)
+    rows = scored.select("grid_id", "row", "col", region(F.col("y"), {"S": F.col("S"), "VarS": F.col("VarS")}).alias("k"))
     rows = rows.select("grid_id", "row", "col", F.inline(F.array("k")))  # one row each: the kernels are not copied past this point
     values = {"score": F.col("score"), "own": F.col("own"), "one": F.lit(1.0)} | {f"v{k}": F.get("v", F.lit(k)) for k in range(n)}
     sums = region_sums(rows, values, around, include_self=True)
@@ -123,26 +122,19 @@ def contextual_mann_kendall(
 # ------------------------------------------------------------------ modified Mann-Kendall (numpy in Arrow batches)
 
 
-def matrix(column) -> np.ndarray:
-    """An Arrow column of equally long lists as a matrix."""
-    n = len(column)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1) if n else np.zeros((0, 0))
-
-
-def pair_index(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.triu_indices(n, 1)
-
-
-def sen_slopes(y: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Theil-Sen slope of each row, from all pairs."""
-    i, j = pair_index(len(t))
-    return np.concatenate([np.median((y[k : k + 256, j] - y[k : k + 256, i]) / (t[j] - t[i]), axis=1) for k in range(0, len(y), 256)]) if len(y) else np.zeros(0)
-
-
 def average_ranks(x: np.ndarray) -> np.ndarray:
-    below = (x[:, None, :] < x[:, :, None]).sum(2)
-    equal = (x[:, None, :] == x[:, :, None]).sum(2)
-    return below + (equal + 1) / 2
+    """Ranks of each row, ties sharing their mean: n log n a row, no pairs in memory."""
+    n = x.shape[1]
+    order = np.argsort(x, axis=1, kind="stable")
+    ordered = np.take_along_axis(x, order, 1)
+    new = np.concatenate([np.ones((len(x), 1), bool), ordered[:, 1:] != ordered[:, :-1]], 1)
+    place = np.arange(n)
+    first = np.maximum.accumulate(np.where(new, place, 0), axis=1)
+    after = np.concatenate([new[:, 1:], np.ones((len(x), 1), bool)], 1)
+    last = np.minimum.accumulate(np.where(after, place, n)[:, ::-1], axis=1)[:, ::-1]
+    out = np.empty(x.shape)
+    np.put_along_axis(out, order, (first + last) / 2 + 1, 1)
+    return out
 
 
 def autocorrelations(x: np.ndarray, lags: int) -> np.ndarray:
@@ -174,7 +166,6 @@ def modified_mann_kendall(stack: Stack, ties: bool = True) -> DataFrame:
 
     kind = dict(stack.cells.dtypes)["grid_id"]
     factors = stack.cells.where("ok").select("grid_id", "cell", "y").mapInArrow(run, f"grid_id {kind}, cell long, essf double")
-    rows = stack.cells.select("grid_id", "cell", "row", "col", "ok", when_ok(kendall(F.col("y"), ties)).alias("k"))
-    rows = rows.select("grid_id", "cell", "row", "col", "ok", F.inline_outer(F.array("k"))).withColumnRenamed("VarS", "V0").join(factors, ["grid_id", "cell"], "left")
+    rows = with_kendall(stack.cells.select("grid_id", "cell", "row", "col", "ok", "y"), ties).drop("y").withColumnRenamed("VarS", "V0").join(factors, ["grid_id", "cell"], "left")
     rows = rows.withColumn("VarS", F.when(F.col("essf") > 0, F.col("V0") * F.col("essf")))
     return rows.withColumn("p", F.when(F.col("essf") > 0, normal_p(z_score(F.col("S"), F.col("VarS")))))
