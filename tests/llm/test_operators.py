@@ -169,6 +169,20 @@ def test_similar_texts_share_a_group(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(rows).collect()) == sorted(set(want))
 
 
+def test_a_large_group_of_near_copies_is_one_group(spark):
+    rng = np.random.default_rng(33)
+    base, texts = sentence(120, 4_000).split(), []
+    for i in range(150):  # three of twelve blocks changed: pairs lie on both sides of 0.8
+        words = list(base)
+        for at in rng.choice(12, 2, replace=False):
+            words[at * 10 + 5] = f"other{rng.integers(0, 3)}"
+        texts.append(" ".join(words))
+    texts += [sentence(120, 5_000 + i) for i in range(20)]
+    want = brute_groups(texts, 5, 0.8)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(rows).collect()) == sorted(set(want)) and len(set(want)) < 40
+
+
 # ------------------------------------------------------------------ license scans
 
 
