@@ -13,8 +13,7 @@ Shards go through Spark's own writer, so they land in any store it knows, and a
 twice leaves one committed file.
 
 The tokens are made once: sequences, and where each text's ids lie among its task's ids, are written to the
-shared folder, each sequence compressed; sequences are then numbered by one row per task, and shuffled once, still
-compressed, to their slots. Sequences and
+shared folder; sequences are then numbered by one row per task, and shuffled once, compressed one by one, to their slots. Sequences and
 places come from the same committed files, whatever order the rows had. Texts are encoded some megabytes at a time.
 
 Defined cases: null and empty texts are one end-of-text id; repeated rows and rows without id are packed
@@ -42,6 +41,7 @@ PER_SHARD = 4_096
 KEY = 0x5EED
 FEISTEL_ROUNDS = 6
 PIECE = 1 << 20
+LEVEL = 9
 BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")  # always begins a match of the pattern, so ids on both sides are the same apart
 
 
@@ -94,21 +94,21 @@ def id_type(ranks: dict[bytes, int]):
 
 
 def _tokens(shared, length: int):
-    """(doc_id, text) -> a row (doc_id, task, at = first id, n) for each text and a row (task, at = number, packed) for each sequence."""
+    """(doc_id, text) -> a row (doc_id, task, at = first id, n) for each text and a row (task, at = number, ids) for each sequence."""
 
     def run(batches):
         from pyspark import TaskContext
 
         encoder, task = Encoder(*shared.value), TaskContext.get().partitionId()
         size = encoder.kind.itemsize
-        stride, rest, at, done, kind, codec = length * size, b"", 0, 0, None, pa.Codec("zstd", compression_level=1)
+        stride, rest, at, done, kind = length * size, b"", 0, 0, None
 
         def sequences(payload: bytes):
             nonlocal done
             k = len(payload) // stride
-            rows = [pa.nulls(k, kind), pa.array(np.full(k, task, np.int64)), pa.array(done + np.arange(k)), pa.nulls(k, pa.int64()), pa.array([codec.compress(payload[i * stride : (i + 1) * stride], asbytes=True) for i in range(k)], pa.binary())]
+            rows = [pa.nulls(k, kind), pa.array(np.full(k, task, np.int64)), pa.array(done + np.arange(k)), pa.nulls(k, pa.int64()), pa.array([payload[i * stride : (i + 1) * stride] for i in range(k)], pa.binary())]
             done += k
-            return pa.RecordBatch.from_arrays(rows, names=["doc_id", "task", "at", "n", "packed"])
+            return pa.RecordBatch.from_arrays(rows, names=["doc_id", "task", "at", "n", "ids"])
 
         for b in batches:
             kind = b.column(0).type
@@ -117,7 +117,7 @@ def _tokens(shared, length: int):
                 n = np.array([len(x) // size for x in ids], np.int64)
                 ends = at + np.cumsum(n)
                 at = int(ends[-1])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(n)), pa.array(np.full(len(n), task, np.int64)), pa.array(ends - n), pa.array(n), pa.nulls(len(n), pa.binary())], names=["doc_id", "task", "at", "n", "packed"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(n)), pa.array(np.full(len(n), task, np.int64)), pa.array(ends - n), pa.array(n), pa.nulls(len(n), pa.binary())], names=["doc_id", "task", "at", "n", "ids"])
                 data = b"".join([rest, *ids])
                 whole = len(data) // stride * stride
                 rest = data[whole:]
@@ -130,14 +130,14 @@ def _tokens(shared, length: int):
 
 
 def tokenise(docs: DataFrame, path: str, vocabulary=None, length: int = LENGTH, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Write the tokens of docs under path once; returns (doc_id, task, start, n), one row per row of docs, and (task, number, packed), one row per sequence with its compressed ids."""
+    """Write the tokens of docs under path once; returns (doc_id, task, start, n), one row per row of docs, and (task, number, ids), one row per sequence."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary or public_vocabulary())
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    made = rows.mapInArrow(_tokens(shared, length), f"doc_id {dict(rows.dtypes)['doc_id']}, task long, at long, n long, packed binary")
-    made.write.option("compression", "zstd").parquet(path)
+    made = rows.mapInArrow(_tokens(shared, length), f"doc_id {dict(rows.dtypes)['doc_id']}, task long, at long, n long, ids binary")
+    made.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(LEVEL)).parquet(path)
     stored = spark.read.schema(made.schema).parquet(path)
-    return stored.where("n is not null").select("doc_id", "task", F.col("at").alias("start"), "n"), stored.where("n is null").select("task", F.col("at").alias("number"), "packed")
+    return stored.where("n is not null").select("doc_id", "task", F.col("at").alias("start"), "n"), stored.where("n is null").select("task", F.col("at").alias("number"), "ids")
 
 
 def task_numbers(placed: DataFrame, length: int = LENGTH) -> tuple[dict[int, tuple[int, int]], int]:
@@ -153,16 +153,18 @@ def task_numbers(placed: DataFrame, length: int = LENGTH) -> tuple[dict[int, tup
 def write_shards(
     sequences: DataFrame, path: str, numbers: dict[int, tuple[int, int]], total: int, stride: int, per_shard: int = PER_SHARD, key: int = KEY,
 ) -> None:
-    """Write sequences (task, number, packed) of ``stride`` bytes to their slots under path. Shard k is the file part-<k>."""
+    """Write sequences (task, number, ids) of ``stride`` bytes to their slots under path. Shard k is the file part-<k>."""
     if not total:
         return
     plan = sequences.sparkSession.sparkContext.broadcast(numbers)
 
     def place(batches):
+        codec = pa.Codec("zstd", compression_level=LEVEL)
         for b in batches:
             first = np.array([plan.value[t][0] for t in b.column(0).to_pylist()], np.int64)
             slots = permute(first + b.column(1).to_numpy(), total, key) if b.num_rows else first
-            yield pa.RecordBatch.from_arrays([pa.array(slots), b.column(2)], names=["slot", "packed"])
+            packed = [codec.compress(x, asbytes=True) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(packed, pa.binary())], names=["slot", "packed"])
 
     def unpack(batches):
         codec = pa.Codec("zstd")
@@ -171,7 +173,7 @@ def write_shards(
                 some = b.column(0).slice(k, 512).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([codec.decompress(x, stride, asbytes=True) for x in some], pa.binary())], names=["ids"])
 
-    placed = sequences.select("task", "number", "packed").mapInArrow(place, "slot long, packed binary")
+    placed = sequences.select("task", "number", "ids").mapInArrow(place, "slot long, packed binary")
     shards = -(-total // per_shard)
     dealt = placed.repartitionById(shards, F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot")
     lines = dealt.select("packed").mapInArrow(unpack, "ids binary").select(F.col("ids").cast("string").alias("value"))
