@@ -8,8 +8,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, lattice, licenses, maxent, mil, mixing, quality, shards, simhash, urlfilter
+from gridloom.llm import bpe, jaccard, lattice, licenses, maxent, mil, mixing, quality, shards, simhash, urlfilter
 from gridloom.llm.common import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -169,7 +170,8 @@ def test_similar_texts_share_a_group(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(rows).collect()) == sorted(set(want))
 
 
-def test_a_large_group_of_near_copies_is_one_group(spark):
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 1_500])
+def test_a_large_group_of_near_copies_is_one_group(spark, block):
     rng = np.random.default_rng(33)
     base, texts = sentence(120, 4_000).split(), []
     for i in range(150):  # three of twelve blocks changed: pairs lie on both sides of 0.8
@@ -180,7 +182,27 @@ def test_a_large_group_of_near_copies_is_one_group(spark):
     texts += [sentence(120, 5_000 + i) for i in range(20)]
     want = brute_groups(texts, 5, 0.8)
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    assert sorted(r["doc_id"] for r in simhash.keep_one(rows).collect()) == sorted(set(want)) and len(set(want)) < 40
+    found = jaccard.groups(rows, "doc_id", "text", 5, 0.8, block).groupBy("group").agg(F.min("doc_id").alias("least"))
+    assert sorted(r["least"] for r in found.collect()) == sorted(set(want)) and len(set(want)) < 40
+
+
+def test_a_forest_connects_home_rows_as_all_pairs_do():
+    rng = np.random.default_rng(8)
+    for trial in range(40):
+        sets = [np.sort(rng.choice(14, rng.integers(1, 14), replace=False)) for _ in range(30)]
+        role = rng.choice(3, 30, p=[0.4, 0.2, 0.4])
+        ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+
+        def labels(pairs):
+            group = np.where(role == 1, 100, np.arange(30))
+            for a, b in pairs:
+                group[group == group[a]] = group[b]
+            return [list(group).index(g) for g in group]
+
+        alike = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.6 * len(np.union1d(sets[a], sets[b]))
+        want = [(a, b) for a in range(30) for b in range(a) if (role[a] == 0 or role[b] == 0) and alike(a, b)]
+        got = jaccard.forest(role, np.concatenate(sets), ends, 0.6, chunk=3).tolist()
+        assert {tuple(sorted(p)) for p in got} <= {tuple(sorted(p)) for p in want} and labels(got) == labels(want)
 
 
 # ------------------------------------------------------------------ license scans
