@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, lattice, licenses, maxent, mil, mixing, quality, shards, simhash, urlfilter, wordbpe
+from gridloom.llm import bpe, lattice, licenses, maxent, mil, mixing, quality, search, shards, simhash, urlfilter, wordbpe
 from gridloom.llm.common import LOWER, UPPER, table
 
 WORDS_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -57,6 +57,10 @@ def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -70,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_classifier": op9_quality_classifier,
         "op10_mix_sources": op10_mix_sources,
         "op11_word_bpe": op11_word_bpe,
+        "op12_ranked_search": op12_ranked_search,
     }
 
 
@@ -172,10 +177,29 @@ from r left join x using (k)
 """
 
 
+def _op12_sql() -> str:
+    terms = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""
+with d as (select row_number() over () as k, doc_id, {terms} as w from documents),
+n as (select k, doc_id, len(w)::bigint as n from d where len(w) > 0),
+s as (select count(*)::bigint as nn, sum(n)::bigint as l from n),
+tf as (select k, term, count(*)::bigint as tf from (select k, unnest(w) as term from d) group by k, term),
+df as (select term, count(*)::bigint as df from tf group by term),
+q as (select distinct item_id, unnest({terms}) as term from benchmark),
+w as (select item_id, term, floor(1000 * ln((2 * nn + 2)::double / (2 * df + 1)::double))::bigint as w from q join df using (term), s),
+p as (
+  select item_id, k, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * nn) // l))))::bigint as score
+  from w join tf using (term) join n using (k), s group by item_id, k, doc_id),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from p where score > 0)
+select item_id, rank::int as rank, doc_id, score from r where rank <= {search.TOP}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_license_scan": _op2_sql(),
         "op6_url_filter": _op6_sql(),
         "op8_quality_rules": _op8_sql(),
         "op10_mix_sources": _op10_sql(),
+        "op12_ranked_search": _op12_sql(),
     }
