@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, lattice, licenses, maxent, mil, mixing, quality, search, shards, simhash, urlfilter, wordbpe
+from gridloom.llm import align, bpe, lattice, licenses, maxent, mil, mixing, quality, search, shards, simhash, urlfilter, wordbpe
 from gridloom.llm.common import LOWER, UPPER, table
 
 WORDS_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -61,6 +61,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_mix_sources": op10_mix_sources,
         "op11_word_bpe": op11_word_bpe,
         "op12_ranked_search": op12_ranked_search,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
