@@ -2,15 +2,16 @@
 
 Texts and templates are sets of pairs of adjacent words, so that order counts. A text block is a window of consecutive
 words, half as long again as the template; every window of a text counts, whatever its lines. A template is
-found in a block when the block holds at least ``CONTAINMENT`` of the template's distinct pairs; of templates found in
-overlapping windows those with the largest containment stay, which tells sister licenses apart.
+found in a block when the block holds at least ``CONTAINMENT`` of the template's distinct pairs. All maximal blocks of
+a template count, wherever they stand; of blocks of several templates that share words those with the largest
+containment stay, which tells sister licenses apart place by place.
 
 Texts are read once: what stays of a text are its number of words and the places of pairs that any template or phrase
 has. Template pairs are ordered by how many texts of the whole corpus hold them, rarest first. A text with a block that
 meets the threshold holds one of the first |T| - ceil(c |T|) + 1 pairs of that order (prefix filter), has
 ceil(c |T|) of the pairs or more (length filter), and the template has as many left from the first shared one on
-(positional filter). Texts that pass are verified by the exact overlap of their windows; a window with the largest
-overlap begins with a pair of the template, so no other is tried. No block that meets the threshold is lost.
+(positional filter). Texts that pass are verified by the exact overlap of their windows; a trimmed window begins
+with a pair of the template, so no other is tried. No block that meets the threshold is lost.
 
 Besides, four phrases are found at every place where their words stand consecutively.
 
@@ -95,17 +96,20 @@ def known_pairs(docs: DataFrame, known: Sequence[str]) -> DataFrame:
 
 
 def phrase_places(pairs: Column) -> Column:
-    """(at, label) of every place, counted in words from 0, where a phrase stands."""
-
-    def followed(heads: Column, k: int, part: str) -> Column:
-        return F.filter(heads, lambda h: F.exists(pairs, lambda p: (p["pair"] == part) & (p["at"] == h["at"] + k)))
+    """(at, label) of every place, counted in words from 0, where a phrase stands. Pairs come by place, each place once,
+    so a pair's followers are the next entries, and the search is linear in the text."""
 
     def of(phrase: str, label: str) -> Column:
         parts = pairs_of(phrase)
-        heads = F.filter(pairs, lambda p: p["pair"] == parts[0])
-        for k, part in enumerate(parts[1:], 1):
-            heads = followed(heads, k, part)
-        return F.transform(heads, lambda h: F.struct(h["at"].alias("at"), F.lit(label).alias("label")))
+
+        def stands(p: Column, i: Column) -> Column:
+            here = p["pair"] == parts[0]
+            for k, part in enumerate(parts[1:], 1):
+                following = F.get(pairs, i + k)
+                here = here & F.coalesce((following["pair"] == part) & (following["at"] == p["at"] + k), F.lit(False))
+            return F.when(here, F.struct(p["at"].alias("at"), F.lit(label).alias("label")))
+
+        return F.filter(F.transform(pairs, stands), lambda x: x.isNotNull())
 
     return F.flatten(F.array(*(of(phrase, label) for phrase, label in PHRASES)))
 
@@ -122,8 +126,13 @@ def template_order(rows: DataFrame, templates: Sequence[tuple[str, str]], contai
 
 
 def similar_blocks(rows: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """(row, template, label, at, block, overlap, n_template): for every text and template that meets the threshold
-    the best block, the first of equals. rows as ``known_pairs`` gives them."""
+    """(row, template, label, at, stop, block, overlap, n_template): every maximal block of a text that meets a template's
+    threshold. rows as ``known_pairs`` gives them.
+
+    A block is trimmed to the words [at, stop) that give its overlap: its first pair does not come again, and its
+    last pair is the last new one. It is maximal if no block of its template that shares a word with it
+    holds more. So a text has one block of a template wherever a notice stands, several of equal overlap at most.
+    """
     order = template_order(rows, templates, containment)
     prefix = order.select("*", F.posexplode("order").alias("place", "pair")).where(F.col("place") <= F.size("order") - F.col("need"))
     prefix = F.broadcast(checkpointed(prefix))  # one row per template pair at most, whatever the corpus
@@ -135,16 +144,40 @@ def similar_blocks(rows: DataFrame, templates: Sequence[tuple[str, str]] = TEMPL
     hits = probes.withColumn("hits", F.filter("pairs", lambda p: F.array_contains("order", p["pair"])))
     reach = F.col("block") - 2  # a block of n words has n - 1 places of pairs
 
-    def overlap(i: Column) -> Column:
-        first = F.element_at("hits", i)["at"]
-        held = F.filter(F.slice("hits", i, F.col("block")), lambda p: p["at"] <= first + reach)
-        near = F.get("hits", i + F.col("need") - 2)["at"] <= first + reach
-        size = F.when(near, F.size(F.array_distinct(F.transform(held, lambda p: p["pair"])))).otherwise(F.lit(0))
-        return F.struct(size.alias("overlap"), (-first).alias("at"))
+    def bound(value: Column, body) -> Column:
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def measured(first: Column, held: Column) -> Column:
+        names = F.transform(held, lambda p: p["pair"])
+
+        def of(distinct: Column) -> Column:
+            end = F.get(held, F.array_position(names, F.element_at(distinct, -1)).cast("int") - 1)["at"]
+            again = F.exists(F.slice(held, 2, F.size(held)), lambda p: (p["pair"] == F.get(names, F.lit(0))) & (p["at"] <= end))
+            return F.when((F.size(distinct) >= F.col("need")) & ~again, F.struct(first.alias("at"), (end + 2).alias("stop"), F.size(distinct).alias("overlap")))
 
-    best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("hits")), overlap))
-    found = hits.select("row", "template", "label", "block", "need", F.size("order").alias("n_template"), best.alias("best")).where("best.overlap >= need")
-    return found.select("row", "template", "label", (-F.col("best.at")).alias("at"), "block", F.col("best.overlap").alias("overlap"), "n_template")
+        return bound(F.array_distinct(names), of)
+
+    def block(h: Column, i: Column) -> Column:
+        near = F.get("hits", i + F.col("need") - 1)["at"] <= h["at"] + reach
+        held = F.filter(F.slice("hits", i + 1, F.col("block")), lambda p: p["at"] <= h["at"] + reach)
+        return F.when(near, bound(held, lambda w: measured(h["at"], w)))
+
+    found = hits.select("row", "template", "label", "block", F.size("order").alias("n_template"), F.inline(F.filter(F.transform("hits", block), lambda x: x.isNotNull())))
+    found = checkpointed(found)
+    return without(found, ("row", "template"), F.col("block"), lambda x, y: y["overlap"] > x["overlap"])
+
+
+def without(blocks: DataFrame, keys: tuple[str, ...], width: Column, beats) -> DataFrame:
+    """The blocks that no other block of the same keys, sharing a word with it, beats(block, other). None is wider than
+    width, so a block meets those that start in its own stretch of that width, or one beside it."""
+    x = blocks.withColumn("stretch", F.floor(F.col("at") / width)).alias("x")
+    y = blocks.withColumn("stretch", F.explode(F.array(*(F.floor(F.col("at") / width) + k for k in (-1, 0, 1))))).alias("y")
+    a, b = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    same = F.lit(True)
+    for k in (*keys, "stretch"):
+        same = same & (a(k) == b(k))
+    of = lambda c: {k: c(k) for k in blocks.columns}
+    return x.join(y, same & (b("at") < a("stop")) & (a("at") < b("stop")) & beats(of(a), of(b)), "left_anti").drop("stretch")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
@@ -154,19 +187,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates:
     """
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = known_pairs(texts, vocabulary(templates))
-    match = F.struct("label", (F.col("overlap") / F.col("n_template")).alias("c"), "at", (F.col("at") + F.col("block")).alias("stop"))
-    found = similar_blocks(rows, templates, containment).groupBy("row").agg(F.collect_list(match).alias("m"))
-
-    def beaten(m: Column) -> Column:
-        return F.exists("m", lambda o: (o["c"] > m["c"]) & (o["at"] < m["stop"]) & (m["at"] < o["stop"]))
-
-    found = found.select("row", F.filter("m", lambda m: ~beaten(m)).alias("m"))
-    out = rows.join(found, "row", "left").select("doc_id", "n_words", phrase_places(F.col("pairs")).alias("places"), "m")
+    widest = F.lit(max((t[4] for t in template_sets(templates, containment)), default=1))
+    share = lambda b: b["overlap"] / b["n_template"]
+    stay = without(similar_blocks(rows, templates, containment), ("row",), widest, lambda x, y: share(y) > share(x))
+    found = stay.groupBy("row").agg(F.collect_set("label").alias("found"), F.max(share({c: F.col(c) for c in stay.columns})).alias("c"))
+    out = rows.join(found, "row", "left").select("doc_id", "n_words", phrase_places(F.col("pairs")).alias("places"), "found", "c")
     at, empty = F.col("places.at"), F.array().cast("array<string>")
     n_base = F.size("places")
     labels = lambda *c: F.array_join(F.array_sort(F.array_union(*(F.coalesce(x, empty) for x in c))), ",")
     return out.select(
         "doc_id", "n_words", n_base.cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"),
-        labels(F.col("places.label"), empty).alias("base_labels"), labels(F.col("places.label"), F.col("m.label")).alias("labels"),
-        F.when(n_base > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max("m.c"), F.lit(0.0))).alias("score"),
+        labels(F.col("places.label"), empty).alias("base_labels"), labels(F.col("places.label"), F.col("found")).alias("labels"),
+        F.when(n_base > 0, F.lit(1.0)).otherwise(F.coalesce("c", F.lit(0.0))).alias("score"),
     )

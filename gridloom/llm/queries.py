@@ -103,11 +103,18 @@ tw as (select distinct pair from tp),
 pairs as (select k, i - 1 as pos, w[i] || ' ' || w[i + 1] as pair from words, unnest(range(1, len(w))) u(i)),
 near as (select * from pairs semi join tw using (pair)),
 hits as (select k, id, label, need, block, n, pos, pair from near join tp using (pair)),
+firsts as (
+  select a.k, a.id, a.pos, b.pair, min(b.pos) as f, max(b.pos) as l, any_value(a.pair) as head, any_value(a.label) as label, any_value(a.need) as need, any_value(a.n) as n
+  from hits a join hits b on a.k = b.k and a.id = b.id and b.pos between a.pos and a.pos + a.block - 2 group by a.k, a.id, a.pos, b.pair),
+windows as (
+  select k, id, pos, any_value(label) as label, any_value(n) as n, count(*) as overlap, max(f) + 2 as stop, any_value(head) as head
+  from firsts group by k, id, pos having count(*) >= any_value(need)),
 blocks as (
-  select a.k, a.id, any_value(a.label) as label, any_value(a.need) as need, any_value(a.block) as block, any_value(a.n) as n, a.pos, count(distinct b.pair) as overlap
-  from hits a join hits b on a.k = b.k and a.id = b.id and b.pos between a.pos and a.pos + a.block - 2 group by a.k, a.id, a.pos),
-best as (select *, overlap / n::double as c, pos + block as stop, row_number() over (partition by k, id order by overlap desc, pos) as i from blocks where overlap >= need),
-stay as (select * from best a where i = 1 and not exists (select 1 from best b where b.i = 1 and b.k = a.k and b.c > a.c and b.pos < a.stop and a.pos < b.stop)),
+  select *, overlap / n::double as c from windows w
+  where not exists (select 1 from hits h where h.k = w.k and h.id = w.id and h.pair = w.head and h.pos > w.pos and h.pos <= w.stop - 2)),
+maximal as (
+  select * from blocks a where not exists (select 1 from blocks b where b.k = a.k and b.id = a.id and b.overlap > a.overlap and b.pos < a.stop and a.pos < b.stop)),
+stay as (select * from maximal a where not exists (select 1 from maximal b where b.k = a.k and b.c > a.c and b.pos < a.stop and a.pos < b.stop)),
 found as (select k, list(distinct label) as ls, max(c) as c from stay group by k)
 select w.doc_id, len(w.w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
   array_to_string(list_sort(coalesce(b.ls, [])), ',') as base_labels,

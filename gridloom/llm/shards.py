@@ -181,9 +181,14 @@ def write_shards(
 
 
 def shard_files(spark, path: str) -> DataFrame:
-    """(shard, path, content): one row per shard; a shard has a fixed largest size."""
+    """(shard, path, content): one row per shard; a shard has a fixed largest size. Its number is in the file's name;
+    folders above may have any name. Files that are not numbered 0 to n - 1, each once, are refused."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("shard"), "path", "content")
+    found = files.select(F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("long").alias("shard"), "path", "content")
+    n, numbers, last = found.agg(F.count("*"), F.count_distinct("shard"), F.coalesce(F.max("shard"), F.lit(-1))).first()
+    if not n == numbers == last + 1:
+        raise ValueError(f"{path} holds {n} shards with {numbers} numbers up to {last}")
+    return found
 
 
 def read_slots(spark, path: str, first: int = 0, kind=np.dtype("<u2"), length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:

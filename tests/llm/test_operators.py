@@ -236,16 +236,23 @@ def clashing_license(rows):
 
 
 def brute_blocks(text):
-    """label, template -> (overlap, at) of the best window, by trying every window."""
+    """template -> {(at, stop, overlap)} of the maximal blocks, by trying every window."""
     ws, out = licenses.words_of(text), {}
+    places = [f"{a} {b}" for a, b in zip(ws, ws[1:])]
     for i, label, pairs, need, block in licenses.template_sets(licenses.TEMPLATES):
-        best = (0, 0)
-        for at in range(max(1, len(ws) - 1)):
-            win = ws[at : at + block]
-            k = len(set(pairs) & {f"{a} {b}" for a, b in zip(win, win[1:])})
-            best = max(best, (k, -at))
-        if best[0] >= need:
-            out[i] = (best[0], -best[1])
+        found, own = [], set(pairs)
+        for at in range(len(places)):
+            firsts = {}
+            for j in range(at, min(at + block - 1, len(places))):
+                if places[j] in own:
+                    firsts.setdefault(places[j], j)
+            if len(firsts) >= need and places[at] in own:
+                last = max(firsts.values())
+                if places[at] not in places[at + 1 : last + 1]:
+                    found.append((at, last + 2, len(firsts)))
+        best = {x for x in found if not any(y[2] > x[2] and y[0] < x[1] and x[0] < y[1] for y in found)}
+        if best:
+            out[i] = best
     return out
 
 
@@ -261,11 +268,31 @@ def test_similarity_join_against_all_windows(spark):
     lines = [" ".join(rng.choice(["of", "the", "to", "in", "copy", "software", "license", "x"], 80)) for _ in range(10)]
     for _, t in licenses.TEMPLATES:
         lines += ["some words before " + altered(t, rng, share) + " and after of the software" for share in (0, 0.05, 0.1, 0.2)]
+        lines += [altered(t, rng, 0.02) + " x" * 9 + " " + altered(t, rng, 0.05) + " x" * 400 + " " + t]
     rows = licenses.known_pairs(spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string"), licenses.vocabulary(licenses.TEMPLATES))
     ids = {r["row"]: r["doc_id"] for r in rows.collect()}
-    got = {(ids[r["row"]], r["template"]): r["overlap"] for r in licenses.similar_blocks(rows).collect()}
-    want = {(i, k): n for i, line in enumerate(lines) for k, (n, _) in brute_blocks(line).items()}
-    assert got == want and len(want) > 40
+    got = {(ids[r["row"]], r["template"], r["at"], r["stop"], r["overlap"]) for r in licenses.similar_blocks(rows).collect()}
+    want = {(i, k, *b) for i, line in enumerate(lines) for k, bs in brute_blocks(line).items() for b in bs}
+    assert got == want and len({x[:2] for x in want}) > 40 and any(len(bs) > 1 for line in lines for bs in brute_blocks(line).values())
+
+
+def test_a_second_notice_keeps_its_label(spark):
+    rng = np.random.default_rng(4)
+    texts = dict(licenses.TEMPLATES)
+    lgpl, gap = altered(texts["lgpl"], rng, 0.03), " plain words" * 150
+    rows = [(0, texts["agpl"] + gap + " " + lgpl), (1, lgpl + gap + " " + texts["agpl"]), (2, texts["agpl"] + " end of it. " + lgpl), (3, lgpl + " end of it. " + texts["agpl"]), (4, texts["agpl"]), (5, lgpl)]
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all({"agpl", "lgpl"} <= got[i] for i in range(4)) and "lgpl" not in got[4] and "agpl" not in got[5] and "lgpl" in got[5]
+
+
+def test_a_phrase_that_fills_a_text(spark):
+    import time
+
+    rows = spark.createDataFrame([(1, "gnu general public license " * 8_000)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = licenses.scan(rows).first()
+    assert (got["n_base"], got["first_word"], got["last_word"], got["base_labels"]) == (8_000, 0, 4 * 7_999, "gpl")
+    assert time.perf_counter() - began < 30
 
 
 def test_notices_are_found_whatever_their_lines(spark):
@@ -451,6 +478,17 @@ def test_shards_hold_every_token_once(spark, docs, empty, tmp_path):
     assert shards.training_order(empty, str(tmp_path / "e")).count() == 0
 
 
+def test_shards_are_numbered_by_their_files_alone(spark, docs, tmp_path):
+    frame, length, per = docs.select("doc_id", "text"), 64, 8
+    key = lambda rows: sorted((r["slot"], r["shard"], r["ids_sha256"]) for r in rows)
+    plain = shards.training_order(frame, str(tmp_path / "plain"), length=length, per_shard=per).collect()
+    path = tmp_path / "part-2" / "x"
+    assert key(plain) == key(shards.training_order(frame, str(path), length=length, per_shard=per).collect())
+    next(f for f in path.iterdir() if f.name.startswith("part-00001")).unlink()
+    with pytest.raises(ValueError, match="shards"):
+        shards.read_slots(spark, str(path), length=length, per_shard=per)
+
+
 def test_slots_and_documents_by_brute_force(spark, docs, tmp_path):
     from collections import defaultdict
 
