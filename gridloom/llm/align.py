@@ -37,7 +37,7 @@ from gridloom.llm.common import shared_dir, text_slices
 from gridloom.llm.wordbpe import byte_letters
 
 VOCABULARIES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
-BLOCK = 32 << 20
+BLOCK = 12 << 20
 RUN = 1 << 16  # characters that are encoded in one call
 SPACE = re.compile(r"(?<=\S) (?=\S)")
 DOCS, CHUNKS, PAIRS = range(3)
