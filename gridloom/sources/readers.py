@@ -1,13 +1,14 @@
-"""Reading stacks of layers from tables, in time order that is checked and never alphabetical.
+"""Reading stacks of layers in time order that is checked and never alphabetical.
 
-Layers are Parquet (or CSV) tables of row, col, value. Raster files need decoders that are not here;
-``long_from_cubes`` takes their long equivalent.
+Layers are TIFF files (each band is one), or Parquet or CSV tables of row, col, value; any number of files is one scan.
+Cubes are NetCDF classic files, or long tables (``long_from_cubes``).
 """
 
 from __future__ import annotations
 
 import math
 import re
+import statistics
 import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -16,12 +17,16 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.sources import netcdf, tiff
 from gridloom.sources.calendar import calendar_dates
 
 # Tried in this order; the first that gives every name a different number wins.
 PATTERNS = ("year([0-9]+)", "_A([0-9]{4})", "(19[0-9]{2}|20[0-9]{2})", "([0-9]{4})", "([0-9]+)")
 
 
+SEASONS = "layers are less than a year apart; remove the seasonal cycle before testing for trends"
+
+
 @dataclass(frozen=True)
 class Layers:
     """Values (grid_id, cell, row, col, t, value) and the layers (t, layer_name, source, time)."""
@@ -88,13 +93,15 @@ def checked_times(times: Sequence, n: int) -> list:
 
 
 def read_ordered_stack(
-    spark: SparkSession, directory: str | None = None, files: Sequence[str] | None = None, pattern: str = r"\.(parquet|csv)$", order_regex: str | None = None,
+    spark: SparkSession, directory: str | None = None, files: Sequence[str] | None = None, pattern: str = r"\.(tiff?|parquet|csv)$", order_regex: str | None = None,
     time: Sequence | None = None, cycle_type: str | None = None, start: date | None = None, end: date | None = None, time_anchor: str = "centre",
-    grid_id: str = "g", ncol: int | None = None,
+    grid_id: str = "g", ncol: int | None = None, layers: tuple[int, int] | None = None, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None,
 ) -> Layers:
     """Layers from a directory (ordered by the numbers in their names) or from listed files (in the order given).
 
-    Exactly one of directory and files; time or cycle_type with start, only with files; end only with cycle_type.
+    Exactly one of directory and files; time or cycle_type with start, only with files; end only with cycle_type. Files
+    may hold several bands, which are layers in their order; times are then one a band, and a directory needs one band a
+    file. The ranges (first, last) restrict what is read; numbers of layers and cells stay those of the whole.
     """
     if (directory is None) == (files is None):
         raise ValueError("give either a directory or files")
@@ -117,24 +124,58 @@ def read_ordered_stack(
             raise ValueError("files must be given, each once")
         if missing := [p for p in paths if not exists(spark, p)]:
             raise ValueError(f"no such file: {missing[0]}")
-        if time is not None:
-            times = checked_times(time, len(paths))
-        elif cycle_type is not None:
-            times = calendar_dates(cycle_type, start, len(paths), end, time_anchor)
-        else:
-            times = list(range(1, len(paths) + 1))
-    names = unique_names([re.sub(r"\.[^.]*$", "", p.rsplit("/", 1)[-1]) for p in paths])
-    layers = spark.createDataFrame([(k + 1, names[k], paths[k], str(times[k])) for k in range(len(paths))], "t int, layer_name string, source string, time string")
-    values = None
-    for k, p in enumerate(paths):
-        one = (spark.read.csv(p, header=True, schema="row int, col int, value double") if p.endswith(".csv") else spark.read.parquet(p)).select(
-            F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.lit(k + 1).alias("t"), F.col("value").cast("double").alias("value"))
-        values = one if values is None else values.unionByName(one)
-    width = F.lit(ncol) if ncol else F.max("col").over(Window.partitionBy())
-    if not ncol:
-        width = F.lit(values.agg(F.max("col")).first()[0])
+    kinds = {p.rsplit(".", 1)[-1].lower() for p in paths}
+    if len(kinds) > 1 and kinds - {"tif", "tiff"}:
+        raise ValueError(f"files of several kinds: {', '.join(sorted(kinds))}")
+    if kinds <= {"tif", "tiff"}:
+        values, bands, (_, width) = tiff.read_layers(spark, paths, layers, rows, cols)
+        ncol = ncol or width
+    else:
+        values, bands = table_layers(spark, paths), [1] * len(paths)
+        for c, r in (("t", layers), ("row", rows), ("col", cols)):
+            values = values.where(F.col(c).between(*r)) if r else values
+    n = sum(bands)
+    if directory is not None and n != len(paths):
+        raise ValueError("a file holds several layers; list the files and give their times")
+    if time is not None:
+        times = checked_times(time, n)
+    elif cycle_type is not None:
+        times = calendar_dates(cycle_type, start, n, end, time_anchor)
+    elif directory is None:
+        times = list(range(1, n + 1))
+    sources = [p for p, k in zip(paths, bands) for _ in range(k)]
+    names = unique_names([re.sub(r"\.[^.]*$", "", p.rsplit("/", 1)[-1]) for p in sources])
+    listed = spark.createDataFrame([(k + 1, names[k], sources[k], str(times[k])) for k in range(n)], "t int, layer_name string, source string, time string")
+    width = F.lit(ncol or values.agg(F.max("col")).first()[0])
+    cell = ((F.col("row") - 1) * width + F.col("col")).cast("long")
+    return Layers(values.select(F.lit(grid_id).alias("grid_id"), cell.alias("cell"), "row", "col", "t", "value"), listed, n)
+
+
+def table_layers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(t, row, col, value) of Parquet or CSV layers as one scan; a row's file, or the folder its file is in, tells t."""
+    encoded = [re.sub("^file:/+", "file:/", _filesystem(spark, p)[0].makeQualified(_filesystem(spark, p)[1]).toUri().toString()) for p in paths]
+    if paths[0].endswith(".csv"):
+        rows = spark.read.csv(list(paths), header=True, schema="row int, col int, value double")
+    else:
+        rows = spark.read.parquet(*paths)
+    where = F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")
+    rows = rows.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("value").cast("double").alias("value"), where.alias("file"))
+    places = spark.createDataFrame([(p, k + 1) for k, p in enumerate(encoded)], "file string, t int")
+    own, above = (F.broadcast(places.withColumnRenamed("t", c)) for c in ("own", "above"))  # one row a file, listed by the caller
+    rows = rows.join(own, "file", "left").withColumn("file", F.regexp_extract("file", "^(.*)/[^/]*$", 1)).join(above, "file", "left")
+    return rows.select(F.coalesce("own", "above").alias("t"), "row", "col", "value")
+
+
+def read_netcdf_stack(spark: SparkSession, paths: str | Sequence[str], var: str | None = None, layers: tuple[int, int] | None = None, rows: tuple[int, int] | None = None, grid_id: str = "g") -> Layers:
+    """Layers of a NetCDF cube by its times, which must be there and all differ; warns if they are less than a year apart."""
+    values, times, (_, width) = netcdf.read_cube(spark, paths, var, layers, rows)
+    gaps = [(b - a).total_seconds() / 86_400 for a, b in zip(times, times[1:]) if isinstance(a, datetime)]
+    if gaps and 0 < statistics.median(gaps) < 300:
+        warnings.warn(SEASONS, stacklevel=2)
+    source = paths if isinstance(paths, str) else ", ".join(paths)
+    listed = spark.createDataFrame([(k + 1, str(x), source, str(x)) for k, x in enumerate(times)], "t int, layer_name string, source string, time string")
     cell = ((F.col("row") - 1) * width + F.col("col")).cast("long")
-    return Layers(values.select(F.lit(grid_id).alias("grid_id"), cell.alias("cell"), "row", "col", "t", "value"), layers, len(paths))
+    return Layers(values.select(F.lit(grid_id).alias("grid_id"), cell.alias("cell"), "row", "col", "t", "value"), listed, len(times))
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -186,7 +227,7 @@ def sub_annual(long: DataFrame) -> bool:
     median = steps.withColumn("gap", gap).agg(F.median("gap")).first()[0]
     found = median is not None and 0 < median < 300
     if found:
-        warnings.warn("layers are less than a year apart; remove the seasonal cycle before testing for trends", stacklevel=2)
+        warnings.warn(SEASONS, stacklevel=2)
     return found
 
 
