@@ -6,8 +6,8 @@ its connected components, which are exactly the minimal groups: the stretches be
 both end. All members of a group are linked, A with B.
 
 Texts are cut at single spaces between characters that are no white space. No token of either kind reaches over such
-a cut, so each distinct chunk is encoded and aligned once a block of about ``BLOCK`` bytes of text, and a document
-is a list of its block's chunks. Counting is distributed: a block counts in how many of its documents each pair of ids is
+a cut, so a task encodes and aligns each distinct chunk once, while it remembers it, and a document is a list of the
+chunks of its block of about ``BLOCK`` bytes of text. Counting is distributed: a block counts in how many of its documents each pair of ids is
 linked, Spark adds these counts by pair, finds each A id's highest, and sends the totals of a block's pairs back to it,
 where chunks and then documents are summed. Blocks are written once to the shared folder (what is read back is
 that, whatever executors are lost); a block's task holds its chunks and pairs, never the corpus's.
@@ -38,6 +38,7 @@ from gridloom.llm.wordbpe import byte_letters
 
 VOCABULARIES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 BLOCK = 12 << 20
+HELD = 500_000  # chunks a task remembers from block to block
 RUN = 1 << 16  # characters that are encoded in one call
 SPACE = re.compile(r"(?<=\S) (?=\S)")
 DOCS, CHUNKS, PAIRS = range(3)
@@ -170,59 +171,78 @@ class Aligner:
         return counts, texts, good, np.bincount(chunk_g[g[left]], minlength=each), id_a[left] << 32 | id_b[right], times_a[left] * times_b[right]
 
 
-class BlockOf:
-    """The documents of one block, their distinct chunks, and the pairs linked in these."""
+class Known:
+    """The chunks a task has met: numbers by chunk, and by number what the alignment gave."""
 
     def __init__(self, aligner: Aligner):
-        self.aligner, self.size = aligner, 0
+        self.aligner = aligner
         self.clean: dict[str, int] = {}
         self.odd: dict[str, int] = {}  # pieces with white space at an end, inside runs, or at the ends of a text
         self.texts: list[bytes] = []
-        self.counts, self.good, self.links, self.keys, self.times = [], [], [], [], []
-        self.ids, self.chunks, self.digests = [], [], []
+        self.parts: list[list[np.ndarray]] = []
 
     def learn(self, chunks: list[str], into: dict[str, int], joined: bool) -> None:
         into.update(zip(chunks, range(len(self.texts), len(self.texts) + len(chunks))))
         counts, texts, good, links, keys, times = self.aligner.align(chunks, joined)
         self.texts += texts
-        for held, new in ((self.counts, counts), (self.good, good), (self.links, links), (self.keys, keys), (self.times, times)):
-            held.append(new)
+        self.parts.append([counts, good, links, keys, times.astype(np.int32)])
+
+    def tables(self) -> list[np.ndarray]:
+        """counts and good by chunk, links by chunk, then keys and times by link."""
+        if len(self.parts) > 1:
+            self.parts = [[np.concatenate(x) for x in zip(*self.parts)]]
+        return self.parts[0] if self.parts else [np.zeros((0, 4), np.int64), np.zeros(0, bool), *(np.zeros(0, np.int64) for _ in range(3))]
+
+
+class BlockOf:
+    """The documents of one block as lists of known chunks."""
+
+    def __init__(self, known: Known):
+        self.known, self.size = known, 0
+        self.ids, self.chunks, self.digests = [], [], []
 
     def add(self, ids: list, texts: list[bytes | None]) -> None:
-        plain, pieces = [], []
+        known, plain, pieces = self.known, [], []
         for raw in texts:
             text = raw.decode("utf-8", "replace") if raw else ""
             plain.append(text.split(" ") if text else [])
             self.size += len(raw or b"")
-        new = set(chain.from_iterable(plain)).difference(self.clean)
+        new = set(chain.from_iterable(plain)).difference(known.clean)
         unclean = {c for c in new if not c or c[0].isspace() or c[-1].isspace()}
         cut = [bool(unclean) and not unclean.isdisjoint(chunks) for chunks in plain]
         for chunks, odd in zip(plain, cut):
             pieces.append(SPACE.split(" ".join(chunks)) if odd else chunks)
         if new := list(new - unclean):
-            self.learn(new, self.clean, True)
-        if new := list({c for chunks, odd in zip(pieces, cut) if odd for c in chunks}.difference(self.odd)):
-            self.learn(new, self.odd, False)
+            known.learn(new, known.clean, True)
+        if new := list({c for chunks, odd in zip(pieces, cut) if odd for c in chunks}.difference(known.odd)):
+            known.learn(new, known.odd, False)
         for chunks, odd in zip(pieces, cut):
-            numbers = list(map((self.odd if odd else self.clean).__getitem__, chunks))
+            numbers = list(map((known.odd if odd else known.clean).__getitem__, chunks))
             self.chunks.append(np.array(numbers, np.int32))
-            self.digests.append(hashlib.sha256(b"".join(map(self.texts.__getitem__, numbers))[1:]).hexdigest() if numbers else "")
+            self.digests.append(hashlib.sha256(b"".join(map(known.texts.__getitem__, numbers))[1:]).hexdigest() if numbers else "")
         self.ids += ids
 
     def rows(self, number: int, kind: pa.DataType):
         """The block's documents, its chunks' links, and in how many of its documents each pair is linked."""
-        counts, good, links, keys, times = (np.concatenate(x) if x else np.zeros((0, 4) if x is self.counts else 0, np.int64) for x in (self.counts, self.good, self.links, self.keys, self.times))
-        pairs, local = np.unique(keys, return_inverse=True)
-        starts, n = np.cumsum(links) - links, np.zeros(len(pairs), np.int64)
-        sums = np.zeros((len(self.ids), 4), np.int64)
-        for k, chunks in enumerate(self.chunks):
+        counts, good, links, keys, times = self.known.tables()
+        sizes = np.fromiter(map(len, self.chunks), np.int64, len(self.chunks))
+        used, flat = np.unique(np.concatenate([*self.chunks, np.zeros(0, np.int32)]), return_inverse=True)
+        starts = (np.cumsum(links) - links)[used]
+        counts, good, links = counts[used], good[used], links[used]
+        at = ragged(starts, links)
+        pairs, local = np.unique(keys[at], return_inverse=True)
+        times, starts, n = times[at], np.cumsum(links) - links, np.zeros(len(pairs), np.int64)
+        sums, ends, kept = np.zeros((len(self.ids), 4), np.int64), np.cumsum(sizes), []
+        for k, (lo, hi) in enumerate(zip((ends - sizes).tolist(), ends.tolist())):
+            chunks = flat[lo:hi]
             if not good[chunks].all():
-                self.chunks[k], self.digests[k] = chunks[:0], ""
-            elif len(chunks):
+                chunks, self.digests[k] = chunks[:0], ""
+            elif hi > lo:
                 sums[k] = counts[chunks].sum(0)
-                own = np.unique(chunks)
-                n[np.unique(local[ragged(starts[own], links[own])])] += 1
-        lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, self.chunks)]), pa.int32()), pa.array(np.concatenate([*self.chunks, np.zeros(0, np.int32)])))]
+                n[local[ragged(starts[chunks], links[chunks])]] += 1  # a pair that comes again in the document is counted once
+            kept.append(chunks)
+        offsets = pa.array(np.cumsum([0, *map(len, kept)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*kept, np.zeros(0, np.int64)]).astype(np.int32)))]
         yield _rows(DOCS, number, pa.array(self.ids, kind), [pa.array(x) for x in sums.T], pa.array(self.digests, pa.string()), lists)
         for role, arrays in ((CHUNKS, (links, local, times)), (PAIRS, (pairs >> 32, pairs & 0xFFFFFFFF, n))):
             yield _rows(role, number, pa.nulls(1, kind), [pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.string()), [pa.array([x], pa.list_(pa.int32())) for x in arrays])
@@ -240,15 +260,17 @@ def blocks(docs: DataFrame, sources: tuple[str, bytes], id_col: str, text: str,
     kind, shared = dict(rows.dtypes)["doc_id"], docs.sparkSession.sparkContext.broadcast(sources)
 
     def run(batches):
-        aligner, open_block, number, ids = Aligner(shared.value), None, TaskContext.get().partitionId() << 32, None
+        known, open_block, number, ids = Known(Aligner(shared.value)), None, TaskContext.get().partitionId() << 32, None
         for b in batches:
             ids = b.column(0).type
             for k, some in text_slices(b.column(1)):
-                open_block = open_block or BlockOf(aligner)
+                open_block = open_block or BlockOf(known)
                 open_block.add(b.column(0).slice(k, len(some)).to_pylist(), some)
                 if open_block.size >= block:
                     yield from open_block.rows(number, ids)
                     open_block, number = None, number + 1
+                    if len(known.texts) > HELD:
+                        known = Known(known.aligner)
         if open_block:
             yield from open_block.rows(number, ids)
 
