@@ -1,21 +1,22 @@
 """Neighbourhood operators on planar grids.
 
-A neighbourhood is a table of offsets. Cells are dealt by square tiles, those near a tile's edge to the tiles beyond
-it too, which is the only shuffle; inside a tile every cell sends its values to the cells it is a neighbour of (an
-explode over the offsets) and one aggregation by target collects them where they are. A tile of 32 x 32 cells
-with a window of 3 is shuffled 1.13 times. No cell-by-cell matrix and no join of cells with cells is made.
+Cells are dealt by square tiles, those near a tile's edge to the tiles beyond it too, which is the only shuffle; inside a
+tile windows are sums and medians in numpy whose cost hardly depends on their size (``operators.tiles``). A tile of
+32 x 32 cells with a window of 3 is shuffled 1.13 times. No cell-by-cell matrix and no join of cells with cells is made.
+The table of neighbours itself (``edges``) is there for inspection.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.lineage import checkpointed
 from gridloom.functions.validate import choice, odd_window
+from gridloom.operators import tiles
 from gridloom.operators.grid import GridSpec
 
 CONNECTIVITY = ("queen", "rook")
@@ -74,17 +75,6 @@ def sent(rows: DataFrame, around: Neighbourhood, include_self: bool, by: tuple[s
     return out.withColumn("target", ((F.col("__r") - 1) * around.ncol + F.col("__c")).cast("long")).drop("__o", "__r", "__c")
 
 
-def by_target(rows: DataFrame, by: tuple[str, ...], *aggregates: Column) -> DataFrame:
-    """The aggregates of sent rows for each target: by, cell and the aggregates."""
-    return rows.groupBy(*by, *IN_TILE, F.col("target").alias("cell")).agg(*aggregates).drop(*IN_TILE)
-
-
-def region_sums(rows: DataFrame, values: Mapping[str, Column], around: Neighbourhood, include_self: bool) -> DataFrame:
-    """grid_id, cell and, for each named value, its sum over the cell's neighbours among rows (and itself)."""
-    narrow = rows.select("grid_id", "row", "col", *(v.alias(k) for k, v in values.items()))
-    return by_target(sent(narrow, around, include_self), ("grid_id",), *(F.sum(k).alias(k) for k in values))
-
-
 def edges(cells: DataFrame, around: Neighbourhood) -> DataFrame:
     """(grid_id, cell, nbr): both ends among the valid cells. For inspection; the operators do without it."""
     valid = cells.where("ok")
@@ -92,20 +82,31 @@ def edges(cells: DataFrame, around: Neighbourhood) -> DataFrame:
     return out.join(valid.select("grid_id", "cell"), ["grid_id", "cell"], "left_semi")
 
 
+def reach_of(connectivity: str, window_size: int) -> int:
+    choice(connectivity, CONNECTIVITY, "connectivity")
+    return odd_window(window_size) // 2
+
+
 def focal_median(cells: DataFrame, value: str, spec: GridSpec, window_size: int = 3) -> DataFrame:
     """cells with ``value`` replaced by the median of the present values in its window; missing cells stay missing."""
-    around = neighbourhood(spec, "queen", window_size)
-    have = cells.where(F.col(value).isNotNull()).select("grid_id", "row", "col", F.col(value).alias("__x"))
-    medians = by_target(sent(have, around, True), ("grid_id",), F.median("__x").alias("__m"))
-    out = cells.join(medians, ["grid_id", "cell"], "left").withColumn(value, F.when(F.col(value).isNotNull(), F.col("__m")))
-    return out.drop("__m")
+    have = cells.where(F.col(value).isNotNull()).select("grid_id", "row", "col", F.col(value).cast("double").alias("__x"))
+
+    def kernel(keys, block, reach):
+        return {"present": tiles.inner(block["present"], reach), "__m": tiles.window_medians(block["__x"], reach)}
+
+    medians = tiles.by_tile(have, (spec.nrow, spec.ncol), reach_of("queen", window_size), ("grid_id",), kernel, "__m double").drop("row", "col")
+    return cells.join(medians, ["grid_id", "cell"], "left").withColumn(value, F.col("__m")).drop("__m")
 
 
 def focal_mean(layers: DataFrame, value: str, spec: GridSpec, window_size: int) -> DataFrame:
     """Long layers (grid_id, cell, row, col, t, value) with each value replaced by the mean of its window's present values."""
-    around = neighbourhood(spec, "queen", window_size)
-    have = layers.where(F.col(value).isNotNull()).select("grid_id", "t", "row", "col", F.col(value).alias("__x"))
-    means = by_target(sent(have, around, True, ("grid_id", "t")), ("grid_id", "t"), F.avg("__x").alias("__m"))
+    have = layers.where(F.col(value).isNotNull()).select("grid_id", "t", "row", "col", F.col(value).cast("double").alias("__x"))
+
+    def kernel(keys, block, reach):
+        n = tiles.window_sums(block["present"], reach, include_self=True)
+        return {"present": n > 0, "__m": tiles.window_sums(block["__x"], reach, include_self=True) / np.maximum(n, 1)}
+
+    means = tiles.by_tile(have, (spec.nrow, spec.ncol), reach_of("queen", window_size), ("grid_id", "t"), kernel, "__m double").drop("row", "col")
     return layers.join(means, ["grid_id", "t", "cell"], "left").withColumn(value, F.col("__m")).drop("__m")
 
 
@@ -140,11 +141,17 @@ def check_field(cells: DataFrame, value: str, method: str) -> None:
         raise ValueError("Getis-Ord needs values of 0 or more that are not all 0")
 
 
-def lagged(cells: DataFrame, around: Neighbourhood, value: str = "z", by: tuple[str, ...] = ("grid_id",)) -> DataFrame:
-    """Valid cells with wz, the sum of the neighbours' values, and k, their number (0 and 0 without neighbours)."""
-    narrow = cells.select(*by, "row", "col", F.col(value).alias("__x"))
-    sums = by_target(sent(narrow, around, False, by), by, F.sum("__x").alias("wz"), F.count("__x").alias("k"))
-    return cells.join(sums, [*by, "cell"], "left").fillna({"wz": 0.0, "k": 0})
+def lagged(cells: DataFrame, spec: GridSpec, connectivity: str = "queen", window_size: int = 3, value: str = "z", by: tuple[str, ...] = ("grid_id",)) -> DataFrame:
+    """by, cell, z, wz and k of valid cells: the value, the sum of the neighbours' values, and their number (0 and 0 without)."""
+    rows = cells.select(*by, "row", "col", F.col(value).cast("double").alias("z"))
+
+    def kernel(keys, block, reach):
+        return {
+            "present": tiles.inner(block["present"], reach), "z": tiles.inner(block["z"], reach),
+            "wz": tiles.window_sums(block["z"], reach, connectivity), "k": tiles.window_sums(block["present"], reach, connectivity),
+        }
+
+    return tiles.by_tile(rows, (spec.nrow, spec.ncol), reach_of(connectivity, window_size), by, kernel, "z double, wz double, k long").drop("row", "col")
 
 
 def valid_field(cells: DataFrame, value: str, centre: bool, by: tuple[str, ...] = ("grid_id",)) -> DataFrame:
@@ -159,12 +166,17 @@ def valid_field(cells: DataFrame, value: str, centre: bool, by: tuple[str, ...]
 def global_statistic(cells: DataFrame, spec: GridSpec, value: str = "x", method: str = "moran", connectivity: str = "queen", window_size: int = 3, by: tuple[str, ...] = ("grid_id",)) -> DataFrame:
     """One row per field: statistic, n (valid cells), s0 (neighbour links). Moran's I, or General G on raw values."""
     choice(method, ("moran", "getis_ord"), "method")
-    around = neighbourhood(spec, connectivity, window_size)
-    rows = lagged(valid_field(cells, value, method == "moran", by), around, by=by)
-    z, wz = F.col("z"), F.col("wz")
-    sums = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum("k").alias("s0"), F.sum(z * wz).alias("zwz"), F.sum(z * z).alias("zz"), F.sum(z).alias("sz"))
+
+    def kernel(keys, block, reach):
+        own, z = tiles.inner(block["present"], reach), tiles.inner(block["z"], reach)
+        wz, k, z = tiles.window_sums(block["z"], reach, connectivity)[own], tiles.window_sums(block["present"], reach, connectivity)[own], z[own]
+        return {"n": np.array([len(z)]), "s0": np.array([k.sum()]), "zwz": np.array([(z * wz).sum()]), "zz": np.array([(z * z).sum()]), "sz": np.array([z.sum()])}
+
+    rows = valid_field(cells, value, method == "moran", by).select(*by, "row", "col", F.col("z").cast("double").alias("z"))
+    shares = tiles.by_tile(rows, (spec.nrow, spec.ncol), reach_of(connectivity, window_size), by, kernel, "n long, s0 long, zwz double, zz double, sz double", per_tile=True)
+    sums = shares.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("n", "s0", "zwz", "zz", "sz")))
     if method == "moran":
-        stat = F.col("n") / F.col("s0") * F.col("zwz") / F.col("zz")
+        stat = F.col("n") / F.nullif(F.col("s0"), F.lit(0)) * F.col("zwz") / F.col("zz")
     else:
         stat = F.col("zwz") / (F.col("sz") * F.col("sz") - F.col("zz"))
     return sums.select(*by, stat.alias("statistic"), "n", "s0")
@@ -173,8 +185,7 @@ def global_statistic(cells: DataFrame, spec: GridSpec, value: str = "x", method:
 def local_statistic(cells: DataFrame, spec: GridSpec, value: str = "x", method: str = "moran", connectivity: str = "queen", window_size: int = 3, by: tuple[str, ...] = ("grid_id",)) -> DataFrame:
     """by, cell and the local statistic of each valid cell (null without neighbours): local I, or Gi* with the cell itself."""
     choice(method, ("moran", "getis_ord"), "method")
-    around = neighbourhood(spec, connectivity, window_size)
-    rows = lagged(valid_field(cells, value, method == "moran", by), around, by=by)
+    rows = checkpointed(lagged(valid_field(cells, value, method == "moran", by), spec, connectivity, window_size, by=by))
     sums = rows.groupBy(*by).agg((F.sum(F.col("z") * F.col("z")) / F.count("*")).alias("m2"), F.sum("z").alias("sz"))
     rows = rows.join(one_row_side(sums), list(by))
     stat = F.col("z") * F.col("wz") / F.col("m2") if method == "moran" else (F.col("wz") + F.col("z")) / F.col("sz")

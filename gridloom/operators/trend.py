@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from gridloom.functions import series as S
 from gridloom.functions.dist import NORMAL_DENOMINATOR, NORMAL_NUMERATOR, SQRT_TWO_PI, Z_975, t_two_sided_sql
 from gridloom.functions.kernels import kendall_scores, matrix, sen_slopes, with_statistics
+from gridloom.operators import tiles
 from gridloom.operators.grid import Stack, when_ok
-from gridloom.operators.spatial import Neighbourhood, neighbourhood, region_sums
+from gridloom.operators.spatial import Neighbourhood, neighbourhood
 
 SCHEMAS = {
     "MK": ("S", "VarS", "p"),
@@ -90,7 +91,7 @@ def contextual_mann_kendall(
     """Mann-Kendall of neighbourhood means.
 
     With v = sqrt(s2) (y - mean) / (sqrt(n) sd), the variance of a region's mean score is
-    (|sum v|^2 + sum (s2 - |v|^2)) / m^2, so a region needs the sum of a vector and of two numbers and
+    (|sum v|^2 + sum (s2 - |v|^2)) / m^2, so a region needs the sum of a vector and of two numbers, by tile, and
     no pair of cells is ever formed. The means are over the cell and its m - 1 complete neighbours.
     """
     around = precomputed or neighbourhood(stack.spec, connectivity, window_size)
@@ -108,10 +109,13 @@ def contextual_mann_kendall(
     scored = with_kendall(stack.cells.where("ok").select("grid_id", "row", "col", "ok", "y"), ties)
     rows = scored.select("grid_id", "row", "col", region(F.col("y"), {"S": F.col("S"), "VarS": F.col("VarS")}).alias("k"))
     rows = rows.select("grid_id", "row", "col", F.inline(F.array("k")))  # one row each: the kernels are not copied past this point
-    values = {"score": F.col("score"), "own": F.col("own"), "one": F.lit(1.0)} | {f"v{k}": F.get("v", F.lit(k)) for k in range(n)}
-    sums = region_sums(rows, values, around, include_self=True)
-    square = sum((F.col(f"v{k}") * F.col(f"v{k}") for k in range(n)), F.lit(0.0))
-    sums = sums.select("grid_id", "cell", (F.col("score") / F.col("one")).alias("Sm0"), ((square + F.col("own")) / (F.col("one") * F.col("one"))).alias("V0"))
+
+    def kernel(keys, block, reach):
+        add = lambda x: tiles.window_sums(x, reach, connectivity, include_self=True)
+        m = np.maximum(add(block["present"]), 1)
+        return {"present": tiles.inner(block["present"], reach), "Sm0": add(block["score"]) / m, "V0": ((add(block["v"]) ** 2).sum(2) + add(block["own"])) / (m * m)}
+
+    sums = tiles.by_tile(rows, (stack.spec.nrow, stack.spec.ncol), window_size // 2, ("grid_id",), kernel, "Sm0 double, V0 double").drop("row", "col")
     out = stack.cells.select("grid_id", "cell", "row", "col", "ok").join(sums, ["grid_id", "cell"], "left")
     out = out.withColumn("Sm", when_ok(F.col("Sm0"))).withColumn("VarSm", when_ok(F.col("V0")))
     top = F.when(F.col("Sm") > 0, F.col("Sm") - 1).otherwise(F.col("Sm") + 1) if continuity else F.col("Sm")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import series as S
 from gridloom.functions.dist import Z_975, normal_quantile, normal_two_sided_sql, t_quantile, t_two_sided_sql
+from gridloom.functions.feistel import permute_sql
 from gridloom.operators import anomalies as anomaly
 from gridloom.operators import benchmark, fdr, inspect, permutation, prewhiten, report, scoring, simulate, slope, spatial, trend
 from gridloom.operators.direction import direction, direction_map, robust_range, smoothed_masked_slope
@@ -513,14 +514,14 @@ def fdr_cutoffs(spark, sf):
 
 # ------------------------------------------------------------------ permutations
 
-PERM = """
-vals as (select cell, x, row_number() over (order by cell) as i from field where x is not null),
-pick as (select perm, cell, row_number() over (partition by perm order by md5('1-' || perm || '-' || cell), cell) as i from vals, range(1, 50) u(perm)),
-maps as (select perm, pick.cell, vals.x from pick join vals using (i)),"""
+PERM = f"""
+vals as (select cell, x, row_number() over (order by cell) - 1 as i from field where x is not null),
+{permute_sql("(select perm, i, (select count(*) from vals) as n from vals, range(1, 50) u(perm))", 1)},
+maps as (select perm, a.cell, b.x from walk join vals a on a.i = walk.i join vals b on b.i = walk.v where v < n),"""
 
 
 def _perm_global_sql() -> str:
-    return f"""with {long_sql(100)}{FIELD}{neighbours_sql()}{PERM}
+    return f"""with recursive {long_sql(100)}{FIELD}{neighbours_sql()}{PERM}
 allm as (select * from maps union all select 0, cell, x from field where x is not null),
 zf as (select perm, cell, x - avg(x) over (partition by perm) as z from allm),
 w as (select a.perm, sum(a.z * b.z) as zwz, count(*) as s0 from zf a join nbr on nbr.cell = a.cell join zf b on b.cell = nbr.nbr and b.perm = a.perm group by a.perm),
@@ -540,7 +541,7 @@ def permutation_global(spark, sf):
 
 
 def _perm_local_sql() -> str:
-    return f"""with {long_sql(100)}{FIELD}{neighbours_sql()}{PERM}
+    return f"""with recursive {long_sql(100)}{FIELD}{neighbours_sql()}{PERM}
 allm as (select * from maps union all select 0, cell, x from field where x is not null),
 zf as (select perm, cell, x - avg(x) over (partition by perm) as z from allm),
 m as (select perm, sum(z * z) / count(*) as m2 from zf group by perm),
@@ -558,7 +559,7 @@ def permutation_local(spark, sf):
     return rounded(permutation.local_test(field, stack.spec, nperm=49))
 
 
-@query(f"""with {long_sql(100)}{FIELD}{neighbours_sql()}{PERM}
+@query(f"""with recursive {long_sql(100)}{FIELD}{neighbours_sql()}{PERM}
 zf as (select perm, cell, x - avg(x) over (partition by perm) as z from maps),
 w as (select a.perm, sum(a.z * b.z) as zwz, count(*) as s0 from zf a join nbr on nbr.cell = a.cell join zf b on b.cell = nbr.nbr and b.perm = a.perm group by a.perm),
 q as (select perm, sum(z * z) as zz, count(*) as n from zf group by perm),
@@ -571,8 +572,16 @@ def permutation_null_histogram(spark, sf):
     return rounded(permutation.null_histogram(permutation.null_statistics(field, stack.spec, "x", "moran", 49, 1)))
 
 
+@query(f"""with l as ({_perm_local_sql()})
+select 'moran' as method, 'local' as scope, 'two.sided' as alternative, count(*) as "N", count(statistic) as "N_tested", 49 as nperm, min(statistic) as statistic_min, {q6('quantile_cont(statistic, 0.5)')} as statistic_median,
+  max(statistic) as statistic_max, min(p) as raw_p_min, 0.05::double as alpha, count(*) filter (significant) as n_significant_raw, round(100.0 * count(*) filter (significant) / count(statistic), 2)::double as pct_significant_raw from l""")
+def permutation_local_summary(spark, sf):
+    field, stack = _field(spark, sf)
+    return rounded(permutation.local_summary(permutation.local_test(field, stack.spec, nperm=49), "moran", nperm=49))
+
+
 def _advice_sql() -> str:
-    return f"""with {long_sql(100)}{MK}{neighbours_sql()} field as (select cells.cell, row, col, p as x from cells left join mk using (cell)),{PERM}
+    return f"""with recursive {long_sql(100)}{MK}{neighbours_sql()} field as (select cells.cell, row, col, p as x from cells left join mk using (cell)),{PERM}
 allm as (select * from maps union all select 0, cell, x from field where x is not null),
 zf as (select perm, cell, x - avg(x) over (partition by perm) as z from allm),
 w as (select a.perm, sum(a.z * b.z) as zwz, count(*) as s0 from zf a join nbr on nbr.cell = a.cell join zf b on b.cell = nbr.nbr and b.perm = a.perm group by a.perm),

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gridloom.operators import fdr, permutation, spatial
+from gridloom.operators import fdr, permutation, spatial, tiles
 from gridloom.operators.direction import direction_map, robust_range
 
 EXAMPLE = [0.0001, 0.0004, 0.0019, 0.0095, 0.0201, 0.0278, 0.0298, 0.0344, 0.0459, 0.3240, 0.4262, 0.5719, 0.6528, 0.7590, 1.0]
@@ -123,10 +123,9 @@ def test_tiles_do_not_change_sums(spark, monkeypatch):
     cells, spec = field_of(spark, values, 9)
     got = {}
     for tile in (32, 3, 1):
-        monkeypatch.setattr(spatial, "TILE", tile)
+        monkeypatch.setattr(tiles, "TILE", tile)
         for connectivity, window in (("queen", 3), ("rook", 5)):
-            around = spatial.neighbourhood(spec, connectivity, window)
-            rows = spatial.region_sums(cells, {"x": F.col("x")}, around, True).collect()
+            rows = spatial.lagged(cells, spec, connectivity, window, "x").withColumn("x", F.col("wz") + F.col("z")).collect()
             got.setdefault((connectivity, window), set()).add(tuple(sorted((r["cell"], r["x"]) for r in rows)))
     want = tuple((r * 7 + c + 1, sum(values[i * 7 + j] for i in range(max(0, r - 1), min(9, r + 2)) for j in range(max(0, c - 1), min(7, c + 2)))) for r in range(9) for c in range(7))
     assert got["queen", 3] == {want} and len(got["rook", 5]) == 1
@@ -134,6 +133,6 @@ def test_tiles_do_not_change_sums(spark, monkeypatch):
 
 def test_neighbour_sums_shuffle_once(spark):
     cells, spec = field_of(spark, [float(i) for i in range(64)], 8)
-    sums = spatial.region_sums(cells, {"x": F.col("x")}, spatial.neighbourhood(spec), True)
+    sums = spatial.lagged(cells, spec, value="x")
     plan = sums._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
