@@ -89,31 +89,6 @@ def theil_sen(y: Column, t: Column) -> Column:
     return let(pair_slopes(y, t), sorted_median)
 
 
-def repeated_median(y: Column, t: Column) -> Column:
-    """Siegel's slope: the upper median over i of the upper medians of the slopes from i to all other points."""
-    def others(i: Column) -> Column:
-        pairs = F.zip_with(y, t, lambda v, s: F.when(s != F.element_at(t, i), (v - F.element_at(y, i)) / (s - F.element_at(t, i))))
-        return sorted_upper_median_of(F.filter(pairs, lambda x: x.isNotNull()))
-
-    return sorted_upper_median_of(F.transform(F.sequence(F.lit(1), F.size(y)), others))
-
-
-def repeated_median_intercept(y: Column, t: Column) -> Column:
-    """The same double upper median of y_i - slope_ij t_i."""
-    def others(i: Column) -> Column:
-        def at(v: Column, s: Column) -> Column:
-            slope = (v - F.element_at(y, i)) / (s - F.element_at(t, i))
-            return F.when(s != F.element_at(t, i), F.element_at(y, i) - slope * F.element_at(t, i))
-
-        return sorted_upper_median_of(F.filter(F.zip_with(y, t, at), lambda x: x.isNotNull()))
-
-    return sorted_upper_median_of(F.transform(F.sequence(F.lit(1), F.size(y)), others))
-
-
-def sorted_upper_median_of(a: Column) -> Column:
-    return let(F.array_sort(a), sorted_upper_median)
-
-
 def ols(y: Column, t: Column) -> Column:
     """struct(slope, intercept, se, rss): residual sum in a second pass, since differences of squares lose digits."""
     def fit(tc: Column) -> Column:

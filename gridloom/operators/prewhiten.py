@@ -1,20 +1,22 @@
 """Prewhitening of each series: four trend-free variants and their diagnostics.
 
 The iterative variants stop for all cells of a grid at the same step, when no cell's correlation still
-moves. Each cell's path of correlations is computed once in a narrow pass; one small aggregate per step
-finds where the grid stops; every cell then takes its value at that step. No driver loop runs per step.
+moves. One Arrow pass over the series computes gate and path of each cell and is checkpointed with them; a small
+aggregate per step finds where each grid stops; a second pass whitens every cell by its value at that step. No series is
+shuffled and no driver loop runs per step.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import series as S
 from gridloom.functions.dist import Z_975
 from gridloom.functions.kernels import matrix, sen_slopes, with_statistics
+from gridloom.functions.lineage import checkpointed
 from gridloom.functions.validate import choice, positive_integer, positive_number
 from gridloom.operators.grid import Stack, require_valid, when_ok, with_series
 from gridloom.operators.spatial import one_row_side
@@ -26,6 +28,7 @@ DIAGNOSTICS = {
     "TFPW_Z": ("Rho", "Modified", "Clamped"),
     "VCTFPW": ("Rho", "Beta_corrected", "Modified"),
 }
+COLUMNS = ("grid_id", "cell", "row", "col", "ok")
 LIMIT = 0.99
 
 # Savin and White (1977), bounds of the Durbin-Watson statistic for one regressor at 5 percent.
@@ -91,26 +94,21 @@ def lag_one(x: np.ndarray) -> np.ndarray:
 
 def trend_free(stack: Stack) -> tuple[Stack, DataFrame]:
     """Yue and Pilon: detrend by Theil-Sen, filter the first-order correlation of the rest, put the trend back; one layer less."""
-    t, n = stack.spec.t(), stack.spec.n_time - 1
+    t, n = np.array(stack.spec.times), stack.spec.n_time - 1
 
-    def detrended(y: Column, beta: Column) -> Column:
-        return S.let(F.zip_with(y, t, lambda v, s: v - beta * s), lambda rest: S.let(correlation(rest), lambda rho: put_back(rest, rho, beta)))
-
-    def correlation(rest: Column) -> Column:
-        squares = S.let(S.centred(rest), lambda c: S.dot(c, c))
-        return F.when(squares > 0, F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), S.autocorrelation(rest))))
+    def run(batches):
+        for b in batches:
+            y = matrix(b.column(2)) if b.num_rows else np.zeros((0, n + 1))
+            beta = sen_slopes(y, t)
+            rest = y - beta[:, None] * t
+            c = rest - rest.mean(1, keepdims=True)
+            some = (c * c).sum(1) > 0
+            rho = np.clip(lag_one(rest), -LIMIT, LIMIT)
+            new = np.where(some[:, None], rest[:, 1:] - rho[:, None] * rest[:, :-1] + beta[:, None] * t[1:], np.nan)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(new), pa.array(beta), pa.array(rho, mask=~some)], names=["grid_id", "cell", "y", *DIAGNOSTICS["TFPW_Y"]])
 
-    def put_back(rest: Column, rho: Column, beta: Column) -> Column:
-        white = F.zip_with(S.tail(rest), S.head(rest), lambda a, b: a - rho * b)
-        return F.struct(beta.alias("Beta_TheilSen"), rho.alias("Rho"), F.zip_with(white, S.tail(t), lambda a, s: a + beta * s).alias("new"))
-
-    times = np.array(stack.spec.times)
-    rows = with_statistics(stack.cells.select("grid_id", "cell", "row", "col", "ok", "y"), ("beta",), lambda v: (sen_slopes(v, times),))
-    rows = rows.select("grid_id", "cell", "row", "col", "ok", when_ok(detrended(F.col("y"), F.col("beta"))).alias("f"))
-    rows = rows.select("grid_id", "cell", "row", "col", "ok", F.inline_outer(F.array("f")))
-    missing = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.lit(None).cast("double"))
-    cells = rows.select("grid_id", "cell", "row", "col", F.when(F.col("Rho").isNotNull(), F.col("new")).otherwise(missing).alias("y"))
-    return with_series(stack, cells, n), rows.select("grid_id", "cell", "row", "col", "ok", *DIAGNOSTICS["TFPW_Y"])
+    got = _kernel(stack, stack.cells.where("ok").select("grid_id", "cell", "y"), run, "y array<double>, Beta_TheilSen double, Rho double")
+    return _joined(stack, got, DIAGNOSTICS["TFPW_Y"], n)
 
 
 def variance_corrected_rows(y: np.ndarray, t: np.ndarray):
@@ -148,70 +146,81 @@ def _joined(stack: Stack, got: DataFrame, names: tuple[str, ...], n: int) -> tup
     return with_series(stack, cells, n, stack.spec.times if n == stack.spec.n_time else ()), rows.select("grid_id", "cell", "row", "col", "ok", *names)
 
 
+def straight_line_residuals(y: np.ndarray, t: np.ndarray) -> np.ndarray:
+    tc = t - t.mean()
+    slope = ((y - y.mean(1, keepdims=True)) * tc).sum(1) / (tc * tc).sum()
+    return y - (y.mean(1) - slope * t.mean())[:, None] - slope[:, None] * t
+
+
+def durbin_watson_rows(y: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The statistic of each row's straight-line residuals; NaN where these vanish."""
+    e = straight_line_residuals(y, t)
+    square = (e * e).sum(1)
+    return np.divide((np.diff(e, axis=1) ** 2).sum(1), square, out=np.full(len(y), np.nan), where=square != 0)
+
+
 def correlation_path(y: np.ndarray, t: np.ndarray, itmax: int, refit: str) -> tuple[np.ndarray, np.ndarray]:
-    """(rho, clamped) of each row after 0 to itmax steps: whiten by rho, refit the trend, take the correlation of what is left."""
+    """(rho, step) of each row: its values after 0 to itmax steps (whiten by rho, refit the trend, take the correlation of what
+    is left), and the first step whose value was clamped (itmax + 1 if none was). A row whose value has come to rest is not refitted."""
     early = t[:-1]
     tc = early - early.mean()
 
-    def trend(rho):
+    def trend(y, rho):
         u = (y[:, 1:] - rho[:, None] * y[:, :-1]) / (1 - rho[:, None])
         return sen_slopes(u, early) if refit == "TS" else ((u - u.mean(1, keepdims=True)) * tc).sum(1) / (tc * tc).sum()
 
-    rho = lag_one(y)
-    paths, flags, clamped = [rho], [np.zeros(len(y), bool)], np.zeros(len(y), bool)
+    path, clamped = np.repeat(lag_one(y)[:, None], itmax + 1, 1), np.full(len(y), itmax + 1)
+    moving = np.arange(len(y))
     with np.errstate(all="ignore"):
-        slope = trend(rho)
-        for _ in range(itmax):
-            new = lag_one(y - slope[:, None] * t)
-            clamped = clamped | (new >= 1) | (new <= -1)
-            new = np.where(new >= 1, LIMIT, np.where(new <= -1, -LIMIT, new))
-            paths.append(new)
-            flags.append(clamped)
-            slope = trend(new)
-    return np.stack(paths, 1), np.stack(flags, 1)
+        for k in range(1, itmax + 1):
+            rest = lag_one(y[moving] - trend(y[moving], path[moving, k - 1])[:, None] * t)
+            clamped[moving] = np.where((clamped[moving] > itmax) & ((rest >= 1) | (rest <= -1)), k, clamped[moving])
+            rest = np.where(rest >= 1, LIMIT, np.where(rest <= -1, -LIMIT, rest))
+            path[moving, k:] = rest[:, None]
+            moving = moving[rest != path[moving, k - 1]]
+    return path, clamped
 
 
 def iterative(stack: Stack, method: str, gate: str, dw_low: float, dw_high: float, dw_mode: str, refit: str, itmax: int, eps: float) -> tuple[Stack, DataFrame]:
     """Wang and Swail's iteration, for series that the Durbin-Watson gate passes (TFPW_WS) or for all (TFPW_Z)."""
-    t = np.array(stack.spec.times)
-    rows = durbin_watson(stack)
-    if method == "TFPW_Z":
-        gated = F.col("ok")
-    elif gate == "threshold":
-        gated = F.col("ok") & ((F.col("dw") < dw_low) | (F.col("dw") > dw_high))
-    else:
-        low, high = dw_critical_values(stack.spec.n_time)
-        limit = high if dw_mode == "conservative" else low
-        gated = F.col("ok") & ((F.col("dw") < limit) | (F.col("dw") > 4 - limit))
-    rows = rows.withColumn("gated", F.coalesce(gated, F.lit(False)))
+    t, n = np.array(stack.spec.times), stack.spec.n_time
+    if gate != "threshold":
+        limit = dw_critical_values(n)[1 if dw_mode == "conservative" else 0]
+        dw_low, dw_high = limit, 4 - limit
 
-    def run(batches):
+    def walk(batches):
+        for b in batches:
+            ok = b.column(4).to_numpy(zero_copy_only=False)
+            y = matrix(b.column(5).filter(pa.array(ok))) if ok.any() else np.zeros((0, n))
+            dw, at = np.full(len(ok), np.nan), np.flatnonzero(ok)
+            path, clamped, gated = np.full((len(ok), itmax + 1), np.nan), np.full(len(ok), itmax + 1), np.zeros(len(ok), bool)
+            if len(y):
+                dw[at] = durbin_watson_rows(y, t)
+                gated[at] = (dw[at] < dw_low) | (dw[at] > dw_high) if method == "TFPW_WS" else True
+                path[gated], clamped[gated] = correlation_path(y[gated[at]], t, itmax, refit)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(dw, mask=np.isnan(dw)), pa.array(gated), _lists(path), pa.array(clamped.astype(np.int32))], names=[*b.schema.names, "dw", "gated", "path", "clamped"])
+
+    def whiten(batches):
         for b in batches:
-            y = matrix(b.column(2))
-            rho, clamped = correlation_path(y, t, itmax, refit) if b.num_rows else (np.zeros((0, itmax + 1)), np.zeros((0, itmax + 1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(rho), _lists(clamped.astype(float))], names=["grid_id", "cell", "path", "flags"])
+            ok, gated, stop = (b.column(c).to_numpy(zero_copy_only=False) for c in ("ok", "gated", "stop"))
+            y = np.full((len(ok), n), np.nan)
+            if ok.any():
+                y[ok] = matrix(b.column("y").filter(pa.array(ok)))
+            rho = np.take_along_axis(matrix(b.column("path")), stop.astype(np.int64)[:, None], 1)[:, 0] if len(ok) else np.zeros(0)
+            held = gated & (b.column("clamped").to_numpy() <= stop)
+            change = gated & ~held
+            r = rho[change, None]
+            y[change] = np.concatenate([y[change, :1] * np.sqrt(1 - r * r), (y[change, 1:] - r * y[change, :-1]) / (1 - r)], 1)
+            made = [pa.array(np.where(gated, rho, 0.0), mask=~ok), pa.array(change.astype(np.int32), mask=~ok), pa.array(held.astype(np.int32), mask=~ok)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("grid_id", "cell", "row", "col", "ok")), _lists(y), b.column("dw"), *made], names=[*COLUMNS, "y", "DW_initial", "Rho", "Modified", "Clamped"])
 
-    paths = _kernel(stack, rows.where("gated").select("grid_id", "cell", "y"), run, "path array<double>, flags array<double>")
-    steps = paths.select("grid_id", F.posexplode(F.zip_with(S.tail(F.col("path")), S.head(F.col("path")), lambda a, b: F.abs(a - b))).alias("k", "move"))
+    kind = dict(stack.cells.dtypes)["grid_id"]
+    front = f"grid_id {kind}, cell long, row int, col int, ok boolean"
+    rows = stack.cells.select("grid_id", F.col("cell").cast("long").alias("cell"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "ok", F.when(F.col("ok"), F.col("y")).alias("y"))
+    rows = checkpointed(rows.mapInArrow(walk, f"{front}, y array<double>, dw double, gated boolean, path array<double>, clamped int"))
+    steps = rows.where("gated").select("grid_id", F.posexplode(F.zip_with(S.tail(F.col("path")), S.head(F.col("path")), lambda a, b: F.abs(a - b))).alias("k", "move"))
     steps = steps.where(F.col("move").isNotNull() & ~F.isnan("move")).groupBy("grid_id", "k").agg(F.max("move").alias("move"))
-    stop = steps.groupBy("grid_id").agg(F.coalesce(F.min(F.when(F.col("move") < eps, F.col("k") + 1)), F.lit(itmax)).alias("stop"))  # one row per grid
-    rows = rows.join(paths, ["grid_id", "cell"], "left").join(one_row_side(stop), "grid_id", "left")
-    at = F.coalesce("stop", F.lit(itmax)) + 1
-    rows = rows.withColumn("rho", F.element_at("path", at.cast("int"))).withColumn("clamped", F.coalesce(F.element_at("flags", at.cast("int")) > 0, F.lit(False)))
-    y = F.col("y")
-
-    def whitened(rho: Column) -> Column:
-        first = F.transform(F.slice(y, 1, 1), lambda v: v * F.sqrt(1 - rho * rho))
-        return F.concat(first, F.zip_with(S.tail(y), S.head(y), lambda a, b: (a - rho * b) / (1 - rho)))
-
-    change = F.col("gated") & ~F.col("clamped")
-    new = F.when(change, S.let(F.col("rho"), whitened)).otherwise(y)
-    missing = F.transform(y, lambda v: F.lit(None).cast("double"))
-    cells = rows.select("grid_id", "cell", "row", "col", F.when(F.col("ok"), new).otherwise(missing).alias("y"))
-    diagnostics = rows.select(
-        "grid_id", "cell", "row", "col", "ok", F.col("dw").alias("DW_initial"),
-        when_ok(F.when(F.col("gated"), F.col("rho")).otherwise(F.lit(0.0))).alias("Rho"),
-        when_ok(F.when(change, 1).otherwise(0)).cast("int").alias("Modified"),
-        when_ok(F.when(F.col("gated") & F.col("clamped"), 1).otherwise(0)).cast("int").alias("Clamped"),
-    )
-    return with_series(stack, cells), diagnostics.select("grid_id", "cell", "row", "col", "ok", *DIAGNOSTICS[method])
+    stop = steps.groupBy("grid_id").agg(F.coalesce(F.min(F.when(F.col("move") < eps, F.col("k") + 1)), F.lit(itmax)).cast("int").alias("stop"))  # one row per grid
+    rows = rows.join(one_row_side(stop), "grid_id", "left").withColumn("stop", F.coalesce("stop", F.lit(itmax)))
+    out = rows.mapInArrow(whiten, f"{front}, y array<double>, DW_initial double, Rho double, Modified int, Clamped int")
+    return with_series(stack, out.select("grid_id", "cell", "row", "col", "y")), out.select(*COLUMNS, *DIAGNOSTICS[method])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import series as S
 from gridloom.functions.dist import normal_quantile, t_quantile
-from gridloom.functions.kernels import sen_slopes, with_statistics
+from gridloom.functions.kernels import kendall_scores, pair_ranks, repeated_medians, sen_slopes, with_statistics
 from gridloom.functions.validate import choice, max_pairs as check_pairs
 from gridloom.operators.grid import Stack, when_ok
 from gridloom.operators.spatial import focal_median
@@ -46,11 +46,12 @@ def slope_estimator(stack: Stack, method: str = "TS", max_pairs: float = math.in
     if n < {"TS": 2, "OLS": 3, "RM": 3}[method]:
         raise ValueError(f"{method} needs more layers")
     pairs = sampled_pairs(n, max_pairs, seed) if method == "TS" else None
-    if method == "TS" and pairs is None:
+    if method != "OLS" and pairs is None:
         times = np.array(stack.spec.times)
-        rows = with_statistics(stack.cells.select("grid_id", "cell", "row", "col", "ok", "y"), ("slope",), lambda v: (sen_slopes(v, times),)).drop("y")
+        kernel = {"TS": lambda v: (sen_slopes(v, times),), "RM": lambda v: (repeated_medians(v, times),)}[method]
+        rows = with_statistics(stack.cells.select("grid_id", "cell", "row", "col", "ok", "y"), ("slope",), kernel).drop("y")
         return focal_median(rows.withColumn("slope_smooth", F.col("slope")), "slope_smooth", stack.spec) if smooth_neighbourhood else rows
-    value = {"TS": lambda: theil_sen(y, t, pairs), "OLS": lambda: S.ols(y, t)["slope"], "RM": lambda: S.repeated_median(y, t)}[method]()
+    value = theil_sen(y, t, pairs) if method == "TS" else S.ols(y, t)["slope"]
     rows = stack.cells.select("grid_id", "cell", "row", "col", "ok", when_ok(value).alias("slope"))
     if smooth_neighbourhood:
         rows = focal_median(rows.withColumn("slope_smooth", F.col("slope")), "slope_smooth", stack.spec)
@@ -68,41 +69,37 @@ def theil_sen_long(long: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ fits of single series
 
 
-def sen_interval(y: Column, t: Column, n: int, level: float = 0.95) -> Column:
-    """struct(lower, upper): order statistics of the pair slopes around their median, with tie-corrected variance."""
-    z = normal_quantile(0.5 + level / 2)
-
-    def of(slopes: Column) -> Column:
-        half = F.lit(z) * F.sqrt(S.kendall_variance(y, True))
-        k = F.size(slopes).cast("double")
-        low = F.greatest(F.bround((k - half) / 2), F.lit(1.0)).cast("int")
-        high = F.least(F.bround((k + half) / 2) + 1, k).cast("int")
-        return F.struct(F.element_at(slopes, low).alias("lower"), F.element_at(slopes, high).alias("upper"))
-
-    return S.let(S.pair_slopes(y, t), of)
+def sen_interval(y: np.ndarray, t: np.ndarray, level: float = 0.95) -> tuple[np.ndarray, np.ndarray]:
+    """(lower, upper) of each row: order statistics of the pair slopes around their median, with tie-corrected variance."""
+    n = len(t) * (len(t) - 1) // 2
+    half = normal_quantile(0.5 + level / 2) * np.sqrt(kendall_scores(y, True)[1])
+    low, high = np.maximum(np.rint((n - half) / 2), 1), np.minimum(np.rint((n + half) / 2) + 1, n)
+    ends = pair_ranks(y, t, np.stack([low, high], 1).astype(np.int64) - 1)
+    return ends[:, 0], ends[:, 1]
 
 
 def fit_series(stack: Stack, method: str = "TS", level: float = 0.95) -> DataFrame:
     """grid_id, cell, slope, intercept, lower, upper for each complete series (no interval for RM)."""
     choice(method, METHODS, "method")
     n, y, t = stack.spec.n_time, F.col("y"), stack.spec.t()
-    rows = stack.cells.where("ok")
-    none = F.struct(F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"))
+    rows = stack.cells.where("ok").select("grid_id", "cell", "ok", "y")
     if method == "OLS":
         z = t_quantile(0.5 + level / 2, n - 2)
-        rows = rows.withColumn("f", S.ols(y, t)).withColumn("slope", F.col("f.slope")).withColumn("intercept", F.col("f.intercept"))
-        ci = F.struct((F.col("slope") - z * F.col("f.se")).alias("lower"), (F.col("slope") + z * F.col("f.se")).alias("upper"))
-    elif method == "TS":
-        def with_intercept(b: Column) -> Column:
-            rest = F.array_sort(F.zip_with(y, t, lambda v, s: v - b * s))
-            return F.struct(b.alias("slope"), S.let(rest, S.sorted_median).alias("intercept"))
-
-        rows = rows.withColumn("f", S.let(S.theil_sen(y, t), with_intercept)).withColumn("slope", F.col("f.slope")).withColumn("intercept", F.col("f.intercept"))
-        ci = sen_interval(y, t, n, level)
-    else:
-        rows = rows.withColumn("slope", S.repeated_median(y, t)).withColumn("intercept", S.repeated_median_intercept(y, t))
-        ci = none
-    return rows.withColumn("ci", ci).select("grid_id", "cell", "slope", "intercept", F.col("ci.lower").alias("lower"), F.col("ci.upper").alias("upper"))
+        rows = rows.withColumn("f", S.ols(y, t)).select("grid_id", "cell", "f.*")
+        return rows.select("grid_id", "cell", "slope", "intercept", (F.col("slope") - z * F.col("se")).alias("lower"), (F.col("slope") + z * F.col("se")).alias("upper"))
+    times = np.array(stack.spec.times)
+
+    def sen(v: np.ndarray) -> tuple[np.ndarray, ...]:
+        slope = sen_slopes(v, times)
+        return slope, np.median(v - slope[:, None] * times, axis=1) if len(v) else slope, *sen_interval(v, times, level)
+
+    def siegel(v: np.ndarray) -> tuple[np.ndarray, ...]:
+        return repeated_medians(v, times), repeated_medians(v, times, intercepts=True)
+
+    names = ("slope", "intercept", "lower", "upper")
+    found = with_statistics(rows, names, sen) if method == "TS" else with_statistics(rows, names[:2], siegel)
+    none = F.lit(None).cast("double")
+    return found.select("grid_id", "cell", "slope", "intercept", *(F.col(c) if method == "TS" else none.alias(c) for c in names[2:]))
 
 
 def fit_all(stack: Stack, level: float = 0.95) -> DataFrame:

@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from helpers import by_cell, stack_of
 
+from gridloom.functions import kernels
 from gridloom.functions.dist import t_cdf
 from gridloom.operators import anomalies, prewhiten, slope, trend
+from gridloom.operators import slope as slope_module
 
 RNG = np.random.default_rng(11)
 
@@ -202,3 +204,63 @@ def test_anomalies(spark):
     assert got[1, 1] == pytest.approx(-1 / math.sqrt(2)) and got[2, 1] is None
     with pytest.raises(ValueError):
         anomalies.anomalies(long, 6, 7)
+
+
+def all_slopes(y, t):
+    i, j = np.triu_indices(len(t), 1)
+    return np.sort((y[j] - y[i]) / (t[j] - t[i]))
+
+
+@pytest.mark.parametrize("n", [129, 200, 257])
+def test_long_scores_equal_pairs(n, monkeypatch):
+    y = np.concatenate([RNG.normal(size=(3, n)), RNG.integers(0, 7, (3, n)), np.ones((1, n)), np.arange(n)[None, ::-1]]).astype(float)
+    for ties in (True, False):
+        long = kernels.kendall_scores(y, ties)
+        monkeypatch.setattr(kernels, "SHORT", n)
+        short = kernels.kendall_scores(y, ties)
+        monkeypatch.undo()
+        assert (long[0] == short[0]).all() and long[1] == pytest.approx(short[1])
+
+
+@pytest.mark.parametrize("kind", ["noise", "trend", "whole numbers", "many zeros", "constant", "line", "tenths", "uneven times"])
+def test_selected_slopes_equal_sorted_pairs(kind, monkeypatch):
+    n = 420
+    noise, t = RNG.normal(size=n), np.arange(1.0, n + 1)
+    if kind == "uneven times":
+        t = np.cumsum(RNG.random(n) + 0.01)
+    y = {"trend": t * 0.3 + noise, "whole numbers": RNG.integers(0, 5, n).astype(float), "many zeros": np.where(RNG.random(n) < 0.7, 0, noise), "constant": np.ones(n), "line": 0.1 * t, "tenths": np.round(noise, 1)}.get(kind, noise)
+    want = all_slopes(y, t)
+    for rank in (0, 5, len(want) // 3, (len(want) - 1) // 2, len(want) // 2, len(want) - 1):
+        assert kernels._selected(y, t, rank) == want[rank]
+        monkeypatch.setattr(kernels, "PAIRS", 4_000)
+        assert kernels._scanned(y, t, rank) == want[rank]
+        monkeypatch.undo()
+
+
+def test_long_series_take_little_memory():
+    import tracemalloc
+
+    n = 10_000
+    t = np.arange(1.0, n + 1)
+    y = RNG.normal(size=(1, n)) + t * 1e-4
+    tracemalloc.start()
+    slope, score, lower, upper = kernels.sen_slopes(y, t)[0], kernels.kendall_scores(y, True)[0][0], *slope_module.sen_interval(y, t)
+    kernels.repeated_medians(y[:, :5_000], t[:5_000])
+    assert tracemalloc.get_traced_memory()[1] < 100e6 and lower[0] < slope < upper[0]
+    tracemalloc.stop()
+    below = sum(int(((y[0, k + 1 :] - y[0, k]) / (t[k + 1 :] - t[k]) < slope).sum()) for k in range(n - 1))
+    rising = sum(int(np.sign(y[0, k + 1 :] - y[0, k]).sum()) for k in range(n - 1))
+    assert below == n * (n - 1) // 4 and score == rising
+
+
+def test_repeated_medians_by_loops(monkeypatch):
+    t = np.arange(1.0, 12)
+    y = np.concatenate([RNG.normal(size=(4, 11)), RNG.integers(0, 3, (4, 11)).astype(float)])
+    upper = lambda v: sorted(v)[len(v) // 2]
+    for pairs in (2_000_000, 30):
+        monkeypatch.setattr(kernels, "PAIRS", pairs)
+        slopes, intercepts = kernels.repeated_medians(y, t), kernels.repeated_medians(y, t, intercepts=True)
+        for r, v in enumerate(y):
+            s = [[(v[j] - v[i]) / (t[j] - t[i]) for j in range(11) if j != i] for i in range(11)]
+            assert slopes[r] == upper([upper(x) for x in s])
+            assert intercepts[r] == pytest.approx(upper([upper([v[i] - b * t[i] for b in s[i]]) for i in range(11)]))
