@@ -214,15 +214,17 @@ def dealt_in_blocks(rows: DataFrame, keys: tuple[str, ...], member: str, hot: Da
 
     Members of a cell fall in ceil(n / most) blocks by hash. Sub-cell (i, j) holds the home rows (role 0) of block
     i and all rows of block j (role 1), so every home row meets every other row of its cell in one sub-cell, and
-    no sub-cell holds more than two blocks.
+    no sub-cell holds more than two blocks. Sub-cells of a cell that is dealt are numbered from 1, those of two
+    different blocks below 0; other cells have 0 alone.
     """
     if hot.isEmpty():
         return rows.withColumn("sub", F.lit(0).cast("long"))
     rest = [c for c in rows.columns if c != "role"]
     rows = rows.join(broadcast_if_small(hot), list(keys), "left").withColumn("g", F.coalesce(F.ceil(F.col("n") / most), F.lit(1)).cast("long"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64(member), F.col("g"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-    as_home = rows.where("role = 0").select(*rest, "role", (F.col("own") * F.col("g") + F.col("i")).alias("sub"))
-    as_any = rows.where("role = 1 or i <> own").select(*rest, F.lit(1).alias("role"), (F.col("i") * F.col("g") + F.col("own")).alias("sub"))
+    number = lambda i, j: F.when(F.col("g") == 1, F.lit(0)).otherwise((i * F.col("g") + j + 1) * F.when(i == j, F.lit(1)).otherwise(F.lit(-1))).cast("long")
+    as_home = rows.where("role = 0").select(*rest, "role", number(F.col("own"), F.col("i")).alias("sub"))
+    as_any = rows.where("role = 1 or i <> own").select(*rest, F.lit(1).alias("role"), number(F.col("i"), F.col("own")).alias("sub"))
     return as_home.unionByName(as_any)
 
 

@@ -5,12 +5,14 @@ nearest point of the E8 lattice as the vector's cell (a Gosset cell: 240 neighbo
 A vector is entered in its own cell and in the ``PROBES`` neighbouring cells nearest to its projection;
 in each cell the owners are compared with all entries by a 128-bit random-hyperplane sketch, which discards
 pairs that are far apart. What remains is verified by the cosine of the vectors in double precision: single
-pairs are joined with their vectors; in cells that hold more near pairs than entries the entries are, once
-each, and all cosines are taken there. Cells of more than ``CELL`` entries are dealt as grids of blocks.
+pairs are joined with their vectors; in cells that hold more near pairs than entries, and in cells of more than ``CELL`` entries,
+which are dealt as grids of blocks (dense cells), the entries with a near one are, and all cosines are taken there.
 
-Verified links leave a task as one list per vector, which are united by vector to count them, and as a
-spanning forest for the components, so a dense group is never listed pair by pair as rows. Equal vectors
-are one entry with a count, so a vector that fills a third of the table costs one row.
+Links are counted, not listed. A pair that meets in several dense cells is counted in the first of them only: each entry
+carries the dense cells it is in, at most one a table and probe. A pair that meets in none is counted where it is verified. So
+a dense cell leaves one number per entry, and a spanning forest for the components, however many pairs it holds. Equal
+vectors are one entry with a count, so a vector that fills a third of the table costs one row; rows find their vector's class by
+128 bits of hash (by the vector itself, should two classes ever share these).
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with
 nothing (n_links 0, component their own id, kept). Vectors of different lengths never link. A null id is
@@ -131,7 +133,7 @@ def _candidates(slack: int):
         for rows, starts in sorted_groups(batches, 3):
             home, cid = rows.column(3).to_numpy() == 0, rows.column(4).to_numpy()
             s0, s1 = (rows.column(i).to_numpy().view(np.uint64) for i in (5, 6))
-            size = np.diff(starts)
+            size, dealt = np.diff(starts), rows.column(2).to_numpy()[starts[:-1]] != 0
             found, active, kept = np.zeros(len(size), np.int64), np.zeros(len(cid), bool), []
             for left, right in candidate_pairs(starts, home):
                 near = np.bitwise_count(s0[left] ^ s0[right]).astype(np.int16) + np.bitwise_count(s1[left] ^ s1[right]) <= slack
@@ -141,11 +143,11 @@ def _candidates(slack: int):
                 active[left] = active[right] = True
                 group = np.searchsorted(starts, left, "right") - 1
                 found += np.bincount(group, minlength=len(size))
-                few = found[group] <= DENSE * size[group]
+                few = (found[group] <= DENSE * size[group]) & ~dealt[group]
                 kept.append(np.stack([left[few], right[few]], 1))
             if not kept:
                 continue
-            dense = found > DENSE * size
+            dense = (found > DENSE * size) | dealt
             pairs = np.concatenate(kept)
             pairs = cid[pairs[~dense[np.searchsorted(starts, pairs[:, 0], "right") - 1]]]
             pairs = np.unique(np.sort(pairs, axis=1), axis=0)
@@ -168,27 +170,30 @@ def _unit(column) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-LINKS = "a long, others array<long>, copies array<long>, low long"
+LINKS = "a long, others long, low long"
 
 
-def _lists(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Links (a, b, rows of b) as one list per a."""
-    order = np.argsort(a, kind="stable")
-    a, b, n = a[order], b[order], n[order]
-    starts = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, np.int64)
-    offsets = pa.array(np.append(starts, len(a)), pa.int32())
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (b, n)]
-    return pa.RecordBatch.from_arrays([pa.array(a[starts], pa.int64()), *lists, pa.nulls(len(starts), pa.int64())], names=["a", "others", "copies", "low"])
+def _counts(a: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """(a, rows linked with a), summed."""
+    ids, back = np.unique(a, return_inverse=True)
+    sums = np.zeros(len(ids), np.int64)
+    np.add.at(sums, back, n)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums), pa.nulls(len(ids), pa.int64())], names=["a", "others", "low"])
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """Links that connect what is connected, without lists."""
-    nothing = [pa.nulls(len(a), pa.list_(pa.int64())) for _ in range(2)]
-    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), *nothing, pa.array(np.minimum(a, b), pa.int64())], names=["a", "others", "copies", "low"])
+    """Links that connect what is connected, without counts."""
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.nulls(len(a), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], names=["a", "others", "low"])
+
+
+def _met(x: list | None, y: list | None) -> bool:
+    """Whether two entries meet in a dense cell: both are in it, one of them at home."""
+    own = {(d["tab"], d["cell"]): d["role"] for d in x or ()}
+    return any(own[d["tab"], d["cell"]] * d["role"] == 0 for d in y or () if (d["tab"], d["cell"]) in own)
 
 
 def _pair_links(cosine: float):
-    """(a, b, na, nb, va, vb) -> LINKS."""
+    """(a, b, na, nb, va, vb, da, db) -> LINKS, but for pairs that meet in a dense cell."""
 
     def run(batches):
         for rows in batches:
@@ -200,15 +205,35 @@ def _pair_links(cosine: float):
                     pick = at[k : k + 4_096]
                     x, y = (_unit(rows.column(i).take(pa.array(pick))) for i in (4, 5))
                     p = pick[(x * y).sum(1) >= cosine]
+                    cells = [rows.column(i).take(pa.array(p)).to_pylist() for i in (6, 7)]
+                    p = p[[not _met(d, e) for d, e in zip(*cells)]] if len(p) else p
                     if len(p):
-                        yield _lists(np.concatenate([a[p], b[p]]), np.concatenate([b[p], a[p]]), np.concatenate([nb[p], na[p]]))
+                        yield _counts(np.concatenate([a[p], b[p]]), np.concatenate([nb[p], na[p]]))
                         yield _forest(a[p], b[p])
 
     return run
 
 
+def _dense_cells(column, cell: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a cell's entries: which are at home in it; and for the dense cells before it that hold two of them or more (columns), who is
+    in them and who is at home there."""
+    sizes = np.diff(column.offsets.to_numpy())
+    flat = column.flatten()
+    tab, place, role = (flat.field(f).to_numpy() for f in ("tab", "cell", "role"))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    here = np.zeros(len(sizes), bool)
+    here[owner[(tab == cell[0]) & (place == cell[1]) & (role == 0)]] = True
+    before = (tab < cell[0]) | ((tab == cell[0]) & (place < cell[1]))
+    if not before.any():
+        return here, np.zeros((len(sizes), 0), np.float32), np.zeros((len(sizes), 0), np.float32)
+    found, number, n = np.unique(np.stack([tab, place], 1)[before], axis=0, return_inverse=True, return_counts=True)
+    inside, home = (np.zeros((len(sizes), len(found)), np.float32) for _ in range(2))
+    inside[owner[before], number], home[owner[before], number] = 1, role[before] == 0
+    return here, inside[:, n > 1], home[:, n > 1]
+
+
 def _cell_links(cosine: float):
-    """(tab, cell, sub, role, cid, n, v) by cell -> LINKS, from the cosines of home entries with all entries of their cell."""
+    """(tab, cell, sub, role, cid, n, v, dense) by cell -> LINKS, from the cosines of home entries with all entries of their cell."""
 
     def run(batches):
         for rows, starts in sorted_groups(batches, 3):
@@ -216,6 +241,7 @@ def _cell_links(cosine: float):
                 part = rows.slice(int(lo), int(hi - lo))
                 home, cid, n = part.column(3).to_numpy() == 0, part.column(4).to_numpy(), part.column(5).to_numpy()
                 v = _unit(part.column(6))
+                here, inside, at_home = _dense_cells(part.column(7), tuple(part.column(i)[0].as_py() for i in range(2)))
 
                 def near(f, g, v=v):
                     c = v[f] @ v[g].T
@@ -224,17 +250,19 @@ def _cell_links(cosine: float):
                     return c >= cosine
 
                 homes, every = np.flatnonzero(home), np.arange(len(cid))
-                step = max(1, 2_000_000 // len(cid))
+                two_blocks = part.column(2)[0].as_py() < 0  # pairs of its homes meet in the block of their own
+                step, sums = max(1, 2_000_000 // len(cid)), np.zeros(len(cid), np.int64)
                 for k in range(0, len(homes), step):
                     f = homes[k : k + step]
                     alike = near(f, every)
                     alike[np.arange(len(f)), f] = False
-                    i, j = np.nonzero(alike)
-                    i = f[i]
-                    back = ~home[j]  # pairs of two home rows come from both sides
-                    left, right = np.concatenate([i, j[back]]), np.concatenate([j, i[back]])
-                    if len(left):
-                        yield _lists(cid[left], cid[right], n[right])
+                    if two_blocks:
+                        alike[:, homes] = False
+                    if inside.shape[1]:
+                        alike &= at_home[f] @ inside.T + inside[f] @ at_home.T == 0
+                    sums[f] += alike @ n
+                    sums += np.where(here, 0, n[f] @ alike)  # pairs of two rows at home come from both sides, in this block or the mirrored one
+                yield _counts(cid[sums > 0], sums[sums > 0])
                 forest = spanning_forest(len(cid), home, near)
                 if len(forest):
                     yield _forest(cid[forest[:, 0]], cid[forest[:, 1]])
@@ -242,36 +270,28 @@ def _cell_links(cosine: float):
     return run
 
 
-def _united(batches):
-    """Lists by a -> (a, others): the rows of all distinct vectors linked with a."""
-    for rows, _ in sorted_groups(batches, 1):
-        lists = rows.column(1)
-        a = np.repeat(rows.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
-        b, n = (rows.column(i).flatten().to_numpy() for i in (1, 2))
-        order = np.lexsort((b, a))
-        a, b, n = a[order], b[order], n[order]
-        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-        a, n = a[new], n[new]
-        starts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(a[starts]), pa.array(np.add.reduceat(n, starts))], names=["a", "others"])
-
-
 def usable(v):
     """Columns expression: a vector with a direction."""
     return v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
 
 
+def hashed(vectors: DataFrame) -> DataFrame:
+    """vectors with h, 128 bits that equal vectors share; -0 counts as 0."""
+    v = F.transform("v", lambda x: x + F.lit(0.0))
+    return vectors.withColumn("v", v).withColumn("h", F.struct(*(F.xxhash64(F.lit(k), "v").alias(f"h{k}") for k in (1, 2))))
+
+
 def classes_of(vectors: DataFrame) -> DataFrame:
-    """Distinct usable vectors: cid, v, low (smallest id), n (rows)."""
-    rows = vectors.where(usable(F.col("v"))).groupBy("v").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
-    return checkpointed(rows.select(F.monotonically_increasing_id().alias("cid"), "v", "low", "n"))
+    """Distinct usable vectors: cid, h, v, low (smallest id), n (rows)."""
+    rows = hashed(vectors.where(usable(F.col("v")))).groupBy("h", "v").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
+    return checkpointed(rows.select(F.monotonically_increasing_id().alias("cid"), "h", "v", "low", "n"))
 
 
 def links(
     classes: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, slack: int = SKETCH_SLACK, cell: int = CELL,
 ) -> DataFrame:
-    """Links found between classes (cid, v, n): rows with a list of a's linked classes and their numbers of rows
-    (a pair can be listed more than once), and rows (a, low) of a forest that connects what is linked."""
+    """Links found between classes (cid, v, n): rows (a, others) whose sum is the number of rows linked with a, and rows
+    (a, low) of a forest that connects what is linked."""
     parts = partitions(classes.sparkSession)
     key = ("tab", "cell")
     entries = classes.select("cid", "v").mapInArrow(_entries(scale, tables, probes), "tab long, cell long, role int, cid long, s0 long, s1 long")
@@ -279,10 +299,13 @@ def links(
     dealt = dealt_in_blocks(entries, key, "cid", hot, cell).select(*key, "sub", "role", "cid", "s0", "s1")
     dealt = dealt.repartition(parts, *key, "sub").sortWithinPartitions(*key, "sub")
     found = checkpointed(dealt.mapInArrow(_candidates(slack), "tab long, cell long, sub long, role long, a long, b long"))
-    side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("v").alias(f"v{c}"))
-    pairs = found.where("b is not null").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "va", "vb")
-    inside = found.where("b is null").withColumnRenamed("a", "cid").drop("b").join(classes.select("cid", "n", "v"), "cid")
-    inside = inside.select(*key, "sub", "role", "cid", "n", "v").repartition(parts, *key, "sub").sortWithinPartitions(*key, "sub")
+    dense = found.where("b is null").withColumnRenamed("a", "cid").drop("b")
+    cells_of = dense.groupBy("cid", *key).agg(F.min("role").alias("role")).groupBy("cid")
+    cells_of = checkpointed(cells_of.agg(F.collect_list(F.struct(*key, "role")).alias("dense")))  # a cell a table and probe at most
+    side = lambda c: classes.join(cells_of, "cid", "left").select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("v").alias(f"v{c}"), F.col("dense").alias(f"d{c}"))
+    pairs = found.where("b is not null").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "va", "vb", "da", "db")
+    inside = dense.join(classes.select("cid", "n", "v"), "cid").join(cells_of, "cid")
+    inside = inside.select(*key, "sub", "role", "cid", "n", "v", "dense").repartition(parts, *key, "sub").sortWithinPartitions(*key, "sub")
     return pairs.mapInArrow(_pair_links(cosine), LINKS).unionByName(inside.mapInArrow(_cell_links(cosine), LINKS))
 
 
@@ -291,13 +314,14 @@ def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector: str =
     vectors = embeddings.select(F.col(f"`{id_col}`").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
     classes = classes_of(vectors)
     found = checkpointed(links(classes, cosine, cell=cell))
-    lists = found.where("others is not null").select("a", "others", "copies").repartition(partitions(embeddings.sparkSession), "a").sortWithinPartitions("a")
-    others = lists.mapInArrow(_united, "a long, others long")
+    others = found.where("others is not null").groupBy("a").agg(F.sum("others").alias("others"))
     labels = connected_components(found.where("low is not null").select("a", F.col("low").alias("b")))
     known = classes.join(others.withColumnRenamed("a", "cid"), "cid", "left").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
-    known = known.select("v", "low", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cid").alias("group"))
+    known = known.select("h", "v", "low", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cid").alias("group"))
     lowest = known.groupBy("group").agg(F.min("low").alias("component_id"))
-    known = known.join(lowest, "group").select("v", "n_links", "component_id")
-    found = vectors.where(usable(F.col("v"))).join(known, "v").select("vec_id", "n_links", "component_id")
+    known = known.join(lowest, "group").select("h", "v", "n_links", "component_id")
+    shared = not classes.groupBy("h").count().where("count > 1").isEmpty()
+    on = ["h", "v"] if shared else ["h"]
+    found = hashed(vectors.where(usable(F.col("v")))).select("vec_id", *on).join(known.select(*on, "n_links", "component_id"), on).select("vec_id", "n_links", "component_id")
     alone = vectors.where(~F.coalesce(usable(F.col("v")), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -674,6 +674,25 @@ def test_dense_groups_of_unequal_vectors(spark, cell):
     assert {got[i]["component_id"] for i in range(150, 210)} == {150} and all(got[i]["component_id"] == i for i in range(210, 310))
 
 
+@pytest.mark.parametrize("cell", [lattice.CELL, 100])
+def test_a_dense_group_leaves_rows_in_its_size(spark, cell):
+    """What a dense group writes grows with its members, not with its pairs, and every pair is counted once."""
+    rng = np.random.default_rng(13)
+    written = {}
+    for n in (150, 300):
+        v = near_copies(np.repeat(unit_rows(1, 48, rng), n, 0), 0.99, rng).astype(np.float32)
+        link = brute_links(v)
+        frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+        classes = lattice.classes_of(frame.select("vec_id", F.col("embedding").cast("array<double>").alias("v")))
+        found = lattice.links(classes, cell=cell)
+        written[n] = found.count()
+        ids = {r["cid"]: r["low"] for r in classes.collect()}
+        sums = {ids[r["a"]]: r["s"] for r in found.where("others is not null").groupBy("a").agg(F.sum("others").alias("s")).collect()}
+        assert all(sums[i] <= link[i].sum() for i in sums) and sum(sums.values()) >= 0.99 * link.sum()
+    blocks = (300 * 9 // cell + 2) ** 2 if cell < 4_096 else 1
+    assert written[300] < 36 * 2 * 300 * blocks and (cell < 4_096 or written[300] < 3 * written[150])
+
+
 def test_lattice_points_are_nearest():
     x = RNG.normal(size=(50, 8)) * 2
     near = lattice.decode(x)
