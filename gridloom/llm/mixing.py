@@ -1,9 +1,11 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Each source gets a target size; every document of it is taken a certain whole number of times, and a
-Pareto order sample takes the rest: documents are ranked by (u / (1 - u)) / (p / (1 - p)), where u is a
-uniform number hashed from the seed, the id and the text, and p the document's inclusion probability. Documents
-are taken in that order until the source's remaining target is met to within half a document.
+Pareto order sample takes the rest: documents are ranked by (u / (1 - u)) / odds, where u is a uniform number hashed
+from the seed, the id and the text, and odds are the document's inclusion odds: p / (1 - p) for the fraction p of its source that is
+left to take, times 2 m / (m + size), where m is the mean size of the source's documents with words. So a source's short
+documents are likelier than its long ones, and the words that are left go to more documents. Documents are taken in that
+order until the source's remaining target is met to within half a document.
 
 No source is ever ordered as a whole. Ranks are counted in coarse bins per source, then the coarse bin in
 which the target falls in fine ones (at most ``BINS`` rows a source each time); only the fine bin in which
@@ -36,15 +38,15 @@ def uniform(seed: int, key: Column, digest: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
-    """(source, source_size, target) from (source, size): weighted shares of all sizes, each at most max_copies times its source.
+    """(source, source_size, source_docs, target) from (source, size): weighted shares of all sizes, each at most max_copies times its source.
 
     The excess of capped sources is shared again by weight. That is water-filling: with sources in
     order of cap / weight, the first level at which all further sources stay below their caps.
     """
-    total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("source_docs"))
     place = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source").asc_nulls_last()))
     pick = F.array(*(F.lit(int(w)) for w in weights))
-    rows = total.select("source", "source_size", (place - 1).alias("place"))
+    rows = total.select("source", "source_size", "source_docs", (place - 1).alias("place"))
     rows = rows.withColumn("weight", F.element_at(pick, (F.col("place") % len(weights) + 1).cast("int")).cast("long"))
     rows = rows.withColumn("cap", F.col("source_size") * max_copies)
     whole = Window.partitionBy()
@@ -57,7 +59,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_copie
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("at", F.first(F.when(F.col("fits"), F.col("level")), ignorenulls=True).over(everything))
     target = F.least(F.col("cap").cast("double"), F.col("at") * F.col("weight"))
-    return rows.select("source", "source_size", F.coalesce(target, F.col("cap").cast("double")).alias("target"))
+    return rows.select("source", "source_size", "source_docs", F.coalesce(target, F.col("cap").cast("double")).alias("target"))
 
 
 def _edges(rows: DataFrame, bin: Column) -> DataFrame:
@@ -91,8 +93,9 @@ def _copies(docs: DataFrame, id_col: str, text: str, source: str, weights: Seque
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     both = both.withColumn("rate", rate).withColumn("whole", F.floor("rate").cast("long"))
     both = both.withColumn("p", F.col("rate") - F.col("whole")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    both = both.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), odds))
+    mean = F.col("source_size") / F.col("source_docs")
+    odds = F.col("p") / (1 - F.col("p")) * (2 * mean / (mean + F.col("size")))
+    both = both.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), (F.col("u") / (1 - F.col("u"))) / odds))
     fine = F.when(F.col("rank").isNotNull(), F.floor(F.col("rank") / (1 + F.col("rank")) * (bins * bins)).cast("long"))
     both = both.withColumn("fine", fine).withColumn("coarse", F.floor(F.col("fine") / bins))
     ranked = both.where("rank is not null").select("source", "rest", "coarse", "fine", "size")

@@ -167,20 +167,20 @@ def _op10_sql() -> str:
     picks = ", ".join(map(str, mixing.WEIGHTS))
     return f"""
 with s as (select row_number() over () as k, doc_id, source, md5(coalesce(text, '')) as digest, len({WORDS_SQL})::bigint as size from documents),
-t as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as place from s group by source),
+t as (select source, sum(size)::bigint as source_size, source_size / (count(*) filter (size > 0))::double as mean, row_number() over (order by source nulls last) - 1 as place from s group by source),
 c as (select *, [{picks}][(place % {len(mixing.WEIGHTS)} + 1)::int] as weight, source_size * {mixing.MAX_COPIES} as cap from t),
 l as (
   select *, (sum(source_size) over () - coalesce(sum(cap) over o, 0))::double / (sum(weight) over () - coalesce(sum(weight) over o, 0))::double as level,
     cap::double / weight::double as ratio
   from c window o as (order by cap::double / weight::double, place rows between unbounded preceding and 1 preceding)),
 a as (select arg_min(level, (ratio, place)) as lv from l where level * weight <= cap),
-g as (select source, source_size, coalesce(least(cap::double, lv * weight), cap::double) as target from l left join a on true),
+g as (select source, source_size, mean, coalesce(least(cap::double, lv * weight), cap::double) as target from l left join a on true),
 d as (
-  select k, s.doc_id, s.source, size, source_size, target, case when source_size > 0 then target / source_size else 0.0::double end as rate,
+  select k, s.doc_id, s.source, size, source_size, mean, target, case when source_size > 0 then target / source_size else 0.0::double end as rate,
     (('0x' || substr(md5('17-' || coalesce(s.doc_id::varchar, 'null') || '-' || digest), 1, 13))::bigint::double + 0.5) / {2**52}::double as u
   from s join g on s.source is not distinct from g.source),
 p as (select *, floor(rate)::bigint as whole, rate - floor(rate) as p, target - floor(rate) * source_size as rest from d),
-r as (select *, case when p > 0 then (u / (1 - u)) / (p / (1 - p)) end as rank from p),
+r as (select *, case when p > 0 and size > 0 then (u / (1 - u)) / (p / (1 - p) * (2 * mean / (mean + size))) end as rank from p),
 o as (select *, coalesce(sum(size) over (partition by source order by rank, doc_id, k rows between unbounded preceding and 1 preceding), 0) as before from r where rank is not null and size > 0),
 x as (select k from o where before + size / 2.0::double <= rest)
 select doc_id, size, source_size, target, (case when size > 0 then whole + (case when x.k is null then 0 else 1 end) else 0 end)::bigint as copies,

@@ -895,6 +895,17 @@ def test_taken_words_come_near_the_target(spark, bins):
         assert sum(r["taken"] for r in mine) == pytest.approx(mine[0]["target"], abs=40)
 
 
+def test_short_documents_are_likelier(spark):
+    """Within a source the share of documents taken falls with their size as the inclusion odds do."""
+    rows = [(i, " ".join(["w"] * (10 if i % 2 else 90)), "a") for i in range(3_000)] + [(5_000 + i, " ".join(["w"] * 50), "b") for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken = {size: np.mean([r["copies"] % 1 + (r["copies"] > r["target"] // r["source_size"]) for r in got if r["size"] == size and r["doc_id"] < 5_000]) for size in (10, 90)}
+    mine = [r for r in got if r["doc_id"] < 5_000]
+    assert sum(r["taken"] for r in mine) == pytest.approx(mine[0]["target"], abs=90)
+    odds = lambda p: p / (1 - p)
+    assert 0 < taken[90] < taken[10] < 1 and odds(taken[10]) / odds(taken[90]) == pytest.approx((50 + 90) / (50 + 10), rel=0.25)
+
+
 # ------------------------------------------------------------------ components
 
 
