@@ -110,6 +110,39 @@ def trend_histograms(trend: DataFrame, bins: int = 40, by=BY) -> DataFrame:
     return histogram(trend, "p", 0.0, 1.0, bins, by)
 
 
+def range_histogram(rows: DataFrame, value: str, bins: int = 40, by=BY, where: Column | None = None) -> DataFrame:
+    """by, panel (the value's name), bin (1 to bins), lower, upper, n over the range of the present values that ``where`` admits."""
+    x = F.col(value).cast("double")
+    some = rows.where(x.isNotNull() & ~F.isnan(x) & (F.lit(True) if where is None else where)).select(*by, x.alias("x"))
+    span = some.groupBy(*by).agg(F.min("x").alias("low"), F.max("x").alias("high"))  # one row a grid
+    placed = some.join(span, list(by)).withColumn("width", (F.col("high") - F.col("low")) / bins)
+    at = F.when(F.col("width") > 0, F.least(F.lit(bins), F.floor((F.col("x") - F.col("low")) / F.col("width")) + 1)).otherwise(F.lit(1)).cast("int")
+    counts = placed.groupBy(*by, at.alias("bin"), "low", "width").agg(F.count("*").alias("n"))
+    return counts.select(*by, F.lit(value).alias("panel"), "bin", (F.col("low") + (F.col("bin") - 1) * F.col("width")).alias("lower"), (F.col("low") + F.col("bin") * F.col("width")).alias("upper"), "n")
+
+
+def statistic_histogram(trend: DataFrame, bins: int = 40, by=BY) -> DataFrame:
+    """Of the trend statistic: Sm, S or beta, whichever the test gave."""
+    return range_histogram(trend, next(c for c in ("Sm", "S", "beta") if c in trend.columns), bins, by)
+
+
+def slope_histogram(slopes: DataFrame, bins: int = 40, by=BY) -> DataFrame:
+    return range_histogram(slopes, "slope", bins, by)
+
+
+def prewhiten_histograms(diagnostics: DataFrame, bins: int = 40, by=BY) -> DataFrame:
+    """Of the initial Durbin-Watson statistic (where there is one), of rho (of prewhitened cells only, where some are told apart), and of
+    the preserved or corrected slope."""
+    changed = F.col("Modified") == 1 if "Modified" in diagnostics.columns else None
+    panels = [("DW_initial", None), ("Rho", changed), ("Beta_TheilSen", None), ("Beta_corrected", changed)]
+    out = None
+    for name, where in panels:
+        if name in diagnostics.columns:
+            one = range_histogram(diagnostics, name, bins, by, where)
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def fdr_histogram(rows: DataFrame, by=BY) -> DataFrame:
     return histogram(rows, "p", 0.0, 1.0, 20, by)
 
