@@ -584,10 +584,10 @@ def test_both_folds_agree(spark):
 # ------------------------------------------------------------------ URL filters
 
 
-def brute_verdict(url):
+def brute_verdict(url, rules=None):
     m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
     host, path = (m.group(1).translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), m.group(2)) if m else ("", "")
-    fits = [(len(h + p), len(h), h + p, a) for a, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    fits = [(len(h + p), len(h), h + p, a) for a, h, p in rules or RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     best = max(fits, default=None)
     return host, path, best and best[2], best[3] if best else ("block" if host == "" else "allow")
 
@@ -601,11 +601,35 @@ def test_url_rules(spark):
         "http://net/", "nothing", None, "", "://", "http:///p", "http://example.net./en/", "x://c.b/q://b", "http://b/", "http://cb/q", "http://d.c.b/qq", "http://.net/", "a://net?/", "http://n-et/", "http://net0/",
     ]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate([*urls, *urls])], "page_id long, url string, key string")
-    got = {(r["page_id"],) + tuple(r)[1:] for r in urlfilter.judge(pages, RULES, groups=3).collect()}
+    got = {(r["page_id"],) + tuple(r)[1:] for r in urlfilter.judge(pages, RULES, parts=3).collect()}
     assert got == {(i, *brute_verdict(u)) for i, u in enumerate([*urls, *urls])}
     assert urlfilter.judge(pages.where("page_id < 0")).count() == 0 and urlfilter.judge(pages, []).count() == len(urls) * 2
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_nested_rules_cross_ranges(spark, parts):
+    """Random rules, nested up to five deep, as a table; a host with a third of the urls; stacks are carried over the ranges' borders."""
+    rng = np.random.default_rng(31)
+    name = lambda n: ".".join(rng.choice(list("abc"), n))
+    rules = list({(h, p): (str(rng.choice(["block", "allow"])), h, p) for h, p in ((name(rng.integers(1, 6)), "/" + name(rng.integers(0, 2)).replace(".", "/")) for _ in range(150))}.values())
+    urls = [f"http://{name(rng.integers(1, 8))}/{name(rng.integers(1, 4)).replace('.', '/')}" for _ in range(300)] + ["https://a.b.c/" + "abc"[i % 3] for i in range(150)]
+    pages = spark.createDataFrame([(i if i % 50 else None, u, 1, 2) for i, u in enumerate(urls)], "page_id long, url string, key int, open int")
+    table = spark.createDataFrame([*rules, ("allow", None, "/"), ("allow", "b", None)], "action string, host string, path string")
+    for given in (table, rules):
+        got = Counter(tuple(r) for r in urlfilter.judge(pages, given, parts=parts).collect())
+        assert got == Counter((i if i % 50 else None, *brute_verdict(u, rules)) for i, u in enumerate(urls))
+
+
+def test_many_rules_are_planned_at_once(spark):
+    import time
+
+    rules = spark.range(100_000).select(F.lit("block").alias("action"), F.concat(F.lit("h"), F.col("id"), F.lit(".example")).alias("host"), F.lit("/").alias("path"))
+    pages = spark.createDataFrame([(i, f"http://x.h{i * 37}.example/{i}") for i in range(3_000)], "page_id long, url string")
+    began = time.perf_counter()
+    assert urlfilter.judge(pages, rules).where("verdict = 'block'").count() == sum(i * 37 < 100_000 for i in range(3_000))
+    assert time.perf_counter() - began < 60
+
+
 # ------------------------------------------------------------------ embeddings
 
 
