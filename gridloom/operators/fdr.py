@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.lineage import checkpointed
 from gridloom.functions.validate import choice, probability
+from gridloom.operators.spatial import one_row_side
 
 METHODS = ("BH", "BY", "BKY")
 IMPLEMENTATIONS = ("multtest", "original")
@@ -67,10 +69,10 @@ def decided(rows: DataFrame, q: float = 0.05, original: bool = False) -> DataFra
     themselves at a raised level; it has no adjusted values and costs one more aggregate, so it is asked for.
     """
     q = probability(q, "q")
-    base = ranked(rows)
+    base = checkpointed(ranked(rows))  # the ranking is read two or three times below
     first = q / (1 + q)
     counts = base.groupBy("grid_id").agg(F.coalesce(F.sum(F.when(F.col("bh") < first, F.col("n"))), F.lit(0)).alias("r1"))  # one row per grid
-    out = base.join(counts, "grid_id").withColumn("m0", F.col("m") - F.col("r1")).withColumn("pi0", F.col("m0") / F.col("m"))
+    out = base.join(one_row_side(counts), "grid_id").withColumn("m0", F.col("m") - F.col("r1")).withColumn("pi0", F.col("m0") / F.col("m"))
     out = out.withColumn("q_BH", F.col("bh")).withColumn("q_BY", F.least(F.lit(1.0), F.col("raw") * harmonic(F.col("m"))))  # BY multiplies before it cuts at 1
     if not original:
         out = out.withColumn("q_BKY", F.col("bh") * F.col("pi0")).withColumn("reject_BKY", F.col("q_BKY") <= q)
@@ -78,7 +80,7 @@ def decided(rows: DataFrame, q: float = 0.05, original: bool = False) -> DataFra
         level = F.lit(first) * F.col("m") / F.col("m0")
         below = F.col("p") <= F.col("last") / F.col("m") * level
         top = out.where("m0 > 0 and r1 > 0").groupBy("grid_id").agg(F.max(F.when(below, F.col("last"))).alias("k"))
-        out = out.join(top, "grid_id", "left").withColumn("q_BKY", F.lit(None).cast("double"))
+        out = out.join(one_row_side(top), "grid_id", "left").withColumn("q_BKY", F.lit(None).cast("double"))
         out = out.withColumn("reject_BKY", F.when(F.col("r1") == 0, F.lit(False)).when(F.col("m0") == 0, F.lit(True)).otherwise(F.col("last") <= F.coalesce("k", F.lit(0))))
     return out.withColumn("reject_BH", F.col("q_BH") <= q).withColumn("reject_BY", F.col("q_BY") <= q)
 
@@ -99,7 +101,7 @@ def apply(rows: DataFrame, method: str = "BH", q: float = 0.05, implementation:
 
 def correct(rows: DataFrame, methods: tuple[str, ...] = ("BH", "BKY"), q: float = 0.05, implementation: str = "multtest") -> DataFrame:
     """rows with reject_raw and, per method, q_<method> and reject_<method>."""
-    rows = rows.withColumn("p", F.when(F.isnan("p"), None).otherwise(F.col("p")))
+    rows = checkpointed(rows.withColumn("p", F.when(F.isnan("p"), None).otherwise(F.col("p"))))  # what made the p-values runs once
     check(rows)
     for m in methods:
         choice(m, METHODS, "method")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,11 +60,30 @@ def slope_estimator(stack: Stack, method: str = "TS", max_pairs: float = math.in
 
 
 def theil_sen_long(long: DataFrame) -> DataFrame:
-    """Theil-Sen slope from long rows (grid_id, cell, t_value, value) by a join of the pairs, for axes that differ by cell."""
-    a, b = long.alias("a"), long.alias("b")
-    on = (F.col("a.grid_id") == F.col("b.grid_id")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.t_value") < F.col("b.t_value"))
-    slope = (F.col("b.value") - F.col("a.value")) / (F.col("b.t_value") - F.col("a.t_value"))
-    return a.join(b, on).groupBy("a.grid_id", "a.cell").agg(F.median(slope).alias("slope"))
+    """Theil-Sen slope from long rows (grid_id, cell, t_value, value), for axes that differ by cell; pairs of equal times do not count.
+
+    Each cell's points meet once, in order of time; their pairs are compared or selected in numpy and are no rows. Null without a pair.
+    """
+    points = long.where(F.col("t_value").isNotNull() & F.col("value").isNotNull()).groupBy("grid_id", "cell")
+    points = points.agg(F.sort_array(F.collect_list(F.struct(F.col("t_value").cast("double").alias("t"), F.col("value").cast("double").alias("y")))).alias("s"))
+
+    def of(t: np.ndarray, y: np.ndarray) -> float:
+        if len(t) > 1 and (np.diff(t) > 0).all():
+            return float(sen_slopes(y[None, :], t)[0])
+        i, j = np.triu_indices(len(t), 1)  # repeated times
+        some = t[j] > t[i]
+        return float(np.median((y[j] - y[i])[some] / (t[j] - t[i])[some])) if some.any() else np.nan
+
+    def run(batches):
+        for b in batches:
+            times, values = (b.column(c) for c in ("t", "y"))
+            ends = np.asarray(times.offsets)
+            t, y = np.asarray(times.values), np.asarray(values.values)
+            out = np.array([of(t[lo:hi], y[lo:hi]) for lo, hi in zip(ends[:-1], ends[1:])])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64(), mask=np.isnan(out))], names=["grid_id", "cell", "slope"])
+
+    kinds = dict(points.dtypes)
+    return points.select("grid_id", "cell", F.col("s.t").alias("t"), F.col("s.y").alias("y")).mapInArrow(run, f"grid_id {kinds['grid_id']}, cell {kinds['cell']}, slope double")
 
 
 # ------------------------------------------------------------------ fits of single series
