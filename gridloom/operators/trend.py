@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,9 @@ from gridloom.operators import tiles
 from gridloom.operators.grid import Stack, when_ok
 from gridloom.operators.spatial import Neighbourhood, neighbourhood
 
+if TYPE_CHECKING:
+    from gridloom.operators.topology import Topology
+
 SCHEMAS = {
     "MK": ("S", "VarS", "p"),
     "MMK": ("S", "VarS", "p"),
@@ -54,7 +59,7 @@ def with_kendall(rows: DataFrame, ties: bool) -> DataFrame:
 
 def trend_test(
     stack: Stack, method: str = "CMK", ties: bool = True, window_size: int = 3, connectivity: str = "queen",
-    precomputed: Neighbourhood | None = None, continuity: bool = False,
+    precomputed: Neighbourhood | Topology | None = None, continuity: bool = False,
 ) -> DataFrame:
     """grid_id, cell, row, col, ok and the three columns of SCHEMAS[method]; null for incomplete series."""
     if method not in METHODS:
@@ -86,7 +91,7 @@ def least_squares(stack: Stack) -> DataFrame:
 
 
 def contextual_mann_kendall(
-    stack: Stack, ties: bool = True, window_size: int = 3, connectivity: str = "queen", precomputed: Neighbourhood | None = None, continuity: bool = False,
+    stack: Stack, ties: bool = True, window_size: int = 3, connectivity: str = "queen", precomputed: Neighbourhood | Topology | None = None, continuity: bool = False,
 ) -> DataFrame:
     """Mann-Kendall of neighbourhood means.
 
@@ -95,7 +100,10 @@ def contextual_mann_kendall(
     no pair of cells is ever formed. The means are over the cell and its m - 1 complete neighbours.
     """
     around = precomputed or neighbourhood(stack.spec, connectivity, window_size)
-    around.check(stack.spec, connectivity, window_size)
+    if isinstance(around, Neighbourhood):
+        around.check(stack.spec, connectivity, window_size)
+    else:  # a topology, made for a mask
+        around.check(stack.spec, connectivity, window_size, stack.cells.where("ok"))
     n = stack.spec.n_time
 
     def region(y: Column, k: dict[str, Column]) -> Column:

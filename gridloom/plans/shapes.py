@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators import inspect, prewhiten, report, scoring, slope, trend
+from gridloom.operators import inspect, prewhiten, report, scoring, slope, topology, trend
 from gridloom.operators.grid import GridSpec, to_stack
-from gridloom.plans.queries import MK, SEN, TIES, VARIANCE, ZP, _gate, iterative_sql, q6, query, rounded
+from gridloom.plans.queries import FIELD, LAGGED, MK, SEN, TIES, VARIANCE, ZP, _field, _gate, iterative_sql, neighbours_sql, q6, query, rounded
 from gridloom.plans.sample import lineitem_long, lineitem_stack, long_sql
 
 # ------------------------------------------------------------------ polygons
@@ -103,3 +103,18 @@ def outlook_scores(spark, sf):
     step = mean(F.slice(y, EARLY + 1, n - EARLY)) - mean(F.slice(y, 1, EARLY))
     truth = whole.cells.where("ok").select("cell", (F.abs(step) > 0.01 * mean(y)).alias("signal"), F.signum(step).cast("int").alias("direction"))
     return rounded(scoring.compare_detections(found, truth, SHOWN))
+
+
+# ------------------------------------------------------------------ one topology for several tests
+
+
+@query(f"""with {long_sql(400)}{FIELD}{neighbours_sql()}{LAGGED}
+m as (select count(*) / sum(k)::double * sum(z * wz) / sum(z * z) as i, count(*) as n, sum(k)::bigint as s0, sum(z * z) / count(*) as m2 from wz)
+select cell, k::bigint as k, {q6('case when k > 0 then z * wz / m2 end')} as local_i, {q6('i')} as global_i, n, s0 from wz, m""")
+def topology_reuse(spark, sf):
+    """Neighbour counts, local and global Moran of a field over one stored topology."""
+    field, stack = _field(spark, sf, 400)
+    made = topology.prepare(field, stack.spec, valid="x is not null")
+    whole = topology.global_statistic(made, field, stack.spec).select("grid_id", F.col("statistic").alias("global_i"), "n", "s0")
+    local = topology.local_statistic(made, field, stack.spec).withColumnRenamed("statistic", "local_i")
+    return rounded(topology.with_neighbours(made, local).join(F.broadcast(whole), "grid_id").select("cell", "k", "local_i", "global_i", "n", "s0"))

@@ -2,10 +2,10 @@
 
 import numpy as np
 import pytest
-from helpers import stack_of
+from helpers import by_cell, field_of, stack_of
 from pyspark.sql import functions as F
 
-from gridloom.operators import inspect, prewhiten, report, slope, trend
+from gridloom.operators import inspect, prewhiten, report, slope, spatial, topology, trend
 from gridloom.operators.grid import GridSpec
 
 RINGS = "polygon string, ring array<struct<x:double,y:double>>"
@@ -72,3 +72,24 @@ def test_histograms_hold_every_value(spark):
     assert {r["panel"]: r["n"] for r in report.prewhiten_histograms(d).groupBy("panel").agg(F.sum("n").alias("n")).collect()} == {"Rho": 30, "Beta_TheilSen": 31}
     flat = report.range_histogram(spark.createDataFrame([("g", 2.0), ("g", 2.0), ("g", None)], "grid_id string, v double"), "v").collect()
     assert [(r["bin"], r["lower"], r["upper"], r["n"]) for r in flat] == [(1, 2.0, 2.0, 2)]
+
+
+def test_a_topology_is_for_its_mask(spark):
+    values = [float(v) for v in RNG.normal(size=35)]
+    field, spec = field_of(spark, [None if i % 9 == 4 else v for i, v in enumerate(values)], 5)
+    made = topology.prepare(field, spec, valid="x is not null")
+    want = by_cell(spatial.lagged(field.where("x is not null"), spec, value="x"), "k")
+    assert by_cell(made.cells, "k") == want and made.masks.first()["s0"] == sum(want.values())
+    assert by_cell(topology.local_statistic(made, field.repartition(5), spec), "statistic") == pytest.approx(by_cell(spatial.local_statistic(field, spec), "statistic"), nan_ok=True)
+    assert topology.global_statistic(made, field, spec, method="moran").first()["statistic"] == pytest.approx(spatial.global_statistic(field, spec).first()["statistic"])
+    plan = topology.with_neighbours(made, made.cells.drop("k"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    other, _ = field_of(spark, [None if i % 9 == 3 else v for i, v in enumerate(values)], 5)
+    for bad in (lambda: topology.local_statistic(made, other, spec), lambda: topology.global_statistic(made, field.where("cell > 1"), spec), lambda: topology.local_statistic(made, field, GridSpec(7, 5, 1)), lambda: topology.local_statistic(made, field.withColumn("grid_id", F.lit("h")), spec)):
+        with pytest.raises(ValueError):
+            bad()
+    stack = stack_of(spark, [[None if i % 9 == 4 else v + t * 0.1 * (i % 3) for t in range(6)] for i, v in enumerate(values)], 5)
+    alone = by_cell(trend.trend_test(stack, "CMK"), "p")
+    assert by_cell(trend.trend_test(stack, "CMK", precomputed=made), "p") == alone
+    with pytest.raises(ValueError):
+        trend.trend_test(stack_of(spark, [[v, v + 1, v] for v in values], 5), "CMK", precomputed=made)
