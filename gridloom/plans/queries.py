@@ -885,7 +885,30 @@ def workflow_configurable(spark, sf):
     return rounded(out.select("cell", "row", "col", "ok", "S", "VarS", "p", "slope", "q_BY", "reject_BY"))
 
 
-@query()
+def _inspected_sql() -> str:
+    z, t = normal_quantile(0.975), t_quantile(0.975, 26)
+    end = lambda side: f"greatest(round_even((k - {z!r} * sqrt(VarS)) / 2, 0), 1)::int" if side < 0 else f"least(round_even((k + {z!r} * sqrt(VarS)) / 2, 0) + 1, k)::int"
+    return f"""with {long_sql(100)}{VCTFPW}
+src as (
+  select 1 as cell, t, value from series where cell = 45
+  union all select 2, t, case when ch then r * k + beta * (t - 1) else value end from wh join nb using (cell) where cell = 45)
+select 45::bigint as cell, case cell when 1 then 'raw' else 'prewhitened' end as series, method, {q6('slope')} as slope, {q6('intercept')} as intercept, {q6('lower')} as lower, {q6('upper')} as upper from (
+  with series as (select * from src), {SEN}
+  ti as (select s.cell, quantile_cont(value - slope * t, 0.5) as intercept from series s join sen using (cell) group by s.cell),
+  {TIES}{VARIANCE}
+  o as (select cell, list_sort(list(s)) as l, count(*)::double as k from slopes group by cell),
+  b as (select cell, l[{end(-1)}] as lower, l[{end(1)}] as upper from o join variance using (cell)),
+  {FIT}
+  f as (select o.cell, slope, yb - slope * tb as intercept, sqrt(rss / (n - 2) / sxx) as se from ols o join rss using (cell), dims),
+  both_ as (select a.cell, a.t, (b.value - a.value) / (b.t - a.t) as s, a.value - (b.value - a.value) / (b.t - a.t) * a.t as i from series a join series b on a.cell = b.cell and a.t <> b.t),
+  inn as (select cell, t, list_sort(list(s))[count(*) // 2 + 1] as s, list_sort(list(i))[count(*) // 2 + 1] as i from both_ group by cell, t),
+  rm as (select cell, list_sort(list(s))[count(*) // 2 + 1] as slope, list_sort(list(i))[count(*) // 2 + 1] as intercept from inn group by cell)
+  select cell, 'TS' as method, slope, intercept, lower, upper from sen join ti using (cell) join b using (cell)
+  union all select cell, 'OLS', slope, intercept, slope - {t!r} * se, slope + {t!r} * se from f
+  union all select cell, 'RM', slope, intercept, null, null from rm)"""
+
+
+@query(_inspected_sql())
 def inspected_cell(spark, sf):
     stack = lineitem_stack(spark, sf)
     white, _ = prewhiten.prewhiten(stack, "VCTFPW")
