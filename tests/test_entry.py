@@ -9,4 +9,4 @@ def test_entry_and_names(spark):
     found = entry.queries()
     assert set(entry.oracle_sql()) <= set(found)
     numbers = {m[1] for n in found if (m := re.match(r"op(\d+)_", n))}
-    assert not numbers or numbers == {str(k) for k in range(1, 11)}
+    assert not numbers or numbers == {str(k) for k in range(1, 14)}
