@@ -205,7 +205,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each group of similar texts: its smallest id; among rows that share that id, one of the smallest text hash.
 
-    Pairs of Jaccard 0.8 differ in about 10 bits, beyond what the tables cover, so groups come from ``jaccard``.
+    Pairs of Jaccard 0.8 differ in about 10 bits of 64, beyond what the tables here cover, so candidates come from the
+    wider SimHashes of ``widebits``, and ``jaccard`` verifies them.
     """
     rows = checkpointed(jaccard.groups(docs, id_col, text, width, similarity))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
