@@ -32,6 +32,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 BUCKETS = 65_536
 NEVER = 2**31 - 1
 CACHE = 300_000  # chunks, and words, a task remembers
+LONGEST = 64  # characters of those
 SHORT = 64
 
 
@@ -151,8 +152,8 @@ def encoder(ranks: dict[bytes, int], pattern: str, cache: int = CACHE):
     """A function from a text's bytes (or null) to its ids, four bytes each, little end first.
 
     A single space with a non-space on either side always starts a word, so the chunks between such spaces
-    are encoded on their own and remembered, as are words; a text with other white space around its
-    spaces is encoded as a whole.
+    are encoded on their own and remembered, as are the words of those that have several; longer ones than LONGEST
+    are not. A text with other white space around its spaces is encoded as a whole.
     """
     from struct import pack
 
@@ -163,13 +164,13 @@ def encoder(ranks: dict[bytes, int], pattern: str, cache: int = CACHE):
     known: dict[str, bytes] = {}
 
     def encode(text: str) -> bytes:
-        out = []
-        for w in find(text):
+        out, found = [], find(text)
+        for w in found:
             got = words.get(w)
             if got is None:
                 ids = fold_word(w.encode(), ranks)
                 got = pack(f"<{len(ids)}I", *ids)
-                if len(words) < cache:
+                if len(found) > 1 and len(w) <= LONGEST and len(words) < cache:
                     words[w] = got
             out.append(got)
         return b"".join(out)
@@ -188,7 +189,7 @@ def encoder(ranks: dict[bytes, int], pattern: str, cache: int = CACHE):
                     if not c or c[0].isspace() or c[-1].isspace():
                         return encode(text)
                     parts[i] = got = encode(" " + c)
-                    if len(known) < cache:
+                    if len(c) <= LONGEST and len(known) < cache:
                         known[c] = got
         return b"".join([encode(first), *parts, encode(" " + last)])
 

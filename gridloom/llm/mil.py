@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import checkpointed, crc_mod, text_slices
+from gridloom.llm.common import checkpointed, crc_mod, text_slices, with_text
 
 PASSAGE = 512
 PER_CLASS = 2_048
@@ -234,17 +234,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rounds:
 def score(docs: DataFrame, model: dict[str, np.ndarray] | None, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns and ``score`` in (0, 1) for each row of docs."""
     types = dict(docs.dtypes)
+    rows, at = with_text(docs, carry, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         classes, m = byte_classes(), shared.value
         for b in batches:
-            texts = (x for _, some in text_slices(b.column(b.num_columns - 1)) for x in some)
+            texts = (x for _, some in text_slices(b.column(at)) for x in some)
             out = [0.5 if m is None else score_text(x or b"", classes, m) for x in texts]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.float64())], names=[*b.schema.names[:-1], "score"])
+            n = len(carry)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(out, pa.float64())], names=[*b.schema.names[:n], "score"])
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in carry), "score double"])
-    return docs.select(*(F.col(f"`{c}`") for c in carry), F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import text_slices, with_text
+
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs", "n_long_runs")
 SYMBOLS, BANGS = b"#*$%&|<>", b"!"
 
@@ -76,11 +78,16 @@ def measure(text: bytes) -> tuple[int, ...]:
     )
 
 
-def _measure_batches(batches):
-    for b in batches:
-        rows = [measure(x or b"") for x in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()]
-        cols = np.array(rows, np.int64).reshape(-1, len(MEASURES))
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(cols[:, i]) for i in range(len(MEASURES)))], names=[*b.schema.names[:-1], *MEASURES])
+def _measure_batches(at: int, carried: int):
+    """Measurements of the texts in column ``at``, behind the first ``carried`` columns."""
+
+    def run(batches):
+        for b in batches:
+            rows = [measure(x or b"") for _, some in text_slices(b.column(at)) for x in some]
+            cols = np.array(rows, np.int64).reshape(-1, len(MEASURES))
+            yield pa.RecordBatch.from_arrays([*b.columns[:carried], *(pa.array(cols[:, i]) for i in range(len(MEASURES)))], names=[*b.schema.names[:carried], *MEASURES])
+
+    return run
 
 
 def rule_bits() -> Column:
@@ -97,8 +104,8 @@ def ledger(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_i
         raise ValueError(f"carried columns clash with measurements: {sorted(clash)}")
     types = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in carry), *(f"{m} long" for m in MEASURES)])
-    picked = docs.select(*(F.col(c) for c in carry), F.col(text).alias("__text"))
-    return picked.mapInArrow(_measure_batches, schema).withColumn("failures", rule_bits())
+    picked, at = with_text(docs, carry, text)
+    return picked.mapInArrow(_measure_batches(at, len(carry)), schema).withColumn("failures", rule_bits())
 
 
 def rejected_by(policy: str) -> Column:

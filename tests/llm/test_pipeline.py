@@ -5,6 +5,7 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 
 SF = "/root/testdata/sf0.001"
@@ -76,3 +77,43 @@ def test_stages_take_empty_tables_and_nulls(spark, k):
     else:
         ids = {r["doc_id"] for r in got.collect()}
         assert ids <= {r[0] for r in rows} and (k not in (0, 3) or not ids & {-1, -2})
+
+
+def test_stages_bound_the_batches_of_texts(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(0, 300, 1, 1).selectExpr("id as doc_id", "concat(repeat('some words ', 10000), id) as text", "'en' as lang", "'a' as source", "0 as n_chars")
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    try:
+        for k in (0, 1, 2, 4):
+            spark.conf.set(key, "64m")
+            corpus_pipeline.STAGES[k][1](spark, docs.limit(0), SF)
+            assert max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect()) < 5 << 20
+        spark.conf.set(key, "1m")
+        corpus_pipeline.encode_bpe(spark, docs, SF)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_texts_go_to_the_workers_once(spark):
+    from gridloom.llm import mil, quality
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for rows in (quality.quality_filter(docs), mil.score(docs, None, "text", tuple(docs.columns))):
+        assert "__text" not in rows._jdf.queryExecution().analyzed().toString()
+
+
+def test_long_chunks_are_not_remembered():
+    import tracemalloc
+
+    from gridloom.llm.bpe import encoder, public_vocabulary
+
+    make = encoder(*public_vocabulary())
+    want = [make(f"a {'x' * 5_000}{i} b".encode()) for i in range(20)]
+    tracemalloc.start()
+    got = [make(f"a {'x' * 5_000}{i} b".encode())[-8:] for i in range(300)]
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert got[:20] == [w[-8:] for w in want]
+    assert kept < 500_000
