@@ -202,13 +202,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = SIMILARITY, complete: bool = False) -> DataFrame:
     """docs with one row of each group of similar texts: its smallest id; among rows that share that id, one of the smallest text hash.
 
     Pairs of Jaccard 0.8 differ in about 10 bits of 64, beyond what the tables here cover, so candidates come from the
-    wider SimHashes of ``widebits``, and ``jaccard`` verifies them.
+    wider SimHashes of ``widebits``, and ``jaccard`` verifies them. Such candidates are found with high probability; with
+    ``complete`` the pairs they leave out are found as well.
     """
-    rows = checkpointed(jaccard.groups(docs, id_col, text, width, similarity))
+    rows = checkpointed(jaccard.groups(docs, id_col, text, width, similarity, complete=complete))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     chosen = rows.groupBy("group").agg(first.alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.text_hash").alias("hash"))
     repeats = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
